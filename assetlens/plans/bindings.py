@@ -15,7 +15,7 @@ Every SQL text in ``plans.queries`` spells out the same bindings for DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -124,13 +124,101 @@ def target_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def action_plan_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An action-plan sheet with merged-cell gaps: the order number only on
-    an order's first line, the return flag blank for 'N'.  ``_row`` orders
-    the sheet by (order, line)."""
+    """An action-plan sheet with merged-cell gaps, one row per (order, line)
+    of lineitem (sheet order = (order, line), so ``_row`` is unique): the
+    order number only on line 1, the largest return flag (blank for 'N'),
+    the largest line status and the number of lineitem rows."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(
+    g = li.groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"),
+        F.count(F.lit(1)).alias("n"))
+    return g.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("_row"),
         F.when(F.col("l_linenumber") == 1, F.col("l_orderkey").cast("string")).otherwise(F.lit("")).alias("No"),
-        F.when(F.col("l_returnflag") == "N", F.lit("")).otherwise(F.col("l_returnflag")).alias("Jenis"),
-        F.col("l_linestatus").alias("Status"),
+        F.when(F.col("flag") == "N", F.lit("")).otherwise(F.col("flag")).alias("Jenis"),
+        F.col("status").alias("Status"),
+        F.col("n").cast("string").alias("Jumlah"),
+    )
+
+
+def percent_text(num: Column, den: Column) -> Column:
+    """'ab,c%' with one decimal, truncated, by integer arithmetic (so every
+    engine prints the same text)."""
+    permille = F.when(den > 0, F.floor(num * 1000 / den)).otherwise(F.lit(0)).cast("long")
+    return F.concat((permille / 10).cast("long").cast("string"), F.lit(","), (permille % 10).cast("string"),
+                    F.lit("%"))
+
+
+def id_count_text(c: Column) -> Column:
+    """Integer count written with '.' thousands groups."""
+    return F.translate(F.format_number(c.cast("double"), 0), ",", ".")
+
+
+CAPAIAN_HEADERS = [
+    "TOTAL CAPAIAN K1 NUP", "Bidang", "K2 NUP", "Bidang 2", "K3 NUP", "Bidang 3", "K4 NUP", "Bidang 4",
+    "JUMLAH KOMPONEN A Capaian", "% Capaian", "Permasalahan hukum Bidang", "% Capaian Hukum",
+    "Permasalahan Penatausahaan Bidang", "% Capaian Penatausahaan", "Konsolidasi Bidang",
+    "% Q2 Konsolidasi", "% Konsolidasi",
+]
+
+
+def capaian_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An overview sheet: one row per order priority (sheet order = priority
+    order).  K1..K3 = orders with status F, O, P; K4 = all orders; NUP = order
+    count, Bidang = distinct customers; percent texts are shares of all
+    orders."""
+    o = table(spark, sf_dir, "orders")
+    st = F.col("o_orderstatus")
+    n = F.count(F.lit(1))
+
+    def n_if(v):
+        return F.count_if(st == v)
+
+    def cust_if(v):
+        return F.count_distinct(F.when(st == v, F.col("o_custkey")))
+    agg = o.groupBy("o_orderpriority").agg(
+        n_if("F").alias("a"), cust_if("F").alias("b"), n_if("O").alias("c"), cust_if("O").alias("d"),
+        n_if("P").alias("e"), cust_if("P").alias("f"), n.alias("g"), F.count_distinct("o_custkey").alias("h"))
+    w = Window.orderBy("o_orderpriority")
+    return agg.select(
+        (F.row_number().over(w) - 1).cast("long").alias("_row"),
+        *[id_count_text(F.col(x)).alias(hd) for x, hd in zip("abcdefgh", CAPAIAN_HEADERS[:8])],
+        id_count_text(F.col("g")).alias(CAPAIAN_HEADERS[8]),
+        percent_text(F.col("a"), F.col("g")).alias(CAPAIAN_HEADERS[9]),
+        id_count_text(F.col("c")).alias(CAPAIAN_HEADERS[10]),
+        percent_text(F.col("c"), F.col("g")).alias(CAPAIAN_HEADERS[11]),
+        id_count_text(F.col("e")).alias(CAPAIAN_HEADERS[12]),
+        percent_text(F.col("e"), F.col("g")).alias(CAPAIAN_HEADERS[13]),
+        id_count_text(F.col("a") + F.col("c")).alias(CAPAIAN_HEADERS[14]),
+        percent_text(F.col("a") + F.col("c"), F.col("g")).alias(CAPAIAN_HEADERS[15]),
+        percent_text(F.col("b"), F.col("h")).alias(CAPAIAN_HEADERS[16]),
     )
+
+
+def igt_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An IGT sheet: one row per part type (sheet order = type order); the
+    achievement percent is the share of parts of size 25 or more."""
+    p = table(spark, sf_dir, "part")
+    agg = p.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_size") >= 25).alias("big"))
+    w = Window.orderBy("p_type")
+    return agg.select((F.row_number().over(w) - 1).cast("long").alias("_row"),
+                      F.col("p_type").alias("Jenis"), id_count_text(F.col("n")).alias("Jumlah Bidang"),
+                      percent_text(F.col("big"), F.col("n")).alias("% Capaian IGT"))
+
+
+def orders_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet over orders with a column that is blank on every row in
+    practice (a note for negative totals) and a two-letter header."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("long").alias("_row"),
+        F.col("o_orderkey").cast("string").alias("No"),
+        F.col("o_custkey").cast("string").alias("Pelanggan"),
+        F.col("o_orderstatus").alias("KD"),
+        F.col("o_orderpriority").alias("Prioritas"),
+        F.when(F.col("o_totalprice") < 0, F.lit("negatif")).otherwise(F.lit("")).alias("Catatan"),
+    )
+
+
+# Tabs of the target sheet: the return flag picks the tab.
+TARGET_TABS = {"A": "K1", "N": "K2", "R": "K3"}

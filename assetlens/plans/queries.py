@@ -338,3 +338,286 @@ SELECT k.kab_kota, c.lat, c.lon, k.jumlah, CAST(16 AS DOUBLE) AS radius,
 FROM counts k JOIN centres c ON k.kab_kota = c.place WHERE k.jumlah > 0""")
 def q_unit_layer(spark, sf_dir):
     return M.unit_map_layer(B.units(spark, sf_dir), M.centres_frame(spark, B.REGION_CENTRES))
+
+
+# --- achievement sheets -------------------------------------------------------
+
+from ..operators import sheets as S  # noqa: E402
+from ..operators import windows as W  # noqa: E402
+
+TARGET_HEADERS = ["Nomor", "Baris", "Kode Barang", "Jenis", "Status", "Progres", K.PROBLEM_COLUMN_NAME]
+
+TARGET_CTE = f"""
+target AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS "Nomor", CAST(l_linenumber AS VARCHAR) AS "Baris",
+         CAST(l_partkey AS VARCHAR) AS "Kode Barang", l_returnflag AS "Jenis", l_linestatus AS "Status",
+         CAST(CAST(round(l_quantity * 2) AS INTEGER) AS VARCHAR) || '%' AS "Progres",
+         CASE WHEN l_discount = 0 THEN ''
+              ELSE 'Diskon ' || CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR) || '%' END
+           AS "{K.PROBLEM_COLUMN_NAME}"
+  FROM lineitem)"""
+
+
+def _q(h: str) -> str:
+    return '"' + h.replace('"', '""') + '"'
+
+
+def sql_clean(expr: str) -> str:
+    return f"trim(regexp_replace(coalesce({expr}, ''), '\\s+', ' ', 'g'))"
+
+
+def sql_filter_value(expr: str) -> str:
+    c = sql_clean(expr)
+    return f"CASE WHEN {c} = '' THEN '{K.EMPTY_TOKEN}' ELSE {c} END"
+
+
+def sql_search(headers, q: str) -> str:
+    joined = "concat_ws(' ', " + ", ".join(f"coalesce({_q(h)}, '')" for h in headers) + ")"
+    return f"instr(lower({joined}), '{q.strip().lower()}') > 0"
+
+
+SEARCH_TERM = "a f 1"
+FACET_SEARCH = "diskon"
+FACET_FILTERS = {"Status": ["F"], "Jenis": ["A", "R"]}
+ROW_FILTERS = {"Status": ["F"], K.PROBLEM_COLUMN_NAME: [K.EMPTY_TOKEN, "Diskon 5%"]}
+K3_PROBLEM = "Diskon 10%"
+
+
+def _target(spark, sf_dir):
+    return B.target_sheet(spark, sf_dir)
+
+
+@query("search_rows", f"""WITH {TARGET_CTE}
+SELECT * FROM target WHERE {sql_search(TARGET_HEADERS, SEARCH_TERM)}""")
+def q_search_rows(spark, sf_dir):
+    return S.search_sheet(_target(spark, sf_dir), SEARCH_TERM)
+
+
+def _sql_filters(filters) -> str:
+    parts = []
+    for h, vals in filters.items():
+        parts.append(f"{sql_filter_value(_q(h))} IN {_sql_in(vals)}" if vals else "FALSE")
+    return " AND ".join(parts) or "TRUE"
+
+
+@query("column_filters", f"""WITH {TARGET_CTE}
+SELECT * FROM target WHERE {_sql_filters(ROW_FILTERS)}""")
+def q_column_filters(spark, sf_dir):
+    return S.filter_sheet(_target(spark, sf_dir), ROW_FILTERS)
+
+
+def _facet_sql() -> str:
+    oks = ", ".join(f"({sql_filter_value(_q(h))} IN {_sql_in(v)}) AS ok{i}" for i, (h, v) in enumerate(FACET_FILTERS.items()))
+    fh = list(FACET_FILTERS)
+    parts = []
+    for h in TARGET_HEADERS:
+        conds = [f"ok{i}" for i, k in enumerate(fh) if k != h]
+        where = " AND ".join(conds) or "TRUE"
+        parts.append(f"SELECT '{h}' AS header, {sql_filter_value(_q(h))} AS value FROM f WHERE {where}")
+    return (f"WITH {TARGET_CTE},\nf AS (SELECT *, {oks} FROM target WHERE {sql_search(TARGET_HEADERS, FACET_SEARCH)}),\n"
+            f"u AS ({' UNION '.join(parts)})\n"
+            f"SELECT header, value, CASE WHEN value = '{K.EMPTY_TOKEN}' THEN '{K.EMPTY_LABEL}' ELSE value END AS label FROM u")
+
+
+@query("facet_options", _facet_sql())
+def q_facet_options(spark, sf_dir):
+    return S.facet_options(_target(spark, sf_dir), FACET_FILTERS, search=FACET_SEARCH)
+
+
+_PROBLEM_SQL = f"CASE WHEN {sql_clean(_q(K.PROBLEM_COLUMN_NAME))} = '' THEN '{K.EMPTY_LABEL}' ELSE {sql_clean(_q(K.PROBLEM_COLUMN_NAME))} END"
+
+
+@query("problem_pivot", f"""WITH {TARGET_CTE}
+SELECT {_PROBLEM_SQL} AS problem, COUNT(*) AS jumlah FROM target GROUP BY 1 ORDER BY jumlah DESC, problem""")
+def q_problem_pivot(spark, sf_dir):
+    return S.problem_pivot(_target(spark, sf_dir))
+
+
+@query("problem_focus", f"""WITH {TARGET_CTE},
+p AS (SELECT {_PROBLEM_SQL} AS problem, COUNT(*) AS jumlah FROM target GROUP BY 1)
+SELECT (SELECT COUNT(*) FROM p) AS jumlah_jenis,
+       (SELECT problem FROM p ORDER BY jumlah DESC, problem LIMIT 1) AS teratas,
+       (SELECT MAX(jumlah) FROM p) AS jumlah_teratas""")
+def q_problem_focus(spark, sf_dir):
+    return S.problem_focus(S.problem_pivot(_target(spark, sf_dir)))
+
+
+@query("k3_rows", f"""WITH {TARGET_CTE}
+SELECT * FROM target WHERE {sql_search(TARGET_HEADERS, FACET_SEARCH)} AND {_PROBLEM_SQL} = '{K3_PROBLEM}'
+  AND {_sql_filters(FACET_FILTERS)}""")
+def q_k3_rows(spark, sf_dir):
+    return S.filter_sheet(_target(spark, sf_dir), FACET_FILTERS, search=FACET_SEARCH, problem=K3_PROBLEM)
+
+
+@query("row_counts", f"""WITH {TARGET_CTE}
+SELECT COUNT(*) FILTER (WHERE {sql_search(TARGET_HEADERS, FACET_SEARCH)} AND {_PROBLEM_SQL} = '{K3_PROBLEM}'
+  AND {_sql_filters(FACET_FILTERS)}) AS shown, COUNT(*) AS total FROM target""")
+def q_row_counts(spark, sf_dir):
+    sheet = _target(spark, sf_dir)
+    from ..operators.filters import column_filter_conditions, search_condition
+    cond = search_condition(TARGET_HEADERS, FACET_SEARCH) & (S.problem_value(TARGET_HEADERS) == K3_PROBLEM)
+    for _, c in column_filter_conditions(TARGET_HEADERS, FACET_FILTERS):
+        cond = cond & c
+    return S.row_counts(sheet, cond)
+
+
+_TAB_SQL = "CASE " + " ".join(f"WHEN \"Jenis\" = '{k}' THEN '{v}'" for k, v in B.TARGET_TABS.items()) + " END"
+_DONE_SQL = (f"regexp_matches(lower(concat_ws(' ', coalesce(\"Status\", ''), coalesce(\"Progres\", ''))), "
+             f"'{K.COMPLETION_PATTERN}')")
+_COMPLETION_SQL = f"""
+c AS (SELECT {_TAB_SQL} AS name, COUNT(*) AS total, COUNT(*) FILTER (WHERE {_DONE_SQL}) AS completed
+      FROM target GROUP BY 1)"""
+
+
+def _tab_summaries(spark, sf_dir):
+    sheet = _target(spark, sf_dir)
+    tab = None
+    for k, v in B.TARGET_TABS.items():
+        tab = F.when(F.col("Jenis") == k, F.lit(v)) if tab is None else tab.when(F.col("Jenis") == k, F.lit(v))
+    return S.completion_summary(sheet, "", by=tab)
+
+
+@query("completion_summary", f"""WITH {TARGET_CTE}, {_COMPLETION_SQL}
+SELECT name, total, completed,
+       CAST(CASE WHEN total > 0 THEN floor(CAST(completed AS DOUBLE) / total * 100 + 0.5) ELSE 0 END AS BIGINT) AS percent
+FROM c""")
+def q_completion_summary(spark, sf_dir):
+    return _tab_summaries(spark, sf_dir)
+
+
+@query("composition", f"""WITH {TARGET_CTE}, {_COMPLETION_SQL},
+g AS (SELECT SUM(total) AS grand FROM c)
+SELECT name, total, CAST(floor(CAST(total AS DOUBLE) / grand * 100 + 0.5) AS BIGINT) AS share,
+       CAST(greatest(floor(CAST(total AS DOUBLE) / grand * 100 + 0.5), {K.COMPOSITION_MIN_WIDTH}) AS BIGINT) AS width,
+       CAST(grand AS BIGINT) AS grand_total
+FROM c, g WHERE grand > 0""")
+def q_composition(spark, sf_dir):
+    return S.composition(_tab_summaries(spark, sf_dir))
+
+
+ACTION_CTE = """
+g AS (
+  SELECT l_orderkey, l_linenumber, MAX(l_returnflag) AS flag, MAX(l_linestatus) AS status, COUNT(*) AS n
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+sheet AS (
+  SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS _row,
+         CASE WHEN l_linenumber = 1 THEN CAST(l_orderkey AS VARCHAR) ELSE '' END AS "No",
+         CASE WHEN flag = 'N' THEN '' ELSE flag END AS "Jenis",
+         status AS "Status", CAST(n AS VARCHAR) AS "Jumlah"
+  FROM g),
+long AS (
+  SELECT _row, 'No' AS header, "No" AS value FROM sheet UNION ALL
+  SELECT _row, 'Jenis', "Jenis" FROM sheet UNION ALL
+  SELECT _row, 'Status', "Status" FROM sheet UNION ALL
+  SELECT _row, 'Jumlah', "Jumlah" FROM sheet),
+marked AS (SELECT *, trim(coalesce(value, '')) <> '' AS nonblank FROM long),
+isl AS (SELECT *, CAST(SUM(CASE WHEN nonblank THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY header ORDER BY _row ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM marked),
+heads AS (SELECT header, island, COUNT(*) AS span, MAX(CASE WHEN nonblank THEN value END) AS head
+          FROM isl WHERE island > 0 GROUP BY header, island)"""
+
+
+@query("merge_spans", f"""WITH {ACTION_CTE}
+SELECT i._row, i.header, i.value, CASE WHEN i.nonblank THEN h.span END AS span,
+       (i.island > 0 AND NOT i.nonblank) AS covered, coalesce(h.head, '') AS filled
+FROM isl i LEFT JOIN heads h ON i.header = h.header AND i.island = h.island""")
+def q_merge_spans(spark, sf_dir):
+    return W.merge_spans(B.action_plan_sheet(spark, sf_dir))
+
+
+@query("fill_down", f"""WITH {ACTION_CTE}
+SELECT i._row, i.header, coalesce(h.head, '') AS filled
+FROM isl i LEFT JOIN heads h ON i.header = h.header AND i.island = h.island""")
+def q_fill_down(spark, sf_dir):
+    return W.fill_down(B.action_plan_sheet(spark, sf_dir))
+
+
+def _sql_id_count(expr: str) -> str:
+    return f"replace(format('{{:,}}', CAST({expr} AS BIGINT)), ',', '.')"
+
+
+def _sql_pct(num: str, den: str) -> str:
+    pm = f"CAST(CASE WHEN ({den}) > 0 THEN floor(({num}) * 1000 / ({den})) ELSE 0 END AS BIGINT)"
+    return f"CAST({pm} // 10 AS VARCHAR) || ',' || CAST({pm} % 10 AS VARCHAR) || '%'"
+
+
+def _sql_parse_id(expr: str) -> str:
+    s = f"regexp_replace(regexp_replace(replace(coalesce({expr}, ''), '.', ''), '^([^,]*),', '\\1.'), '[^0-9.\\-]', '', 'g')"
+    return f"coalesce(TRY_CAST(CASE WHEN regexp_full_match({s}, '-?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN {s} END AS DOUBLE), 0.0) + 0.0"
+
+
+CAPAIAN_CTE = f"""
+agg AS (
+  SELECT o_orderpriority,
+         COUNT(*) FILTER (WHERE o_orderstatus = 'F') AS a,
+         COUNT(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_custkey END) AS b,
+         COUNT(*) FILTER (WHERE o_orderstatus = 'O') AS c,
+         COUNT(DISTINCT CASE WHEN o_orderstatus = 'O' THEN o_custkey END) AS d,
+         COUNT(*) FILTER (WHERE o_orderstatus = 'P') AS e,
+         COUNT(DISTINCT CASE WHEN o_orderstatus = 'P' THEN o_custkey END) AS f,
+         COUNT(*) AS g, COUNT(DISTINCT o_custkey) AS h
+  FROM orders GROUP BY o_orderpriority),
+first AS (SELECT * FROM agg ORDER BY o_orderpriority LIMIT 1),
+cap AS (
+  SELECT {_sql_id_count('a')} AS c0, {_sql_id_count('b')} AS c1, {_sql_id_count('c')} AS c2,
+         {_sql_id_count('d')} AS c3, {_sql_id_count('e')} AS c4, {_sql_id_count('f')} AS c5,
+         {_sql_id_count('g')} AS c6, {_sql_id_count('h')} AS c7, {_sql_id_count('g')} AS c8,
+         {_sql_pct('a', 'g')} AS c9, {_sql_id_count('a + c')} AS c14, {_sql_pct('a + c', 'g')} AS c15,
+         {_sql_pct('b', 'h')} AS c16
+  FROM first)"""
+
+
+@query("achievement_kpis", f"""WITH {CAPAIAN_CTE},
+k AS (SELECT {_sql_parse_id('c0')} AS k1_nup, {_sql_parse_id('c1')} AS k1_bidang,
+             {_sql_parse_id('c2')} AS k2_nup, {_sql_parse_id('c3')} AS k2_bidang,
+             {_sql_parse_id('c4')} AS k3_nup, {_sql_parse_id('c5')} AS k3_bidang,
+             {_sql_parse_id('c6')} AS k4_nup, {_sql_parse_id('c7')} AS k4_bidang,
+             {_sql_parse_id('c8')} AS total_bidang, c9 AS total_pct,
+             {_sql_parse_id('c14')} AS konsolidasi_bidang, c15 AS konsolidasi_q1, c16 AS konsolidasi_pct
+      FROM cap)
+SELECT *, CAST(CASE WHEN total_bidang <> 0 THEN floor(k1_bidang / total_bidang * 100 + 0.5) ELSE 0 END AS BIGINT) AS k1_percent,
+          CAST(CASE WHEN total_bidang <> 0 THEN floor(k2_bidang / total_bidang * 100 + 0.5) ELSE 0 END AS BIGINT) AS k2_percent,
+          CAST(CASE WHEN total_bidang <> 0 THEN floor(k3_bidang / total_bidang * 100 + 0.5) ELSE 0 END AS BIGINT) AS k3_percent
+FROM k""")
+def q_achievement_kpis(spark, sf_dir):
+    return S.achievement_kpis(B.capaian_sheet(spark, sf_dir))
+
+
+@query("igt_kpi", f"""WITH agg AS (
+  SELECT p_type, COUNT(*) AS n, COUNT(*) FILTER (WHERE p_size >= 25) AS big FROM part GROUP BY p_type),
+first AS (SELECT {_sql_pct('big', 'n')} AS pct FROM agg ORDER BY p_type LIMIT 1)
+SELECT CASE WHEN pct = '' THEN '-' ELSE pct END AS igt_display,
+       least(coalesce(TRY_CAST(regexp_extract(replace(replace(pct, '%', ''), ',', '.'),
+             '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1) AS DOUBLE), 0.0), 100.0) AS igt_percent,
+       (SELECT COUNT(*) FROM agg) AS row_count
+FROM first""")
+def q_igt_kpi(spark, sf_dir):
+    return S.igt_kpi(B.igt_sheet(spark, sf_dir))
+
+
+ORDERS_SHEET_HEADERS = ["No", "Pelanggan", "KD", "Prioritas", "Catatan"]
+ORDERS_SHEET_CTE = """
+osheet AS (SELECT CAST(o_orderkey AS VARCHAR) AS "No", CAST(o_custkey AS VARCHAR) AS "Pelanggan",
+                  o_orderstatus AS "KD", o_orderpriority AS "Prioritas",
+                  CASE WHEN o_totalprice < 0 THEN 'negatif' ELSE '' END AS "Catatan" FROM orders)"""
+
+
+def _informative_sql(strict: bool) -> str:
+    parts = []
+    for i, h in enumerate(ORDERS_SHEET_HEADERS):
+        keep = "has_value"
+        if strict:
+            keep += f" AND NOT regexp_full_match('{h}', '{K.LETTER_HEADER_PATTERN[1:-1]}')"
+        parts.append(f"SELECT {i} AS position, '{h}' AS header, has_value, ({keep}) AS informative FROM "
+                     f"(SELECT coalesce(bool_or({sql_clean(_q(h))} <> ''), FALSE) AS has_value FROM osheet)")
+    return f"WITH {ORDERS_SHEET_CTE}\n" + "\nUNION ALL ".join(parts)
+
+
+@query("informative_columns", _informative_sql(False))
+def q_informative_columns(spark, sf_dir):
+    return S.informative_report(B.orders_sheet(spark, sf_dir))
+
+
+@query("informative_columns_strict", _informative_sql(True))
+def q_informative_columns_strict(spark, sf_dir):
+    return S.informative_report(B.orders_sheet(spark, sf_dir), strict=True)
