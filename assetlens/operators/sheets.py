@@ -341,3 +341,25 @@ def find_data_row(sheet: DataFrame, headers: Sequence[str] | None = None, row_co
     ranked = sheet.filter(prio.isNotNull()).withColumn("__prio", prio)
     best = ranked.agg(F.min_by(F.struct(*[qcol(c) for c in sheet.columns]), F.struct("__prio", row_col)).alias("r"))
     return best.filter(F.col("r").isNotNull()).select("r.*")
+
+
+# --- header uniqueness over a long header table (P10) -----------------------
+
+def unique_headers(headers: DataFrame, keys: Sequence[str] = ("sheet",), col_col: str = "_col",
+                   header_col: str = "header", passes: int = 2, bucket_rows: int | None = None) -> DataFrame:
+    """Make the headers of each tab unique, in column order: a blank name
+    becomes 'Kolom <n>' (n = position + 1) and the k-th repeat of a name
+    gets the suffix ' k'.  Applied ``passes`` times (the widened header row
+    is made unique a second time).  The repeat counter is a bucketed running
+    count, so a tab with an enormous header row is not one task."""
+    from .windows import DEFAULT_BUCKET_ROWS, running_count
+    keys = list(keys)
+    br = bucket_rows or DEFAULT_BUCKET_ROWS
+    cur = headers.withColumn("__name", clean_header(F.col(header_col)))
+    cur = cur.withColumn("__name", F.when(F.col("__name") == "", F.concat(
+        F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col(col_col) + 1).cast("string"))).otherwise(F.col("__name")))
+    for _ in range(passes):
+        cur = running_count(cur, [*keys, "__name"], col_col, out="__k", bucket_rows=br)
+        cur = cur.withColumn("__name", F.when(F.col("__k") == 1, F.col("__name")).otherwise(
+            F.concat(F.col("__name"), F.lit(" "), F.col("__k").cast("string")))).drop("__k")
+    return cur.select(*keys, col_col, F.col("__name").alias("unique_header"))

@@ -621,3 +621,99 @@ def q_informative_columns(spark, sf_dir):
 @query("informative_columns_strict", _informative_sql(True))
 def q_informative_columns_strict(spark, sf_dir):
     return S.informative_report(B.orders_sheet(spark, sf_dir), strict=True)
+
+
+# --- payload sources and snapshots ------------------------------------------
+
+from ..sources import payloads as P  # noqa: E402
+from ..sources import snapshots as SN  # noqa: E402
+
+PAGE_ROWS = 1000
+ROUNDTRIP_HEADERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+def _order_payloads(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    page = F.concat(F.lit("p"), F.floor(F.col("o_orderkey") / PAGE_ROWS).cast("string"))
+    src = o.select(page.alias("__page"), F.col("o_orderkey"), *[F.col(c) for c in ROUNDTRIP_HEADERS if c != "o_orderkey"])
+    src = src.withColumn("o_orderkey_t", F.col("o_orderkey").cast("string"))
+    src = src.select("__page", "o_orderkey", F.col("o_orderkey_t").alias("o_orderkey_text"),
+                     F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus", "o_totalprice",
+                     "o_orderpriority")
+    src = src.drop("o_orderkey").withColumnRenamed("o_orderkey_text", "o_orderkey")
+    return P.to_payloads(src, F.col("__page"), ROUNDTRIP_HEADERS, F.col("o_orderkey").cast("long"),
+                         numeric=["o_totalprice"])
+
+
+@query("sheet_roundtrip", f"""
+SELECT 'p' || CAST(o_orderkey // {PAGE_ROWS} AS VARCHAR) AS sheet,
+       CAST(row_number() OVER (PARTITION BY o_orderkey // {PAGE_ROWS} ORDER BY o_orderkey) - 1 AS BIGINT) AS _row,
+       CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
+       CASE WHEN o_totalprice = floor(o_totalprice) THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR)
+            ELSE CAST(o_totalprice AS VARCHAR) END AS o_totalprice,
+       o_orderpriority
+FROM orders""")
+def q_sheet_roundtrip(spark, sf_dir):
+    parsed = P.parse_payloads(_order_payloads(spark, sf_dir))
+    headers, rows = P.normalize_payloads(parsed)
+    return P.sheet_frame(headers, rows, header_list=ROUNDTRIP_HEADERS)
+
+
+@query("sheet_headers", f"""
+SELECT DISTINCT 'p' || CAST(o_orderkey // {PAGE_ROWS} AS VARCHAR) AS sheet, h._col, h.header
+FROM orders, (VALUES {", ".join(f"({i}, '{h}')" for i, h in enumerate(ROUNDTRIP_HEADERS))}) h(_col, header)""")
+def q_sheet_headers(spark, sf_dir):
+    parsed = P.parse_payloads(_order_payloads(spark, sf_dir))
+    headers, _ = P.normalize_payloads(parsed)
+    return headers.select("sheet", F.col("_col").cast("int").alias("_col"), "header")
+
+
+@query("header_uniqueness", """
+WITH h AS (SELECT user_id AS sheet, event_id AS _col, event_type AS name FROM events),
+p1 AS (SELECT sheet, _col, CASE WHEN k = 1 THEN name ELSE name || ' ' || CAST(k AS VARCHAR) END AS name
+       FROM (SELECT *, row_number() OVER (PARTITION BY sheet, name ORDER BY _col) AS k FROM h)),
+p2 AS (SELECT sheet, _col, CASE WHEN k = 1 THEN name ELSE name || ' ' || CAST(k AS VARCHAR) END AS name
+       FROM (SELECT *, row_number() OVER (PARTITION BY sheet, name ORDER BY _col) AS k FROM p1))
+SELECT sheet, _col, name AS unique_header FROM p2""")
+def q_header_uniqueness(spark, sf_dir):
+    ev = B.table(spark, sf_dir, "events")
+    hdr = ev.select(F.col("user_id").alias("sheet"), F.col("event_id").alias("_col"), F.col("event_type").alias("header"))
+    return S.unique_headers(hdr)
+
+
+SNAPSHOT_NO_CACHE = ["u1"]
+
+
+def _event_loads(spark, sf_dir):
+    ev = B.table(spark, sf_dir, "events")
+    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sheet"), "ts", "event_id",
+                     (F.col("event_type") != "error").alias("ok"), F.col("props").alias("data"))
+
+
+_SNAPSHOT_SQL = f"""
+WITH l AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS sheet, ts, event_id, event_type <> 'error' AS ok, props AS data
+           FROM events),
+cur AS (SELECT sheet, ok, data, ts FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY ts DESC, event_id DESC) AS rn FROM l) WHERE rn = 1),
+good AS (SELECT sheet, data, ts FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY ts DESC, event_id DESC) AS rn FROM l WHERE ok) WHERE rn = 1),
+st AS (
+  SELECT c.sheet,
+         CASE WHEN c.ok THEN 'live' WHEN c.sheet NOT IN {_sql_in(SNAPSHOT_NO_CACHE)} AND g.sheet IS NOT NULL THEN 'cache'
+              ELSE 'failed' END AS source,
+         c.ok AS cur_ok, c.data AS cur_data, c.ts AS cur_ts, g.data AS good_data, g.ts AS good_ts
+  FROM cur c LEFT JOIN good g ON c.sheet = g.sheet)"""
+
+
+@query("latest_good_snapshot", _SNAPSHOT_SQL + """
+SELECT sheet, source, CASE source WHEN 'live' THEN cur_data WHEN 'cache' THEN good_data END AS data,
+       CASE source WHEN 'live' THEN cur_ts WHEN 'cache' THEN good_ts END AS data_ts,
+       CASE WHEN NOT cur_ok THEN cur_ts END AS error_ts
+FROM st""")
+def q_latest_good_snapshot(spark, sf_dir):
+    return SN.latest_good_snapshot(_event_loads(spark, sf_dir), no_cache=SNAPSHOT_NO_CACHE, tiebreak_col="event_id")
+
+
+@query("load_report", _SNAPSHOT_SQL + """
+SELECT source, COUNT(*) AS jumlah FROM st GROUP BY source""")
+def q_load_report(spark, sf_dir):
+    status = SN.latest_good_snapshot(_event_loads(spark, sf_dir), no_cache=SNAPSHOT_NO_CACHE, tiebreak_col="event_id")
+    return SN.load_report(status)
