@@ -72,3 +72,9 @@ def joined_lower(cols: list, sep: str = " ") -> Column:
 def contains_literal(haystack: Column, needle: str) -> Column:
     """Literal (not regex) substring test."""
     return F.instr(haystack, needle) > 0
+
+
+def at(arr, index) -> Column:
+    """1-based array element, NULL when out of range (ANSI-safe)."""
+    idx = index if isinstance(index, Column) else F.lit(index)
+    return F.try_element_at(_col(arr), idx)

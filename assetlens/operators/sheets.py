@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import parse_id_number, parse_percent_prefix
-from ..functions.text import clean_header, clean_value, filter_value, joined_lower
+from ..functions.text import at, clean_header, clean_value, filter_value, joined_lower
 from .filters import column_filter_conditions, search_condition
 
 ROW = "_row"
@@ -176,7 +176,7 @@ def facet_options(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str |
     cells = F.explode(F.array(*[F.struct(F.lit(h).alias("header"), filter_value(qcol(h), empty_token).alias("value"))
                                 for h in headers]))
     long = df.select(failed.alias("__failed"), cells.alias("c")).select("__failed", "c.header", "c.value")
-    keep = (F.size("__failed") == 0) | ((F.size("__failed") == 1) & (F.col("__failed")[0] == F.col("header")))
+    keep = (F.size("__failed") == 0) | ((F.size("__failed") == 1) & (at("__failed", 1) == F.col("header")))
     out = long.filter(keep).select("header", "value").distinct()
     return out.withColumn("label", F.when(F.col("value") == empty_token, F.lit(empty_label)).otherwise(F.col("value")))
 
@@ -363,3 +363,9 @@ def unique_headers(headers: DataFrame, keys: Sequence[str] = ("sheet",), col_col
         cur = cur.withColumn("__name", F.when(F.col("__k") == 1, F.col("__name")).otherwise(
             F.concat(F.col("__name"), F.lit(" "), F.col("__k").cast("string")))).drop("__k")
     return cur.select(*keys, col_col, F.col("__name").alias("unique_header"))
+
+
+def search_condition_for(headers: Sequence[str], query: str | None) -> Column:
+    """Search condition over the given headers (always true for no query)."""
+    cond = search_condition(list(headers), query)
+    return F.lit(True) if cond is None else cond

@@ -15,27 +15,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import JS_WS, clean_header, js_trim
+from ..functions.text import at, clean_header, js_trim
 
 PAYLOAD_SCHEMA = (
     "status STRING, errors ARRAY<STRUCT<reason: STRING, message: STRING, detailed_message: STRING>>, "
     "table STRUCT<cols: ARRAY<STRUCT<id: STRING, label: STRING, type: STRING>>, "
-    "rows: ARRAY<STRUCT<c: ARRAY<STRUCT<v: STRING, f: STRING>>>>>"
+    "rows: ARRAY<STRUCT<c: ARRAY<STRUCT<v: VARIANT, f: STRING>>>>>"
 )
 
 MSG_UNKNOWN_FORMAT = "Format respons Google Sheet tidak dikenali."
 
 
-def _json_number_text(v: Column) -> Column:
-    """A JSON number keeps its raw text when read as STRING (``1.0``); show
-    it the way a script engine prints the number (``1``)."""
-    is_num = v.rlike("^-?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$")
-    d = v.try_cast("double")
+def value_text(v: Column) -> Column:
+    """Text of a JSON cell value as a script engine prints it: strings as
+    they are, integral numbers without a fraction (``1.0`` -> ``1``), other
+    numbers in their shortest form, booleans as true/false, NULL as NULL.
+    The value is parsed as VARIANT, so the JSON type is known."""
+    ty = F.schema_of_variant(v)
+    s = F.try_variant_get(v, "$", "string")
+    d = F.try_variant_get(v, "$", "double")
     integral = (d == F.floor(d)) & (F.abs(d) < F.lit(1e21))
-    as_int = d.cast("decimal(38,0)").cast("string")
-    return (F.when(is_num & integral, as_int)
-            .when(is_num & d.isNotNull(), d.cast("string"))
-            .otherwise(v))
+    return (F.when(ty.isin("VOID", "NULL") | ty.isNull(), F.lit(None).cast("string"))
+            .when(ty == "STRING", s)
+            .when(ty == "BOOLEAN", s)
+            .when(integral, d.cast("decimal(38,0)").cast("string"))
+            .when(ty == "DOUBLE", d.cast("string"))
+            .otherwise(s))
 
 
 def cell_text(c: Column) -> Column:
@@ -43,26 +48,35 @@ def cell_text(c: Column) -> Column:
     return (F.when(c.isNull(), F.lit(""))
             .when(c["f"].isNotNull(), js_trim(c["f"]))
             .when(c["v"].isNull(), F.lit(""))
-            .otherwise(js_trim(_json_number_text(c["v"]))))
+            .when(value_text(c["v"]).isNull(), F.lit(""))
+            .otherwise(js_trim(value_text(c["v"]))))
+
+
+def sheet_of_file(name: Column) -> Column:
+    """Tab name of a landed file: the stem, without a ``__<anything>``
+    suffix (``K1__20261202T1200.json`` -> ``K1``), so that every reload of a
+    tab lands as a new file."""
+    return F.regexp_extract(name, "^(.*?)(__[^.]*)?\\.[^.]*$", 1)
 
 
 def read_payload_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """Landed payload files, one row per file: (sheet, text); the sheet name
-    is the file stem."""
+    """Landed payload files, one row per file: (sheet, ts, text); the
+    sheet name comes from the file name, ``ts`` is the file time."""
     df = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
-    return df.select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*)\\.[^.]*$", 1).alias("sheet"),
-                     F.col("value").alias("text"))
+    return df.select(sheet_of_file(F.col("_metadata.file_name")).alias("sheet"),
+                     F.col("_metadata.file_modification_time").alias("ts"), F.col("value").alias("text"))
 
 
-def parse_payloads(texts: DataFrame, sheet_col: str = "sheet", text_col: str = "text") -> DataFrame:
-    """(sheet, text) -> (sheet, ok, error, table).
+def parse_payloads(texts: DataFrame, sheet_col: str = "sheet", text_col: str = "text",
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """(sheet, text) -> (sheet, ok, error, table), plus the ``keep`` columns.
 
     The JSON is the text from the first '{' to the last '}'.  A payload is
     an error when the text has no object, does not parse, has a status other
     than 'ok' (its messages are joined) or has no table."""
     body = F.regexp_extract(F.col(text_col), "(?s)(\\{.*\\})", 1)
     parsed = F.from_json(F.when(body != "", body), PAYLOAD_SCHEMA)
-    d = texts.select(F.col(sheet_col).alias("sheet"), body.alias("__body"), parsed.alias("p"))
+    d = texts.select(F.col(sheet_col).alias("sheet"), *keep, body.alias("__body"), parsed.alias("p"))
     msgs = F.array_join(F.transform(F.coalesce(F.col("p.errors"), F.array()),
                                     lambda e: F.coalesce(e["detailed_message"], e["message"])), " ")
     bad_status = F.col("p.status").isNotNull() & (F.col("p.status") != "ok")
@@ -72,11 +86,12 @@ def parse_payloads(texts: DataFrame, sheet_col: str = "sheet", text_col: str = "
                  F.concat(F.lit("Google Sheet "), F.col("sheet"), F.lit(" tidak dapat dibaca."))))
              .when(F.col("p.table").isNull(),
                    F.concat(F.lit("Sheet "), F.col("sheet"), F.lit(" tidak mengembalikan tabel data."))))
-    return d.select("sheet", error.isNull().alias("ok"), error.alias("error"), F.col("p.table").alias("table"))
+    return d.select("sheet", *keep, error.isNull().alias("ok"), error.alias("error"),
+                    F.col("p.table").alias("table"))
 
 
 def read_sheet_payloads(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    return parse_payloads(read_payload_files(spark, path, glob))
+    return parse_payloads(read_payload_files(spark, path, glob), keep=["ts"])
 
 
 # --- header rules, applied to the header array of one tab -------------------
@@ -145,7 +160,7 @@ def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEA
 
     padded = data.join(widths, "sheet").withColumn("cells", F.transform(
         F.sequence(F.lit(1), F.greatest(F.col("width"), F.lit(1))),
-        lambda i: F.coalesce(F.element_at("cells", i), F.lit(""))))
+        lambda i: F.coalesce(at("cells", i), F.lit(""))))
     nonblank = F.exists("cells", lambda v: js_trim(v) != "")
     out_rows = padded.filter(nonblank).select(
         "sheet", (F.col("__pos") - F.when(F.col("skip_first"), 1).otherwise(0)).cast("long").alias("_row"), "cells")
@@ -169,7 +184,7 @@ def sheet_frame(headers: DataFrame, rows: DataFrame, sheet: str | None = None,
     dupes = {h for h in header_list if list(header_list).count(h) > 1}
     if dupes:
         raise ValueError(f"duplicate headers after suffixing: {sorted(dupes)}")
-    return rows.select("sheet", "_row", *[F.element_at("cells", i + 1).alias(h) for i, h in enumerate(header_list)])
+    return rows.select("sheet", "_row", *[at("cells", i + 1).alias(h) for i, h in enumerate(header_list)])
 
 
 def sheet_with_letter_headers(parsed: DataFrame) -> DataFrame:
