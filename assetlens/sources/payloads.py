@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -28,18 +28,15 @@ MSG_UNKNOWN_FORMAT = "Format respons Google Sheet tidak dikenali."
 
 def value_text(v: Column) -> Column:
     """Text of a JSON cell value as a script engine prints it: strings as
-    they are, integral numbers without a fraction (``1.0`` -> ``1``), other
-    numbers in their shortest form, booleans as true/false, NULL as NULL.
-    The value is parsed as VARIANT, so the JSON type is known."""
-    ty = F.schema_of_variant(v)
+    they are, numbers in their shortest form (``1.0`` -> ``1``), booleans as
+    true/false, NULL as NULL.  The value is parsed as VARIANT, so the JSON
+    type is known; only a double (exponent form) needs re-formatting."""
     s = F.try_variant_get(v, "$", "string")
     d = F.try_variant_get(v, "$", "double")
     integral = (d == F.floor(d)) & (F.abs(d) < F.lit(1e21))
-    return (F.when(ty.isin("VOID", "NULL") | ty.isNull(), F.lit(None).cast("string"))
-            .when(ty == "STRING", s)
-            .when(ty == "BOOLEAN", s)
-            .when(integral, d.cast("decimal(38,0)").cast("string"))
-            .when(ty == "DOUBLE", d.cast("string"))
+    is_double = s.contains("E") & (F.schema_of_variant(v) == "DOUBLE")
+    return (F.when(is_double & integral, d.cast("decimal(38,0)").cast("string"))
+            .when(is_double, d.cast("string"))
             .otherwise(s))
 
 
@@ -112,6 +109,23 @@ def generic_headers(headers: Column, case_insensitive: bool = K.GENERIC_HEADER_P
     return F.forall(headers, lambda h: h.rlike(pattern))
 
 
+# A tab is at most this wide (the spreadsheet service's column limit), so a
+# window over one tab's header cells is bounded.
+MAX_SHEET_COLUMNS = 18_278
+
+
+def _unique_names(df: DataFrame) -> DataFrame:
+    """(sheet, _col, header) -> same with unique names: blank -> 'Kolom n',
+    the k-th repeat of a name gets ' k'.  One window per (tab, name); a
+    tab's header row is bounded by ``MAX_SHEET_COLUMNS``."""
+    base = clean_header(F.col("header"))
+    d = df.withColumn("header", F.when(base == "", F.concat(
+        F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col("_col") + 1).cast("string"))).otherwise(base))
+    k = F.row_number().over(Window.partitionBy("sheet", "header").orderBy("_col"))
+    return d.select("sheet", "_col", F.when(k == 1, F.col("header")).otherwise(
+        F.concat(F.col("header"), F.lit(" "), k.cast("string"))).alias("header"))
+
+
 def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEADER_PATTERN_CASE_INSENSITIVE
                        ) -> tuple[DataFrame, DataFrame]:
     """Parsed tabs -> (headers, rows).
@@ -122,45 +136,52 @@ def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEA
     rows: (sheet, _row, cells ARRAY<STRING>) without blank rows, ``_row``
     counting the data rows from 0.
 
-    Header work runs on a long table (one row per header cell), so it is a
-    few small joins and aggregates whatever the sheet width."""
-    from ..operators.sheets import unique_headers
-    ok = parsed.filter("ok").select("sheet", "table").repartition("sheet")
-    sheets = ok.select("sheet", F.size(F.coalesce(F.col("table.rows"), F.array())).alias("n_rows"))
+    Rows are exploded once; one aggregate gives each tab's row count, widths
+    and first row; header work runs on long header tables (one row per
+    header cell)."""
+    ok = parsed.filter("ok").select("sheet", "table")
+    rows = ok.select("sheet", F.posexplode(F.coalesce(F.col("table.rows"), F.array())).alias("__pos", "r"))
+    rows = rows.select("sheet", "__pos", F.transform(F.coalesce(F.col("r.c"), F.array()), cell_text).alias("cells"))
+    # Per-tab facts straight from the payload row (sizes only, no cell text
+    # except for the first row).
+    trows = F.coalesce(F.col("table.rows"), F.array())
+    sizes = F.transform(trows, lambda r: F.size(F.coalesce(r["c"], F.array())))
+    meta = ok.select(
+        "sheet", F.size(trows).alias("n_rows"),
+        F.array_max(sizes).alias("w_all"),
+        F.array_max(F.slice(sizes, 2, F.greatest(F.size(sizes), F.lit(1)))).alias("w_rest"),
+        F.when(F.size(trows) > 0, F.transform(F.coalesce(at(trows, 1)["c"], F.array()), cell_text)).alias("row0"))
+
     labels = ok.select("sheet", F.posexplode(F.coalesce(F.col("table.cols"), F.array())).alias("_col", "c"))
     labels = labels.select("sheet", "_col", F.coalesce(
         F.nullif(F.col("c.label"), F.lit("")), F.nullif(F.col("c.id"), F.lit("")),
         F.concat(F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col("_col") + 1).cast("string"))).alias("header"))
-    h1 = unique_headers(labels, passes=1).withColumnRenamed("unique_header", "header")
-
-    rows = ok.select("sheet", F.posexplode(F.coalesce(F.col("table.rows"), F.array())).alias("__pos", "r"))
-    rows = rows.select("sheet", "__pos", F.transform(F.coalesce(F.col("r.c"), F.array()), cell_text).alias("cells"))
+    h1 = _unique_names(labels)
 
     pattern = ("(?i)" if case_insensitive else "") + K.GENERIC_HEADER_PATTERN
-    generic = h1.groupBy("sheet").agg(F.bool_and(F.col("header").rlike(pattern)).alias("__generic"))
-    plan = (sheets.join(generic, "sheet", "left")
-            .select("sheet", (F.coalesce("__generic", F.lit(True)) & (F.col("n_rows") > 0)).alias("skip_first")))
-
-    row0 = (rows.filter(F.col("__pos") == 0).select("sheet", F.posexplode("cells").alias("_col", "header"))
-            .join(plan.filter("skip_first").select("sheet"), "sheet", "left_semi"))
-    h_from_row = unique_headers(row0, passes=1).withColumnRenamed("unique_header", "header")
-    h2 = (h1.join(plan.filter(~F.col("skip_first")).select("sheet"), "sheet", "left_semi")
-          .unionByName(h_from_row))
-
-    data = rows.join(plan, "sheet").filter(~F.col("skip_first") | (F.col("__pos") > 0))
-    widths = (sheets.select("sheet")
-              .join(h2.groupBy("sheet").agg(F.count(F.lit(1)).alias("__nh")), "sheet", "left")
-              .join(data.groupBy("sheet").agg(F.max(F.size("cells")).alias("__nc")), "sheet", "left")
-              .select("sheet", F.greatest(F.coalesce("__nh", F.lit(0)), F.coalesce("__nc", F.lit(0)))
-                      .cast("int").alias("width")))
-    slots = widths.filter(F.col("width") > 0).select(
-        "sheet", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("_col"))
-    widened = slots.join(h2, ["sheet", "_col"], "left")
-    headers = unique_headers(widened, passes=1).select("sheet", "_col", F.col("unique_header").alias("header"))
-
-    padded = data.join(widths, "sheet").withColumn("cells", F.transform(
-        F.sequence(F.lit(1), F.greatest(F.col("width"), F.lit(1))),
-        lambda i: F.coalesce(at("cells", i), F.lit(""))))
+    generic = h1.groupBy("sheet").agg(F.bool_and(F.col("header").rlike(pattern)).alias("__generic"),
+                                      F.count(F.lit(1)).alias("__n1"))
+    plan = meta.join(generic, "sheet", "left")
+    skip = F.coalesce("__generic", F.lit(True)) & (F.coalesce("n_rows", F.lit(0)) > 0)
+    plan = plan.select("sheet", skip.alias("skip_first"), "row0", F.coalesce("__n1", F.lit(0)).alias("__n1"),
+                       F.coalesce("w_all", F.lit(0)).alias("w_all"), F.coalesce("w_rest", F.lit(0)).alias("w_rest"))
+    width = F.when(F.col("skip_first"), F.greatest(F.size("row0"), F.col("w_rest"))) \
+        .otherwise(F.greatest(F.col("__n1"), F.col("w_all")))
+    plan = plan.select("sheet", "skip_first", "row0", width.cast("int").alias("width"))
+
+    from_row = _unique_names(plan.filter("skip_first").select(
+        "sheet", F.posexplode("row0").alias("_col", "header")))
+    h2 = h1.join(plan.filter(~F.col("skip_first")).select("sheet"), "sheet", "left_semi").unionByName(from_row)
+    slots = plan.filter(F.col("width") > 0).select("sheet", F.explode(F.sequence(F.lit(0), F.col("width") - 1))
+                                                   .alias("_col"))
+    widened = slots.join(h2, ["sheet", "_col"], "left").select("sheet", "_col", F.coalesce("header", F.lit(""))
+                                                                 .alias("header"))
+    headers = _unique_names(widened)
+
+    data = rows.join(plan.select("sheet", "skip_first", "width"), "sheet")
+    data = data.filter(~F.col("skip_first") | (F.col("__pos") > 0))
+    padded = data.withColumn("cells", F.transform(F.sequence(F.lit(1), F.greatest(F.col("width"), F.lit(1))),
+                                                  lambda i: F.coalesce(at("cells", i), F.lit(""))))
     nonblank = F.exists("cells", lambda v: js_trim(v) != "")
     out_rows = padded.filter(nonblank).select(
         "sheet", (F.col("__pos") - F.when(F.col("skip_first"), 1).otherwise(0)).cast("long").alias("_row"), "cells")
