@@ -16,10 +16,8 @@ def classify_by_prefix(c, mapping: Mapping[str, str] = K.CLASS_BY_PREFIX,
     """Class from the first character of a code; ``default`` when unmatched
     or NULL."""
     first = F.substring(_col(c).cast("string"), 1, 1)
-    out = None
-    for k, v in mapping.items():
-        out = F.when(first == F.lit(k), F.lit(v)) if out is None else out.when(first == F.lit(k), F.lit(v))
-    return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
+    lookup = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.coalesce(F.try_element_at(lookup, first), F.lit(default))
 
 
 def list_position(c, values: Sequence[str]) -> Column:

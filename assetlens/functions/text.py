@@ -17,24 +17,42 @@ JS_WS = "[\\t\\n\\x{0B}\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{20
 PY_WS = "[\\t\\n\\x{0B}\\f\\r\\x{1C}-\\x{1F} \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
+# The same sets as plain character lists (for translate / edge tests).
+JS_WS_CHARS = ("\t\n\x0b\f\r \xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000\ufeff")
+PY_WS_CHARS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+               + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _edge_is(c: Column, chars: str) -> Column:
+    return F.substring(c, 1, 1).isin(list(chars)) | F.substring(c, -1, 1).isin(list(chars))
+
+
 def js_trim(c) -> Column:
-    """``String(x).trim()``."""
-    return F.regexp_replace(_col(c), f"^{JS_WS}+|{JS_WS}+$", "")
+    """``String(x).trim()``.  The regex only runs when an end character is
+    white space."""
+    c = _col(c)
+    return F.when(_edge_is(c, JS_WS_CHARS), F.regexp_replace(c, f"^{JS_WS}+|{JS_WS}+$", "")).otherwise(c)
 
 
 def py_strip(c) -> Column:
     """``str(x).strip()``."""
-    return F.regexp_replace(_col(c), f"^{PY_WS}+|{PY_WS}+$", "")
+    c = _col(c)
+    return F.when(_edge_is(c, PY_WS_CHARS), F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+$", "")).otherwise(c)
 
 
 def clean_header(c) -> Column:
-    """Collapse every white-space run to one space and trim (NULL -> '')."""
-    collapsed = F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), f"{JS_WS}+", " ")
-    return F.regexp_replace(collapsed, "^ | $", "")
+    """Collapse every white-space run to one space and trim (NULL -> '').
+
+    Every white-space character is first mapped to a plain space
+    (``translate``), so that the collapse is a simple regex and ``trim``
+    (which removes spaces only) finishes the job."""
+    spaced = F.translate(F.coalesce(_col(c).cast("string"), F.lit("")), JS_WS_CHARS, " " * len(JS_WS_CHARS))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def clean_value(c) -> Column:
@@ -78,3 +96,9 @@ def at(arr, index) -> Column:
     """1-based array element, NULL when out of range (ANSI-safe)."""
     idx = index if isinstance(index, Column) else F.lit(index)
     return F.try_element_at(_col(arr), idx)
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable
+    (keeps a shared sub-expression from being copied into every branch)."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))

@@ -32,10 +32,20 @@ REGION_CENTRES = {
 }
 
 CODE_WIDTH = 9
+LINE_MONEY = "decimal(8,2)"
+
+
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A lazy scan of one table.  The relation (file listing and footer) is
+    resolved once per session and folder and then reused; no data is cached."""
+    key = (id(spark._jsparkSession), sf_dir, name)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df
 
 
 def unit_code(suppkey: Column) -> Column:
@@ -77,8 +87,11 @@ def assets(spark: SparkSession, sf_dir: str, with_units: bool = True) -> DataFra
     queries that read none of those columns get the same rows either way and
     skip the join."""
     li = table(spark, sf_dir, "lineitem")
-    price = F.col("l_extendedprice").cast("decimal(20,2)")
-    book = F.round(price * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")), 2).cast("decimal(20,2)")
+    # Money as DECIMAL(8,2): a lineitem price is at most 50 x 2,098.99 at any
+    # scale factor, and sums over precision <= 8 run on unscaled longs.
+    price = F.col("l_extendedprice").cast(LINE_MONEY)
+    factor = F.lit(1).cast("decimal(3,2)") - F.col("l_discount").cast("decimal(3,2)")
+    book = F.round(price * factor, 2).cast(LINE_MONEY)
     code = F.col("l_partkey").cast("string")
     base = li.select(
         F.col("l_orderkey").alias("nomor"),
