@@ -52,7 +52,7 @@ def clean_header(c) -> Column:
     (``translate``), so that the collapse is a simple regex and ``trim``
     (which removes spaces only) finishes the job."""
     spaced = F.translate(F.coalesce(_col(c).cast("string"), F.lit("")), JS_WS_CHARS, " " * len(JS_WS_CHARS))
-    return F.trim(F.regexp_replace(spaced, "  +", " "))
+    return F.trim(F.when(F.instr(spaced, "  ") > 0, F.regexp_replace(spaced, "  +", " ")).otherwise(spaced))
 
 
 def clean_value(c) -> Column:

@@ -171,12 +171,19 @@ def facet_options(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str |
     df = search_sheet(sheet, search, all_headers)
     df = filter_problem(df, problem, all_headers)
     conds = column_filter_conditions(headers, filters or {}, empty_token)
-    failed = F.filter(F.array(*[F.when(~c, F.lit(h)) for h, c in conds]), lambda x: x.isNotNull()) \
-        if conds else F.array().cast("array<string>")
-    cells = F.explode(F.array(*[F.struct(F.lit(h).alias("header"), filter_value(qcol(h), empty_token).alias("value"))
-                                for h in headers]))
-    long = df.select(failed.alias("__failed"), cells.alias("c")).select("__failed", "c.header", "c.value")
-    keep = (F.size("__failed") == 0) | ((F.size("__failed") == 1) & (at("__failed", 1) == F.col("header")))
+    # Per row: how many active filters fail, and which one when it is one.
+    fails = [F.when(c, F.lit(0)).otherwise(F.lit(1)) for _, c in conds]
+    n_failed = sum(fails[1:], fails[0]) if fails else F.lit(0)
+    first_failed = F.coalesce(*[F.when(~c, F.lit(h)) for h, c in conds], F.lit(None).cast("string")) \
+        if conds else F.lit(None).cast("string")
+    slots = [f"__v{i}" for i in range(len(headers))]
+    proj = df.select(n_failed.alias("__n"), first_failed.alias("__f"),
+                     *[filter_value(qcol(h), empty_token).alias(v) for h, v in zip(headers, slots)])
+    # Unpivot plans as an Expand (code-generated), one output row per cell.
+    long = proj.unpivot(["__n", "__f"], slots, "__slot", "value")
+    header = F.element_at(F.create_map(*[F.lit(x) for pair in zip(slots, headers) for x in pair]), F.col("__slot"))
+    long = long.select("__n", "__f", header.alias("header"), "value")
+    keep = (F.col("__n") == 0) | ((F.col("__n") == 1) & (F.col("__f") == F.col("header")))
     out = long.filter(keep).select("header", "value").distinct()
     return out.withColumn("label", F.when(F.col("value") == empty_token, F.lit(empty_label)).otherwise(F.col("value")))
 

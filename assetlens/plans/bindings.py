@@ -235,3 +235,68 @@ def orders_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Tabs of the target sheet: the return flag picks the tab.
 TARGET_TABS = {"A": "K1", "N": "K2", "R": "K3"}
+
+
+# Place spellings for the place-cleaner queries: every customer gets a raw
+# place text built from a prefix, a place word and a suffix chosen by its
+# keys (binding parameters, not reference values).
+PLACE_WORDS = ["Badung", "bangli", "BULELENG", "Gianyar", "Jembrana", "Karangasem", "Klungkung", "Tabanan",
+               "Denpasar", "Kuta Selatan", "Mangupura", "Semarapura", "Bali", "Jakarta", "Deanpasar"]
+PLACE_PREFIXES = ["", "Kab. ", "Kabupaten ", " ", "Kota "]
+PLACE_SUFFIXES = ["", ", Bali", " ", " dan Tabanan"]
+
+
+def _pick(words, idx: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(w) for w in words]), (idx % len(words) + 1).cast("int"))
+
+
+def place_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    raw = F.concat(_pick(PLACE_PREFIXES, F.col("c_custkey")), _pick(PLACE_WORDS, F.col("c_nationkey")),
+                   _pick(PLACE_SUFFIXES, F.floor(F.col("c_custkey") / len(PLACE_PREFIXES))))
+    return c.select(F.col("c_custkey"), raw.alias("raw"))
+
+
+def money_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order totals spread over unit ranges (x 10^0..10^7, every third one
+    negative) and written as Indonesian number and percent texts."""
+    o = table(spark, sf_dir, "orders")
+    scale = F.pow(F.lit(10.0), (F.col("o_orderkey") % 8).cast("double"))
+    sign = F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    whole = F.floor(F.col("o_totalprice")).cast("long")
+    cents = F.round((F.col("o_totalprice") - F.floor(F.col("o_totalprice"))) * 100).cast("long")
+    id_text = F.concat(id_count_text(whole), F.lit(","), F.lpad(cents.cast("string"), 2, "0"))
+    pct = F.concat((F.col("o_custkey") % 1000).cast("string"), F.lit(","), (F.col("o_orderkey") % 10).cast("string"),
+                   F.lit("%"))
+    pct = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("Rp "), pct)).otherwise(pct)
+    return o.select("o_orderkey", (F.col("o_totalprice") * scale * sign).alias("amount"),
+                    id_text.alias("id_text"), pct.alias("pct_text"))
+
+
+REGISTER_SOURCES = {
+    "part": ["No", "Jenis", "Kode Barang", "NUP", "nilai_perolehan", "Merek"],
+    "customer": ["no", "jenis_bmn", "kode_barang", "nomor_urut_pendaftaran", "nilai_perolehan", "Merek"],
+}
+
+
+def register_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part and customer written as decoded workbook rows (path, _row,
+    cells, kinds): row 1 the header, then one row per table row, numbers as
+    their Python text."""
+    def num(c):
+        return F.col(c).cast("string")
+    p = table(spark, sf_dir, "part").select(
+        F.lit("/tables/part.xlsx").alias("path"), (F.col("p_partkey") + 2).alias("_row"),
+        F.array(num("p_partkey"), F.col("p_type"), F.col("p_partkey").cast("string"), num("p_size"),
+                num("p_retailprice"), F.col("p_brand")).alias("cells"),
+        F.array(*[F.lit(k) for k in "nssnns"]).alias("kinds"))
+    c = table(spark, sf_dir, "customer").select(
+        F.lit("/tables/customer.xlsx").alias("path"), (F.col("c_custkey") + 2).alias("_row"),
+        F.array(num("c_custkey"), F.col("c_mktsegment"), F.col("c_custkey").cast("string"), num("c_nationkey"),
+                num("c_acctbal"), F.col("c_name")).alias("cells"),
+        F.array(*[F.lit(k) for k in "nssnns"]).alias("kinds"))
+    headers = spark.createDataFrame(
+        [(f"/tables/{name}.xlsx", 1, cols, ["s"] * len(cols)) for name, cols in REGISTER_SOURCES.items()],
+        "path string, _row long, cells array<string>, kinds array<string>")
+    return headers.unionByName(p.select("path", F.col("_row").cast("long"), "cells", "kinds")).unionByName(
+        c.select("path", F.col("_row").cast("long"), "cells", "kinds"))

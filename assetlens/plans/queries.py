@@ -717,3 +717,133 @@ SELECT source, COUNT(*) AS jumlah FROM st GROUP BY source""")
 def q_load_report(spark, sf_dir):
     status = SN.latest_good_snapshot(_event_loads(spark, sf_dir), no_cache=SNAPSHOT_NO_CACHE, tiebreak_col="event_id")
     return SN.load_report(status)
+
+
+# --- scalar functions over derived texts ------------------------------------
+
+from ..functions import numbers as NUM  # noqa: E402
+from ..functions.places import clean_place_contains  # noqa: E402
+from ..plans import jobs as J  # noqa: E402
+
+
+def _pick_sql(words, expr: str) -> str:
+    arr = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return f"{arr}[({expr}) % {len(words)} + 1]"
+
+
+PLACE_TEXT_SQL = f"""
+p AS (SELECT c_custkey, {_pick_sql(B.PLACE_PREFIXES, 'c_custkey')} || {_pick_sql(B.PLACE_WORDS, 'c_nationkey')}
+                        || {_pick_sql(B.PLACE_SUFFIXES, f'CAST(floor(c_custkey / {len(B.PLACE_PREFIXES)}) AS BIGINT)')} AS raw
+      FROM customer)"""
+
+
+@query("clean_place_contains", f"""WITH {PLACE_TEXT_SQL}
+SELECT c_custkey, raw, {sql_clean_place_contains('raw')} AS kab_kota FROM p""")
+def q_clean_place_contains(spark, sf_dir):
+    t = B.place_texts(spark, sf_dir)
+    return t.select("c_custkey", "raw", clean_place_contains(F.col("raw")).alias("kab_kota"))
+
+
+@query("clean_place_exact", f"""WITH {PLACE_TEXT_SQL}
+SELECT c_custkey, raw, {sql_clean_place_exact('raw')} AS kab_kota FROM p""")
+def q_clean_place_exact(spark, sf_dir):
+    t = B.place_texts(spark, sf_dir)
+    return t.select("c_custkey", "raw", clean_place_exact(F.col("raw")).alias("kab_kota"))
+
+
+MONEY_TEXT_SQL = """
+m AS (SELECT o_orderkey,
+             o_totalprice * pow(10.0, CAST(o_orderkey % 8 AS DOUBLE)) * CASE WHEN o_orderkey % 3 = 0 THEN -1.0 ELSE 1.0 END
+               AS amount,
+             replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '.') || ',' ||
+               lpad(CAST(CAST(round((o_totalprice - floor(o_totalprice)) * 100) AS BIGINT) AS VARCHAR), 2, '0') AS id_text,
+             CASE WHEN o_orderkey % 7 = 0 THEN 'Rp ' ELSE '' END || CAST(o_custkey % 1000 AS VARCHAR) || ','
+               || CAST(o_orderkey % 10 AS VARCHAR) || '%' AS pct_text
+      FROM orders)"""
+
+
+def _sql_rupiah(x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL OR {x} = 0 THEN '-' "
+            f"WHEN abs({x}) >= 1e12 THEN 'Rp ' || format('{{:,.2f}}', {x} / 1e12) || ' T' "
+            f"WHEN abs({x}) >= 1e9 THEN 'Rp ' || format('{{:,.2f}}', {x} / 1e9) || ' M' "
+            f"WHEN abs({x}) >= 1e6 THEN 'Rp ' || format('{{:,.2f}}', {x} / 1e6) || ' Jt' "
+            f"ELSE 'Rp ' || format('{{:,.0f}}', {x}) END")
+
+
+@query("format_rupiah", f"""WITH {MONEY_TEXT_SQL}
+SELECT o_orderkey, amount, {_sql_rupiah('amount')} AS rupiah FROM m""")
+def q_format_rupiah(spark, sf_dir):
+    m = B.money_texts(spark, sf_dir)
+    return m.select("o_orderkey", "amount", NUM.format_rupiah(F.col("amount")).alias("rupiah"))
+
+
+def _sql_parse_percent(x: str) -> str:
+    s = f"regexp_replace(replace({x}, '%', ''), ',', '.')"
+    pre = f"regexp_extract({s}, '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?)', 1)"
+    return f"coalesce(TRY_CAST(CASE WHEN {pre} <> '' THEN {pre} END AS DOUBLE), 0.0) + 0.0"
+
+
+@query("parse_id_number", f"""WITH {MONEY_TEXT_SQL}
+SELECT o_orderkey, id_text, {_sql_parse_id('id_text')} AS number FROM m""")
+def q_parse_id_number(spark, sf_dir):
+    m = B.money_texts(spark, sf_dir)
+    return m.select("o_orderkey", "id_text", NUM.parse_id_number(F.col("id_text")).alias("number"))
+
+
+@query("parse_percent", f"""WITH {MONEY_TEXT_SQL}
+SELECT o_orderkey, pct_text, {_sql_parse_percent('pct_text')} AS prefix,
+       least({_sql_parse_percent('pct_text')}, 100.0) AS capped FROM m""")
+def q_parse_percent(spark, sf_dir):
+    m = B.money_texts(spark, sf_dir)
+    pre = NUM.parse_percent_prefix(F.col("pct_text"))
+    return m.select("o_orderkey", "pct_text", pre.alias("prefix"), F.least(pre, F.lit(100.0)).alias("capped"))
+
+
+@query("format_id_number", """
+SELECT o_orderkey,
+       regexp_replace(replace(replace(replace(format('{:,.3f}', round(o_totalprice, 3)), ',', '#'), '.', ','), '#', '.'),
+                      ',?0+$', '') AS id_number
+FROM orders""")
+def q_format_id_number(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", NUM.format_id_number(F.col("o_totalprice")).alias("id_number"))
+
+
+# --- register build over table-derived workbook rows ------------------------
+
+def _register_sql() -> str:
+    cls = _sql_case("substr(kode_barang, 1, 1)", K.CLASS_BY_PREFIX.items(), K.UNKNOWN_CLASS)
+    return f"""
+WITH r AS (
+  SELECT 'part' AS sumber_file, p_partkey AS nomor, p_type AS jenis_bmn, CAST(p_partkey AS VARCHAR) AS kode_barang,
+         CAST(p_size AS BIGINT) AS nup, CAST(p_retailprice AS VARCHAR) AS v, p_brand AS "Merek" FROM part
+  UNION ALL
+  SELECT 'customer', c_custkey, c_mktsegment, CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS BIGINT),
+         CAST(c_acctbal AS VARCHAR), c_name FROM customer)
+SELECT nomor, jenis_bmn, CAST(NULL AS VARCHAR) AS kode_satker, CAST(NULL AS VARCHAR) AS nama_satker, kode_barang, nup,
+       {cls} AS golongan_bmn, CAST(TRY_CAST(trim(v) AS DECIMAL(18,2)) AS DOUBLE) AS nilai_perolehan, "Merek", sumber_file
+FROM r"""
+
+
+@query("classify_cast_register", _register_sql())
+def q_classify_cast_register(spark, sf_dir):
+    reg = J.register_frame(spark, [], rows=B.register_rows(spark, sf_dir))
+    return reg.withColumn("nilai_perolehan", F.col("nilai_perolehan").cast("double"))
+
+
+@query("union_sources", f"""WITH s AS ({_register_sql()})
+SELECT sumber_file, COUNT(*) AS jumlah, COUNT(nomor) AS dengan_nomor, COUNT(DISTINCT golongan_bmn) AS golongan
+FROM s GROUP BY sumber_file""")
+def q_union_sources(spark, sf_dir):
+    reg = J.register_frame(spark, [], rows=B.register_rows(spark, sf_dir))
+    return reg.groupBy("sumber_file").agg(F.count(F.lit(1)).alias("jumlah"), F.count("nomor").alias("dengan_nomor"),
+                                          F.count_distinct("golongan_bmn").alias("golongan"))
+
+
+@query("restrict_to_used", f"""WITH {ASSETS_CTE}
+SELECT DISTINCT kode_kl AS "Kode K/L", nama_kl AS "Nama K/L", kode_satker AS "Kode Satker",
+       nama_satker AS "Nama Satker", kab_kota AS "Kab/Kota"
+FROM units_dim WHERE nama_satker IN (SELECT nama_satker FROM assets)""")
+def q_restrict_to_used(spark, sf_dir):
+    dim = B.unit_dimension(spark, sf_dir).drop("__suppkey")
+    return J.unit_detail_frame(dim, B.assets(spark, sf_dir))
