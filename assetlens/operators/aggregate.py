@@ -197,7 +197,8 @@ def dashboard_grouping_sets(df: DataFrame, class_col: str = "golongan_bmn", type
                             value_cols: Sequence[str] = ("nilai_perolehan", "nilai_buku")) -> DataFrame:
     """Class summary, type counts, raw place totals and the global metrics of
     the (filtered) register in ONE scan and one shuffle:
-    ``GROUPING SETS ((class), (type), (place), ())``."""
+    ``GROUPING SETS ((class), (type), (place), ())``.  On an empty input
+    there is no 'total' row (use ``metric_cards`` for guaranteed zeros)."""
     g = df.groupingSets([[class_col], [type_col], [place_col], []], class_col, type_col, place_col)
     out = g.agg(F.grouping(class_col).alias("__gc"), F.grouping(type_col).alias("__gt"),
                 F.grouping(place_col).alias("__gp"), F.count(F.lit(1)).alias("jumlah_aset"),
