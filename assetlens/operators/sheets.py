@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -237,10 +237,9 @@ def completion_summary(sheet: DataFrame, name: str | Column, headers: Sequence[s
 
 def composition(summaries: DataFrame, min_width: int = K.COMPOSITION_MIN_WIDTH) -> DataFrame:
     """Share of each category in the grand total; no rows when it is 0.
-    The summaries are one row per category, so the total is a scalar
-    aggregate joined back (a handful of rows)."""
-    total = summaries.agg(F.sum("total").alias("__grand"))
-    j = summaries.crossJoin(F.broadcast(total)).filter(F.col("__grand") > 0)
+    The summaries are one row per category (a handful of rows), so the
+    grand total is a window over all of them."""
+    j = summaries.withColumn("__grand", F.sum("total").over(Window.partitionBy())).filter(F.col("__grand") > 0)
     share = F.floor(F.col("total").cast("double") / F.col("__grand") * 100 + F.lit(0.5)).cast("long")
     return j.select("name", "total", share.alias("share"),
                     F.greatest(share, F.lit(min_width)).cast("long").alias("width"),

@@ -56,23 +56,62 @@ def merge_spans(sheet: DataFrame, headers: Sequence[str] | None = None, row_col:
     Output, one row per cell: keys, ``_row``, ``header``, ``value``, ``span``
     (rows merged into a non-blank cell, NULL on blank cells), ``covered``
     (the cell is merged into one above) and ``filled`` (the value shown
-    after un-merging: the covering cell's value, '' when uncovered)."""
+    after un-merging: the covering cell's value, '' when uncovered).
+
+    One shuffle: a window per (column, bucket of ``bucket_rows`` row
+    numbers) gives each cell its running island number, running rank, the
+    last non-blank value and the rank of the next non-blank cell inside the
+    bucket.  A per-bucket summary (``bucket_rows`` times smaller than the
+    data) supplies what comes from earlier and later buckets; it is joined
+    back by size (broadcast when small)."""
     keys = list(sheet_keys)
     headers = list(headers or [c for c in sheet.columns if c != row_col and c not in keys])
+    part = [*keys, "header"]
     long = to_long(sheet, headers, [*keys, row_col])
-    nonblank = js_trim(F.coalesce(F.col("value"), F.lit(""))) != ""
-    long = long.withColumn("nonblank", nonblank)
-    long = running_count(long, [*keys, "header"], row_col, F.col("nonblank"), out="island",
-                         bucket_rows=bucket_rows)
-    islands = (long.filter(F.col("island") > 0).groupBy(*keys, "header", "island")
-               .agg(F.count(F.lit(1)).alias("__span"),
-                    F.max(F.when(F.col("nonblank"), F.col("value"))).alias("__head")))
-    out = long.join(islands, [*keys, "header", "island"], "left")
-    return out.select(
+    nb = js_trim(F.coalesce(F.col("value"), F.lit(""))) != ""
+    long = long.withColumn("__nb", nb).withColumn("__b", F.floor(F.col(row_col) / F.lit(bucket_rows)))
+    w = Window.partitionBy(*part, "__b").orderBy(row_col)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # "Next non-blank below" as a running frame over the reversed order
+    # (frames reaching to unbounded following are quadratic).
+    after = Window.partitionBy(*part, "__b").orderBy(F.col(row_col).desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    d = long.select(
+        "*",
+        F.sum(F.col("__nb").cast("long")).over(upto).alias("__isl"),
+        F.count(F.lit(1)).over(upto).alias("__rank"),
+        F.last(F.when(F.col("__nb"), F.col("value")), ignorenulls=True).over(upto).alias("__head"))
+    d = d.withColumn("__next", F.last(F.when(F.col("__nb"), F.col("__rank")), ignorenulls=True).over(after))
+
+    # Per bucket: its counts, its last non-blank value, its first non-blank rank.
+    summ = d.groupBy(*part, "__b").agg(
+        F.sum(F.col("__nb").cast("long")).alias("__bn"), F.count(F.lit(1)).alias("__br"),
+        F.max_by(F.col("value"), F.when(F.col("__nb"), F.col(row_col))).alias("__blast"),
+        F.min(F.when(F.col("__nb"), F.col("__rank"))).alias("__bfirst"))
+    before = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*part).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
+    summ = summ.select(
+        *part, "__b",
+        F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__cisl"),
+        F.coalesce(F.sum("__br").over(before), F.lit(0)).alias("__crank"),
+        F.last("__blast", ignorenulls=True).over(before).alias("__chead"),
+        F.sum("__br").over(whole).alias("__total"),
+        "__bfirst", "__br")
+    # Global rank of the first non-blank cell in a later bucket.
+    summ = summ.withColumn("__gfirst", F.col("__crank") + F.col("__bfirst"))
+    summ = summ.withColumn("__cnext", F.last("__gfirst", ignorenulls=True).over(later))
+    summ = summ.select(*part, "__b", "__cisl", "__crank", "__chead", "__total", "__cnext")
+
+    j = d.join(summ, [*part, "__b"], "left")
+    island = F.col("__isl") + F.col("__cisl")
+    rank = F.col("__rank") + F.col("__crank")
+    nxt = F.coalesce(F.col("__next") + F.col("__crank"), F.col("__cnext"), F.col("__total") + 1)
+    return j.select(
         *keys, row_col, "header", "value",
-        F.when(F.col("nonblank"), F.col("__span")).cast("long").alias("span"),
-        ((F.col("island") > 0) & ~F.col("nonblank")).alias("covered"),
-        F.coalesce(F.col("__head"), F.lit("")).alias("filled"),
+        F.when(F.col("__nb"), nxt - rank).cast("long").alias("span"),
+        ((island > 0) & ~F.col("__nb")).alias("covered"),
+        F.coalesce(F.col("__head"), F.col("__chead"), F.lit("")).alias("filled"),
     )
 
 
