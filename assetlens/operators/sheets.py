@@ -375,3 +375,51 @@ def search_condition_for(headers: Sequence[str], query: str | None) -> Column:
     """Search condition over the given headers (always true for no query)."""
     cond = search_condition(list(headers), query)
     return F.lit(True) if cond is None else cond
+
+
+# --- other KPI layouts (A17) ------------------------------------------------
+
+def _kpi_select(one: DataFrame, plan: Sequence[tuple[str, str, str]]) -> DataFrame:
+    cols = []
+    for i, (name, _, kind) in enumerate(plan):
+        c = F.coalesce(F.col(f"r.c{i}"), F.lit(""))
+        cols.append((parse_id_number(c) if kind == "n" else c).alias(name))
+    return one.select(*cols)
+
+
+def achievement_kpis_positional(raw: DataFrame, headers: Sequence[str] | None = None, row_col: str = ROW,
+                                positions: Mapping[str, int] = K.KPI_RAW_POSITIONS) -> DataFrame:
+    """KPIs read by column position from the overview's data row (the first
+    row with a 4+-digit code and a name, else the first with a positive
+    total column), for sheets read with letter headers."""
+    h = list(headers or sheet_headers(raw, row_col))
+    row = find_data_row(raw, h, row_col)
+    text_fields = {"total_q1", "total_pct", "hukum_q1", "hukum_pct", "penatausahaan_q1", "penatausahaan_pct",
+                   "konsolidasi_q1", "konsolidasi_pct"}
+    plan = [(name, header_at(h, pos), "s" if name in text_fields else "n") for name, pos in positions.items()]
+    one = row.select(F.struct(*[cell(src).alias(f"c{i}") for i, (_, src, _) in enumerate(plan)]).alias("r"))
+    return _kpi_select(one, plan)
+
+
+def achievement_kpis_last_match(capaian: DataFrame, headers: Sequence[str] | None = None, row_col: str = ROW
+                                ) -> DataFrame:
+    """KPIs from the first readable row (not blank, not a formula or
+    column-number row), columns found by tokens - the last match for the
+    K2..K4 columns - with the values next to them."""
+    h = list(headers or sheet_headers(capaian, row_col))
+    t = K.KPI_TOKENS
+    k1 = find_header(h, ["total capaian k1"])
+    k2, k3, k4 = (find_header(h, t[k], last=True) for k in ("k2_nup", "k3_nup", "k4_nup"))
+    total = find_header(h, t["total"])
+    groups = {g: find_header(h, t[g]) for g in ("hukum", "penatausahaan", "konsolidasi")}
+    plan = [("k1_nup", k1, "n"), ("k1_bidang", offset_header(h, k1), "n"),
+            ("k2_nup", k2, "n"), ("k2_bidang", offset_header(h, k2), "n"),
+            ("k3_nup", k3, "n"), ("k3_bidang", offset_header(h, k3), "n"),
+            ("k4_nup", k4, "n"), ("k4_bidang", offset_header(h, k4), "n"),
+            ("total_bidang", total, "n"), ("total_q1", offset_header(h, total), "s"),
+            ("total_pct", offset_header(h, total, 2), "s")]
+    for g, src in groups.items():
+        plan += [(f"{g}_bidang", src, "n"), (f"{g}_q1", offset_header(h, src), "s"),
+                 (f"{g}_pct", offset_header(h, src, 2), "s")]
+    readable = drop_index_rows(capaian, h)
+    return _kpi_select(first_row(readable, [src for _, src, _ in plan], row_col), plan)

@@ -179,3 +179,24 @@ def test_index_rows_and_data_row(spark):
     kept = [r["_row"] for r in S.drop_index_rows(df, hs).orderBy("_row").collect()]
     assert kept == [2, 3]
     assert S.find_data_row(df, hs).first()["_row"] == 2
+
+
+def test_kpi_other_layouts(spark):
+    letters = [P.column_letters(F.lit(i)) for i in range(50)]
+    names = list(spark.range(1).select(*[c.alias(f"x{i}") for i, c in enumerate(letters)]).first())
+    header_row = ["Kode", "Kantor"] + [""] * 48
+    data = ["12345", "KPKNL"] + ["0"] * 48
+    data[25], data[26], data[38], data[39], data[47] = "1.500", "12", "3.000", "50%", "7"
+    rows = [(0, *header_row), (1, *data)]
+    df = spark.createDataFrame(rows, "_row long, " + ", ".join(f"{n} string" for n in names))
+    k = S.achievement_kpis_positional(df).first()
+    assert (k["k1_nup"], k["k1_bidang"], k["total_bidang"], k["total_q1"], k["konsolidasi_bidang"]) == (
+        1500.0, 12.0, 3000.0, "50%", 7.0)
+    hs = ["TOTAL CAPAIAN K1 NUP", "Bidang", "K2 NUP", "Bidang 2", "K2 NUP baru", "Bidang 3",
+          "JUMLAH KOMPONEN A Capaian", "Q1", "Pct", "Permasalahan Hukum", "Q1 2", "Pct 2"]
+    rows = [(0, "1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "12"),
+            (1, "10", "1", "20", "2", "30", "3", "60", "q", "p", "5", "hq", "hp")]
+    df = spark.createDataFrame(rows, "_row long, " + ", ".join(f"`{h}` string" for h in hs))
+    k = S.achievement_kpis_last_match(df).first()
+    assert (k["k1_nup"], k["k2_nup"], k["k2_bidang"], k["total_bidang"], k["total_q1"], k["hukum_pct"]) == (
+        10.0, 30.0, 3.0, 60.0, "q", "hp")
