@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.classify import classify_by_prefix
+from ..session import sized_broadcast
 
 # Binding parameter (not a reference value): map centres for the region
 # names that play the part of places.  One region is left without a centre so
@@ -36,6 +37,9 @@ LINE_MONEY = "decimal(8,2)"
 
 
 _TABLES: dict[tuple, DataFrame] = {}
+_ROWS: dict[tuple, int] = {}
+# Width of one unit-dimension row (key, code, name, place) with headroom.
+UNIT_ROW_BYTES = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +52,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Row count of a table (answered from Parquet footers), once per
+    session and folder."""
+    key = (id(spark._jsparkSession), sf_dir, name)
+    if key not in _ROWS:
+        _ROWS[key] = table(spark, sf_dir, name).count()
+    return _ROWS[key]
+
+
 def unit_code(suppkey: Column) -> Column:
     """Work-unit code: zero-padded key plus a type suffix cycling over the
     unit types."""
@@ -104,7 +117,10 @@ def assets(spark: SparkSession, sf_dir: str, with_units: bool = True) -> DataFra
         book.alias("nilai_buku"),
     )
     if with_units:
+        # The dimension has at most one row per supplier (inner joins on
+        # nation and region keys), so the supplier count bounds its size.
         dim = unit_dimension(spark, sf_dir).select("__suppkey", "kode_satker", "nama_satker", "kab_kota")
+        dim = sized_broadcast(dim, table_rows(spark, sf_dir, "supplier"), UNIT_ROW_BYTES, spark)
         base = base.join(dim, "__suppkey", "left")
     else:
         base = base.select("*", F.lit(None).cast("string").alias("kode_satker"),

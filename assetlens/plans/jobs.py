@@ -117,7 +117,10 @@ def unit_dimension_frame(spark: SparkSession, export_path: str, rows: DataFrame
 def unit_detail_frame(units: DataFrame, register: DataFrame) -> DataFrame:
     """Units that own assets in the register, with display names, sorted by
     place, agency and unit."""
-    used = units.join(register.select("nama_satker"), "nama_satker", "left_semi").distinct()
+    # Distinct names first: partial aggregation leaves one row per unit per
+    # task, so the register never crosses the network row by row.
+    names = register.select("nama_satker").distinct()
+    used = units.join(names, "nama_satker", "left_semi").distinct()
     out = C.select_rename_display(used, K.UNIT_DETAIL_LABELS)
     return A.sort_multi(out, ["Kab/Kota", "Nama K/L", "Nama Satker"])
 
