@@ -139,7 +139,9 @@ def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEA
     Rows are exploded once; one aggregate gives each tab's row count, widths
     and first row; header work runs on long header tables (one row per
     header cell)."""
-    ok = parsed.filter("ok").select("sheet", "table")
+    # One exchange over the parsed tabs: every branch below reads it, and
+    # Spark reuses the exchange, so each payload is parsed once.
+    ok = parsed.filter("ok").select("sheet", "table").repartition("sheet")
     rows = ok.select("sheet", F.posexplode(F.coalesce(F.col("table.rows"), F.array())).alias("__pos", "r"))
     rows = rows.select("sheet", "__pos", F.transform(F.coalesce(F.col("r.c"), F.array()), cell_text).alias("cells"))
     # Per-tab facts straight from the payload row (sizes only, no cell text
@@ -240,10 +242,12 @@ def to_payloads(df: DataFrame, sheet: Column, headers: Sequence[str], row_order:
     with a formatted copy.  The caller picks ``sheet`` so that each tab
     holds a bounded number of rows (a page)."""
     def cell(h):
+        # VARIANT values keep their JSON type: numbers stay numbers.
         if h in numeric:
-            return F.to_json(F.struct(F.col(h).cast("double").alias("v")))
-        return F.to_json(F.struct(F.col(h).cast("string").alias("v"), F.col(h).cast("string").alias("f")))
-    row_json = F.concat(F.lit('{"c":['), F.concat_ws(",", *[cell(h) for h in headers]), F.lit("]}"))
+            return F.struct(F.col(h).cast("double").cast("variant").alias("v"), F.lit(None).cast("string").alias("f"))
+        text = F.col(h).cast("string")
+        return F.struct(text.cast("variant").alias("v"), text.alias("f"))
+    row_json = F.to_json(F.struct(F.array(*[cell(h) for h in headers]).alias("c")))
     cols = F.to_json(F.array(*[F.struct(F.lit(f"c{i}").alias("id"), F.lit(h).alias("label"))
                                for i, h in enumerate(headers)]))
     grouped = df.groupBy(sheet.alias("sheet")).agg(
