@@ -23,6 +23,7 @@ from ..operators import windows as W
 from ..sources import payloads as P
 from ..sources import snapshots as SN
 from ..sources import workbooks as WB
+from ..session import checkpoint_dir
 from ..sources.parquet import write_register
 
 
@@ -238,9 +239,18 @@ class AchievementDashboard:
     action_plan: DataFrame | None
 
 
-def load_tabs(parsed: DataFrame, names: Sequence[str] = K.SHEET_NAMES) -> dict[str, DataFrame]:
-    """Wide text frame per loaded tab (headers differ between tabs)."""
+def load_tabs(parsed: DataFrame, names: Sequence[str] = K.SHEET_NAMES, cut_lineage: bool = True
+              ) -> dict[str, DataFrame]:
+    """Wide text frame per loaded tab (headers differ between tabs).
+
+    Every dashboard result reads these rows, so with ``cut_lineage`` they are
+    checkpointed once into the shared folder named by
+    ``spark.checkpoint.dir``: a lost executor then re-reads the checkpoint
+    instead of re-parsing every payload."""
     headers, rows = P.normalize_payloads(parsed)
+    if cut_lineage:
+        checkpoint_dir(parsed.sparkSession)
+        rows = rows.checkpoint(eager=True)
     lists = {r["sheet"]: [h for _, h in sorted((x["_col"], x["header"]) for x in r["h"])]
              for r in headers.groupBy("sheet").agg(F.collect_list(F.struct("_col", "header")).alias("h")).collect()}
     out = {}

@@ -47,8 +47,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder must be set by the deployment (it has to be on
-    storage every executor can reach).  Only when it is unset - local tests -
-    a fresh scratch folder is made and registered.
+    storage every executor can reach); an unset folder is an error there.
+    Only in local mode (tests) an unset folder is replaced by a fresh
+    scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
         path = tempfile.mkdtemp(prefix="assetlens-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
