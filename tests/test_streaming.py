@@ -71,3 +71,24 @@ def test_achievement_dashboard(spark):
     spans = {(r["_row"], r["header"]): r["span"] for r in dash.action_plan.collect()}
     assert spans[(0, "Nama Kegiatan")] == 2 and spans[(2, "Nama Kegiatan")] == 1
     assert dash.overview_labels[0] == ("TOTAL CAPAIAN K1 NUP", "K1 NUP")
+
+
+def test_status_stream_resumes_from_checkpoint(spark, tmp_dir):
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    ckpt = os.path.join(tmp_dir, "ckpt")
+    now = time.time()
+    _land(landing, "K2", _payload(["Status Sertifikat"], [["proses"]]), now - 100)
+    q = start_status_query(spark, landing, ckpt, query_name="status_r1")
+    q.processAllAvailable()
+    q.stop()
+    # A restarted query (e.g. after losing the driver) keeps its state and
+    # does not re-read files it already processed.
+    _land(landing, "K2__retry", "broken", now)
+    q = start_status_query(spark, landing, ckpt, query_name="status_r2")
+    try:
+        q.processAllAvailable()
+        rows = {r["sheet"]: r["source"] for r in spark.sql("SELECT * FROM status_r2").collect()}
+        assert rows == {"K2": "cache"}
+    finally:
+        q.stop()
