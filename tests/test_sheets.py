@@ -200,3 +200,12 @@ def test_kpi_other_layouts(spark):
     k = S.achievement_kpis_last_match(df).first()
     assert (k["k1_nup"], k["k2_nup"], k["k2_bidang"], k["total_bidang"], k["total_q1"], k["hukum_pct"]) == (
         10.0, 30.0, 3.0, 60.0, "q", "hp")
+
+
+def test_merge_spans_per_sheet(spark):
+    rows = [("s1", 0, "A"), ("s1", 1, ""), ("s2", 0, ""), ("s2", 1, "B"), ("s2", 2, ""), ("s1", 2, "")]
+    df = spark.createDataFrame(rows, "sheet string, _row long, c string")
+    got = {(r["sheet"], r["_row"]): (r["span"], r["covered"], r["filled"])
+           for r in W.merge_spans(df, ["c"], sheet_keys=["sheet"], bucket_rows=2).collect()}
+    assert got == {("s1", 0): (3, False, "A"), ("s1", 1): (None, True, "A"), ("s1", 2): (None, True, "A"),
+                   ("s2", 0): (None, False, ""), ("s2", 1): (2, False, "B"), ("s2", 2): (None, True, "B")}
