@@ -139,3 +139,13 @@ def test_register_dashboard_job(spark):
     assert dash.top_units["value"].count() == min(20, n_units)
     drill = J.unit_drilldown(spark, units, "ASIA", centres=B.REGION_CENTRES)
     assert drill.listing.count() == drill.overview.first()["jumlah_satker"]
+
+
+def test_lineitem_not_shuffled_for_unit_dimension(spark):
+    # The unit dimension is broadcast behind its size check, so the large
+    # side is never hash-partitioned on the supplier key.
+    df = E.queries()["top_units_value"](spark, SF_SMALL)
+    df.collect()
+    final = _plan(df).split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in final
+    assert "hashpartitioning(__suppkey" not in final
