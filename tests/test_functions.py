@@ -91,3 +91,20 @@ def test_search_spans_cells(spark, q, ok):
     from assetlens.operators.filters import search_rows
     df = spark.createDataFrame([("Foo", "Bar")], "a string, b string")
     assert (search_rows(df, q).count() == 1) is ok
+
+
+def test_small_operators(spark):
+    from assetlens.functions import display_or_dash, format_count
+    from assetlens.operators.aggregate import append_total, metric_cards, summary_by_class
+    from assetlens.operators.filters import drop_blank_rows, filter_active
+    assert one_col(spark, [1234567.0, 0.0], format_count, "double") == ["1,234,567", "0"]
+    assert one_col(spark, ["  a  b ", "", None], display_or_dash) == ["a b", "-", "-"]
+    df = spark.createDataFrame([(" AKTIF ",), ("TIDAK AKTIF",), (None,)], "s string")
+    assert filter_active(df, "s").count() == 1
+    rows = spark.createDataFrame([(None, None), (" ", None), ("x", None)], "a string, b string")
+    assert drop_blank_rows(rows).count() == 2
+    assert drop_blank_rows(rows, blank_is_empty=True).count() == 1
+    reg = spark.createDataFrame([("TANAH", 1.0, 1.0), ("PERSEDIAAN", 2.0, 2.0)],
+                                "golongan_bmn string, nilai_perolehan double, nilai_buku double")
+    out = append_total(summary_by_class(reg), metric_cards(reg), "golongan_bmn").collect()
+    assert [r["golongan_bmn"] for r in out][-1] == "TOTAL" and out[-1]["jumlah_aset"] == 2
