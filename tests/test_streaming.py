@@ -92,3 +92,17 @@ def test_status_stream_resumes_from_checkpoint(spark, tmp_dir):
         assert rows == {"K2": "cache"}
     finally:
         q.stop()
+
+
+def test_status_stream_parquet_sink(spark, tmp_dir):
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    _land(landing, "IGT", _payload(["% Capaian IGT"], [["87,5%"]]), time.time())
+    sink = os.path.join(tmp_dir, "status")
+    q = start_status_query(spark, landing, os.path.join(tmp_dir, "ckpt"), sink=sink, query_name="status_sink")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = {r["sheet"]: r["source"] for r in spark.read.parquet(sink).collect()}
+    assert rows == {"IGT": "live"}
