@@ -86,3 +86,20 @@ def test_unit_dimension_and_detail(spark, tmp_dir):
     detail = J.unit_detail_frame(units, reg).collect()
     assert [r["Nama Satker"] for r in detail] == ["Unit A"]
     assert list(detail[0].asDict()) == ["Kode K/L", "Nama K/L", "Kode Satker", "Nama Satker", "Kab/Kota"]
+
+
+def test_error_paths(spark):
+    import pytest
+    from assetlens.operators.columns import canonical_names, union_strict
+    from assetlens.sources.payloads import sheet_frame
+    assert canonical_names(["No", "Kode  Barang", "extra"]) == ["nomor", "kode_barang", "extra"]
+    with pytest.raises(ValueError):
+        canonical_names(["jenis", "jenis_bmn"])
+    a = spark.createDataFrame([(1,)], "x int")
+    b = spark.createDataFrame([(1,)], "y int")
+    with pytest.raises(ValueError):
+        union_strict([a, b])
+    headers = spark.createDataFrame([("t", 0, "A"), ("t", 1, "A")], "sheet string, _col int, header string")
+    rows = spark.createDataFrame([("t", 0, ["1", "2"])], "sheet string, _row long, cells array<string>")
+    with pytest.raises(ValueError):
+        sheet_frame(headers, rows)
