@@ -43,7 +43,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(Q.QUERIES) - set(E.oracle_sql())
     assert not missing, missing
 
 
