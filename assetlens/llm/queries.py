@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (chat_format, decontamination, exact_dedup, license_scan, mixing, token_counts, toxicity, url_filter)
+from . import (chat_format, decontamination, exact_dedup, jaccard_join, license_scan, mixing, suffix_tree_lm,
+               token_counts, toxicity, url_filter)
 from .common import LOWER, UPPER, table
 
 #: The conversation that speaks in control strings.
@@ -39,6 +40,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.formatted_digests(chat_format.format_chat(turns.unionByName(spark.sql(CONTROL_TURNS))))
 
 
+def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -61,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_suffix_tree_lm": op5_suffix_tree_lm,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
@@ -193,6 +204,21 @@ def _shingle_sql(name: str, key: str, source: str) -> str:
                FROM {name}_words)"""
 
 
+def _similar_sql() -> str:
+    t = jaccard_join.THRESHOLD
+    return f"""
+    WITH RECURSIVE {_shingle_sql("doc", "doc_id", "documents")},
+    sizes AS (SELECT doc_id, count(*) AS n FROM doc GROUP BY doc_id),
+    links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM doc x JOIN doc y ON x.s = y.s AND x.doc_id <> y.doc_id
+              JOIN sizes nx ON nx.doc_id = x.doc_id JOIN sizes ny ON ny.doc_id = y.doc_id
+              GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= {t} * (nx.n + ny.n - count(*))),
+    reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents
+                         UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+    SELECT doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(r) AS component_id
+    FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+    """
+
+
 def _leak_sql() -> str:
     return f"""
     WITH {_shingle_sql("item", "item_id", "benchmark")}, {_shingle_sql("doc", "doc_id", "documents")},
@@ -208,6 +234,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op3_exact_dedup": _dedup_sql(),
     "op4_chat_format": _chat_sql(),
+    "op6_jaccard_join": _similar_sql(),
     "op7_mixing": _mix_sql(),
     "op8_decontamination": _leak_sql(),
 }
