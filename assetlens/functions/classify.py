@@ -34,12 +34,14 @@ def unit_type(c, width: int = 2) -> Column:
 
 
 def natural_sort_key(c) -> Column:
-    """Numeric-aware, case- and accent-insensitive sort key: digit runs are
-    left-padded so that '2' < '10'; the text is compared under an
-    accent- and case-insensitive collation by the caller (``id_CI_AI``)."""
+    """Numeric-aware, case- and accent-insensitive sort key: a digit run is
+    written behind its own length, so that '2' < '10' for runs of any length;
+    the text is compared under an accent- and case-insensitive collation by
+    the caller (``id_CI_AI``)."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(_col(c).cast("string"), F.lit(""))),
                                   F.lit("[0-9]+|[^0-9]+"), 0)
-    padded = F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"),
-                                                   F.lpad(F.regexp_replace(t, "^0+(?=.)", ""), 30, "0"))
-                         .otherwise(t))
-    return F.array_join(padded, "")
+
+    def keyed(t: Column) -> Column:
+        number = F.regexp_replace(t, "^0+(?=.)", "")
+        return F.when(t.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(number).cast("string"), 10, "0"), number)).otherwise(t)
+    return F.array_join(F.transform(tokens, keyed), "")

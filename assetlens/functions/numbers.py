@@ -40,11 +40,6 @@ def parse_percent_prefix(c) -> Column:
     return _zero_if_null_or_neg_zero(value)
 
 
-def round_half_up(x: Column, digits: int = 0) -> Column:
-    """``Math.round``-style rounding (halves go up) for display numbers."""
-    return F.floor(x * (10 ** digits) + F.lit(0.5)) / (10 ** digits) if digits else F.floor(x + F.lit(0.5))
-
-
 def format_count(c) -> Column:
     """Integer with ',' thousands grouping (``f"{n:,}"``)."""
     return F.format_number(_col(c).cast("double"), 0)

@@ -24,25 +24,24 @@ PY_WS_CHARS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) fo
                + "\u2028\u2029\u202f\u205f\u3000")
 
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def qcol(name: str) -> Column:
+    """Column by exact name (dots, spaces and '%' allowed)."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _edge_is(c: Column, chars: str) -> Column:
-    return F.substring(c, 1, 1).isin(list(chars)) | F.substring(c, -1, 1).isin(list(chars))
+def _col(c) -> Column:
+    return qcol(c) if isinstance(c, str) else c
 
 
 def js_trim(c) -> Column:
-    """``String(x).trim()``.  The regex only runs when an end character is
-    white space."""
-    c = _col(c)
-    return F.when(_edge_is(c, JS_WS_CHARS), F.regexp_replace(c, f"^{JS_WS}+|{JS_WS}+$", "")).otherwise(c)
+    """``String(x).trim()``: the set of characters goes to ``trim`` itself, so
+    the text is read once and stays in generated code."""
+    return F.trim(_col(c), F.lit(JS_WS_CHARS))
 
 
 def py_strip(c) -> Column:
     """``str(x).strip()``."""
-    c = _col(c)
-    return F.when(_edge_is(c, PY_WS_CHARS), F.regexp_replace(c, f"^{PY_WS}+|{PY_WS}+$", "")).otherwise(c)
+    return F.trim(_col(c), F.lit(PY_WS_CHARS))
 
 
 def clean_header(c) -> Column:
@@ -50,9 +49,10 @@ def clean_header(c) -> Column:
 
     Every white-space character is first mapped to a plain space
     (``translate``), so that the collapse is a simple regex and ``trim``
-    (which removes spaces only) finishes the job."""
+    (which removes spaces only) finishes the job.  The argument is read once:
+    a copy in each branch of a condition would be evaluated again."""
     spaced = F.translate(F.coalesce(_col(c).cast("string"), F.lit("")), JS_WS_CHARS, " " * len(JS_WS_CHARS))
-    return F.trim(F.when(F.instr(spaced, "  ") > 0, F.regexp_replace(spaced, "  +", " ")).otherwise(spaced))
+    return F.trim(F.regexp_replace(spaced, "  +", " "))
 
 
 def clean_value(c) -> Column:
@@ -62,21 +62,20 @@ def clean_value(c) -> Column:
 
 def filter_value(c, empty_token: str) -> Column:
     """Cleaned value, or the empty token for a blank cell."""
-    cleaned = clean_value(c)
-    return F.when(cleaned == "", F.lit(empty_token)).otherwise(cleaned)
+    return F.coalesce(F.nullif(clean_value(c), F.lit("")), F.lit(empty_token))
 
 
 def display_or_dash(c) -> Column:
     """Cleaned value, or ``-`` when blank."""
-    cleaned = clean_value(c)
-    return F.when(cleaned == "", F.lit("-")).otherwise(cleaned)
+    return filter_value(c, "-")
 
 
 def text_or_blank(c) -> Column:
-    """Falsy (NULL, empty, numeric zero) -> '', else the value as text."""
+    """Falsy (NULL, empty, a numeric zero) -> '', else the value as text.
+    A zero is falsy as a number only: the texts '0' and '000' stay."""
     c = _col(c)
     as_text = c.cast("string")
-    numeric_zero = F.coalesce(c.try_cast("double") == 0, F.lit(False))
+    numeric_zero = (F.typeof(c) != "string") & F.coalesce(c.try_cast("double") == 0, F.lit(False))
     return F.when(c.isNull() | (as_text == "") | numeric_zero, F.lit("")).otherwise(as_text)
 
 
@@ -87,11 +86,6 @@ def joined_lower(cols: list, sep: str = " ") -> Column:
     return F.lower(F.concat_ws(sep, *[F.coalesce(_col(c).cast("string"), F.lit("")) for c in cols]))
 
 
-def contains_literal(haystack: Column, needle: str) -> Column:
-    """Literal (not regex) substring test."""
-    return F.instr(haystack, needle) > 0
-
-
 def at(arr, index) -> Column:
     """1-based array element, NULL when out of range (ANSI-safe)."""
     idx = index if isinstance(index, Column) else F.lit(index)

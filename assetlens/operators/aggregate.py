@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.classify import list_position, unit_type
-from .filters import filter_by_dimension, filter_equals_or_all, filter_in
+from .filters import filter_by_dimension, filter_equals_or_all, filter_in, keep_known
 
 
 def money_sum(col: str) -> Column:
@@ -23,21 +23,46 @@ def money_sum(col: str) -> Column:
     return F.coalesce(F.sum(F.col(col)), F.lit(0)).cast("double")
 
 
+# Columns of a register cube: rows and non-NULL item numbers behind a group.
+ROWS, NUMBERED = "__rows", "__nomor"
+
+
+def row_count(df: DataFrame) -> Column:
+    """Register rows: counted, or summed when ``df`` is a cube."""
+    if ROWS in df.columns:
+        return F.coalesce(F.sum(ROWS), F.lit(0)).cast("long")
+    return F.count(F.lit(1))
+
+
+def register_cube(register: DataFrame, keys: Sequence[str] = ("nama_satker", "golongan_bmn", "jenis_bmn", "kab_kota"),
+                  value_cols: Sequence[str] = ("nilai_perolehan", "nilai_buku"),
+                  count_col: str = "nomor") -> DataFrame:
+    """The register reduced to one row per key combination, with additive
+    measures.  Every aggregate below takes a cube in place of the register, so
+    a page of results reads the register once, and joins on a unit carry one
+    row per unit and class instead of one per asset."""
+    return register.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias(ROWS), F.count(F.col(count_col)).alias(NUMBERED),
+        *[F.sum(c).alias(c) for c in value_cols])
+
+
 def metric_cards(df: DataFrame, value_cols: Sequence[str] = ("nilai_perolehan", "nilai_buku")) -> DataFrame:
     """Row count and the two money totals in one pass (one row, also for an
     empty input)."""
-    return df.agg(F.count(F.lit(1)).alias("jumlah_aset"),
+    return df.agg(row_count(df).alias("jumlah_aset"),
                   *[money_sum(c).alias(f"total_{c}") for c in value_cols])
 
 
 def count_units(register: DataFrame, units: DataFrame | None, agencies: Sequence[str] | None = None,
                 unit_names: Sequence[str] | None = None, unit_col: str = "nama_satker",
-                dim_unit_col: str = "Nama Satker", dim_agency_col: str = "Nama K/L") -> DataFrame:
+                dim_unit_col: str = "Nama Satker", dim_agency_col: str = "Nama K/L", selected: bool = False
+                ) -> DataFrame:
     """Number of work units: with an agency or unit selection, the distinct
     non-NULL unit names of the register under only those two filters;
-    otherwise the row count of the unit table; 0 without one."""
+    otherwise the row count of the unit table; 0 without one.  ``selected``
+    says that ``register`` holds the agencies' units only."""
     spark = register.sparkSession
-    if agencies or unit_names:
+    if agencies or unit_names or selected:
         df = register.filter(F.col(unit_col).isNotNull())
         df = filter_in(df, {unit_col: unit_names or []})
         df = filter_by_dimension(df, units, unit_col, dim_unit_col, dim_agency_col, agencies)
@@ -61,7 +86,7 @@ def summary_by_class(df: DataFrame, class_col: str = "golongan_bmn",
                      order: Sequence[str] = K.CLASS_ORDER) -> DataFrame:
     """Count and money totals per class, in the class display order (classes
     outside the order last)."""
-    out = df.groupBy(class_col).agg(F.count(F.lit(1)).alias("jumlah_aset"),
+    out = df.groupBy(class_col).agg(row_count(df).alias("jumlah_aset"),
                                     *[money_sum(c).alias(f"total_{c}") for c in value_cols])
     return out.orderBy(list_position(F.col(class_col), order).asc_nulls_last(), F.col(class_col).asc_nulls_last())
 
@@ -72,7 +97,7 @@ def summary_with_total(df: DataFrame, class_col: str = "golongan_bmn",
     """Class summary plus a TOTAL row, in one ``ROLLUP`` pass; the total row
     is told apart from a NULL class by ``grouping()``."""
     out = (df.rollup(class_col)
-           .agg(F.grouping(class_col).alias("is_total"), F.count(F.lit(1)).alias("jumlah_aset"),
+           .agg(F.grouping(class_col).alias("is_total"), row_count(df).alias("jumlah_aset"),
                 *[money_sum(c).alias(f"total_{c}") for c in value_cols]))
     label = F.when(F.col("is_total") == 1, F.lit(total_label)).otherwise(F.col(class_col))
     out = out.select(label.alias(class_col), (F.col("is_total") == 1).alias("is_total"), "jumlah_aset",
@@ -88,7 +113,7 @@ def append_total(summary: DataFrame, totals: DataFrame, key_col: str, total_labe
 
 
 def count_by_type(df: DataFrame, type_col: str = "jenis_bmn") -> DataFrame:
-    return (df.groupBy(type_col).agg(F.count(F.lit(1)).alias("jumlah"))
+    return (df.groupBy(type_col).agg(row_count(df).alias("jumlah"))
             .orderBy(F.col("jumlah").desc(), F.col(type_col).asc_nulls_last()))
 
 
@@ -111,7 +136,7 @@ def top_k_units(df: DataFrame, measure: str = "value", name_col: str = "nama_sat
                 value_col: str = "nilai_perolehan", k: int = K.TOP_K) -> DataFrame:
     """Top-k units by money total or row count (the NULL unit takes part);
     ties broken by name.  Plans as partial aggregate -> TakeOrderedAndProject."""
-    agg = money_sum(value_col) if measure == "value" else F.count(F.lit(1))
+    agg = money_sum(value_col) if measure == "value" else row_count(df)
     return (df.groupBy(F.col(name_col).alias("nama")).agg(agg.alias("total_nilai"))
             .orderBy(F.col("total_nilai").desc(), F.col("nama").asc_nulls_last()).limit(k))
 
@@ -128,7 +153,8 @@ def agency_totals(units: DataFrame, register: DataFrame, measure: str = "value",
     so the join and the shuffle carry one row per unit, not one per asset -
     also when one unit holds a large share of the register."""
     per_unit = (register.filter(F.col(unit_col).isNotNull()).groupBy(unit_col)
-                .agg(F.sum(F.col(value_col)).alias("__v"), F.count(F.col(count_col)).alias("__n")))
+                .agg(F.sum(F.col(value_col)).alias("__v"),
+                     (F.sum(NUMBERED) if NUMBERED in register.columns else F.count(F.col(count_col))).alias("__n")))
     dim = units.select(F.col(dim_unit_col).alias("__unit"), F.col(dim_agency_col).alias("nama"))
     if dedupe:
         dim = dim.distinct()
@@ -201,7 +227,7 @@ def dashboard_grouping_sets(df: DataFrame, class_col: str = "golongan_bmn", type
     there is no 'total' row (use ``metric_cards`` for guaranteed zeros)."""
     g = df.groupingSets([[class_col], [type_col], [place_col], []], class_col, type_col, place_col)
     out = g.agg(F.grouping(class_col).alias("__gc"), F.grouping(type_col).alias("__gt"),
-                F.grouping(place_col).alias("__gp"), F.count(F.lit(1)).alias("jumlah_aset"),
+                F.grouping(place_col).alias("__gp"), row_count(df).alias("jumlah_aset"),
                 *[money_sum(c).alias(f"total_{c}") for c in value_cols])
     dimension = (F.when(F.col("__gc") == 0, F.lit(class_col)).when(F.col("__gt") == 0, F.lit(type_col))
                  .when(F.col("__gp") == 0, F.lit(place_col)).otherwise(F.lit("total")))
@@ -219,10 +245,9 @@ def place_aggregate(df: DataFrame, cleaner, centres: DataFrame, place_col: str =
     per distinct spelling), clean those few groups, keep the known places and
     aggregate again.  The cleaner never runs per asset row."""
     raw = (df.filter(F.col(place_col).isNotNull()).groupBy(F.col(place_col).alias("kab_raw"))
-           .agg(F.count(F.lit(1)).alias("jumlah_aset"), F.coalesce(F.sum(F.col(value_col)), F.lit(0)).alias("__v")))
+           .agg(row_count(df).alias("jumlah_aset"), F.coalesce(F.sum(F.col(value_col)), F.lit(0)).alias("__v")))
     cleaned = raw.withColumn("kab_kota", cleaner(F.col("kab_raw")))
-    known = cleaned.join(F.broadcast(centres.select(F.col(centre_key).alias("__place"))),
-                         F.col("kab_kota") == F.col("__place"), "left_semi")
+    known = keep_known(cleaned, "kab_kota", centres, centre_key)
     return (known.groupBy("kab_kota")
             .agg(F.sum("jumlah_aset").cast("long").alias("jumlah_aset"),
                  F.sum("__v").cast("double").alias("total_nilai")))

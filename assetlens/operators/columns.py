@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.classify import classify_by_prefix
+from ..functions.text import qcol
+from .slots import Slots
 
 # Register columns with a type other than text.
 LONG_COLUMNS = ("nomor", "nup")
@@ -41,41 +43,52 @@ def ensure_columns(df: DataFrame, fixed: Sequence[str] = K.FIXED_COLUMNS, types:
     """Missing fixed columns become NULL; fixed columns first, then the
     others in their order."""
     types = types or {}
-    cols = [F.col(c) if c in df.columns else F.lit(None).cast(types.get(c, "string")).alias(c) for c in fixed]
-    extras = [F.col(c) for c in df.columns if c not in fixed]
-    return df.select(*cols, *extras)
+    s = Slots(df)
+    cols = [s.col(c) if c in s.headers else F.lit(None).cast(types.get(c, "string")) for c in fixed]
+    extras = [c for c in s.headers if c not in fixed]
+    return s.df.select(*cols, *[s.col(c) for c in extras]).toDF(*fixed, *extras)
 
 
 def lenient_long(text: Column, kind: Column | None = None) -> Column:
     """Integer cast that gives NULL instead of failing: numbers are
-    truncated, texts must be whole numbers (surrounding blanks allowed)."""
+    truncated (a whole number is never taken through a double), texts must be
+    whole numbers (surrounding blanks allowed)."""
     if kind is None:
         return text.try_cast("long")
-    return F.when(kind == "n", text.try_cast("double").try_cast("long")).otherwise(F.trim(text).try_cast("long"))
+    whole = F.trim(text).try_cast("long")
+    return F.coalesce(whole, F.when(kind == "n", text.try_cast("double").try_cast("long")))
+
+
+def lenient_money(text: Column) -> Column:
+    return F.trim(text.cast("string")).try_cast(MONEY_TYPE)
+
+
+def file_stem(path: Column) -> Column:
+    return F.regexp_extract(F.regexp_extract(path, "([^/]*)$", 1), "^(.*)\\.[^.]*$", 1)
 
 
 def cast_lenient(df: DataFrame, long_cols: Sequence[str] = LONG_COLUMNS, money_cols: Sequence[str] = MONEY_COLUMNS,
-                 kinds: Mapping[str, Column] | None = None, text_cols: Sequence[str] = ()) -> DataFrame:
+                 kinds: Mapping[str, str | Column] | None = None, text_cols: Sequence[str] = ()) -> DataFrame:
     """Tolerant casts: integers (bad -> NULL), money as DECIMAL, the listed
     text columns as text."""
     kinds = kinds or {}
-    out = []
-    for c in df.columns:
+    s = Slots(df)
+
+    def cast(c: str, slot: str) -> Column:
+        value = F.col(slot)
         if c in long_cols:
-            out.append(lenient_long(F.col(c), kinds.get(c)).alias(c))
-        elif c in money_cols:
-            out.append(F.trim(F.col(c).cast("string")).try_cast(MONEY_TYPE).alias(c))
-        elif c in text_cols:
-            out.append(F.col(c).cast("string").alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+            # A kind is a column of ``df`` itself.
+            kind = kinds.get(c)
+            return lenient_long(value, s.col(kind) if isinstance(kind, str) else kind)
+        if c in money_cols:
+            return lenient_money(value)
+        return value.cast("string") if c in text_cols else value
+    return s.df.select(*[cast(c, slot) for c, slot in zip(s.names, s.slots)]).toDF(*s.names)
 
 
 def tag_source(df: DataFrame, path_col: str = "path", out: str = "sumber_file") -> DataFrame:
     """File stem of the row's source file."""
-    name = F.regexp_extract(F.col(path_col), "([^/]*)$", 1)
-    return df.withColumn(out, F.regexp_extract(name, "^(.*)\\.[^.]*$", 1))
+    return df.withColumn(out, file_stem(F.col(path_col)))
 
 
 def add_class(df: DataFrame, code_col: str = "kode_barang", out: str = "golongan_bmn") -> DataFrame:
@@ -85,7 +98,7 @@ def add_class(df: DataFrame, code_col: str = "kode_barang", out: str = "golongan
 
 
 def select_rename_display(df: DataFrame, labels: Mapping[str, str]) -> DataFrame:
-    return df.select(*[F.col(k).alias(v) for k, v in labels.items()])
+    return df.select(*[qcol(k).alias(v) for k, v in labels.items()])
 
 
 def validate_columns(df: DataFrame, required: Sequence[str] = K.REQUIRED_COLUMNS) -> list[str]:

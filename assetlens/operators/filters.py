@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import clean_value, filter_value, joined_lower
+from ..functions.text import clean_value, filter_value, joined_lower, py_strip, qcol
+from .slots import Slots
 
 
 def filter_in(df: DataFrame, selections: Mapping[str, Sequence] | None) -> DataFrame:
@@ -23,7 +24,7 @@ def in_condition(selections: Mapping[str, Sequence] | None) -> Column | None:
     cond = None
     for col, values in (selections or {}).items():
         if values:
-            c = F.col(col).isin(list(values))
+            c = qcol(col).isin(list(values))
             cond = c if cond is None else (cond & c)
     return cond
 
@@ -46,28 +47,26 @@ def filter_by_dimension(df: DataFrame, dim: DataFrame | None, key: str, dim_key:
 
 
 def where_nonnull(df: DataFrame, col: str) -> DataFrame:
-    return df.filter(F.col(col).isNotNull())
+    return df.filter(qcol(col).isNotNull())
 
 
 def filter_active(df: DataFrame, status_col: str, active: str = K.ACTIVE_STATUS) -> DataFrame:
     """Trimmed status equals the active marker."""
-    from ..functions.text import py_strip
-    return df.filter(F.coalesce(py_strip(F.col(status_col).cast("string")), F.lit("")) == F.lit(active))
+    return df.filter(active_condition(qcol(status_col), active))
+
+
+def active_condition(status: Column, active: str = K.ACTIVE_STATUS) -> Column:
+    return F.coalesce(py_strip(status.cast("string")), F.lit("")) == F.lit(active)
 
 
 def drop_blank_rows(df: DataFrame, cols: Sequence[str] | None = None, blank_is_empty: bool = False) -> DataFrame:
     """Drop rows whose cells are all NULL (or, with ``blank_is_empty``, all
     blank after trimming)."""
-    cols = list(cols or df.columns)
-    if blank_is_empty:
-        cond = F.lit(False)
-        for c in cols:
-            cond = cond | (clean_value(F.col(c)) != "")
-    else:
-        cond = F.lit(False)
-        for c in cols:
-            cond = cond | F.col(c).isNotNull()
-    return df.filter(cond)
+    s = Slots(df)
+    cond = F.lit(False)
+    for c in cols or s.headers:
+        cond = cond | ((clean_value(s.col(c)) != "") if blank_is_empty else s.col(c).isNotNull())
+    return s.restore(s.df.filter(cond))
 
 
 def drop_blank_array_rows(df: DataFrame, cells_col: str = "cells") -> DataFrame:
@@ -76,19 +75,19 @@ def drop_blank_array_rows(df: DataFrame, cells_col: str = "cells") -> DataFrame:
 
 
 def keep_known(df: DataFrame, col: str, known: DataFrame, known_col: str) -> DataFrame:
-    """Keep rows whose value exists in a small dimension (literal centres)."""
-    return df.join(F.broadcast(known.select(F.col(known_col).alias("__known"))),
-                   F.col(col) == F.col("__known"), "left_semi")
+    """Keep rows whose value exists in a dimension (the planner picks the
+    join by the dimension's size)."""
+    return df.join(known.select(F.col(known_col).alias("__known")), qcol(col) == F.col("__known"), "left_semi")
 
 
 def filter_equals_or_all(df: DataFrame, col: str, value: str | None, all_token: str = "Semua") -> DataFrame:
     """One value, or every row when the value is the "all" token."""
     if value is None or value == all_token:
         return df
-    return df.filter(F.col(col) == F.lit(value))
+    return df.filter(qcol(col) == F.lit(value))
 
 
-def search_condition(cols: Sequence[str], query: str | None) -> Column | None:
+def search_condition(cols: Sequence[str | Column], query: str | None) -> Column | None:
     """Row text (values joined by a space, lower-cased) contains the trimmed,
     lower-cased query - a literal match that may span adjacent cells."""
     q = (query or "").strip().lower()
@@ -98,21 +97,24 @@ def search_condition(cols: Sequence[str], query: str | None) -> Column | None:
 
 
 def search_rows(df: DataFrame, query: str | None, cols: Sequence[str] | None = None) -> DataFrame:
-    cond = search_condition(list(cols or df.columns), query)
-    return df if cond is None else df.filter(cond)
+    s = Slots(df)
+    cond = search_condition([s.col(c) for c in cols or s.headers], query)
+    return df if cond is None else s.restore(s.df.filter(cond))
 
 
 def column_filter_conditions(headers: Sequence[str], filters: Mapping[str, Sequence[str] | str | None],
-                             empty_token: str = K.EMPTY_TOKEN, skip: str | None = None) -> list[tuple[str, Column]]:
+                             empty_token: str = K.EMPTY_TOKEN, skip: str | None = None,
+                             col=qcol) -> list[tuple[str, Column]]:
     """Per active column filter: (header, condition).  A present-but-empty
-    selection keeps no rows; filters on unknown headers are ignored."""
+    selection keeps no rows; filters on unknown headers are ignored.  ``col``
+    finds a header's column."""
     out = []
     for h in headers:
         if h == skip or h not in filters:
             continue
         raw = filters[h]
         values = list(raw) if isinstance(raw, (list, tuple, set)) else ([raw] if raw else [])
-        cond = filter_value(F.col(h), empty_token).isin(values) if values else F.lit(False)
+        cond = filter_value(col(h), empty_token).isin(values) if values else F.lit(False)
         out.append((h, cond))
     return out
 
@@ -121,7 +123,8 @@ def filter_columns(df: DataFrame, filters: Mapping[str, Sequence[str] | str | No
                    headers: Sequence[str] | None = None, empty_token: str = K.EMPTY_TOKEN) -> DataFrame:
     """AND over the active column filters (values compared after cleaning;
     a blank cell is the empty token)."""
-    conds = column_filter_conditions(list(headers or df.columns), filters or {}, empty_token)
-    for _, c in conds:
-        df = df.filter(c)
-    return df
+    s = Slots(df)
+    out = s.df
+    for _, c in column_filter_conditions(list(headers or s.headers), filters or {}, empty_token, col=s.col):
+        out = out.filter(c)
+    return s.restore(out)

@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.numbers import format_count, marker_radius
 from ..functions.places import clean_place_exact
-from .aggregate import place_aggregate
+from .aggregate import place_aggregate, units_per_place
 
 
 def centres_frame(spark: SparkSession, centres: Mapping[str, tuple[float, float]] = K.PLACE_CENTRES) -> DataFrame:
-    """The centre dictionary as a tiny literal DataFrame (place, lat, lon)."""
-    rows = [(k, float(v[0]), float(v[1])) for k, v in centres.items()]
-    return spark.createDataFrame(rows, "place string, lat double, lon double")
+    """The centre dictionary as a literal table (place, lat, lon), whose size
+    the planner knows."""
+    places = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(float(v[0])).alias("lat"), F.lit(float(v[1])).alias("lon"))
+                       for k, v in centres.items()])
+    return spark.range(1).select(F.inline(places))
 
 
 def join_centers(df: DataFrame, centres: DataFrame, place_col: str) -> DataFrame:
-    """Attach coordinates; places without a centre are dropped.  The centre
-    table is a literal of a few rows, so broadcasting it is always safe."""
-    c = F.broadcast(centres.withColumnRenamed("place", "__place"))
+    """Attach coordinates; places without a centre are dropped."""
+    c = centres.withColumnRenamed("place", "__place")
     return df.join(c, F.col(place_col) == F.col("__place"), "inner").drop("__place")
 
 
@@ -44,7 +45,6 @@ def asset_map_layer(register: DataFrame, centres: DataFrame, cleaner=clean_place
 def unit_map_layer(units: DataFrame, centres: DataFrame, place: str | None = None, place_col: str = "Kab/Kota",
                    label: str = "Jumlah Satker") -> DataFrame:
     """Unit count per known place, fixed marker radius."""
-    from .aggregate import units_per_place
     counts = units_per_place(units, place, place_col).filter(F.col("jumlah") > 0)
     layer = join_centers(counts, centres, place_col)
     popup = F.concat(F.lit("<b>"), F.col(place_col), F.lit("</b><br>"), F.lit(label), F.lit(": <b>"),

@@ -8,6 +8,7 @@ a Column expression or a DataFrame operator.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,19 +16,19 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import parse_id_number, parse_percent_prefix
-from ..functions.text import clean_header, clean_value, filter_value, joined_lower
+from ..functions.classify import natural_sort_key
+from ..functions.text import clean_header, clean_value, filter_value, joined_lower, qcol
 from .filters import column_filter_conditions, search_condition
+from .slots import Slots
+from .windows import DEFAULT_BUCKET_ROWS, running_count
 
 ROW = "_row"
 
 
-def qcol(name: str) -> Column:
-    """Column by exact name (dots, spaces and '%' allowed)."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def sheet_headers(sheet: DataFrame, row_col: str = ROW, keys: Sequence[str] = ()) -> list[str]:
-    return [c for c in sheet.columns if c != row_col and c not in keys]
+    """Headers in column order; the first column of the row's or a key's name
+    is not one."""
+    return Slots(sheet, [row_col, *keys]).headers
 
 
 # --- header look-ups (P15) --------------------------------------------------
@@ -66,10 +67,11 @@ def cell(header: str) -> Column:
 def informative_report(sheet: DataFrame, headers: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
     """One row per header: position, whether any cell has text, and whether
     the header is kept.  A single aggregation pass over the rows."""
-    headers = list(headers or sheet_headers(sheet))
+    s = Slots(sheet, [ROW])
+    headers = list(headers or s.headers)
     if not headers:
         return sheet.sparkSession.createDataFrame([], "position int, header string, has_value boolean, informative boolean")
-    flags = sheet.agg(*[F.max(clean_value(qcol(h)) != "").alias(f"f{i}") for i, h in enumerate(headers)])
+    flags = s.df.agg(*[F.max(clean_value(s.col(h)) != "").alias(f"f{i}") for i, h in enumerate(headers)])
     stack = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(h).alias("header"),
                                          F.coalesce(F.col(f"f{i}"), F.lit(False)).alias("has_value"))
                                 for i, h in enumerate(headers)]))
@@ -89,9 +91,14 @@ def informative_headers(sheet: DataFrame, headers: Sequence[str] | None = None,
 
 def informative_columns(sheet: DataFrame, headers: Sequence[str] | None = None, strict: bool = False,
                         row_col: str = ROW) -> DataFrame:
-    keep = informative_headers(sheet, headers, strict)
-    extra = [row_col] if row_col in sheet.columns else []
-    return sheet.select(*extra, *[qcol(h) for h in keep])
+    return pick_columns(sheet, informative_headers(sheet, headers, strict), row_col)
+
+
+def pick_columns(sheet: DataFrame, headers: Sequence[str], row_col: str = ROW) -> DataFrame:
+    """The row number (if there is one) and the given headers."""
+    s = Slots(sheet, [row_col])
+    own = list(s.reserved)
+    return s.df.select(*[s.own(n) for n in own], *[s.col(h) for h in headers]).toDF(*own, *headers)
 
 
 def relabel_positional(sheet: DataFrame, headers: Sequence[str] | None = None,
@@ -99,7 +106,6 @@ def relabel_positional(sheet: DataFrame, headers: Sequence[str] | None = None,
                        rewrites: Sequence[tuple[str, str]] = K.CAPAIAN_HEADER_REWRITES) -> list[tuple[str, str]]:
     """Display labels of the overview columns: the positional label when
     there is one, else the header with the listed rewrites applied."""
-    import re
     out = []
     for i, h in enumerate(headers if headers is not None else sheet_headers(sheet)):
         if i < len(labels) and labels[i]:
@@ -115,8 +121,9 @@ def relabel_positional(sheet: DataFrame, headers: Sequence[str] | None = None,
 # --- search, problem column and column filters (F8-F10, X7) ----------------
 
 def search_sheet(sheet: DataFrame, query: str | None, headers: Sequence[str] | None = None) -> DataFrame:
-    cond = search_condition(list(headers or sheet_headers(sheet)), query)
-    return sheet if cond is None else sheet.filter(cond)
+    s = Slots(sheet, [ROW])
+    cond = search_condition([s.col(h) for h in headers or s.headers], query)
+    return sheet if cond is None else s.restore(s.df.filter(cond))
 
 
 def problem_header(headers: Sequence[str], name: str = K.PROBLEM_COLUMN_NAME,
@@ -126,16 +133,17 @@ def problem_header(headers: Sequence[str], name: str = K.PROBLEM_COLUMN_NAME,
     return exact or fuzzy or header_at(headers, index)
 
 
-def problem_value(headers: Sequence[str], empty_label: str = K.EMPTY_LABEL, **kw) -> Column:
-    """The cleaned problem text of a row, or the empty label."""
-    v = clean_value(cell(problem_header(headers, **kw)))
-    return F.when(v == "", F.lit(empty_label)).otherwise(v)
+def problem_value(headers: Sequence[str], empty_label: str = K.EMPTY_LABEL, of=cell, **kw) -> Column:
+    """The cleaned problem text of a row, or the empty label; ``of`` reads
+    the cell under a header."""
+    return filter_value(of(problem_header(headers, **kw)), empty_label)
 
 
 def filter_problem(sheet: DataFrame, value: str | None, headers: Sequence[str] | None = None) -> DataFrame:
     if not value:
         return sheet
-    return sheet.filter(problem_value(list(headers or sheet_headers(sheet))) == F.lit(value))
+    s = Slots(sheet, [ROW])
+    return s.restore(s.df.filter(problem_value(list(headers or s.headers), of=s.cell) == F.lit(value)))
 
 
 def value_pivot(sheet: DataFrame, value: Column, name: str = "problem") -> DataFrame:
@@ -145,7 +153,8 @@ def value_pivot(sheet: DataFrame, value: Column, name: str = "problem") -> DataF
 
 
 def problem_pivot(sheet: DataFrame, headers: Sequence[str] | None = None) -> DataFrame:
-    return value_pivot(sheet, problem_value(list(headers or sheet_headers(sheet))))
+    s = Slots(sheet, [ROW])
+    return value_pivot(s.df, problem_value(list(headers or s.headers), of=s.cell))
 
 
 def problem_focus(pivot: DataFrame, name: str = "problem") -> DataFrame:
@@ -165,12 +174,14 @@ def facet_options(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str |
 
     One scan: each row records which active filters it fails; a cell is a
     choice for its column when the row fails no filter, or only that
-    column's.  Then one distinct aggregation over (header, value)."""
-    all_headers = list(all_headers or sheet_headers(sheet))
+    column's.  Then one distinct aggregation over (header, value).  Choices
+    come in column order, and within a column in numeric-aware order of
+    their labels, case and accents aside."""
+    s = Slots(sheet, [ROW])
+    all_headers = list(all_headers or s.headers)
     headers = list(headers or all_headers)
-    df = search_sheet(sheet, search, all_headers)
-    df = filter_problem(df, problem, all_headers)
-    conds = column_filter_conditions(headers, filters or {}, empty_token)
+    df = _shown(s, search, problem, all_headers)
+    conds = column_filter_conditions(headers, filters or {}, empty_token, col=s.col)
     # Per row: how many active filters fail, and which one when it is one.
     fails = [F.when(c, F.lit(0)).otherwise(F.lit(1)) for _, c in conds]
     n_failed = sum(fails[1:], fails[0]) if fails else F.lit(0)
@@ -178,26 +189,55 @@ def facet_options(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str |
         if conds else F.lit(None).cast("string")
     slots = [f"__v{i}" for i in range(len(headers))]
     proj = df.select(n_failed.alias("__n"), first_failed.alias("__f"),
-                     *[filter_value(qcol(h), empty_token).alias(v) for h, v in zip(headers, slots)])
+                     *[filter_value(s.col(h), empty_token).alias(v) for h, v in zip(headers, slots)])
     # Unpivot plans as an Expand (code-generated), one output row per cell.
     long = proj.unpivot(["__n", "__f"], slots, "__slot", "value")
     header = F.element_at(F.create_map(*[F.lit(x) for pair in zip(slots, headers) for x in pair]), F.col("__slot"))
     long = long.select("__n", "__f", header.alias("header"), "value")
     keep = (F.col("__n") == 0) | ((F.col("__n") == 1) & (F.col("__f") == F.col("header")))
     out = long.filter(keep).select("header", "value").distinct()
-    return out.withColumn("label", F.when(F.col("value") == empty_token, F.lit(empty_label)).otherwise(F.col("value")))
+    out = out.withColumn("label", F.when(F.col("value") == empty_token, F.lit(empty_label)).otherwise(F.col("value")))
+    place = F.element_at(F.create_map(*[F.lit(x) for pair in zip(headers, range(len(headers))) for x in pair]),
+                         F.col("header")) if headers else F.lit(0)
+    return out.orderBy(place, F.collate(natural_sort_key(F.col("label")), "id_CI_AI"), "label")
+
+
+def _shown(s: Slots, search: str | None, problem: str | None, headers: Sequence[str]) -> DataFrame:
+    """Slotted rows that pass the problem choice and the search.  The choice
+    goes first: it reads one cell, the search joins a whole row's text."""
+    df = s.df.filter(problem_value(headers, of=s.cell) == F.lit(problem)) if problem else s.df
+    cond = search_condition([s.col(h) for h in headers], search)
+    return df if cond is None else df.filter(cond)
 
 
 def filter_sheet(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str | None] | None = None,
                  search: str | None = None, problem: str | None = None,
                  headers: Sequence[str] | None = None, empty_token: str = K.EMPTY_TOKEN) -> DataFrame:
     """Rows shown in a target tab: search, problem choice, column filters."""
-    all_headers = sheet_headers(sheet)
-    df = search_sheet(sheet, search, all_headers)
-    df = filter_problem(df, problem, all_headers)
-    for _, c in column_filter_conditions(list(headers or all_headers), filters or {}, empty_token):
-        df = df.filter(c)
-    return df
+    s = Slots(sheet, [ROW])
+    return s.restore(s.df.filter(shown_condition(s, filters, search, problem, headers, empty_token)))
+
+
+def shown_condition(s: Slots, filters: Mapping[str, Sequence[str] | str | None] | None = None,
+                    search: str | None = None, problem: str | None = None, headers: Sequence[str] | None = None,
+                    empty_token: str = K.EMPTY_TOKEN) -> Column:
+    """The condition of ``filter_sheet`` over a slotted sheet: column filters,
+    problem choice, then the search, which joins a whole row's text."""
+    cond = F.lit(True)
+    for _, c in column_filter_conditions(list(headers or s.headers), filters or {}, empty_token, col=s.col):
+        cond = cond & c
+    if problem:
+        cond = cond & (problem_value(s.headers, of=s.cell) == F.lit(problem))
+    found = search_condition([s.col(h) for h in s.headers], search)
+    return cond if found is None else cond & found
+
+
+def shown_counts(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str | None] | None = None,
+                 search: str | None = None, problem: str | None = None, headers: Sequence[str] | None = None
+                 ) -> DataFrame:
+    """Rows that ``filter_sheet`` shows, and all rows, in one pass."""
+    s = Slots(sheet, [ROW])
+    return row_counts(s.df, shown_condition(s, filters, search, problem, headers))
 
 
 def row_counts(sheet: DataFrame, shown: Column | None = None) -> DataFrame:
@@ -209,12 +249,12 @@ def row_counts(sheet: DataFrame, shown: Column | None = None) -> DataFrame:
 # --- completion and composition (X8, A14, A15, A20) ------------------------
 
 def completion_flag(headers: Sequence[str], tokens: Sequence[str] = K.COMPLETION_HEADER_TOKENS,
-                    pattern: str = K.COMPLETION_PATTERN) -> Column:
+                    pattern: str = K.COMPLETION_PATTERN, of=cell) -> Column:
     """A row counts as complete when the pattern occurs in the lower-cased
     text of its status-like columns (all columns when there is none)."""
     priority = [h for h in headers if any(t in h.lower() for t in tokens)]
     cols = priority or list(headers)
-    return joined_lower([cell(h) for h in cols]).rlike("(?i)" + pattern)
+    return joined_lower([of(h) for h in cols]).rlike("(?i)" + pattern)
 
 
 def completion_summary(sheet: DataFrame, name: str | Column, headers: Sequence[str] | None = None,
@@ -222,24 +262,37 @@ def completion_summary(sheet: DataFrame, name: str | Column, headers: Sequence[s
     """Total rows, completed rows and the rounded completion percent - of
     the whole sheet, or per tab when ``by`` names the tab of each row (one
     pass for all tabs)."""
-    headers = list(headers or sheet_headers(sheet))
-    done = completion_flag(headers)
-    aggs = [F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed")]
+    s = Slots(sheet, [ROW])
+    flag = completion_flag(list(headers or s.headers), of=s.cell)
+    done = s.df.select(flag.alias("__done")) if by is None else sheet.select(
+        by.alias("name"), completion_flag(list(headers or s.headers)).alias("__done"))
+    aggs = [F.count(F.lit(1)).alias("total"), F.count_if("__done").alias("completed")]
     if by is not None:
-        agg = sheet.groupBy(by.alias("name")).agg(*aggs)
+        agg = done.groupBy("name").agg(*aggs)
     else:
         name_col = F.lit(name) if isinstance(name, str) else name
-        agg = sheet.agg(*aggs).select(name_col.alias("name"), "total", "completed")
+        agg = done.agg(*aggs).select(name_col.alias("name"), "total", "completed")
     pct = F.when(F.col("total") > 0,
                  F.floor(F.col("completed").cast("double") / F.col("total") * 100 + F.lit(0.5))).otherwise(F.lit(0))
     return agg.select("name", "total", "completed", pct.cast("long").alias("percent"))
 
 
-def composition(summaries: DataFrame, min_width: int = K.COMPOSITION_MIN_WIDTH) -> DataFrame:
-    """Share of each category in the grand total; no rows when it is 0.
-    The summaries are one row per category (a handful of rows), so the
-    grand total is a window over all of them."""
-    j = summaries.withColumn("__grand", F.sum("total").over(Window.partitionBy())).filter(F.col("__grand") > 0)
+def overview_summaries(kpis: DataFrame) -> DataFrame:
+    """(name, total, completed, percent) of K1..K3 as the overview row states
+    them: parcels and their share; completed is not known there."""
+    parts = [F.struct(F.lit(n.upper()).alias("name"), F.col(f"{n}_bidang").cast("long").alias("total"),
+                      F.lit(None).cast("long").alias("completed"), F.col(f"{n}_percent").cast("long").alias("percent"))
+             for n in ("k1", "k2", "k3")]
+    return kpis.select(F.inline(F.array(*parts)))
+
+
+def composition(summaries: DataFrame, min_width: int = K.COMPOSITION_MIN_WIDTH,
+                grand_total: int | float | None = None) -> DataFrame:
+    """Share of each category in the grand total (the categories' sum unless
+    the overview gives one); no rows when it is 0.  The summaries are one row
+    per category, so the sum is a window over all of them."""
+    grand = F.sum("total").over(Window.partitionBy()) if grand_total is None else F.lit(grand_total)
+    j = summaries.withColumn("__grand", grand).filter(F.col("__grand") > 0)
     share = F.floor(F.col("total").cast("double") / F.col("__grand") * 100 + F.lit(0.5)).cast("long")
     return j.select("name", "total", share.alias("share"),
                     F.greatest(share, F.lit(min_width)).cast("long").alias("width"),
@@ -255,8 +308,9 @@ def category_total_fallback(summaries: DataFrame) -> DataFrame:
 def first_row(sheet: DataFrame, cols: Sequence[str], row_col: str = ROW) -> DataFrame:
     """The first sheet row (smallest ``_row``) as one row, via a single
     ``min_by`` aggregate; no row for an empty sheet."""
-    packed = F.struct(*[cell(h).alias(f"c{i}") for i, h in enumerate(cols)])
-    one = sheet.agg(F.min_by(packed, F.col(row_col)).alias("r"), F.count(F.lit(1)).alias("row_count"))
+    s = Slots(sheet, [row_col])
+    packed = F.struct(*[s.cell(h).alias(f"c{i}") for i, h in enumerate(cols)])
+    one = s.df.agg(F.min_by(packed, s.own(row_col)).alias("r"), F.count(F.lit(1)).alias("row_count"))
     return one.filter(F.col("r").isNotNull())
 
 
@@ -314,11 +368,11 @@ def igt_kpi(igt: DataFrame, headers: Sequence[str] | None = None, row_col: str =
 
 # --- unreached helpers kept as data operations (F11, F12) ------------------
 
-def index_row_flag(headers: Sequence[str]) -> Column:
+def index_row_flag(headers: Sequence[str], of=cell) -> Column:
     """Rows of formulas or column numbers: at least six filled cells and
     either two with an operator sign, or the first (up to eight) filled
     cells counting 1, 2, 3, ... (at least four of them)."""
-    vals = F.array(*[clean_value(cell(h)) for h in headers])
+    vals = F.array(*[clean_value(of(h)) for h in headers])
     filled = F.filter(vals, lambda v: v != "")
     n = F.size(filled)
     formula = F.size(F.filter(filled, lambda v: v.rlike("[=+\\-*/]"))) >= 2
@@ -329,24 +383,26 @@ def index_row_flag(headers: Sequence[str]) -> Column:
 
 
 def drop_index_rows(sheet: DataFrame, headers: Sequence[str] | None = None) -> DataFrame:
-    headers = list(headers or sheet_headers(sheet))
-    nonblank = F.exists(F.array(*[clean_value(cell(h)) for h in headers]), lambda v: v != "")
-    return sheet.filter(nonblank & ~index_row_flag(headers))
+    s = Slots(sheet, [ROW])
+    headers = list(headers or s.headers)
+    nonblank = F.exists(F.array(*[clean_value(s.cell(h)) for h in headers]), lambda v: v != "")
+    return s.restore(s.df.filter(nonblank & ~index_row_flag(headers, of=s.cell)))
 
 
 def find_data_row(sheet: DataFrame, headers: Sequence[str] | None = None, row_col: str = ROW,
                   code_pos: int = 0, name_pos: int = 1, total_pos: int = 38) -> DataFrame:
     """First row with a 4+-digit code and a name, else the first with a
     positive total column."""
-    headers = list(headers or sheet_headers(sheet))
-    code = clean_value(cell(header_at(headers, code_pos)))
-    name = clean_value(cell(header_at(headers, name_pos)))
+    s = Slots(sheet, [row_col])
+    headers = list(headers or s.headers)
+    code = clean_value(s.cell(header_at(headers, code_pos)))
+    name = clean_value(s.cell(header_at(headers, name_pos)))
     by_code = code.rlike("^[0-9]{4,}$") & (F.length(name) > 0)
-    by_total = parse_id_number(cell(header_at(headers, total_pos))) > 0
+    by_total = parse_id_number(s.cell(header_at(headers, total_pos))) > 0
     prio = F.when(by_code, F.lit(0)).when(by_total, F.lit(1))
-    ranked = sheet.filter(prio.isNotNull()).withColumn("__prio", prio)
-    best = ranked.agg(F.min_by(F.struct(*[qcol(c) for c in sheet.columns]), F.struct("__prio", row_col)).alias("r"))
-    return best.filter(F.col("r").isNotNull()).select("r.*")
+    ranked = s.df.filter(prio.isNotNull()).withColumn("__prio", prio)
+    best = ranked.agg(F.min_by(F.struct(*s.slots), F.struct(F.col("__prio"), s.own(row_col))).alias("r"))
+    return s.restore(best.filter(F.col("r").isNotNull()).select("r.*"))
 
 
 # --- header uniqueness over a long header table (P10) -----------------------
@@ -358,12 +414,10 @@ def unique_headers(headers: DataFrame, keys: Sequence[str] = ("sheet",), col_col
     gets the suffix ' k'.  Applied ``passes`` times (the widened header row
     is made unique a second time).  The repeat counter is a bucketed running
     count, so a tab with an enormous header row is not one task."""
-    from .windows import DEFAULT_BUCKET_ROWS, running_count
     keys = list(keys)
     br = bucket_rows or DEFAULT_BUCKET_ROWS
-    cur = headers.withColumn("__name", clean_header(F.col(header_col)))
-    cur = cur.withColumn("__name", F.when(F.col("__name") == "", F.concat(
-        F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col(col_col) + 1).cast("string"))).otherwise(F.col("__name")))
+    cur = headers.select(*keys, col_col, F.coalesce(F.nullif(clean_header(F.col(header_col)), F.lit("")), F.concat(
+        F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col(col_col) + 1).cast("string"))).alias("__name"))
     for _ in range(passes):
         cur = running_count(cur, [*keys, "__name"], col_col, out="__k", bucket_rows=br)
         cur = cur.withColumn("__name", F.when(F.col("__k") == 1, F.col("__name")).otherwise(
@@ -397,7 +451,8 @@ def achievement_kpis_positional(raw: DataFrame, headers: Sequence[str] | None =
     text_fields = {"total_q1", "total_pct", "hukum_q1", "hukum_pct", "penatausahaan_q1", "penatausahaan_pct",
                    "konsolidasi_q1", "konsolidasi_pct"}
     plan = [(name, header_at(h, pos), "s" if name in text_fields else "n") for name, pos in positions.items()]
-    one = row.select(F.struct(*[cell(src).alias(f"c{i}") for i, (_, src, _) in enumerate(plan)]).alias("r"))
+    s = Slots(row, [row_col])
+    one = s.df.select(F.struct(*[s.cell(src).alias(f"c{i}") for i, (_, src, _) in enumerate(plan)]).alias("r"))
     return _kpi_select(one, plan)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
+from .slots import Slots
 
 DEFAULT_BUCKET_ROWS = 1 << 20
 
@@ -31,7 +32,9 @@ def running_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Colu
     local_w = (Window.partitionBy(*keys, "__b").orderBy(order_col)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = d.withColumn("__local", F.sum("__f").over(local_w))
-    per_bucket = d.groupBy(*keys, "__b").agg(F.sum("__f").alias("__bc"))
+    # The running count's largest value is the bucket's total: taken from the
+    # same partitions, it needs no exchange of its own.
+    per_bucket = d.groupBy(*keys, "__b").agg(F.max("__local").alias("__bc"))
     # One row per bucket: tiny next to the data even for the hottest key.
     carry_w = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("__b").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -41,11 +44,6 @@ def running_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Colu
         "__b", "__f", "__local", "__carry")
 
 
-def to_long(sheet: DataFrame, headers: Sequence[str], id_cols: Sequence[str] = ("_row",)) -> DataFrame:
-    """Wide text sheet -> (id..., header, value)."""
-    return sheet.unpivot(list(id_cols), list(headers), "header", "value")
-
-
 def merge_spans(sheet: DataFrame, headers: Sequence[str] | None = None, row_col: str = "_row",
                 sheet_keys: Sequence[str] = (), bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
     """Merged-cell reconstruction over the (already filtered) rows, per
@@ -58,61 +56,68 @@ def merge_spans(sheet: DataFrame, headers: Sequence[str] | None = None, row_col:
     (the cell is merged into one above) and ``filled`` (the value shown
     after un-merging: the covering cell's value, '' when uncovered).
 
-    One shuffle: a window per (column, bucket of ``bucket_rows`` row
-    numbers) gives each cell its running island number, running rank, the
-    last non-blank value and the rank of the next non-blank cell inside the
-    bucket.  A per-bucket summary (``bucket_rows`` times smaller than the
-    data) supplies what comes from earlier and later buckets; it is joined
-    back by size (broadcast when small)."""
+    One shuffle of sheet rows: all columns' windows run over the same
+    partitions, one per bucket of ``bucket_rows`` row numbers, and the sheet is
+    unpivoted at the end.  Each bucket's first and last row tell what it hands
+    on to other buckets; that summary is ``bucket_rows`` times smaller than the
+    data, comes from the same exchange, and is joined back by size."""
     keys = list(sheet_keys)
-    headers = list(headers or [c for c in sheet.columns if c != row_col and c not in keys])
-    part = [*keys, "header"]
-    long = to_long(sheet, headers, [*keys, row_col])
-    nb = js_trim(F.coalesce(F.col("value"), F.lit(""))) != ""
-    long = long.withColumn("__nb", nb).withColumn("__b", F.floor(F.col(row_col) / F.lit(bucket_rows)))
-    w = Window.partitionBy(*part, "__b").orderBy(row_col)
+    s = Slots(sheet, [row_col, *keys])
+    headers = list(headers or s.headers)
+    key_names = [f"__key{i}" for i in range(len(keys))]
+    places = range(len(headers))
+    rows = s.df.select(*[s.own(k).alias(n) for k, n in zip(keys, key_names)], s.own(row_col).alias("__row"),
+                       F.floor(s.own(row_col) / F.lit(bucket_rows)).alias("__b"),
+                       *[s.col(h).alias(f"__v{i}") for i, h in enumerate(headers)])
+    part = [*key_names, "__b"]
+    # Named here so that cells and summary read one and the same exchange.
+    rows = rows.repartition(*part)
+    w = Window.partitionBy(*part).orderBy("__row")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # "Next non-blank below" as a running frame over the reversed order
     # (frames reaching to unbounded following are quadratic).
-    after = Window.partitionBy(*part, "__b").orderBy(F.col(row_col).desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    d = long.select(
-        "*",
-        F.sum(F.col("__nb").cast("long")).over(upto).alias("__isl"),
-        F.count(F.lit(1)).over(upto).alias("__rank"),
-        F.last(F.when(F.col("__nb"), F.col("value")), ignorenulls=True).over(upto).alias("__head"))
-    d = d.withColumn("__next", F.last(F.when(F.col("__nb"), F.col("__rank")), ignorenulls=True).over(after))
-
-    # Per bucket: its counts, its last non-blank value, its first non-blank rank.
-    summ = d.groupBy(*part, "__b").agg(
-        F.sum(F.col("__nb").cast("long")).alias("__bn"), F.count(F.lit(1)).alias("__br"),
-        F.max_by(F.col("value"), F.when(F.col("__nb"), F.col(row_col))).alias("__blast"),
-        F.min(F.when(F.col("__nb"), F.col("__rank"))).alias("__bfirst"))
-    before = Window.partitionBy(*part).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(*part).orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
-    summ = summ.select(
-        *part, "__b",
-        F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__cisl"),
-        F.coalesce(F.sum("__br").over(before), F.lit(0)).alias("__crank"),
-        F.last("__blast", ignorenulls=True).over(before).alias("__chead"),
-        F.sum("__br").over(whole).alias("__total"),
-        "__bfirst", "__br")
-    # Global rank of the first non-blank cell in a later bucket.
-    summ = summ.withColumn("__gfirst", F.col("__crank") + F.col("__bfirst"))
-    summ = summ.withColumn("__cnext", F.last("__gfirst", ignorenulls=True).over(later))
-    summ = summ.select(*part, "__b", "__cisl", "__crank", "__chead", "__total", "__cnext")
-
-    j = d.join(summ, [*part, "__b"], "left")
-    island = F.col("__isl") + F.col("__cisl")
-    rank = F.col("__rank") + F.col("__crank")
-    nxt = F.coalesce(F.col("__next") + F.col("__crank"), F.col("__cnext"), F.col("__total") + 1)
-    return j.select(
-        *keys, row_col, "header", "value",
-        F.when(F.col("__nb"), nxt - rank).cast("long").alias("span"),
-        ((island > 0) & ~F.col("__nb")).alias("covered"),
-        F.coalesce(F.col("__head"), F.col("__chead"), F.lit("")).alias("filled"),
-    )
+    back = Window.partitionBy(*part).orderBy(F.col("__row").desc())
+    below = back.rowsBetween(Window.unboundedPreceding, -1)
+
+    # The cell if it is not blank.
+    shown = [F.when(js_trim(F.coalesce(F.col(f"__v{i}"), F.lit(""))) != "", F.col(f"__v{i}")) for i in places]
+    d = rows.select("*", *[c.alias(f"__s{i}") for i, c in zip(places, shown)]).select(
+        "*", F.row_number().over(w).alias("__rank"),
+        *[F.last(f"__s{i}", ignorenulls=True).over(upto).alias(f"__head{i}") for i in places])
+    d = d.select("*", F.row_number().over(back).alias("__back"),
+                 *[F.last(F.when(F.col(f"__s{i}").isNotNull(), F.col("__rank")), ignorenulls=True).over(below)
+                   .alias(f"__next{i}") for i in places])
+
+    # Per bucket: its rows, and per column the last non-blank cell and the
+    # rank of the first one.
+    edges = d.filter("__rank = 1 OR __back = 1").groupBy(*part).agg(
+        F.max("__rank").alias("__n"),
+        *[F.max(F.when(F.col("__back") == 1, F.col(f"__head{i}"))).alias(f"__last{i}") for i in places],
+        *[F.max(F.when(F.col("__rank") == 1, F.when(F.col(f"__s{i}").isNotNull(), F.lit(1)).otherwise(
+            F.col(f"__next{i}")))).alias(f"__first{i}") for i in places])
+    whole = Window.partitionBy(*key_names) if keys else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    later = whole.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = edges.select("*", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows_before"),
+                         F.sum("__n").over(whole).alias("__total"))
+    carry = carry.select(
+        *part, "__rows_before", "__total",
+        *[F.last(f"__last{i}", ignorenulls=True).over(before).alias(f"__carried{i}") for i in places],
+        *[F.last(F.col("__rows_before") + F.col(f"__first{i}"), ignorenulls=True).over(later).alias(f"__later{i}")
+          for i in places])
+
+    j = d.join(carry, part, "left")
+
+    def cell(i: int, header: str) -> Column:
+        head = F.coalesce(F.col(f"__head{i}"), F.col(f"__carried{i}"))
+        filled = F.col(f"__s{i}").isNotNull()
+        until = F.coalesce(F.col(f"__next{i}") + F.col("__rows_before"), F.col(f"__later{i}"), F.col("__total") + 1)
+        return F.struct(
+            F.lit(header).alias("header"), F.col(f"__v{i}").alias("value"),
+            F.when(filled, until - F.col("__rank") - F.col("__rows_before")).cast("long").alias("span"),
+            (head.isNotNull() & ~filled).alias("covered"), F.coalesce(head, F.lit("")).alias("filled"))
+    return j.select(*[F.col(n).alias(k) for k, n in zip(keys, key_names)], F.col("__row").alias(row_col),
+                    F.inline(F.array(*[cell(i, h) for i, h in enumerate(headers)])))
 
 
 def fill_down(sheet: DataFrame, headers: Sequence[str] | None = None, row_col: str = "_row",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.classify import classify_by_prefix
-from ..session import sized_broadcast
+from ..operators.aggregate import register_cube
 
 # Binding parameter (not a reference value): map centres for the region
 # names that play the part of places.  One region is left without a centre so
@@ -33,43 +33,25 @@ REGION_CENTRES = {
 }
 
 CODE_WIDTH = 9
-LINE_MONEY = "decimal(8,2)"
-
-
-_TABLES: dict[tuple, DataFrame] = {}
-_ROWS: dict[tuple, int] = {}
-# Width of one unit-dimension row (key, code, name, place) with headroom.
-UNIT_ROW_BYTES = 128
+# A sum of this type holds 28 digits before the point.
+LINE_MONEY = "decimal(20,2)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A lazy scan of one table.  The relation (file listing and footer) is
-    resolved once per session and folder and then reused; no data is cached."""
-    key = (id(spark._jsparkSession), sf_dir, name)
-    df = _TABLES.get(key)
-    if df is None:
-        df = _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df
-
-
-def table_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    """Row count of a table (answered from Parquet footers), once per
-    session and folder."""
-    key = (id(spark._jsparkSession), sf_dir, name)
-    if key not in _ROWS:
-        _ROWS[key] = table(spark, sf_dir, name).count()
-    return _ROWS[key]
+    """A lazy scan of one table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def unit_code(suppkey: Column) -> Column:
-    """Work-unit code: zero-padded key plus a type suffix cycling over the
-    unit types."""
+    """Work-unit code: the key, zero-padded to at least ``CODE_WIDTH`` digits,
+    plus a type suffix cycling over the unit types."""
     types = K.UNIT_TYPES
     suffix = None
     for i, t in enumerate(types):
         cond = (suppkey % len(types)) == i
         suffix = F.when(cond, F.lit(t)) if suffix is None else suffix.when(cond, F.lit(t))
-    return F.concat(F.lpad(suppkey.cast("string"), CODE_WIDTH, "0"), suffix)
+    digits = suppkey.cast("string")
+    return F.concat(F.lpad(digits, F.greatest(F.length(digits), F.lit(CODE_WIDTH)), F.lit("0")), suffix)
 
 
 def unit_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,21 +74,14 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(*[F.col(k).alias(v) for k, v in K.UNIT_DETAIL_LABELS.items()])
 
 
-def assets(spark: SparkSession, sf_dir: str, with_units: bool = True) -> DataFrame:
-    """The asset register view over lineitem.
-
-    ``with_units=False`` leaves out the unit dimension (the unit, code and
-    place columns are NULL).  Because the dimension is joined LEFT on its key,
-    queries that read none of those columns get the same rows either way and
-    skip the join."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem as register rows, still without the unit's columns."""
     li = table(spark, sf_dir, "lineitem")
-    # Money as DECIMAL(8,2): a lineitem price is at most 50 x 2,098.99 at any
-    # scale factor, and sums over precision <= 8 run on unscaled longs.
     price = F.col("l_extendedprice").cast(LINE_MONEY)
     factor = F.lit(1).cast("decimal(3,2)") - F.col("l_discount").cast("decimal(3,2)")
     book = F.round(price * factor, 2).cast(LINE_MONEY)
     code = F.col("l_partkey").cast("string")
-    base = li.select(
+    return li.select(
         F.col("l_orderkey").alias("nomor"),
         F.col("l_returnflag").alias("jenis_bmn"),
         F.col("l_suppkey").alias("__suppkey"),
@@ -116,11 +91,18 @@ def assets(spark: SparkSession, sf_dir: str, with_units: bool = True) -> DataFra
         price.alias("nilai_perolehan"),
         book.alias("nilai_buku"),
     )
+
+
+def assets(spark: SparkSession, sf_dir: str, with_units: bool = True) -> DataFrame:
+    """The asset register view over lineitem.
+
+    ``with_units=False`` leaves out the unit dimension (the unit, code and
+    place columns are NULL).  Because the dimension is joined LEFT on its key,
+    queries that read none of those columns get the same rows either way and
+    skip the join."""
+    base = _lines(spark, sf_dir)
     if with_units:
-        # The dimension has at most one row per supplier (inner joins on
-        # nation and region keys), so the supplier count bounds its size.
         dim = unit_dimension(spark, sf_dir).select("__suppkey", "kode_satker", "nama_satker", "kab_kota")
-        dim = sized_broadcast(dim, table_rows(spark, sf_dir, "supplier"), UNIT_ROW_BYTES, spark)
         base = base.join(dim, "__suppkey", "left")
     else:
         base = base.select("*", F.lit(None).cast("string").alias("kode_satker"),
@@ -130,6 +112,38 @@ def assets(spark: SparkSession, sf_dir: str, with_units: bool = True) -> DataFra
                        "golongan_bmn", "nilai_perolehan", "nilai_buku", "kab_kota")
 
 
+def asset_cube(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("golongan_bmn", "jenis_bmn")) -> DataFrame:
+    """The register view as a cube over ``keys`` and the unit's columns.
+
+    Lineitem is reduced per supplier key and ``keys`` before the dimension is
+    joined, so the join carries one row per unit and key combination; columns
+    outside ``keys`` and the dimension are gone."""
+    per_unit = register_cube(_lines(spark, sf_dir), ["__suppkey", *keys])
+    dim = unit_dimension(spark, sf_dir).select("__suppkey", "kode_satker", "nama_satker", "nama_kl", "kab_kota")
+    return per_unit.join(dim, "__suppkey", "left")
+
+
+def selected_cube(spark: SparkSession, sf_dir: str, agencies, keys: tuple[str, ...] = ("golongan_bmn", "jenis_bmn")
+                  ) -> DataFrame:
+    """The cube of the units whose name belongs to one of the agencies.  The
+    selection becomes supplier keys first; the dimension is joined once."""
+    per_unit = register_cube(_lines(spark, sf_dir), ["__suppkey", *keys])
+    return per_unit.join(selected_units(spark, sf_dir, agencies), "__suppkey")
+
+
+def selected_units(spark: SparkSession, sf_dir: str, agencies) -> DataFrame:
+    """Dimension rows whose unit name is among the agencies' unit names (a
+    name may belong to several units)."""
+    dim = unit_dimension(spark, sf_dir).select("__suppkey", "kode_satker", "nama_satker", "nama_kl", "kab_kota")
+    chosen = F.max(F.col("nama_kl").isin(list(agencies))).over(Window.partitionBy("nama_satker"))
+    return dim.withColumn("__chosen", chosen).filter("__chosen AND nama_satker IS NOT NULL").drop("__chosen")
+
+
+def selected_assets(spark: SparkSession, sf_dir: str, agencies) -> DataFrame:
+    """The register view's rows of the agencies' units."""
+    return _lines(spark, sf_dir).join(selected_units(spark, sf_dir, agencies), "__suppkey")
+
+
 # --- sheets ----------------------------------------------------------------
 
 def target_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,16 +212,20 @@ def capaian_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders."""
     o = table(spark, sf_dir, "orders")
     st = F.col("o_orderstatus")
-    n = F.count(F.lit(1))
 
-    def n_if(v):
-        return F.count_if(st == v)
+    # Distinct customers without expanding the rows: per (priority, customer)
+    # first, then a customer counts where it has orders.
+    per_customer = o.groupBy("o_orderpriority", "o_custkey").agg(
+        *[F.count_if(st == v).alias(f"n_{v}") for v in "FOP"], F.count(F.lit(1)).alias("n_all"))
+
+    def orders(v):
+        return F.sum(f"n_{v}")
 
-    def cust_if(v):
-        return F.count_distinct(F.when(st == v, F.col("o_custkey")))
-    agg = o.groupBy("o_orderpriority").agg(
-        n_if("F").alias("a"), cust_if("F").alias("b"), n_if("O").alias("c"), cust_if("O").alias("d"),
-        n_if("P").alias("e"), cust_if("P").alias("f"), n.alias("g"), F.count_distinct("o_custkey").alias("h"))
+    def customers(v):
+        return F.count_if((F.col(f"n_{v}") > 0) & F.col("o_custkey").isNotNull())
+    agg = per_customer.groupBy("o_orderpriority").agg(
+        orders("F").alias("a"), customers("F").alias("b"), orders("O").alias("c"), customers("O").alias("d"),
+        orders("P").alias("e"), customers("P").alias("f"), orders("all").alias("g"), customers("all").alias("h"))
     w = Window.orderBy("o_orderpriority")
     return agg.select(
         (F.row_number().over(w) - 1).cast("long").alias("_row"),

@@ -1,7 +1,7 @@
 """Composite jobs: register ingest, unit dimension, the two dashboards.
 
 Each job returns DataFrames (or writes Parquet); nothing is collected except
-bounded metadata (one header row per workbook, one header list per tab).
+bounded metadata (the distinct header rows, one header list per tab).
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.classify import classify_by_prefix
 from ..functions.places import clean_place_contains, clean_place_exact
 from ..functions.text import at, py_strip
 from ..operators import aggregate as A
@@ -20,17 +21,36 @@ from ..operators import columns as C
 from ..operators import maps as M
 from ..operators import sheets as S
 from ..operators import windows as W
+from ..operators.filters import active_condition
 from ..sources import payloads as P
 from ..sources import snapshots as SN
 from ..sources import workbooks as WB
-from ..session import checkpoint_dir
-from ..sources.parquet import write_register
+from ..session import shared_table
+from ..sources.parquet import read_detail, read_register, write_register
 
 
 # --- E1: register ingest ------------------------------------------------------
 
-def _header_name(text, i: int) -> str:
-    return str(text).strip() if text is not None else f"col_{i}"
+# Distinct header rows that one ingest accepts; they are schema metadata.
+MAX_LAYOUTS = 1_000
+
+
+def header_layouts(rows: DataFrame) -> tuple[DataFrame, list[list[str]]]:
+    """(path, names) of every workbook with data rows, and the distinct header
+    rows, those of the first path first.  One header row per layout reaches the
+    driver, however many workbooks share it."""
+    header = F.when(F.col("_row") == 1, F.col("cells"))
+    info = rows.groupBy("path").agg(
+        F.max_by(header, F.when(F.col("_row") == 1, F.lit(1))).alias("header"), F.max(F.size("cells")).alias("width"),
+        F.count_if((F.col("_row") >= 2) & F.exists("cells", lambda x: x.isNotNull())).alias("n_data"))
+    names = F.transform(F.sequence(F.lit(0), F.greatest(F.col("width"), F.lit(1)) - 1), lambda i: F.coalesce(
+        py_strip(at("header", i + 1)), F.concat(F.lit("col_"), i.cast("string"))))
+    info = info.filter("n_data > 0").select("path", names.alias("names"))
+    layouts = (info.groupBy("names").agg(F.min("path").alias("first")).orderBy("first", "names")
+               .limit(MAX_LAYOUTS + 1).collect())
+    if len(layouts) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} different header rows")
+    return info, [list(r["names"]) for r in layouts]
 
 
 def register_frame(spark: SparkSession, paths: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
@@ -39,42 +59,44 @@ def register_frame(spark: SparkSession, paths: Sequence[str], rows: DataFrame |
     Row 1 of each workbook is its header; wholly empty rows are skipped;
     headers are renamed by synonym; the class comes from the item code; the
     file stem is kept; fixed columns come first (NULL when missing); integer
-    columns are cast leniently, money columns as DECIMAL.  Workbooks with the
-    same header row are projected together; all must end with the same
-    columns.  Workbooks without data rows are skipped."""
-    rows = rows if rows is not None else WB.pad_to_width(WB.read_workbooks(spark, paths))
-    info = (rows.groupBy("path")
-            .agg(F.max_by(F.when(F.col("_row") == 1, F.col("cells")), F.when(F.col("_row") == 1, F.lit(1)))
-                 .alias("header"),
-                 F.max(F.size("cells")).alias("width"),
-                 F.count_if((F.col("_row") >= 2) & F.exists("cells", lambda x: x.isNotNull())).alias("n_data"))
-            .collect())  # one row per workbook
-    groups: dict[tuple, list[str]] = {}
-    for r in info:
-        if not r["n_data"]:
-            continue
-        header = list(r["header"] or [None] * r["width"])
-        header += [None] * (r["width"] - len(header))
-        names = tuple(_header_name(h, i) for i, h in enumerate(header))
-        groups.setdefault(names, []).append(r["path"])
-    if not groups:
+    columns are cast leniently, money columns as DECIMAL.  All workbooks must
+    end with the same columns; those without data rows are skipped.
+
+    Workbooks are decoded once, into the shared folder.  Each header row
+    becomes a list of cell positions, joined to the rows by path, so all
+    layouts are projected in one pass."""
+    if rows is None:
+        rows = shared_table(WB.pad_to_width(WB.read_workbooks(spark, paths)), "workbook-rows")
+    info, layouts = header_layouts(rows)
+    if not layouts:
         raise ValueError("no workbook holds data rows")
-    data = rows.filter((F.col("_row") >= 2) & F.exists("cells", lambda x: x.isNotNull()))
-    frames = []
-    for names, files in sorted(groups.items(), key=lambda kv: min(kv[1])):
-        canon = C.canonical_names(list(names))
-        d = data.filter(F.col("path").isin(files))
-        d = d.select("path", *[at("cells", i + 1).alias(n) for i, n in enumerate(canon)],
-                     *[at("kinds", i + 1).alias(f"{n}__kind") for i, n in enumerate(canon)
-                       if n in C.LONG_COLUMNS])
-        kinds = {n: F.col(f"{n}__kind") for n in canon if n in C.LONG_COLUMNS}
-        d = C.tag_source(d)
-        d = C.add_class(d)
-        d = C.cast_lenient(d, kinds=kinds)
-        d = d.drop("path", *[f"{n}__kind" for n in kinds])
-        d = C.ensure_columns(d, K.FIXED_COLUMNS, {"nomor": "long", "nup": "long"})
-        frames.append(d)
-    return C.union_strict(frames)
+    canon = [C.canonical_names(names) for names in layouts]
+    for names in canon:
+        if sorted(names) != sorted(canon[0]):
+            raise ValueError(f"column mismatch: {sorted(canon[0])} vs {sorted(names)}")
+        if "kode_barang" not in names:
+            raise ValueError("column 'kode_barang' is required to classify the rows")
+    read = canon[0]
+    known = spark.createDataFrame([(names, [own.index(c) + 1 for c in read]) for names, own in zip(layouts, canon)],
+                                  "names array<string>, places array<int>")
+    places = info.join(known, "names").select("path", "places")
+    data = rows.filter((F.col("_row") >= 2) & F.exists("cells", lambda x: x.isNotNull())).join(places, "path")
+
+    def typed(name: str) -> Column:
+        if name in computed:
+            return computed[name]
+        if name not in read:
+            return F.lit(None).cast("long" if name in C.LONG_COLUMNS else "string")
+        place = F.col("places")[read.index(name)]
+        value = at("cells", place)
+        if name in C.LONG_COLUMNS:
+            return C.lenient_long(value, at("kinds", place))
+        return C.lenient_money(value) if name in C.MONEY_COLUMNS else value
+    computed = {"golongan_bmn": classify_by_prefix(at("cells", F.col("places")[read.index("kode_barang")])),
+                "sumber_file": C.file_stem(F.col("path"))}
+    out = [*K.FIXED_COLUMNS, *[c for c in [*read, *computed] if c not in K.FIXED_COLUMNS]]
+    out = list(dict.fromkeys(out))
+    return data.select(*[typed(c).alias(f"__c{i}") for i, c in enumerate(out)]).toDF(*out)
 
 
 def build_register(spark: SparkSession, input_dir: str, out_path: str, fallback_dir: str | None = None,
@@ -87,7 +109,7 @@ def build_register(spark: SparkSession, input_dir: str, out_path: str, fallback_
     reg = register_frame(spark, paths)
     write_register(reg, out_path, partition_by=["golongan_bmn"] if partition_by_class else [],
                    sort_within=["nama_satker"])
-    return spark.read.parquet(out_path)
+    return read_register(spark, out_path, view=None)
 
 
 # --- E2: unit dimension ---------------------------------------------------------
@@ -107,8 +129,7 @@ def unit_dimension_frame(spark: SparkSession, export_path: str, rows: DataFrame
 
     def txt(n):
         return falsy_text(F.col(n), F.col(n + "__kind"))
-    active = py_strip(txt("status")) == F.lit(K.ACTIVE_STATUS)
-    d = pos.filter(active).select(
+    d = pos.filter(active_condition(txt("status"))).select(
         txt("kode_kl").alias("kode_kl"), txt("nama_kl").alias("nama_kl"),
         txt("kode_satker").alias("kode_satker"), txt("nama_satker").alias("nama_satker"),
         clean_place_contains(F.col("kab_kota_raw")).alias("kab_kota"))
@@ -135,7 +156,7 @@ def build_unit_dimension(spark: SparkSession, export_path: str, out_dir: str, re
         return units, None
     detail = unit_detail_frame(units, spark.read.parquet(register_path))
     detail.write.mode("overwrite").option("compression", "snappy").parquet(f"{out_dir}/satker_detail.parquet")
-    return units, spark.read.parquet(f"{out_dir}/satker_detail.parquet")
+    return units, read_detail(spark, f"{out_dir}/satker_detail.parquet")
 
 
 # --- E3 / E4: dashboards over the register --------------------------------------
@@ -168,32 +189,33 @@ def register_dashboard(spark: SparkSession, register: DataFrame, units: DataFram
                        place_cleaner=clean_place_exact) -> RegisterDashboard:
     """Every result of the register dashboard for one selection.
 
-    The filtered register feeds the metrics, the class summary with its
-    TOTAL row, the type counts and the place layer; ``fused`` computes the
-    class, type, place and total groups in a single scan (GROUPING SETS)
-    for callers that want one job.  Rankings ignore the selection."""
+    The register is read once, into a cube (one row per unit, class, type and
+    place) in the shared folder; options, metrics, summaries, place layer and
+    rankings are all small aggregates of it.  ``fused`` holds the class, type,
+    place and total groups of the selection.  Rankings ignore the selection."""
     sel = selection or Selection()
-    filtered = A.dashboard_filter(register, units, sel.classes, sel.types, sel.units, sel.agencies)
+    missing = C.validate_columns(register)
+    cube = shared_table(A.register_cube(register), "register-cube")
+    filtered = A.dashboard_filter(cube, units, sel.classes, sel.types, sel.units, sel.agencies)
     centre_df = M.centres_frame(spark, centres)
     options = {
-        "golongan_bmn": A.distinct_values(register, "golongan_bmn", order=K.CLASS_ORDER),
-        "jenis_bmn": A.distinct_values(register, "jenis_bmn"),
-        "nama_satker": A.distinct_values(register, "nama_satker"),
+        "golongan_bmn": A.distinct_values(cube, "golongan_bmn", order=K.CLASS_ORDER),
+        "jenis_bmn": A.distinct_values(cube, "jenis_bmn"),
+        "nama_satker": A.distinct_values(cube, "nama_satker"),
     }
-    if units is not None:
-        options["Nama K/L"] = A.distinct_values(units, "Nama K/L", drop_null=False)
     top_agencies = {}
     if units is not None:
-        top_agencies = {m: A.top_k_agencies(units, register, m) for m in ("value", "count")}
+        options["Nama K/L"] = A.distinct_values(units, "Nama K/L", drop_null=False)
+        top_agencies = {m: A.top_k_agencies(units, cube, m) for m in ("value", "count")}
     return RegisterDashboard(
-        missing_columns=C.validate_columns(register),
+        missing_columns=missing,
         options=options,
         metrics=A.metric_cards(filtered),
-        unit_count=A.count_units(register, units, sel.agencies, sel.units),
+        unit_count=A.count_units(cube, units, sel.agencies, sel.units),
         summary=A.summary_with_total(filtered),
         by_type=A.count_by_type(filtered),
         place_layer=M.asset_map_layer(filtered, centre_df, cleaner=place_cleaner),
-        top_units={m: A.top_k_units(register, m) for m in ("value", "count")},
+        top_units={m: A.top_k_units(cube, m) for m in ("value", "count")},
         top_agencies=top_agencies,
         fused=A.dashboard_grouping_sets(filtered),
     )
@@ -227,8 +249,10 @@ def unit_drilldown(spark: SparkSession, units: DataFrame, place: str | None = No
 class AchievementDashboard:
     status: DataFrame
     sheets: dict[str, DataFrame]
+    tables: dict[str, DataFrame]
     kpis: DataFrame | None
     summaries: DataFrame
+    category_total: DataFrame
     composition: DataFrame
     igt: DataFrame | None
     overview_labels: list[tuple[str, str]]
@@ -244,59 +268,91 @@ def load_tabs(parsed: DataFrame, names: Sequence[str] = K.SHEET_NAMES, cut_linea
     """Wide text frame per loaded tab (headers differ between tabs).
 
     Every dashboard result reads these rows, so with ``cut_lineage`` they are
-    checkpointed once into the shared folder named by
-    ``spark.checkpoint.dir``: a lost executor then re-reads the checkpoint
+    spread over the tasks by (tab, row) and written once into the shared folder
+    named by ``spark.checkpoint.dir``: a lost executor then re-reads them
     instead of re-parsing every payload."""
     headers, rows = P.normalize_payloads(parsed)
     if cut_lineage:
-        checkpoint_dir(parsed.sparkSession)
-        rows = rows.checkpoint(eager=True)
+        rows = shared_table(rows.repartition("sheet", "_row"), "tab-rows")
+    wanted = headers.filter(F.col("sheet").isin(list(names)))
     lists = {r["sheet"]: [h for _, h in sorted((x["_col"], x["header"]) for x in r["h"])]
-             for r in headers.groupBy("sheet").agg(F.collect_list(F.struct("_col", "header")).alias("h")).collect()}
-    out = {}
-    for name in names:
-        if name in lists:
-            out[name] = P.sheet_frame(headers, rows, name, lists[name]).drop("sheet")
-    return out
+             for r in wanted.groupBy("sheet").agg(F.collect_list(F.struct("_col", "header")).alias("h")).collect()}
+    return {name: P.sheet_frame(headers, rows, name, lists[name], with_sheet=False) for name in names if name in lists}
+
+
+def served_payloads(parsed: DataFrame, loads: DataFrame | None = None, no_cache: Sequence[str] = K.NO_CACHE_SHEETS
+                    ) -> tuple[DataFrame, DataFrame]:
+    """(status, payloads to show).  A tab whose latest load failed is served
+    from its last good copy, but never a ``no_cache`` tab.
+
+    Copies come from the load history (``data`` is the table as JSON), or,
+    without a history, from earlier payloads of ``parsed`` itself by their
+    ``ts``."""
+    if loads is not None:
+        status = SN.latest_good_snapshot(loads, no_cache=no_cache)
+        copies = status.filter("source = 'cache' AND data IS NOT NULL").select(
+            "sheet", F.concat(F.lit('{"status":"ok","table":'), F.col("data"), F.lit("}")).alias("text"))
+        live = parsed.join(status.filter("source IN ('cache', 'failed')").select("sheet"), "sheet", "left_anti")
+        keep = [c for c in ("ts",) if c in parsed.columns]
+        cached = P.parse_payloads(copies.select("*", *[F.lit(None).cast(parsed.schema[c].dataType).alias(c)
+                                                       for c in keep]), keep=keep)
+        return status, live.unionByName(cached)
+    timed = parsed if "ts" in parsed.columns else parsed.withColumn("ts", F.lit(None).cast("timestamp"))
+    history = timed.select("sheet", F.coalesce("ts", F.lit(0).cast("timestamp")).alias("ts"), "ok",
+                           F.lit(None).cast("string").alias("data"))
+    status = SN.latest_good_snapshot(history, no_cache=no_cache)
+    return status, timed.join(status.filter("source = 'failed'").select("sheet"), "sheet", "left_anti")
 
 
 def achievement_dashboard(spark: SparkSession, parsed: DataFrame, searches: Mapping[str, str] | None = None,
                           k3_problem: str | None = None, k3_filters: Mapping[str, Sequence[str]] | None = None,
                           loads: DataFrame | None = None) -> AchievementDashboard:
-    """All results of the achievement dashboard from parsed tab payloads."""
+    """All results of the achievement dashboard from parsed tab payloads.
+
+    With an overview row the K1..K3 summaries and the total are the overview's
+    parcels; without one they are counted from the tabs.  ``tab_counts`` holds
+    shown and all rows per tab; ``tables`` the rows shown, with informative
+    columns."""
     searches = searches or {}
-    status = (SN.latest_good_snapshot(loads) if loads is not None else
-              parsed.select("sheet", F.when(F.col("ok"), F.lit("live")).otherwise(F.lit("failed")).alias("source")))
-    tabs = load_tabs(parsed)
-    empty = spark.createDataFrame([], "name string, total long, completed long, percent long")
-    summaries = empty
-    for name in ("K1", "K2", "K3"):
-        if name in tabs:
-            summaries = summaries.unionByName(S.completion_summary(tabs[name], name))
+    status, served = served_payloads(parsed, loads)
+    tabs = load_tabs(served)
     cap = tabs.get("Capaian")
     kpis = S.achievement_kpis(cap) if cap is not None else None
-    tab_counts = {}
-    for name in ("K1", "K2", "K3", "IGT"):
-        if name in tabs:
-            hs = S.sheet_headers(tabs[name])
-            shown = S.search_condition_for(hs, searches.get(name))
-            tab_counts[name] = S.row_counts(tabs[name], shown)
-    k3 = tabs.get("K3")
-    k3_headers = S.informative_headers(k3) if k3 is not None else []
-    plan = tabs.get("ActionPlan")
+    overview = kpis.first() if kpis is not None else None  # one row at most
+    if overview is not None:
+        summaries = S.overview_summaries(kpis)
+        total = kpis.select(F.col("total_bidang").cast("long").alias("total"))
+        composition = S.composition(summaries, grand_total=overview["total_bidang"])
+    else:
+        summaries = spark.createDataFrame([], "name string, total long, completed long, percent long")
+        for name in ("K1", "K2", "K3"):
+            if name in tabs:
+                summaries = summaries.unionByName(S.completion_summary(tabs[name], name))
+        total = S.category_total_fallback(summaries)
+        composition = S.composition(summaries)
+    k3, plan = tabs.get("K3"), tabs.get("ActionPlan")
+    informative = {name: S.informative_headers(tab) for name, tab in tabs.items() if name != "ActionPlan"}
+    tables, tab_counts = {}, {}
+    for name, tab in tabs.items():
+        chosen = {"filters": k3_filters, "problem": k3_problem, "headers": informative["K3"]} if name == "K3" else {}
+        search = None if name == "Capaian" else searches.get(name)
+        tab_counts[name] = S.shown_counts(tab, search=search, **chosen)
+        if name != "ActionPlan":
+            tables[name] = S.pick_columns(S.filter_sheet(tab, search=search, **chosen), informative[name])
     return AchievementDashboard(
         status=status,
         sheets=tabs,
+        tables=tables,
         kpis=kpis,
         summaries=summaries,
-        composition=S.composition(summaries),
+        category_total=total,
+        composition=composition,
         igt=S.igt_kpi(tabs["IGT"]) if "IGT" in tabs else None,
-        overview_labels=S.relabel_positional(cap, S.informative_headers(cap)) if cap is not None else [],
+        overview_labels=S.relabel_positional(cap, informative["Capaian"]) if cap is not None else [],
         tab_counts=tab_counts,
         k3_pivot=S.problem_pivot(k3) if k3 is not None else None,
-        k3_rows=(S.filter_sheet(k3, k3_filters, searches.get("K3"), k3_problem, k3_headers)
-                 if k3 is not None else None),
-        k3_facets=(S.facet_options(k3, k3_filters, searches.get("K3"), k3_problem, k3_headers)
+        k3_rows=tables.get("K3"),
+        k3_facets=(S.facet_options(k3, k3_filters, searches.get("K3"), k3_problem, informative["K3"])
                    if k3 is not None else None),
         action_plan=(W.merge_spans(S.search_sheet(plan, searches.get("ActionPlan")))
                      if plan is not None else None),

@@ -8,14 +8,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.places import clean_place_exact
+from ..functions import numbers as NUM
+from ..functions.classify import natural_sort_key
+from ..functions.places import clean_place_contains, clean_place_exact
+from ..functions.text import text_or_blank
 from ..operators import aggregate as A
 from ..operators import maps as M
+from ..operators import sheets as S
+from ..operators import windows as W
+from ..operators.filters import drop_blank_rows, filter_active
+from ..sources import payloads as P
+from ..sources import snapshots as SN
+from ..sources.workbooks import read_positional
 from . import bindings as B
+from . import jobs as J
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,7 +58,8 @@ _UNIT_SUFFIX = "CASE " + " ".join(f"WHEN s.s_suppkey % {len(K.UNIT_TYPES)} = {i}
 UNITS_CTE = f"""
 units_dim AS (
   SELECT s.s_suppkey AS suppkey,
-         lpad(CAST(s.s_suppkey AS VARCHAR), {B.CODE_WIDTH}, '0') || {_UNIT_SUFFIX} AS kode_satker,
+         lpad(CAST(s.s_suppkey AS VARCHAR), CAST(greatest({B.CODE_WIDTH}, length(CAST(s.s_suppkey AS VARCHAR))) AS INTEGER), '0')
+           || {_UNIT_SUFFIX} AS kode_satker,
          s.s_name AS nama_satker,
          lpad(CAST(n.n_nationkey AS VARCHAR), 3, '0') AS kode_kl,
          n.n_name AS nama_kl,
@@ -90,9 +101,10 @@ FILTER_SQL = (f"golongan_bmn IN {_sql_in(SEL_CLASSES)} AND jenis_bmn IN {_sql_in
               f"(SELECT \"Nama Satker\" FROM units WHERE \"Nama K/L\" IN {_sql_in(SEL_AGENCIES)})")
 
 
-def _filtered_assets(spark, sf_dir):
-    return A.dashboard_filter(B.assets(spark, sf_dir), B.units(spark, sf_dir), classes=SEL_CLASSES,
-                              types=SEL_TYPES, agencies=SEL_AGENCIES)
+def _filtered_cube(spark, sf_dir):
+    """The sidebar selection over the register, as a cube: the agencies become
+    supplier keys, class and type filter its groups."""
+    return A.dashboard_filter(B.selected_cube(spark, sf_dir, SEL_AGENCIES), classes=SEL_CLASSES, types=SEL_TYPES)
 
 
 # --- register dashboard -----------------------------------------------------
@@ -121,7 +133,7 @@ def q_summary_with_total(spark, sf_dir):
 
 @query("summary_filtered", f"WITH {ASSETS_CTE}" + _TOTAL_SQL.format(where="WHERE " + FILTER_SQL))
 def q_summary_filtered(spark, sf_dir):
-    return A.summary_with_total(_filtered_assets(spark, sf_dir))
+    return A.summary_with_total(_filtered_cube(spark, sf_dir))
 
 
 _METRICS_SQL = """
@@ -138,7 +150,7 @@ def q_metric_cards(spark, sf_dir):
 
 @query("metric_cards_filtered", f"WITH {ASSETS_CTE}" + _METRICS_SQL.format(where="WHERE " + FILTER_SQL))
 def q_metric_cards_filtered(spark, sf_dir):
-    return A.metric_cards(_filtered_assets(spark, sf_dir))
+    return A.metric_cards(_filtered_cube(spark, sf_dir))
 
 
 @query("count_units", f"""WITH {ASSETS_CTE}
@@ -146,13 +158,13 @@ SELECT COUNT(DISTINCT nama_satker) AS jumlah_satker FROM assets
 WHERE nama_satker IS NOT NULL AND nama_satker IN
   (SELECT "Nama Satker" FROM units WHERE "Nama K/L" IN {_sql_in(SEL_AGENCIES)})""")
 def q_count_units(spark, sf_dir):
-    return A.count_units(B.assets(spark, sf_dir), B.units(spark, sf_dir), agencies=SEL_AGENCIES)
+    return A.count_units(B.selected_cube(spark, sf_dir, SEL_AGENCIES, ()), None, selected=True)
 
 
 @query("count_units_all", f"""WITH {UNITS_CTE}
 SELECT COUNT(*) AS jumlah_satker FROM units""")
 def q_count_units_all(spark, sf_dir):
-    return A.count_units(B.assets(spark, sf_dir), B.units(spark, sf_dir))
+    return A.count_units(B.assets(spark, sf_dir, with_units=False), B.units(spark, sf_dir))
 
 
 @query("count_by_type", f"""WITH {ASSETS_CTE}
@@ -176,7 +188,7 @@ def q_distinct_types(spark, sf_dir):
 @query("distinct_units", f"""WITH {ASSETS_CTE}
 SELECT DISTINCT nama_satker FROM assets WHERE nama_satker IS NOT NULL""")
 def q_distinct_units(spark, sf_dir):
-    return A.distinct_values(B.assets(spark, sf_dir), "nama_satker")
+    return A.distinct_values(B.asset_cube(spark, sf_dir, ()), "nama_satker")
 
 
 @query("distinct_agencies", f"""WITH {UNITS_CTE}
@@ -193,12 +205,12 @@ ORDER BY total_nilai DESC, nama ASC NULLS LAST LIMIT 20"""
 @query("top_units_value", f"WITH {ASSETS_CTE}" + _TOP_UNITS_SQL.format(
     agg="CAST(COALESCE(SUM(nilai_perolehan), 0) AS DOUBLE)"))
 def q_top_units_value(spark, sf_dir):
-    return A.top_k_units(B.assets(spark, sf_dir), "value")
+    return A.top_k_units(B.asset_cube(spark, sf_dir, ()), "value")
 
 
 @query("top_units_count", f"WITH {ASSETS_CTE}" + _TOP_UNITS_SQL.format(agg="COUNT(*)"))
 def q_top_units_count(spark, sf_dir):
-    return A.top_k_units(B.assets(spark, sf_dir), "count")
+    return A.top_k_units(B.asset_cube(spark, sf_dir, ()), "count")
 
 
 _TOP_AGENCIES_SQL = """
@@ -210,20 +222,19 @@ GROUP BY s."Nama K/L" ORDER BY total_nilai DESC, nama ASC NULLS LAST LIMIT 20"""
 @query("top_agencies_value", f"WITH {ASSETS_CTE}" + _TOP_AGENCIES_SQL.format(
     agg="CAST(COALESCE(SUM(m.nilai_perolehan), 0) AS DOUBLE)"))
 def q_top_agencies_value(spark, sf_dir):
-    return A.top_k_agencies(B.units(spark, sf_dir), B.assets(spark, sf_dir), "value")
+    return A.top_k_agencies(B.units(spark, sf_dir), B.asset_cube(spark, sf_dir, ()), "value")
 
 
 @query("top_agencies_count", f"WITH {ASSETS_CTE}" + _TOP_AGENCIES_SQL.format(agg="COUNT(m.nomor)"))
 def q_top_agencies_count(spark, sf_dir):
-    return A.top_k_agencies(B.units(spark, sf_dir), B.assets(spark, sf_dir), "count")
+    return A.top_k_agencies(B.units(spark, sf_dir), B.asset_cube(spark, sf_dir, ()), "count")
 
 
 @query("filter_agency_semi", f"""WITH {ASSETS_CTE}
 SELECT nomor, nup, nama_satker, golongan_bmn FROM assets
 WHERE nama_satker IN (SELECT "Nama Satker" FROM units WHERE "Nama K/L" IN {_sql_in(SEL_AGENCIES)})""")
 def q_filter_agency_semi(spark, sf_dir):
-    df = A.dashboard_filter(B.assets(spark, sf_dir), B.units(spark, sf_dir), agencies=SEL_AGENCIES)
-    return df.select("nomor", "nup", "nama_satker", "golongan_bmn")
+    return B.selected_assets(spark, sf_dir, SEL_AGENCIES).select("nomor", "nup", "nama_satker", "golongan_bmn")
 
 
 @query("dashboard_grouping_sets", f"""WITH {ASSETS_CTE}
@@ -237,7 +248,7 @@ SELECT CASE WHEN GROUPING(golongan_bmn) = 0 THEN 'golongan_bmn' WHEN GROUPING(je
 FROM assets WHERE {FILTER_SQL}
 GROUP BY GROUPING SETS ((golongan_bmn), (jenis_bmn), (kab_kota), ())""")
 def q_dashboard_grouping_sets(spark, sf_dir):
-    return A.dashboard_grouping_sets(_filtered_assets(spark, sf_dir))
+    return A.dashboard_grouping_sets(_filtered_cube(spark, sf_dir))
 
 
 # --- work-unit drill-down ---------------------------------------------------
@@ -327,7 +338,7 @@ SELECT a.kab_kota, c.lat, c.lon, a.jumlah_aset, a.total_nilai,
        '<b>' || a.kab_kota || '</b><br>Jumlah NUP: ' || format('{{:,}}', a.jumlah_aset) AS popup
 FROM agg a JOIN centres c ON a.kab_kota = c.place""")
 def q_place_layer(spark, sf_dir):
-    return M.asset_map_layer(B.assets(spark, sf_dir), M.centres_frame(spark, B.REGION_CENTRES),
+    return M.asset_map_layer(B.asset_cube(spark, sf_dir, ()), M.centres_frame(spark, B.REGION_CENTRES),
                              cleaner=clean_place_exact)
 
 
@@ -342,8 +353,6 @@ def q_unit_layer(spark, sf_dir):
 
 # --- achievement sheets -------------------------------------------------------
 
-from ..operators import sheets as S  # noqa: E402
-from ..operators import windows as W  # noqa: E402
 
 TARGET_HEADERS = ["Nomor", "Baris", "Kode Barang", "Jenis", "Status", "Progres", K.PROBLEM_COLUMN_NAME]
 
@@ -453,12 +462,7 @@ def q_k3_rows(spark, sf_dir):
 SELECT COUNT(*) FILTER (WHERE {sql_search(TARGET_HEADERS, FACET_SEARCH)} AND {_PROBLEM_SQL} = '{K3_PROBLEM}'
   AND {_sql_filters(FACET_FILTERS)}) AS shown, COUNT(*) AS total FROM target""")
 def q_row_counts(spark, sf_dir):
-    sheet = _target(spark, sf_dir)
-    from ..operators.filters import column_filter_conditions, search_condition
-    cond = search_condition(TARGET_HEADERS, FACET_SEARCH) & (S.problem_value(TARGET_HEADERS) == K3_PROBLEM)
-    for _, c in column_filter_conditions(TARGET_HEADERS, FACET_FILTERS):
-        cond = cond & c
-    return S.row_counts(sheet, cond)
+    return S.shown_counts(_target(spark, sf_dir), FACET_FILTERS, search=FACET_SEARCH, problem=K3_PROBLEM)
 
 
 _TAB_SQL = "CASE " + " ".join(f"WHEN \"Jenis\" = '{k}' THEN '{v}'" for k, v in B.TARGET_TABS.items()) + " END"
@@ -625,8 +629,6 @@ def q_informative_columns_strict(spark, sf_dir):
 
 # --- payload sources and snapshots ------------------------------------------
 
-from ..sources import payloads as P  # noqa: E402
-from ..sources import snapshots as SN  # noqa: E402
 
 PAGE_ROWS = 1000
 ROUNDTRIP_HEADERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
@@ -721,9 +723,6 @@ def q_load_report(spark, sf_dir):
 
 # --- scalar functions over derived texts ------------------------------------
 
-from ..functions import numbers as NUM  # noqa: E402
-from ..functions.places import clean_place_contains  # noqa: E402
-from ..plans import jobs as J  # noqa: E402
 
 
 def _pick_sql(words, expr: str) -> str:
@@ -846,4 +845,227 @@ SELECT DISTINCT kode_kl AS "Kode K/L", nama_kl AS "Nama K/L", kode_satker AS "Ko
 FROM units_dim WHERE nama_satker IN (SELECT nama_satker FROM assets)""")
 def q_restrict_to_used(spark, sf_dir):
     dim = B.unit_dimension(spark, sf_dir).drop("__suppkey")
-    return J.unit_detail_frame(dim, B.assets(spark, sf_dir))
+    return J.unit_detail_frame(dim, B.asset_cube(spark, sf_dir, ()))
+
+
+# --- order of sorted results ---------------------------------------------------
+
+def _positions(df: DataFrame) -> DataFrame:
+    """A sorted result with the position of each row: row ids rise along a
+    sorted frame, so their rank is the order the operator produced."""
+    marked = df.withColumn("__id", F.monotonically_increasing_id())
+    return marked.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__id"))).drop("__id")
+
+
+@query("type_count_order", f"""WITH {ASSETS_CTE}, c AS (SELECT jenis_bmn, COUNT(*) AS jumlah FROM assets GROUP BY jenis_bmn)
+SELECT *, row_number() OVER (ORDER BY jumlah DESC, jenis_bmn NULLS LAST) AS position FROM c""")
+def q_type_count_order(spark, sf_dir):
+    return _positions(A.count_by_type(B.assets(spark, sf_dir, with_units=False)))
+
+
+@query("agency_order", f"""WITH {UNITS_CTE},
+c AS (SELECT "Nama K/L", COUNT(*) AS jumlah_satker FROM units WHERE "Nama K/L" IS NOT NULL GROUP BY "Nama K/L")
+SELECT *, row_number() OVER (ORDER BY jumlah_satker DESC, "Nama K/L") AS position FROM c""")
+def q_agency_order(spark, sf_dir):
+    return _positions(A.units_per_agency(B.units(spark, sf_dir)))
+
+
+@query("listing_order", f"""WITH {UNITS_CTE}
+SELECT "Kode Satker", "Nama Satker", "Nama K/L",
+       row_number() OVER (ORDER BY "Nama K/L" NULLS LAST, "Kode Satker" NULLS LAST, "Nama Satker" NULLS LAST) AS position
+FROM units WHERE "Kab/Kota" = '{SEL_PLACE}'""")
+def q_listing_order(spark, sf_dir):
+    return _positions(A.unit_listing(B.units(spark, sf_dir), SEL_PLACE))
+
+
+@query("detail_order", f"""WITH {ASSETS_CTE}, d AS (SELECT DISTINCT * FROM units u
+                              WHERE u."Nama Satker" IN (SELECT nama_satker FROM assets))
+SELECT *, row_number() OVER (ORDER BY "Kab/Kota" NULLS LAST, "Nama K/L" NULLS LAST, "Nama Satker" NULLS LAST)
+          AS position
+FROM d""")
+def q_detail_order(spark, sf_dir):
+    names = B.asset_cube(spark, sf_dir, ()).select("nama_satker").distinct().withColumnRenamed("nama_satker", "Nama Satker")
+    used = B.units(spark, sf_dir).join(names, "Nama Satker", "left_semi").select(*K.UNIT_DETAIL_LABELS.values()).distinct()
+    return _positions(A.sort_multi(used, ["Kab/Kota", "Nama K/L", "Nama Satker"]))
+
+
+@query("class_order", f"""WITH {ASSETS_CTE}, c AS (SELECT DISTINCT golongan_bmn FROM assets WHERE golongan_bmn IS NOT NULL)
+SELECT golongan_bmn, row_number() OVER (ORDER BY {CLASS_POS} NULLS LAST, golongan_bmn) AS position FROM c""")
+def q_class_order(spark, sf_dir):
+    classes = A.distinct_values(B.assets(spark, sf_dir, with_units=False), "golongan_bmn")
+    return _positions(A.order_by_list(classes, "golongan_bmn", K.CLASS_ORDER))
+
+
+# Texts with a number of varying width behind a word in varying case.
+SIZE_LABEL_SQL = "(CASE WHEN p_size % 2 = 0 THEN 'Ukuran ' ELSE 'UKURAN ' END) || CAST(p_size * p_size * 997 AS VARCHAR)"
+
+
+@query("natural_order", f"""WITH c AS (SELECT DISTINCT p_size, {SIZE_LABEL_SQL} AS label FROM part)
+SELECT label, row_number() OVER (ORDER BY p_size) AS position FROM c""")
+def q_natural_order(spark, sf_dir):
+    size = F.col("p_size").cast("long")
+    label = F.concat(F.when(size % 2 == 0, F.lit("Ukuran ")).otherwise(F.lit("UKURAN ")),
+                     (size * size * 997).cast("string"))
+    labels = B.table(spark, sf_dir, "part").select(label.alias("label")).distinct()
+    return _positions(labels.orderBy(F.collate(natural_sort_key(F.col("label")), "id_CI_AI")))
+
+
+@query("facet_order", f"""WITH {TARGET_CTE},
+u AS (SELECT DISTINCT 0 AS place, 'Baris' AS header, {sql_filter_value('"Baris"')} AS value FROM target
+      UNION SELECT DISTINCT 1, 'Progres', {sql_filter_value('"Progres"')} FROM target
+      UNION SELECT DISTINCT 2, '{K.PROBLEM_COLUMN_NAME}', {sql_filter_value(_q(K.PROBLEM_COLUMN_NAME))} FROM target),
+l AS (SELECT *, CASE WHEN value = '{K.EMPTY_TOKEN}' THEN '{K.EMPTY_LABEL}' ELSE value END AS label FROM u)
+SELECT header, value, label, row_number() OVER (ORDER BY place, regexp_extract(lower(label), '^[^0-9]*'),
+           coalesce(TRY_CAST(regexp_extract(label, '[0-9]+') AS BIGINT), -1)) AS position FROM l""")
+def q_facet_order(spark, sf_dir):
+    return _positions(S.facet_options(_target(spark, sf_dir), headers=["Baris", "Progres", K.PROBLEM_COLUMN_NAME]))
+
+
+# --- headers of every kind -------------------------------------------------------
+
+ODD_HEADERS = ["No.", "Tgl. Terbit", "Status", "status", "Nilai `a`"]
+ODD_SQL = """odd AS (SELECT CAST(o_orderkey AS VARCHAR) AS h0, strftime(o_orderdate, '%Y-%m-%d') AS h1,
+                     o_orderstatus AS h2, lower(o_orderpriority) AS h3, CAST(o_custkey % 7 AS VARCHAR) AS h4 FROM orders)"""
+
+
+def _odd_sheet(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus",
+                    F.lower("o_orderpriority"), (F.col("o_custkey") % 7).cast("string")).toDF(*ODD_HEADERS)
+
+
+@query("odd_header_rows", f"""WITH {ODD_SQL} SELECT h0 AS c0, h1 AS c1, h2 AS c2, h3 AS c3, h4 AS c4 FROM odd
+WHERE h2 IN ('F', 'P') AND h3 <> '' AND h4 IN ('1', '3')
+  AND instr(lower(concat_ws(' ', h0, h1, h2, h3, h4)), '-03-') > 0""")
+def q_odd_header_rows(spark, sf_dir):
+    rows = S.filter_sheet(_odd_sheet(spark, sf_dir), {"Status": ["F", "P"], "Nilai `a`": ["1", "3"]}, search=" -03- ")
+    return rows.toDF(*[f"c{i}" for i in range(len(ODD_HEADERS))])
+
+
+@query("odd_header_facets", f"""WITH {ODD_SQL},
+u AS (SELECT 'Status' AS header, h2 AS value FROM odd WHERE h3 = '1-urgent'
+      UNION SELECT 'status', h3 FROM odd
+      UNION SELECT 'Nilai `a`', h4 FROM odd WHERE h3 = '1-urgent')
+SELECT header, value, value AS label FROM u""")
+def q_odd_header_facets(spark, sf_dir):
+    return S.facet_options(_odd_sheet(spark, sf_dir), {"status": ["1-urgent"]}, headers=ODD_HEADERS[2:])
+
+
+# --- further sheet and ingest operators --------------------------------------------
+
+PROMOTED_HEADERS = ["Nomor Order", "Pelanggan", "Status Order", "Prioritas"]
+
+
+@query("promoted_header_rows", f"""
+SELECT 'p' || CAST(o_orderkey // {PAGE_ROWS} AS VARCHAR) AS sheet,
+       CAST(row_number() OVER (PARTITION BY o_orderkey // {PAGE_ROWS} ORDER BY o_orderkey) - 1 AS BIGINT) AS _row,
+       CAST(o_orderkey AS VARCHAR) AS "Nomor Order", CAST(o_custkey AS VARCHAR) AS "Pelanggan",
+       o_orderstatus AS "Status Order", o_orderpriority AS "Prioritas"
+FROM orders""")
+def q_promoted_header_rows(spark, sf_dir):
+    """Tabs with letter headers whose first row holds the real ones."""
+    o = B.table(spark, sf_dir, "orders")
+    letters = ["A", "B", "C", "D"]
+    page = F.floor(F.col("o_orderkey") / PAGE_ROWS)
+    rows = o.select(page.alias("page"), F.col("o_orderkey").alias("place"), F.col("o_orderkey").cast("string").alias("A"),
+                    F.col("o_custkey").cast("string").alias("B"), F.col("o_orderstatus").alias("C"),
+                    F.col("o_orderpriority").alias("D"))
+    heads = rows.select("page").distinct().select(
+        "page", F.lit(-1).cast("long").alias("place"), *[F.lit(h).alias(x) for x, h in zip(letters, PROMOTED_HEADERS)])
+    tabs = P.to_payloads(rows.unionByName(heads), F.concat(F.lit("p"), F.col("page").cast("string")), letters,
+                         F.col("place"))
+    headers, out = P.normalize_payloads(P.parse_payloads(tabs))
+    return P.sheet_frame(headers, out, header_list=PROMOTED_HEADERS)
+
+
+@query("active_suppliers", """
+SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 <> 1""")
+def q_active_suppliers(spark, sf_dir):
+    key = F.col("s_suppkey") % 3
+    status = (F.when(key == 0, F.lit(K.ACTIVE_STATUS)).when(key == 2, F.lit(f"\t{K.ACTIVE_STATUS} "))
+              .otherwise(F.lit("Tidak")))
+    rows = B.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", status.alias("status"))
+    return filter_active(rows, "status").drop("status")
+
+
+@query("nonblank_rows", """
+SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN ' ' ELSE o_orderstatus END AS a,
+       CASE WHEN o_custkey % 3 = 0 THEN '' ELSE o_orderpriority END AS b
+FROM orders WHERE o_custkey % 6 <> 0""")
+def q_nonblank_rows(spark, sf_dir):
+    c = F.col("o_custkey")
+    rows = B.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(c % 2 == 0, F.lit(" ")).otherwise(F.col("o_orderstatus")).alias("a"),
+        F.when(c % 3 == 0, F.lit("")).otherwise(F.col("o_orderpriority")).alias("b"))
+    return drop_blank_rows(rows, ["a", "b"], blank_is_empty=True)
+
+
+@query("positional_rows", """
+SELECT p_type AS jenis, CAST(p_size AS VARCHAR) AS nup, p_brand AS merek, 'n' AS nup__kind FROM part
+UNION ALL SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR), c_name, 'n' FROM customer""")
+def q_positional_rows(spark, sf_dir):
+    rows = read_positional(B.register_rows(spark, sf_dir), {"jenis": 1, "nup": 3, "merek": 5}, 6)
+    return rows.select("jenis", "nup", "merek", "nup__kind")
+
+
+@query("appended_total", f"""WITH {ASSETS_CTE},
+s AS (SELECT golongan_bmn, COUNT(*) AS jumlah_aset,
+             CAST(COALESCE(SUM(nilai_perolehan), 0) AS DOUBLE) AS total_nilai_perolehan,
+             CAST(COALESCE(SUM(nilai_buku), 0) AS DOUBLE) AS total_nilai_buku FROM assets GROUP BY golongan_bmn)
+SELECT * FROM s UNION ALL
+SELECT '{K.TOTAL_LABEL}', COUNT(*), CAST(COALESCE(SUM(nilai_perolehan), 0) AS DOUBLE),
+       CAST(COALESCE(SUM(nilai_buku), 0) AS DOUBLE) FROM assets""")
+def q_appended_total(spark, sf_dir):
+    rows = B.assets(spark, sf_dir, with_units=False)
+    return A.append_total(A.summary_by_class(rows), A.metric_cards(rows), "golongan_bmn")
+
+
+@query("falsy_texts", """
+SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN '' ELSE CAST(o_custkey % 5 AS VARCHAR) END AS number_text,
+       CAST(o_custkey % 5 AS VARCHAR) AS text_text, CASE WHEN o_custkey % 2 = 0 THEN '' ELSE '000' END AS zeros
+FROM orders""")
+def q_falsy_texts(spark, sf_dir):
+    c = F.col("o_custkey") % 5
+    return B.table(spark, sf_dir, "orders").select(
+        "o_orderkey", text_or_blank(c).alias("number_text"), text_or_blank(c.cast("string")).alias("text_text"),
+        text_or_blank(F.when(F.col("o_custkey") % 2 != 0, F.lit("000"))).alias("zeros"))
+
+
+@query("category_total", f"""WITH {TARGET_CTE}, {_COMPLETION_SQL}
+SELECT CAST(SUM(total) AS BIGINT) AS total FROM c""")
+def q_category_total(spark, sf_dir):
+    tab = F.element_at(F.create_map(*[F.lit(x) for kv in B.TARGET_TABS.items() for x in kv]), F.col("Jenis"))
+    return S.category_total_fallback(S.completion_summary(_target(spark, sf_dir), "", by=tab))
+
+
+@query("k3_counts", f"""WITH {TARGET_CTE}
+SELECT COUNT(*) FILTER (WHERE {sql_search(TARGET_HEADERS, FACET_SEARCH)} AND {_PROBLEM_SQL} = '{K3_PROBLEM}'
+  AND {_sql_filters(FACET_FILTERS)}) AS shown, COUNT(*) AS total FROM target WHERE "Jenis" = 'R'""")
+def q_k3_counts(spark, sf_dir):
+    tab = _target(spark, sf_dir).filter(F.col("Jenis") == "R")
+    return S.shown_counts(tab, FACET_FILTERS, search=FACET_SEARCH, problem=K3_PROBLEM)
+
+
+FALLBACK_NO_CACHE = ["p0"]
+
+
+@query("tab_fallback_rows", f"""WITH o AS (SELECT *, o_orderkey // {PAGE_ROWS} AS page FROM orders)
+SELECT 'p' || CAST(page AS VARCHAR) AS sheet,
+       CAST(row_number() OVER (PARTITION BY page ORDER BY o_orderkey) - 1 AS BIGINT) AS _row,
+       CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderpriority
+FROM o WHERE 'p' || CAST(page AS VARCHAR) NOT IN {_sql_in(FALLBACK_NO_CACHE)}""")
+def q_tab_fallback_rows(spark, sf_dir):
+    """Every second tab's last load failed: it is served from the copy before,
+    but a tab that may not be served from a copy is not shown."""
+    headers = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    o = B.table(spark, sf_dir, "orders").withColumn("page", F.floor(F.col("o_orderkey") / PAGE_ROWS))
+    texts = o.select(F.concat(F.lit("p"), F.col("page").cast("string")).alias("__page"),
+                     F.col("o_orderkey").alias("place"), *[F.col(h).cast("string").alias(h) for h in headers])
+    good = P.to_payloads(texts, F.col("__page"), headers, F.col("place")).select(
+        "sheet", F.lit(1).cast("timestamp").alias("ts"), "text")
+    failed = o.filter("page % 2 = 0").select(F.concat(F.lit("p"), F.col("page").cast("string")).alias("sheet"),
+                                            F.lit(2).cast("timestamp").alias("ts"), F.lit("broken").alias("text")).distinct()
+    parsed = P.parse_payloads(good.unionByName(failed), keep=["ts"])
+    _, served = J.served_payloads(parsed, no_cache=FALLBACK_NO_CACHE)
+    names, rows = P.normalize_payloads(served)
+    return P.sheet_frame(names, rows, header_list=headers)

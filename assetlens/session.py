@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on.  AQE re-plans joins and partition counts at
 # runtime (broadcast only when the measured side is small, split skewed
@@ -64,27 +64,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for an intermediate table."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
-def broadcast_threshold_bytes(spark: SparkSession) -> int:
-    """The session's broadcast threshold in bytes (-1 = broadcasting off)."""
-    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for suffix in sorted(units, key=len, reverse=True):
-        if raw.endswith(suffix) and raw[: -len(suffix)].strip().lstrip("-").isdigit():
-            return int(raw[: -len(suffix)]) * units[suffix]
-    return int(raw)
-
-
-def sized_broadcast(df, max_rows: int, row_bytes: int, spark: SparkSession):
-    """Broadcast ``df`` only when its proven row bound times the row width
-    fits the session's broadcast threshold; otherwise leave the join to the
-    planner (shuffled join, AQE)."""
-    from pyspark.sql import functions as F
-    limit = broadcast_threshold_bytes(spark)
-    if limit > 0 and max_rows * row_bytes <= limit:
-        return F.broadcast(df)
-    return df
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it
+    back: cuts the lineage, and survives the loss of executors."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,12 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import constants as K
+from ..functions.text import qcol
+
 REGISTER_VIEW = "master_aset"
 
 
 def read_register(spark: SparkSession, path: str, view: str | None = REGISTER_VIEW) -> DataFrame:
-    """Scan the register and (optionally) expose it as a SQL view."""
+    """Scan the register, its fixed columns in front in their order (folder
+    columns are read back last), and (optionally) expose it as a SQL view."""
     df = spark.read.parquet(path)
+    fixed = [c for c in K.FIXED_COLUMNS if c in df.columns]
+    df = df.select(*fixed, *[qcol(c) for c in df.columns if c not in fixed])
     if view:
         df.createOrReplaceTempView(view)
     return df
@@ -25,10 +31,12 @@ def write_register(df: DataFrame, path: str, partition_by: Sequence[str] = (), s
                    mode: str = "overwrite") -> None:
     """Snappy Parquet (min/max statistics are written by default).  With
     ``partition_by`` the folders allow partition pruning; ``sort_within``
-    clusters rows so row-group statistics skip more."""
+    clusters rows so row-group statistics skip more.  Rows are rebalanced by
+    the folder columns: small ones are written by one task each, and AQE
+    splits one that holds most rows over many tasks and files."""
     out = df
     if partition_by:
-        out = out.repartition(*partition_by)
+        out = out.hint("rebalance", *partition_by)
     if sort_within:
         out = out.sortWithinPartitions(*sort_within)
     w = out.write.mode(mode).option("compression", "snappy")

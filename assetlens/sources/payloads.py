@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import at, clean_header, js_trim
+from ..functions.text import at, clean_header, js_trim, let
 
 PAYLOAD_SCHEMA = (
     "status STRING, errors ARRAY<STRUCT<reason: STRING, message: STRING, detailed_message: STRING>>, "
@@ -31,22 +31,19 @@ def value_text(v: Column) -> Column:
     they are, numbers in their shortest form (``1.0`` -> ``1``), booleans as
     true/false, NULL as NULL.  The value is parsed as VARIANT, so the JSON
     type is known; only a double (exponent form) needs re-formatting."""
-    s = F.try_variant_get(v, "$", "string")
-    d = F.try_variant_get(v, "$", "double")
-    integral = (d == F.floor(d)) & (F.abs(d) < F.lit(1e21))
-    is_double = s.contains("E") & (F.schema_of_variant(v) == "DOUBLE")
-    return (F.when(is_double & integral, d.cast("decimal(38,0)").cast("string"))
-            .when(is_double, d.cast("string"))
-            .otherwise(s))
+    def exponent_form(s: Column) -> Column:
+        d = F.try_variant_get(v, "$", "double")
+        integral = (d == F.floor(d)) & (F.abs(d) < F.lit(1e21))
+        is_double = s.contains("E") & (F.schema_of_variant(v) == "DOUBLE")
+        return (F.when(is_double & integral, d.cast("decimal(38,0)").cast("string"))
+                .when(is_double, d.cast("string"))
+                .otherwise(s))
+    return let(F.try_variant_get(v, "$", "string"), exponent_form)
 
 
 def cell_text(c: Column) -> Column:
     """Displayed text of a cell: formatted value, else value, else ''; trimmed."""
-    return (F.when(c.isNull(), F.lit(""))
-            .when(c["f"].isNotNull(), js_trim(c["f"]))
-            .when(c["v"].isNull(), F.lit(""))
-            .when(value_text(c["v"]).isNull(), F.lit(""))
-            .otherwise(js_trim(value_text(c["v"]))))
+    return js_trim(F.coalesce(c["f"], F.when(c["v"].isNotNull(), value_text(c["v"])), F.lit("")))
 
 
 def sheet_of_file(name: Column) -> Column:
@@ -78,7 +75,7 @@ def parse_payloads(texts: DataFrame, sheet_col: str = "sheet", text_col: str = "
                                     lambda e: F.coalesce(e["detailed_message"], e["message"])), " ")
     bad_status = F.col("p.status").isNotNull() & (F.col("p.status") != "ok")
     error = (F.when(F.col("__body") == "", F.lit(MSG_UNKNOWN_FORMAT))
-             .when(F.col("p").isNull(), F.lit(MSG_UNKNOWN_FORMAT))
+             .when(F.col("p.table").isNull() & F.try_parse_json(F.col("__body")).isNull(), F.lit(MSG_UNKNOWN_FORMAT))
              .when(bad_status, F.when(msgs != "", msgs).otherwise(
                  F.concat(F.lit("Google Sheet "), F.col("sheet"), F.lit(" tidak dapat dibaca."))))
              .when(F.col("p.table").isNull(),
@@ -91,36 +88,14 @@ def read_sheet_payloads(spark: SparkSession, path: str, glob: str = "*.json") ->
     return parse_payloads(read_payload_files(spark, path, glob), keep=["ts"])
 
 
-# --- header rules, applied to the header array of one tab -------------------
-
-def unique_header_array(headers: Column) -> Column:
-    """Blank -> 'Kolom n'; the k-th repeat of a name gets the suffix ' k'."""
-    bases = F.transform(headers, lambda h, i: F.when(clean_header(h) == "", F.concat(
-        F.lit(K.GENERIC_COLUMN_PREFIX + " "), (i + 1).cast("string"))).otherwise(clean_header(h)))
-    return F.transform(bases, lambda b, i: F.when(
-        F.size(F.filter(F.slice(bases, 1, i), lambda x: x == b)) == 0, b).otherwise(
-        F.concat(b, F.lit(" "), (F.size(F.filter(F.slice(bases, 1, i), lambda x: x == b)) + 1).cast("string"))))
-
-
-def generic_headers(headers: Column, case_insensitive: bool = K.GENERIC_HEADER_PATTERN_CASE_INSENSITIVE) -> Column:
-    """Every header looks generic (letters only, 'Kolom n' or one letter);
-    also true for no headers."""
-    pattern = ("(?i)" if case_insensitive else "") + K.GENERIC_HEADER_PATTERN
-    return F.forall(headers, lambda h: h.rlike(pattern))
-
-
-# A tab is at most this wide (the spreadsheet service's column limit), so a
-# window over one tab's header cells is bounded.
-MAX_SHEET_COLUMNS = 18_278
-
+# --- header rules -------------------------------------------------------------
 
 def _unique_names(df: DataFrame) -> DataFrame:
     """(sheet, _col, header) -> same with unique names: blank -> 'Kolom n',
-    the k-th repeat of a name gets ' k'.  One window per (tab, name); a
-    tab's header row is bounded by ``MAX_SHEET_COLUMNS``."""
-    base = clean_header(F.col("header"))
-    d = df.withColumn("header", F.when(base == "", F.concat(
-        F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col("_col") + 1).cast("string"))).otherwise(base))
+    the k-th repeat of a name gets ' k'.  One window per (tab, name) over the
+    cells of one header row."""
+    d = df.withColumn("header", F.coalesce(F.nullif(clean_header(F.col("header")), F.lit("")), F.concat(
+        F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col("_col") + 1).cast("string"))))
     k = F.row_number().over(Window.partitionBy("sheet", "header").orderBy("_col"))
     return d.select("sheet", "_col", F.when(k == 1, F.col("header")).otherwise(
         F.concat(F.col("header"), F.lit(" "), k.cast("string"))).alias("header"))
@@ -138,10 +113,14 @@ def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEA
 
     Rows are exploded once; one aggregate gives each tab's row count, widths
     and first row; header work runs on long header tables (one row per
-    header cell)."""
+    header cell).  A tab that landed several times counts once: its latest
+    good payload by ``ts`` (without one, any single payload)."""
     # One exchange over the parsed tabs: every branch below reads it, and
     # Spark reuses the exchange, so each payload is parsed once.
-    ok = parsed.filter("ok").select("sheet", "table").repartition("sheet")
+    newest = [F.col("ts").desc_nulls_last()] if "ts" in parsed.columns else [F.lit(0)]
+    latest = F.row_number().over(Window.partitionBy("sheet").orderBy(*newest))
+    ok = (parsed.filter("ok").select("sheet", "table", latest.alias("__nth")).filter("__nth = 1")
+          .select("sheet", "table"))
     rows = ok.select("sheet", F.posexplode(F.coalesce(F.col("table.rows"), F.array())).alias("__pos", "r"))
     rows = rows.select("sheet", "__pos", F.transform(F.coalesce(F.col("r.c"), F.array()), cell_text).alias("cells"))
     # Per-tab facts straight from the payload row (sizes only, no cell text
@@ -191,7 +170,7 @@ def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEA
 
 
 def sheet_frame(headers: DataFrame, rows: DataFrame, sheet: str | None = None,
-                header_list: Sequence[str] | None = None) -> DataFrame:
+                header_list: Sequence[str] | None = None, with_sheet: bool = True) -> DataFrame:
     """Wide text sheet (sheet, _row, <headers>...).  The header list is
     metadata (one name per column), read from ``headers`` unless given; all
     selected tabs must share it."""
@@ -200,14 +179,16 @@ def sheet_frame(headers: DataFrame, rows: DataFrame, sheet: str | None = None,
         rows = rows.filter(F.col("sheet") == sheet)
     if header_list is None:
         lists = (headers.groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("_col", "header"))).alias("h"))
-                 .select(F.transform("h", lambda x: x["header"]).alias("h")).distinct().collect())
+                 .select(F.transform("h", lambda x: x["header"]).alias("h")).distinct().limit(2).collect())
         if len(lists) > 1:
             raise ValueError("tabs with different headers cannot share one frame")
         header_list = list(lists[0]["h"]) if lists else []
     dupes = {h for h in header_list if list(header_list).count(h) > 1}
     if dupes:
         raise ValueError(f"duplicate headers after suffixing: {sorted(dupes)}")
-    return rows.select("sheet", "_row", *[at("cells", i + 1).alias(h) for i, h in enumerate(header_list)])
+    own = ["sheet", "_row"] if with_sheet else ["_row"]
+    return rows.select(*own, *[at("cells", i + 1).alias(f"__c{i}") for i in range(len(header_list))]).toDF(
+        *own, *header_list)
 
 
 def sheet_with_letter_headers(parsed: DataFrame) -> DataFrame:
@@ -224,14 +205,15 @@ def sheet_with_letter_headers(parsed: DataFrame) -> DataFrame:
 
 
 def column_letters(index: Column) -> Column:
-    """Zero-based column index -> A, B, ..., Z, AA, ... (bijective base 26,
-    up to three letters)."""
-    n = index + 1
-    c1 = F.when(n > 702, F.char(F.lit(64) + F.floor((n - 703) / 676) + 1))
-    rem = F.when(n > 702, (n - 703) % 676 + 27).otherwise(n)
-    c2 = F.when(rem > 26, F.char(F.lit(64) + F.floor((rem - 27) / 26) + 1))
-    c3 = F.char(F.lit(65) + (rem - 1) % 26)
-    return F.concat(F.coalesce(c1, F.lit("")), F.coalesce(c2, F.lit("")), c3)
+    """Zero-based column index -> A, B, ..., Z, AA, ... (bijective base 26).
+    Thirteen letters name every column that a 64-bit index can count."""
+    letters, shorter = [], 0
+    for place in range(13):
+        # ``shorter`` names have fewer letters than this place needs.
+        at_place = F.call_function("div", index.cast("long") - F.lit(shorter), F.lit(26 ** place))
+        letters.append(F.when(index >= shorter, F.char(F.lit(65) + at_place % 26)).otherwise(F.lit("")))
+        shorter += 26 ** (place + 1)
+    return F.concat(*reversed(letters))
 
 
 def to_payloads(df: DataFrame, sheet: Column, headers: Sequence[str], row_order: Column,

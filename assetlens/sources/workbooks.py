@@ -20,6 +20,7 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from ..functions.text import at
@@ -44,7 +45,9 @@ def discover_inputs(spark: SparkSession, input_dir: str, fallback_dir: str | Non
         try:
             rows = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(d)
                     .select("path").collect())
-        except Exception:  # noqa: BLE001 - a missing folder lists nothing
+        except AnalysisException as e:  # a missing folder lists nothing; any other error is one
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return []
         return sorted(r["path"] for r in rows if r["path"].rsplit("/", 1)[-1] not in set(exclude))
     found = listing(input_dir)
@@ -206,12 +209,12 @@ def read_workbooks(spark: SparkSession, paths: Sequence[str] | str, batch_rows:
 
     One workbook per input partition (``maxPartitionBytes`` = 1 byte keeps
     files apart), decoded in Arrow batches, then hash-repartitioned on
-    (path, _row) so that a single huge workbook does not stay one task."""
+    (path, _row) so that a single huge workbook does not stay one task; AQE
+    sizes those partitions unless ``partitions`` pins their number."""
     files = (spark.read.format("binaryFile").option("maxPartitionBytes", "1")
              .load(list(paths) if not isinstance(paths, str) else paths))
     rows = files.select("path", "content").mapInPandas(_decode_batches(batch_rows), ROWS_SCHEMA)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "path", "_row")
+    return rows.repartition(partitions, "path", "_row") if partitions else rows.repartition("path", "_row")
 
 
 def pad_to_width(rows: DataFrame, key: str = "path") -> DataFrame:

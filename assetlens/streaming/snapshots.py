@@ -45,15 +45,23 @@ def status_stream(payloads: DataFrame, no_cache: Sequence[str] = K.NO_CACHE_SHEE
 def start_status_query(spark: SparkSession, landing_dir: str, checkpoint: str, sink: str | None = None,
                        query_name: str = "tab_status", no_cache: Sequence[str] = K.NO_CACHE_SHEETS,
                        trigger_seconds: int | None = None) -> StreamingQuery:
-    """Run the status stream.  With ``sink`` each micro-batch rewrites the
-    status table at that (shared) path; without it the result is an
-    in-memory table named ``query_name`` (tests)."""
+    """Run the status stream.  With ``sink`` each micro-batch writes the
+    status as a version of its own under that (shared) path, which
+    ``read_status`` picks the latest of, so readers never meet a half-written
+    one; without it the result is an in-memory table named ``query_name``
+    (tests)."""
     status = status_stream(payload_stream(spark, landing_dir), no_cache)
     w = status.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).queryName(query_name)
     if trigger_seconds:
         w = w.trigger(processingTime=f"{trigger_seconds} seconds")
     if sink:
-        def write(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(sink)
+        def write(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{sink}/version={epoch}")
         return w.foreachBatch(write).start()
     return w.format("memory").start()
+
+
+def read_status(spark: SparkSession, sink: str) -> DataFrame:
+    """The latest version that the status query wrote."""
+    versions = spark.read.parquet(sink)
+    return versions.join(versions.agg(F.max("version").alias("version")), "version").drop("version")

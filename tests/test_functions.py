@@ -76,7 +76,9 @@ def test_metric_with_pct(spark):
 
 
 def test_text_or_blank(spark):
-    assert one_col(spark, ["0", "x", "", None], text_or_blank) == ["", "x", "", ""]
+    # Only a number is falsy as zero; the texts stay.
+    assert one_col(spark, ["0", "000", "x", "", None], text_or_blank) == ["0", "000", "x", "", ""]
+    assert one_col(spark, [0, 7, None], text_or_blank, "long") == ["", "7", ""]
 
 
 def test_natural_sort_key(spark):
@@ -84,6 +86,11 @@ def test_natural_sort_key(spark):
     keys = one_col(spark, vals, natural_sort_key)
     order = [v for _, v in sorted(zip(keys, vals))]
     assert order == ["b", "Item 1", "item 2", "item 10"]
+    # Runs of any length keep their value.
+    long = ["x " + "1" * 31, "x " + "1" * 32, "x 2" + "0" * 31, "x 1" + "0" * 31 + "2"]
+    keys = one_col(spark, long, natural_sort_key)
+    assert len(set(keys)) == 4
+    assert [v for _, v in sorted(zip(keys, long))] == sorted(long, key=lambda v: int(v[2:]))
 
 
 @pytest.mark.parametrize("q,ok", [("foo", True), ("O B", True), (" bar ", True), ("foobar", False)])

@@ -103,3 +103,91 @@ def test_error_paths(spark):
     rows = spark.createDataFrame([("t", 0, ["1", "2"])], "sheet string, _row long, cells array<string>")
     with pytest.raises(ValueError):
         sheet_frame(headers, rows)
+
+
+def test_register_layouts_and_odd_headers(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    os.makedirs(d)
+    one = ["No", "Kode Barang", "NUP", "Tgl. Terbit", "Status", "status"]
+    two = ["status", "Kode Barang", "Status", "NUP", "Tgl. Terbit", "No"]
+    for i in range(6):
+        header, row = (one, [i, "2010101", 9007199254740993, "1-1", "S", "s"]) if i % 2 else (
+            two, ["s", "3010101", "S", "9007199254740993", "1-1", i])
+        write_xlsx(os.path.join(d, f"aset_{i}.xlsx"), [header, row])
+    write_xlsx(os.path.join(d, "empty.xlsx"), [["other"]])
+    rows = WB.pad_to_width(WB.read_workbooks(spark, WB.discover_inputs(spark, d)))
+    info, layouts = J.header_layouts(rows)
+    assert info.count() == 6 and sorted(layouts) == sorted([one, two])
+    reg = J.register_frame(spark, WB.discover_inputs(spark, d))
+    got = [dict(zip(reg.columns, r)) for r in reg.collect()]
+    assert len(got) == 6
+    for r in got:
+        assert (r["Tgl. Terbit"], r["Status"], r["status"]) == ("1-1", "S", "s")
+        assert r["golongan_bmn"] == ("TANAH" if r["nomor"] % 2 else "PERALATAN DAN MESIN")
+    assert {r["nup"] for r in got} == {9007199254740993}
+
+
+def test_cast_and_ensure_with_odd_headers(spark):
+    from assetlens.operators.columns import cast_lenient, ensure_columns
+    df = spark.createDataFrame([("1", "12.50", "x", "y")], "a string, b string, c string, d string").toDF(
+        "nomor", "nilai_buku", "No. Urut", "no. urut")
+    out = ensure_columns(cast_lenient(df, text_cols=["No. Urut"]), types={"nup": "long"})
+    assert out.columns[-3:] == ["nilai_buku", "No. Urut", "no. urut"]
+    assert out.first()[0] == 1 and out.first()[-1] == "y"
+
+
+def test_missing_folder_lists_nothing_but_other_errors_show(spark, tmp_dir):
+    import pytest
+    assert WB.discover_inputs(spark, os.path.join(tmp_dir, "absent")) == []
+    with pytest.raises(Exception):
+        WB.discover_inputs(spark, "nosuchscheme://store/in")
+
+
+def test_hot_class_is_split_over_files(spark, tmp_dir):
+    from assetlens.sources.parquet import read_detail, read_register, write_register
+    out = os.path.join(tmp_dir, "hot.parquet")
+    rows = spark.range(0, 20_000, 1, 8).selectExpr(
+        "id AS nomor", "'A' AS jenis_bmn", "CAST(id AS string) AS kode_satker", "uuid() AS nama_satker",
+        "CAST(id AS string) AS kode_barang", "id AS nup", "IF(id % 10 = 0, 'TANAH', 'PERSEDIAAN') AS golongan_bmn",
+        "uuid() AS `Tgl. Terbit`")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100k")
+    try:
+        write_register(rows, out, partition_by=["golongan_bmn"], sort_within=["nama_satker"])
+    finally:
+        spark.conf.set(key, before)
+    hot = [f for f in os.listdir(os.path.join(out, "golongan_bmn=PERSEDIAAN")) if f.endswith(".parquet")]
+    assert len(hot) > 1
+    back = read_register(spark, out)
+    assert back.columns == rows.columns and back.count() == 20_000
+    assert spark.table("master_aset").count() == 20_000
+    assert read_detail(spark, out).count() == 20_000
+
+
+def test_unit_dimension_job(spark, tmp_dir):
+    export = os.path.join(tmp_dir, "Export_UAKPB.xlsx")
+    row = [None] * 25
+    row[1], row[2], row[3], row[4], row[19], row[22] = "001KD", "Unit A", 15, "Kementerian X", "AKTIF", "Badung"
+    write_xlsx(export, [["h"] * 25, row])
+    register = os.path.join(tmp_dir, "register")
+    spark.createDataFrame([("Unit A",)], "nama_satker string").write.parquet(register)
+    units, detail = J.build_unit_dimension(spark, export, os.path.join(tmp_dir, "units"), register)
+    assert [r["nama_satker"] for r in units.collect()] == ["Unit A"]
+    assert [r["Nama Satker"] for r in detail.collect()] == ["Unit A"]
+
+
+def test_load_history_and_payload_files(spark, tmp_dir):
+    from assetlens.sources.payloads import read_sheet_payloads
+    from assetlens.sources.snapshots import append_loads, latest_good_snapshot
+    landing = os.path.join(tmp_dir, "landing")
+    os.makedirs(landing)
+    with open(os.path.join(landing, "K1__2.json"), "w") as f:
+        f.write('cb({"status":"ok","table":{"cols":[{"label":"Nama Unit"}],"rows":[{"c":[{"v":"x"}]}]}});')
+    parsed = read_sheet_payloads(spark, landing)
+    assert [(r["sheet"], r["ok"]) for r in parsed.collect()] == [("K1", True)]
+    history = os.path.join(tmp_dir, "history")
+    for ok in (True, False):
+        append_loads(spark.createDataFrame([("K1", int(not ok), ok, "d")], "sheet string, ts long, ok boolean, data string"),
+                     history)
+    assert latest_good_snapshot(spark.read.parquet(history)).first()["source"] == "cache"

@@ -5,8 +5,10 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from assetlens.operators import aggregate as A
 from assetlens.plans import bindings as B
 from assetlens.plans import jobs as J
 from assetlens.plans import queries as Q
@@ -68,10 +70,9 @@ def test_topk_plans_take_ordered(spark):
 
 
 def test_agency_semi_join_and_no_python(spark):
-    df = E.queries()["filter_agency_semi"](spark, SF_SMALL)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" in plan
+    df = A.dashboard_filter(B.assets(spark, SF_SMALL), B.units(spark, SF_SMALL), agencies=Q.SEL_AGENCIES)
+    assert "LeftSemi" in _plan(df)
+    assert df.count() == E.queries()["filter_agency_semi"](spark, SF_SMALL).count()
     for name in ("summary_filtered", "dashboard_grouping_sets", "facet_options", "merge_spans", "place_layer"):
         p = _plan(E.queries()[name](spark, SF_SMALL))
         assert "Python" not in p and "ArrowEvalPython" not in p, name
@@ -141,11 +142,66 @@ def test_register_dashboard_job(spark):
     assert drill.listing.count() == drill.overview.first()["jumlah_satker"]
 
 
-def test_lineitem_not_shuffled_for_unit_dimension(spark):
-    # The unit dimension is broadcast behind its size check, so the large
-    # side is never hash-partitioned on the supplier key.
-    df = E.queries()["top_units_value"](spark, SF_SMALL)
-    df.collect()
-    final = _plan(df).split("Initial Plan")[0]
-    assert "BroadcastHashJoin" in final
-    assert "hashpartitioning(__suppkey" not in final
+JOINED = ["top_units_value", "top_units_count", "top_agencies_value", "top_agencies_count", "place_layer",
+          "distinct_units", "restrict_to_used", "summary_filtered", "metric_cards_filtered", "dashboard_grouping_sets"]
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    """A threshold that stands in for a large supplier table."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1024")
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("name", JOINED)
+def test_lineitem_is_reduced_before_the_unit_join(spark, no_broadcast, name):
+    # Every exchange of lineitem rows sits above their partial aggregate.
+    df = E.queries()[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    lines = plan.split("\n")
+    scan = next(i for i, x in enumerate(lines) if "lineitem.parquet" in x)
+    above = [x for x in lines[:scan] if "Join" in x or "Aggregate" in x]
+    assert "partial_" in above[-1] or "functions=[]" in above[-1], above[-1]
+    assert plan.count("lineitem.parquet") == 1
+
+
+def test_filtered_queries_join_the_dimension_once(spark):
+    for name in ("summary_filtered", "metric_cards_filtered", "dashboard_grouping_sets", "filter_agency_semi"):
+        assert _plan(E.queries()[name](spark, SF_SMALL)).count("supplier.parquet") == 1, name
+
+
+def test_merge_spans_shuffles_sheet_rows_once(spark):
+    from assetlens.operators.windows import merge_spans
+    df = spark.createDataFrame([(i, "x" if i % 3 == 0 else "", "") for i in range(20)], "_row long, a string, b string")
+    out = merge_spans(df, bucket_rows=4)
+    out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning(__b") == 1 or "ReusedExchange" in final, final
+
+
+def test_money_sums_hold_more_than_sixteen_digits(spark):
+    from decimal import Decimal
+    big = Decimal("999999999999999999.99")
+    rows = spark.createDataFrame([("TANAH", big, big)] * 100, f"golongan_bmn string, nilai_perolehan {B.LINE_MONEY}, "
+                                 f"nilai_buku {B.LINE_MONEY}")
+    assert A.metric_cards(rows).first()["total_nilai_perolehan"] == float(big * 100)
+    cube = A.register_cube(rows.selectExpr("*", "1 AS nomor"), ["golongan_bmn"])
+    assert A.metric_cards(cube).first().asDict() == A.metric_cards(rows).first().asDict()
+
+
+def test_unit_codes_of_long_keys_stay_apart(spark):
+    keys = [7, 1234567890, 1234567891, 12345678901]
+    codes = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(
+        B.unit_code(F.col("k"))).collect()]
+    assert [c[:-2] for c in codes] == ["000000007", "1234567890", "1234567891", "12345678901"]
+
+
+def test_register_dashboard_reads_the_register_once(spark):
+    dash = J.register_dashboard(spark, B.assets(spark, SF_SMALL), B.units(spark, SF_SMALL),
+                                J.Selection(types=["A"]), centres=B.REGION_CENTRES)
+    for df in (dash.metrics, dash.summary, dash.by_type, dash.place_layer, dash.fused, dash.top_units["value"],
+               dash.top_agencies["count"], dash.options["nama_satker"]):
+        assert "lineitem.parquet" not in _plan(df)

@@ -1,19 +1,15 @@
-"""Session helpers: broadcast size check and the shared checkpoint folder."""
+"""Session helpers: the shared checkpoint folder."""
 
-from assetlens.session import broadcast_threshold_bytes, checkpoint_dir, sized_broadcast
-
-
-def test_sized_broadcast(spark):
-    df = spark.range(3)
-    limit = broadcast_threshold_bytes(spark)
-    assert limit > 0
-    small = sized_broadcast(df, 10, 100, spark)
-    big = sized_broadcast(df, limit, 100, spark)
-    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
+from assetlens.session import checkpoint_dir, shared_table
 
 
 def test_checkpoint_dir_is_stable(spark):
     a = checkpoint_dir(spark)
     b = checkpoint_dir(spark)
     assert a == b and a
+
+
+def test_shared_table_reads_back(spark):
+    df = shared_table(spark.range(3), "three")
+    assert sorted(r["id"] for r in df.collect()) == [0, 1, 2]
+    assert shared_table(spark.range(0), "none").count() == 0

@@ -185,7 +185,7 @@ def test_kpi_other_layouts(spark):
     letters = [P.column_letters(F.lit(i)) for i in range(50)]
     names = list(spark.range(1).select(*[c.alias(f"x{i}") for i, c in enumerate(letters)]).first())
     header_row = ["Kode", "Kantor"] + [""] * 48
-    data = ["12345", "KPKNL"] + ["0"] * 48
+    data = ["12345", "Unit Pusat"] + ["0"] * 48
     data[25], data[26], data[38], data[39], data[47] = "1.500", "12", "3.000", "50%", "7"
     rows = [(0, *header_row), (1, *data)]
     df = spark.createDataFrame(rows, "_row long, " + ", ".join(f"{n} string" for n in names))
@@ -209,3 +209,31 @@ def test_merge_spans_per_sheet(spark):
            for r in W.merge_spans(df, ["c"], sheet_keys=["sheet"], bucket_rows=2).collect()}
     assert got == {("s1", 0): (3, False, "A"), ("s1", 1): (None, True, "A"), ("s1", 2): (None, True, "A"),
                    ("s2", 0): (None, False, ""), ("s2", 1): (2, False, "B"), ("s2", 2): (None, True, "B")}
+
+
+def test_column_letters_have_no_limit(spark):
+    cases = {0: "A", 25: "Z", 26: "AA", 701: "ZZ", 702: "AAA", 18277: "ZZZ", 18278: "AAAA", 475253: "ZZZZ",
+             475254: "AAAAA"}
+    df = spark.createDataFrame([(i,) for i in cases], "i long")
+    got = {r["i"]: r["c"] for r in df.select("i", P.column_letters(F.col("i")).alias("c")).collect()}
+    assert got == cases
+
+
+def test_odd_headers_in_every_sheet_operator(spark):
+    names = ["No.", "Status", "status", "Nilai `a`", "Tgl. Terbit"]
+    sheet = spark.createDataFrame([("1", "a", "B", "x", "1-1"), ("2", "a", "C", "", ""), ("3", "b", "C", "y", "")],
+                                  "c0 string, c1 string, c2 string, c3 string, c4 string").toDF(*names)
+    assert S.search_sheet(sheet, "1-1").count() == 1
+    assert S.filter_sheet(sheet, {"status": ["C"], "Status": ["a"]}).count() == 1
+    assert S.informative_headers(sheet) == names
+    facets = [(r["header"], r["label"]) for r in S.facet_options(sheet, {"status": ["C"]}).collect()]
+    assert ("Status", "b") in facets and ("status", "B") in facets
+    numbered = spark.createDataFrame([(0, "1", "a"), (1, "", "")], "_row long, c0 string, c1 string").toDF(
+        "_row", "No.", "no.")
+    spans = {(r["_row"], r["header"]): r["span"] for r in W.merge_spans(numbered).collect()}
+    assert spans[(0, "No.")] == 2 and spans[(0, "no.")] == 2
+
+
+def test_facets_come_in_natural_order(spark):
+    sheet = spark.createDataFrame([("item 10",), ("Item 2",), ("",), ("item 1",)], "`a.b` string")
+    assert [r["label"] for r in S.facet_options(sheet).collect()] == ["item 1", "Item 2", "item 10", "Tidak Diisi"]
