@@ -65,7 +65,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owners.append(np.arange(len(marked)))
     owners, found = np.concatenate(owners), np.concatenate(found)
     order = np.argsort(owners, kind="stable")
-    buckets = (mixed(found[order]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    buckets = (mixed(found[order]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
     return buckets, np.searchsorted(owners[order], np.arange(len(marked)))
 
 
@@ -120,9 +120,12 @@ class Trainer:
             if words:
                 self.docs.append(np.array([index.setdefault(w, len(index)) for w in words]))
                 self.labels.append(label)
-        self.words = list(index)
-        if self.words:
-            self.buckets, self.starts = subwords(self.words)
+        words = list(index)
+        parts = [subwords(words[k:k + 20_000]) for k in range(0, len(words), 20_000)]
+        if parts:
+            shifts = np.cumsum([0] + [len(b) for b, _ in parts])
+            self.buckets = np.concatenate([b for b, _ in parts])
+            self.starts = np.concatenate([s + at for (_, s), at in zip(parts, shifts)])
             self.counts = np.diff(np.append(self.starts, len(self.buckets)))
         positive = sum(self.labels)
         self.one_class = positive in (0, len(self.labels))
