@@ -37,7 +37,7 @@ FREQUENT = 100_000
 #: Shingles that a task holds while it counts those that repeat.
 COUNTED = 1 << 22
 
-PREFIX_SCHEMA = "doc_id long, n long, set_key binary, prefix_key binary, prefix array<long>"
+PREFIX_SCHEMA = "doc_id long, text_hash long, n long, set_key binary, prefix_key binary, prefix array<long>"
 
 
 def needed(n: np.ndarray | int, threshold: int):
@@ -94,15 +94,18 @@ def cut_at(rows: DataFrame, column: str, limit: int) -> int:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int) -> DataFrame:
-    """One row per document: size and key of its set, and its prefix."""
+    """One row per document (doc_id, text, text_hash): size and key of its set,
+    and its prefix."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for ids, texts in text_batches(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             sizes, set_keys, prefix_keys, heads = [], [], [], []
-            for text in texts:
+            for text in batch.column(1).to_pylist():
                 own = shingles(words_of(text), hashes, width)
                 n = len(own)
                 keep = n - needed(n, threshold) + 1 if n else 0
@@ -117,7 +120,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int)
                 prefix_keys.append(xxhash.xxh3_128_digest(head.tobytes()))
                 heads.append(head.view(np.int64))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int64()),
+                "doc_id": batch.column(0), "text_hash": batch.column(2), "n": pa.array(sizes, pa.int64()),
                 "set_key": pa.array(set_keys, pa.binary()), "prefix_key": pa.array(prefix_keys, pa.binary()),
                 "prefix": pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum([len(h) for h in heads]))), pa.int32()),
@@ -227,7 +230,12 @@ def similar_components(docs: DataFrame, threshold: int = THRESHOLD, width: int =
     get a null component_id; an empty table gives no rows; further columns
     are not read.  Shingles and sets are compared by 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _placed(docs, threshold, width).drop("text_hash")
+
+
+def _placed(docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """``similar_components`` with the hash of each row's text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     frequent = frequent_shingles(docs, width)
     rows = shared_table(prefixes(docs, frequent, width, threshold), "prefixes")
     classes = shared_table(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key", "prefix_key", "n").agg(
@@ -264,13 +272,14 @@ def similar_components(docs: DataFrame, threshold: int = THRESHOLD, width: int =
     named = classes.join(labels, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("component"))
     return rows.join(named, "set_key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
+        F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """``docs`` with one document of each component, the smallest id's; rows
     without an id stay only where no document with one is similar."""
-    found = similar_components(docs, threshold, width)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    kept = _placed(docs, threshold, width).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(kept, (F.xxhash64("text") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")),
+                     "left_semi")
