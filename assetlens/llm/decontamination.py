@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, shingles, text_batches, words_of
+from .common import mixed, shingle_sets, shingles, text_batches
 
 WIDTH = 5
 THRESHOLD = 80
@@ -48,32 +48,16 @@ def permuted(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint32(15))
 
 
-def ordered_shingles(words: list[bytes], hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """Shingle hashes in text order, repeats included; the values of
-    ``common.shingles``."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    span = min(width, len(words))
-    n = len(words) - span + 1
-    out = np.full(n, np.uint64(span))
-    for k in range(span):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + n]
-    return mixed(out)
-
-
 class ItemIndex:
     """Signatures and shingles of a block of test items, by size class."""
 
     def __init__(self, items: list[tuple[int, str | None]], threshold: int = THRESHOLD):
         self.multipliers = permutations()
         self.threshold = threshold
-        hashes = WordHashes()
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
         classes: dict[int, list[int]] = {}
-        for item_id, text in items:
-            own = shingles(words_of(text), hashes, WIDTH)
+        for (item_id, _), own in zip(items, shingle_sets([text for _, text in items], WIDTH)):
             if len(own):
                 classes.setdefault(len(own).bit_length() - 1, []).append(len(self.ids))
                 self.ids.append(item_id)
@@ -149,11 +133,11 @@ def item_blocks(benchmark: DataFrame, item_block: int) -> Iterator[list[tuple[in
 
 def _search(docs: DataFrame, items: list[tuple[int, str | None]], threshold: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, hashes = ItemIndex(items, threshold), WordHashes()
+        index = ItemIndex(items, threshold)
         for ids, texts in text_batches(batches):
             rows = [(doc_id, index.ids[i], shared, size, shared / size)
-                    for doc_id, text in zip(ids, texts)
-                    for i, shared, size in index.links(ordered_shingles(words_of(text), hashes))]
+                    for doc_id, document in zip(ids, shingles(texts, WIDTH))
+                    for i, shared, size in index.links(document)]
             names = ["doc_id", "item_id", "shared", "item_shingles", "containment"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -185,11 +169,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = TH
     stay.  Rows are judged and kept where they are read, without a join."""
     def clean(items):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index, hashes = ItemIndex(items, threshold), WordHashes()
+            index = ItemIndex(items, threshold)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array(
-                    [not any(index.links(ordered_shingles(words_of(t), hashes))) for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not any(index.links(d)) for d in shingles(texts, WIDTH)], pa.bool_()))
         return keep
 
     for items in item_blocks(benchmark, item_block):

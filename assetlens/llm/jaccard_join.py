@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shared_table, shingles, text_batches, words_of
+from .common import shared_table, shingle_sets, text_batches
 from .components import components
 
 WIDTH = 5
@@ -34,6 +34,8 @@ THRESHOLD = 80
 #: Frequent shingles whose order is by count; further ones are ordered by
 #: hash like the rest, which changes work, not results.
 FREQUENT = 100_000
+#: Ids of documents to verify that are broadcast (8 bytes each).
+BROADCAST_NODES = 1_000_000
 #: Shingles that a task holds while it counts those that repeat.
 COUNTED = 1 << 22
 
@@ -53,7 +55,7 @@ def frequent_shingles(docs: DataFrame, width: int, limit: int = FREQUENT) -> np.
     is cut at a count that leaves at most ``limit``.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def repeated() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -61,9 +63,9 @@ def frequent_shingles(docs: DataFrame, width: int, limit: int = FREQUENT) -> np.
             return pa.RecordBatch.from_pydict({"shingle": values[many].view(np.int64),
                                                "n": counts[many].astype(np.int64)})
         for _, texts in text_batches(batches):
-            for text in texts:
-                held.append(shingles(words_of(text), hashes, width))
-                size += len(held[-1])
+            for own in shingle_sets(texts, width):
+                held.append(own)
+                size += len(own)
                 if size >= COUNTED:
                     yield repeated()
                     held, size = [], 0
@@ -100,13 +102,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, width: int, threshold: int)
     values = frequent[by_value]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             if not batch.num_rows:
                 continue
             sizes, set_keys, prefix_keys, heads = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                own = shingles(words_of(text), hashes, width)
+            for own in shingle_sets(batch.column(1).to_pylist(), width):
                 n = len(own)
                 keep = n - needed(n, threshold) + 1 if n else 0
                 at = np.searchsorted(values, own)
@@ -168,19 +168,29 @@ def may_link(na: Column, pa_: Column, nb: Column, pb: Column, threshold: int) ->
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the documents among ``nodes``."""
+    """(node, shingles) of the documents among ``nodes``.
+
+    Few documents are left here.  Up to BROADCAST_NODES ids are sent to where
+    the texts are read; beyond that the texts are shuffled to the ids."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for ids, texts in text_batches(batches):
-            sets = [shingles(words_of(t), hashes, width).view(np.int64) for t in texts]
+            sets = [own.view(np.int64) for own in shingle_sets(texts, width)]
             yield pa.RecordBatch.from_pydict({
                 "node": pa.array(ids, pa.int64()),
                 "shingles": pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()),
                     pa.array(np.concatenate(sets), pa.int64()))})
 
-    chosen = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return chosen.select("doc_id", "text").mapInArrow(read, "node long, shingles array<long>")
+    wanted = shared_table(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    chosen = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+    return shared_table(chosen.mapInArrow(read, "node long, shingles array<long>"), "sets")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """(node) of both sides of the pairs."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -259,14 +269,11 @@ def _placed(docs: DataFrame, threshold: int, width: int) -> DataFrame:
         F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b"))
     to_first = members.filter("node != gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))
     tried = shared_table(to_hub.unionAll(to_first).distinct(), "hub-pairs")
-    nodes = (postings.select(F.col("gid").alias("node"))
-             .unionAll(members.filter("classes > 1").select("node"))).distinct()
-    sets = shared_table(whole_sets(docs, nodes, width), "sets")
 
-    first = components(verified(tried, sets, threshold), "first-links")
+    first = components(verified(tried, whole_sets(docs, ends_of(tried), width), threshold), "first-links")
     rest = shared_table(remaining_pairs(postings, members, tried, first, threshold), "rest-pairs")
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(
-        verified(rest, sets, threshold))
+        verified(rest, whole_sets(docs, ends_of(rest), width), threshold))
     labels = components(links, "links")
 
     named = classes.join(labels, "node", "left").select(
