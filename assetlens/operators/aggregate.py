@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.classify import list_position, unit_type
-from .filters import filter_by_dimension, filter_equals_or_all, filter_in, keep_known
+from .filters import filter_by_dimension, filter_equals_or_all, filter_in, keep_known, where_nonnull
 
 
 def money_sum(col: str) -> Column:
@@ -244,7 +244,7 @@ def place_aggregate(df: DataFrame, cleaner, centres: DataFrame, place_col: str =
     Two phases: aggregate on the raw place text (partial aggregation, one row
     per distinct spelling), clean those few groups, keep the known places and
     aggregate again.  The cleaner never runs per asset row."""
-    raw = (df.filter(F.col(place_col).isNotNull()).groupBy(F.col(place_col).alias("kab_raw"))
+    raw = (where_nonnull(df, place_col).groupBy(F.col(place_col).alias("kab_raw"))
            .agg(row_count(df).alias("jumlah_aset"), F.coalesce(F.sum(F.col(value_col)), F.lit(0)).alias("__v")))
     cleaned = raw.withColumn("kab_kota", cleaner(F.col("kab_raw")))
     known = keep_known(cleaned, "kab_kota", centres, centre_key)

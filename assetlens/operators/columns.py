@@ -107,13 +107,6 @@ def validate_columns(df: DataFrame, required: Sequence[str] = K.REQUIRED_COLUMNS
     return [c for c in required if c not in present]
 
 
-def require_columns(df: DataFrame, required: Sequence[str] = K.REQUIRED_COLUMNS) -> DataFrame:
-    missing = validate_columns(df, required)
-    if missing:
-        raise ValueError(f"missing columns: {', '.join(missing)}")
-    return df
-
-
 def union_strict(frames: Sequence[DataFrame]) -> DataFrame:
     """Vertical concatenation: every frame must have the same columns."""
     if not frames:

@@ -425,12 +425,6 @@ def unique_headers(headers: DataFrame, keys: Sequence[str] = ("sheet",), col_col
     return cur.select(*keys, col_col, F.col("__name").alias("unique_header"))
 
 
-def search_condition_for(headers: Sequence[str], query: str | None) -> Column:
-    """Search condition over the given headers (always true for no query)."""
-    cond = search_condition(list(headers), query)
-    return F.lit(True) if cond is None else cond
-
-
 # --- other KPI layouts (A17) ------------------------------------------------
 
 def _kpi_select(one: DataFrame, plan: Sequence[tuple[str, str, str]]) -> DataFrame:

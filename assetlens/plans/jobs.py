@@ -21,7 +21,7 @@ from ..operators import columns as C
 from ..operators import maps as M
 from ..operators import sheets as S
 from ..operators import windows as W
-from ..operators.filters import active_condition
+from ..operators.filters import active_condition, drop_blank_array_rows, where_nonnull
 from ..sources import payloads as P
 from ..sources import snapshots as SN
 from ..sources import workbooks as WB
@@ -80,7 +80,7 @@ def register_frame(spark: SparkSession, paths: Sequence[str], rows: DataFrame |
     known = spark.createDataFrame([(names, [own.index(c) + 1 for c in read]) for names, own in zip(layouts, canon)],
                                   "names array<string>, places array<int>")
     places = info.join(known, "names").select("path", "places")
-    data = rows.filter((F.col("_row") >= 2) & F.exists("cells", lambda x: x.isNotNull())).join(places, "path")
+    data = drop_blank_array_rows(rows.filter("_row >= 2")).join(places, "path")
 
     def typed(name: str) -> Column:
         if name in computed:
@@ -133,7 +133,7 @@ def unit_dimension_frame(spark: SparkSession, export_path: str, rows: DataFrame
         txt("kode_kl").alias("kode_kl"), txt("nama_kl").alias("nama_kl"),
         txt("kode_satker").alias("kode_satker"), txt("nama_satker").alias("nama_satker"),
         clean_place_contains(F.col("kab_kota_raw")).alias("kab_kota"))
-    return d.filter(F.col("kab_kota").isNotNull()).distinct()
+    return A.distinct_rows(where_nonnull(d, "kab_kota"))
 
 
 def unit_detail_frame(units: DataFrame, register: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def unit_detail_frame(units: DataFrame, register: DataFrame) -> DataFrame:
     # Distinct names first: partial aggregation leaves one row per unit per
     # task, so the register never crosses the network row by row.
     names = register.select("nama_satker").distinct()
-    used = units.join(names, "nama_satker", "left_semi").distinct()
+    used = A.distinct_rows(units.join(names, "nama_satker", "left_semi"))
     out = C.select_rename_display(used, K.UNIT_DETAIL_LABELS)
     return A.sort_multi(out, ["Kab/Kota", "Nama K/L", "Nama Satker"])
 

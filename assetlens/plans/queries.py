@@ -15,8 +15,9 @@ from .. import constants as K
 from ..functions import numbers as NUM
 from ..functions.classify import natural_sort_key
 from ..functions.places import clean_place_contains, clean_place_exact
-from ..functions.text import text_or_blank
+from ..functions.text import at, text_or_blank
 from ..operators import aggregate as A
+from ..operators import columns as C
 from ..operators import maps as M
 from ..operators import sheets as S
 from ..operators import windows as W
@@ -834,7 +835,19 @@ def q_classify_cast_register(spark, sf_dir):
 SELECT sumber_file, COUNT(*) AS jumlah, COUNT(nomor) AS dengan_nomor, COUNT(DISTINCT golongan_bmn) AS golongan
 FROM s GROUP BY sumber_file""")
 def q_union_sources(spark, sf_dir):
-    reg = J.register_frame(spark, [], rows=B.register_rows(spark, sf_dir))
+    """The same rows as wide tables: rename, tag, classify, cast, fill, union."""
+    wide = B.register_rows(spark, sf_dir).filter("_row > 1")
+    frames = []
+    for name, headers in B.REGISTER_SOURCES.items():
+        kinds = [f"{h}__kind" for h in headers]
+        one = wide.filter(F.col("path") == f"/tables/{name}.xlsx").select(
+            "path", *[at("cells", i + 1) for i in range(len(headers))],
+            *[at("kinds", i + 1) for i in range(len(headers))]).toDF("path", *headers, *kinds)
+        names = dict(zip(headers, C.canonical_names(headers)))
+        numeric = {names[h]: f"{h}__kind" for h in headers if names[h] in C.LONG_COLUMNS}
+        one = C.cast_lenient(C.add_class(C.tag_source(C.canonicalize_columns(one))), kinds=numeric)
+        frames.append(C.ensure_columns(one.drop("path", *kinds), types={"nomor": "long", "nup": "long"}))
+    reg = C.union_strict(frames)
     return reg.groupBy("sumber_file").agg(F.count(F.lit(1)).alias("jumlah"), F.count("nomor").alias("dengan_nomor"),
                                           F.count_distinct("golongan_bmn").alias("golongan"))
 
