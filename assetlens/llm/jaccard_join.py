@@ -33,9 +33,11 @@ WIDTH = 5
 THRESHOLD = 80
 #: Frequent shingles whose order is by count; further ones are ordered by
 #: hash like the rest, which changes work, not results.
-FREQUENT = 100_000
-#: Ids of documents to verify that are broadcast (8 bytes each).
+FREQUENT = 2_000_000
+#: Ids of documents, or pairs of them, to verify that are broadcast (8 bytes an id).
 BROADCAST_NODES = 1_000_000
+#: Bits of a set's bitmap in the first verification (a power of two).
+BITMAP_BITS = 4096
 #: Shingles that a task holds while it counts those that repeat.
 COUNTED = 1 << 22
 
@@ -168,24 +170,28 @@ def may_link(na: Column, pa_: Column, nb: Column, pb: Column, threshold: int) ->
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the documents among ``nodes``.
+    """(node, n, bits, shingles) of the documents among ``nodes``: size, bitmap
+    of BITMAP_BITS bits, and whole set.
 
     Few documents are left here.  Up to BROADCAST_NODES ids are sent to where
     the texts are read; beyond that the texts are shuffled to the ids."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             sets = [own.view(np.int64) for own in shingle_sets(texts, width)]
+            bits = np.zeros((len(sets), BITMAP_BITS), bool)
+            for row, own in zip(bits, sets):
+                row[own & (BITMAP_BITS - 1)] = True
+            words = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_pydict({
-                "node": pa.array(ids, pa.int64()),
+                "node": pa.array(ids, pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "bits": pa.array(list(words), pa.list_(pa.int64())),
                 "shingles": pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))), pa.int32()),
                     pa.array(np.concatenate(sets), pa.int64()))})
 
-    wanted = shared_table(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes")
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
+    wanted = small(shared_table(nodes.select(F.col("node").alias("doc_id")).distinct(), "nodes"))
     chosen = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return shared_table(chosen.mapInArrow(read, "node long, shingles array<long>"), "sets")
+    return shared_table(chosen.mapInArrow(read, "node long, n long, bits array<long>, shingles array<long>"), "sets")
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -194,15 +200,35 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    checked = both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total"))
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Bitmaps go first: a bit that one set has and the other has not stands for
+    a shingle that they do not share, which bounds their overlap from above.
+    Whole sets are moved for the pairs within that bound only."""
+    def side(of: DataFrame, key: str, *columns: str) -> DataFrame:
+        return of.select(F.col("node").alias(key), *[F.col(c).alias(c + key) for c in columns])
+
+    def lacking(x: str, y: str):
+        bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
+    sized = small(pairs).join(side(sets, "a", "n", "bits"), "a").join(side(sets, "b", "n", "bits"), "b")
+    need = F.floor((F.lit(threshold) * (F.col("na") + F.col("nb")) + F.lit(99 + threshold)) / F.lit(100 + threshold))
+    likely = shared_table(sized.filter(F.least(F.col("na") - lacking("bitsa", "bitsb"),
+                                               F.col("nb") - lacking("bitsb", "bitsa")) >= need).select("a", "b"), "likely")
+    wanted = small(shared_table(ends_of(likely).distinct(), "likely-nodes"))
+    chosen = sets.join(wanted, "node", "left_semi")
+    both = small(likely).join(side(chosen, "a", "shingles"), "a").join(side(chosen, "b", "shingles"), "b")
+    shared = F.size(F.array_intersect("shinglesa", "shinglesb"))
+    checked = both.select("a", "b", shared.alias("shared"), (F.size("shinglesa") + F.size("shinglesb")).alias("total"))
     return checked.filter(F.lit(100) * F.col("shared") >= F.lit(threshold) * (F.col("total") - F.col("shared"))).select(
         "a", "b")
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A broadcast of a stored table of ids while its size allows one."""
+    return F.broadcast(table) if table.count() <= BROADCAST_NODES else table
+
+
 def remaining_pairs(postings: DataFrame, members: DataFrame, tried: DataFrame, labels: DataFrame,
                     threshold: int) -> DataFrame:
     """Pairs (a, b) of classes that pass the filters, lie in different
