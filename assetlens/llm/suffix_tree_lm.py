@@ -22,14 +22,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, shared_table, text_batches, words_of
+from .common import held_out, mixed, shared_table, text_batches, words_of
 from .jaccard_join import cut_at
 
 FOLDS = 10
@@ -51,6 +52,8 @@ ADD = 0.1
 END, START, RARE = 0, 65_534, 65_535
 #: Symbols, words and pairs that a task holds while it counts.
 COUNTED = 1 << 22
+#: Symbols predicted at once.
+SLICE = 1 << 18
 
 
 def base_probability(count, total: int, distinct: int):
@@ -80,10 +83,56 @@ def count_words(training: DataFrame) -> DataFrame:
         F.sum("n").alias("n")), "words")
 
 
+class Lookup:
+    """Places of 64-bit keys in a list, as an open-addressing table of arrays:
+    thousands of keys are looked up at once, a few array reads each.  The
+    table is built on first use in a worker and is not sent along."""
+
+    EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint64)
+        self.table = None
+
+    def __getstate__(self) -> dict:
+        return {"keys": self.keys, "table": None}
+
+    def build(self) -> None:
+        size = 1 << max(4, (2 * len(self.keys)).bit_length())
+        self.mask = np.uint64(size - 1)
+        self.table, self.at = np.full(size, self.EMPTY), np.full(size, -1, np.int32)
+        slots, left = mixed(self.keys) & self.mask, np.arange(len(self.keys))
+        while len(left):
+            free = self.table[slots] == self.EMPTY
+            self.table[slots[free]] = self.keys[left[free]]
+            placed = self.table[slots] == self.keys[left]
+            self.at[slots[placed]] = left[placed]
+            left, slots = left[~placed], (slots[~placed] + np.uint64(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not in the list."""
+        if self.table is None:
+            self.build()
+        slots = mixed(keys) & self.mask
+        held = self.table[slots]
+        out = np.where(held == keys, self.at[slots], -1)
+        left = np.flatnonzero((held != keys) & (held != self.EMPTY))
+        slots, keys = slots[left], keys[left]
+        while len(left):
+            slots = (slots + np.uint64(1)) & self.mask
+            held = self.table[slots]
+            hit = held == keys
+            out[left[hit]] = self.at[slots[hit]]
+            more = ~hit & (held != self.EMPTY)
+            left, slots, keys = left[more], slots[more], keys[more]
+        return out
+
+
 class Symbols:
     """The head of the vocabulary: symbol numbers and log10 probabilities."""
 
     def __init__(self, counts: DataFrame):
+        self.broadcast = None
         totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.total, self.distinct = totals["n"], totals["v"]
         least = cut_at(counts.filter("length(word) > 0"), "n", HEAD)
@@ -94,32 +143,52 @@ class Symbols:
         self.root = np.full(1 << 16, 0.0)
         mass = base_probability(ends["n"] if ends else 0, self.total, self.distinct)
         self.root[END] = math.log10(mass)
-        self.words: dict[bytes, tuple[int, float]] = {}
-        for k, (word, n) in enumerate(order):
-            p = base_probability(n, self.total, self.distinct)
-            self.words[word] = (k + 1 if k < ALPHABET else RARE, math.log10(p))
-            if k < ALPHABET:
-                self.root[k + 1] = math.log10(p)
-                mass += p
+        # Words by falling count from 1 on; 0 is a word outside the head.
+        self.index: dict[bytes, int] = {word: k + 1 for k, (word, _) in enumerate(order)}
+        p = base_probability(np.array([n for _, n in order], float), self.total, self.distinct) if order else np.empty(0)
+        self.logs = np.concatenate(([0.0], np.log10(p)))
+        own = min(len(order), ALPHABET)
+        self.symbol = np.full(len(order) + 1, RARE, np.uint64)
+        self.symbol[1:own + 1] = np.arange(1, own + 1)
+        self.root[1:own + 1] = self.logs[1:own + 1]
+        mass += p[:own].sum()
         self.root[RARE] = math.log10(max(1.0 - mass, base_probability(0, self.total, self.distinct)))
 
-    def sequence(self, words: list[bytes]) -> np.ndarray:
+    def shared(self, spark: SparkSession):
+        """One broadcast for all passes, so a worker holds one copy."""
+        if self.broadcast is None:
+            self.broadcast = spark.sparkContext.broadcast(self)
+        return self.broadcast
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"broadcast": None}
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.index.get, words, repeat(0)), np.int64, len(words))
+
+    def sequence(self, places: np.ndarray) -> np.ndarray:
         """START, the words' symbols, END."""
-        out = np.empty(len(words) + 2, np.uint64)
+        out = np.empty(len(places) + 2, np.uint64)
         out[0], out[-1] = START, END
-        get = self.words.get
-        out[1:-1] = [known[0] if (known := get(w)) else RARE for w in words]
+        out[1:-1] = self.symbol[places]
         return out
 
 
 def _summed(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(held), return_counts=True)
+    """Sorted distinct values and their counts; ``held`` is emptied."""
+    values = np.concatenate(held)
+    held.clear()
+    values.sort()
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, int)
+    return values[first], np.diff(np.append(first, len(values)))
 
 
 def count_pairs(training: DataFrame, symbols: Symbols) -> DataFrame:
     """(context, next, n) of all pairs of neighbouring symbols."""
+    model = symbols.shared(training.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        symbols, held, size = model.value, [], 0
 
         def counted() -> pa.RecordBatch:
             codes, n = _summed(held)
@@ -128,7 +197,7 @@ def count_pairs(training: DataFrame, symbols: Symbols) -> DataFrame:
                 "n": n.astype(np.int64)})
         for _, texts in text_batches(batches):
             for text in texts:
-                s = symbols.sequence(words_of(text))
+                s = symbols.sequence(symbols.places(words_of(text)))
                 held.append(s[:-1] << np.uint64(16) | s[1:])
                 size += len(s)
                 if size >= COUNTED:
@@ -171,21 +240,17 @@ class OneWordStates:
             self.back = np.where(self.is_state, (kinds + c - held) / (c + kinds), 1.0)
         order = np.argsort(context << 16 | nxt)
         context, nxt, n = context[order], nxt[order], n[order]
-        self.codes = (context << 16 | nxt).astype(np.uint32)
+        self.codes = Lookup(context << 16 | nxt)
         p = n / (c[context] + kinds[context]) + self.back[context] * 10.0 ** self.root[nxt]
-        self.logs = np.log10(p).astype(np.float64)
+        self.logs = np.log10(p)
         with np.errstate(divide="ignore"):
             self.back = np.log10(self.back)
 
     def predict(self, context: np.ndarray, nxt: np.ndarray) -> np.ndarray:
         """log10 P of each next symbol after its one-symbol context."""
-        out = self.root[nxt] + self.back[context]
-        if len(self.codes):
-            codes = (context << np.uint64(16) | nxt).astype(np.uint32)
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            found = self.codes[at] == codes
-            out[found] = self.logs[at[found]]
-        return out
+        at = self.codes.find(context << np.uint64(16) | nxt)
+        return np.where(at >= 0, self.logs[at], self.root[nxt] + self.back[context]) if len(self.logs) else (
+            self.root[nxt] + self.back[context])
 
 
 class TwoWordStates:
@@ -202,9 +267,10 @@ class TwoWordStates:
         rows = able.filter(F.col("n") >= least).toArrow()
         codes = rows["context"].to_numpy().astype(np.uint64) << np.uint64(16) | rows["next"].to_numpy().astype(np.uint64)
         order = np.argsort(codes)
-        self.one, self.states, self.counts = one, codes[order], rows["n"].to_numpy()[order]
+        self.one, self.counts = one, rows["n"].to_numpy()[order]
+        self.last, self.states = (codes & np.uint64(0xFFFF))[order], Lookup(codes[order])
         self.back = np.zeros(len(codes))
-        self.codes, self.logs = np.empty(0, np.uint64), np.empty(0)
+        self.codes, self.logs = Lookup(np.empty(0, np.uint64)), np.empty(0)
         triples = self.count(training, symbols)
         gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p") + PRIOR) / (F.col("c") - 1 + PRIOR))
         kept = triples.groupBy("state").agg(F.sum(gain).alias("gain")).filter(F.col("gain") > MIN_GAIN).select("state")
@@ -213,41 +279,42 @@ class TwoWordStates:
         least = cut_at(entries, "n", ENTRIES)
         rows = entries.filter(F.col("n") >= least).select("state", "next", "n", "p").toArrow()
         state, nxt, n = (rows[k].to_numpy().astype(np.int64) for k in ("state", "next", "n"))
-        held = np.bincount(state, n, len(self.states)) if len(n) else np.zeros(len(self.states))
-        chosen = np.zeros(len(self.states), bool)
+        held = np.bincount(state, n, len(self.counts)) if len(n) else np.zeros(len(self.counts))
+        chosen = np.zeros(len(self.counts), bool)
         chosen[kept.toArrow()["state"].to_numpy()] = True
         # A state whose entries were all cut predicts as its parent does.
         back = np.where(chosen & (held > 0), (PRIOR + self.counts - held) / (self.counts + PRIOR), 1.0)
         keys = state.astype(np.uint64) << np.uint64(16) | nxt.astype(np.uint64)
         order = np.argsort(keys)
         p = n / (self.counts[state] + PRIOR) + back[state] * rows["p"].to_numpy()
-        self.codes, self.logs, self.back = keys[order], np.log10(p)[order], np.log10(back)
+        self.codes, self.logs, self.back = Lookup(keys[order]), np.log10(p)[order], np.log10(back)
 
     def state_of(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The state's number, or -1."""
-        if not len(self.states):
-            return np.full(len(last), -1)
-        codes = before << np.uint64(16) | last
-        at = np.minimum(np.searchsorted(self.states, codes), len(self.states) - 1)
-        return np.where(self.states[at] == codes, at, -1)
+        return self.states.find(before << np.uint64(16) | last)
 
     def count(self, training: DataFrame, symbols: Symbols) -> DataFrame:
         """(state, next, c, p, n): next symbols of the candidate contexts with
         the context's count and the parent's prediction."""
+        model, tree = symbols.shared(training.sparkSession), training.sparkSession.sparkContext.broadcast(self)
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, size = [], 0
+            symbols, states, held, size = model.value, tree.value, [], 0
 
             def counted() -> pa.RecordBatch:
                 keys, n = _summed(held)
                 state, nxt = (keys >> np.uint64(16)).astype(np.int64), keys & np.uint64(0xFFFF)
-                p = 10.0 ** self.one.predict(self.states[state] & np.uint64(0xFFFF), nxt)
+                p = np.empty(len(state))
+                for at in range(0, len(state), SLICE):
+                    part = slice(at, at + SLICE)
+                    p[part] = 10.0 ** states.one.predict(states.last[state[part]], nxt[part])
                 return pa.RecordBatch.from_pydict({
                     "state": state.astype(np.int32), "next": nxt.astype(np.int32),
-                    "c": self.counts[state].astype(np.int64), "p": p, "n": n.astype(np.int64)})
+                    "c": states.counts[state].astype(np.int64), "p": p, "n": n.astype(np.int64)})
             for _, texts in text_batches(batches):
                 for text in texts:
-                    s = symbols.sequence(words_of(text))
-                    state = self.state_of(s[:-2], s[1:-1])
+                    s = symbols.sequence(symbols.places(words_of(text)))
+                    state = states.state_of(s[:-2], s[1:-1])
                     known = state >= 0
                     held.append(state[known].astype(np.uint64) << np.uint64(16) | s[2:][known])
                     size += len(held[-1]) + 16
@@ -263,16 +330,14 @@ class TwoWordStates:
     def predict(self, sequence: np.ndarray) -> np.ndarray:
         """log10 P of each symbol but the first, from its longest suffix."""
         out = self.one.predict(sequence[:-1], sequence[1:])
-        if len(sequence) > 2 and len(self.states):
+        if len(sequence) > 2 and len(self.counts):
             state = self.state_of(sequence[:-2], sequence[1:-1])
             known = np.flatnonzero(state >= 0)
             state = state[known]
             later = out[known + 1] + self.back[state]
-            if len(self.codes):
-                keys = state.astype(np.uint64) << np.uint64(16) | sequence[known + 2]
-                at = np.minimum(np.searchsorted(self.codes, keys), len(self.codes) - 1)
-                found = self.codes[at] == keys
-                later[found] = self.logs[at[found]]
+            if len(self.logs):
+                at = self.codes.find(state.astype(np.uint64) << np.uint64(16) | sequence[known + 2])
+                later = np.where(at >= 0, self.logs[at], later)
             out[known + 1] = later
         return out
 
@@ -299,33 +364,26 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     one = OneWordStates(pairs, symbols)
     two = TwoWordStates(training, pairs, symbols, one)
     ends_known = int(symbols.total > 0)
-    root = symbols.root
+    model, tree = symbols.shared(docs.sparkSession), docs.sparkSession.sparkContext.broadcast(two)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, rare_mass = symbols.words.get, root[RARE]
+        symbols, two = model.value, tree.value
+        root = symbols.root
         for ids, texts in text_batches(batches):
             out = {"doc_id": ids, "text_key": [], "n_tokens": [], "n_known": [], "base_score": [], "score": [],
                    "rare": []}
             for text in texts:
                 words = words_of(text)
-                sequence = np.empty(len(words) + 2, np.uint64)
-                sequence[0], sequence[-1] = START, END
-                logs = np.zeros(len(words))
-                rare: Counter = Counter()
-                known = [get(w) for w in words]
-                if None in known:
-                    rare.update(w for w, k in zip(words, known) if k is None)
-                    known = [k or (RARE, 0.0) for k in known]
-                if words:
-                    sequence[1:-1] = [k[0] for k in known]
-                    logs = np.array([k[1] for k in known])
-                missing = sum(rare.values())
+                places = symbols.places(words)
+                sequence, logs = symbols.sequence(places), symbols.logs[places]
+                outside = np.flatnonzero(places == 0).tolist()
+                rare = Counter(words[k] for k in outside)
                 expanded = sequence[1:-1] == RARE
                 out["text_key"].append(xxhash.xxh3_128_digest(b" ".join(words)))
                 out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(len(words) - missing + ends_known)
+                out["n_known"].append(len(words) - len(outside) + ends_known)
                 out["base_score"].append(float(logs.sum()) + root[END])
-                out["score"].append(float(two.predict(sequence).sum() + (logs[expanded] - rare_mass).sum()))
+                out["score"].append(float(two.predict(sequence).sum() + (logs[expanded] - root[RARE]).sum()))
                 out["rare"].append([{"word": w, "times": n} for w, n in rare.items()])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
                 ("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),

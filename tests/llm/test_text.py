@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assetlens.llm import decontamination, jaccard_join, license_scan, suffix_tree_lm, token_counts, toxicity
-from assetlens.llm.common import WordHashes, table, words_of
+from assetlens.llm import common, decontamination, jaccard_join, license_scan, suffix_tree_lm, token_counts, toxicity
+from assetlens.llm.common import table, words_of
 from assetlens.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -206,7 +206,7 @@ def test_state_distributions_sum_to_one(spark, monkeypatch):
     two = suffix_tree_lm.TwoWordStates(df, pairs, symbols, one)
     nexts = np.array([0, 1, 2, 3, 4, 5, suffix_tree_lm.RARE], np.uint64)
     assert math.isclose((10 ** symbols.root[nexts.astype(int)]).sum(), 1.0, rel_tol=1e-9)
-    assert one.is_state.sum() > 2 and len(two.codes) > 2
+    assert one.is_state.sum() > 2 and len(two.logs) > 2
     for context in [*range(1, 6), suffix_tree_lm.START]:
         p = 10 ** one.predict(np.full(len(nexts), context, np.uint64), nexts)
         assert math.isclose(p.sum(), 1.0, rel_tol=1e-9)
@@ -215,6 +215,15 @@ def test_state_distributions_sum_to_one(spark, monkeypatch):
             assert math.isclose(sum(p), 1.0, rel_tol=1e-9)
 
 
+def test_lookup_finds_every_key():
+    rng = np.random.default_rng(1)
+    keys = rng.choice(1 << 40, 5000, replace=False).astype(np.uint64)
+    table_ = suffix_tree_lm.Lookup(keys)
+    others = np.setdiff1d(rng.integers(0, 1 << 40, 5000).astype(np.uint64), keys)
+    assert np.array_equal(table_.find(keys), np.arange(len(keys)))
+    assert (table_.find(others) == -1).all() and len(suffix_tree_lm.Lookup(keys[:0]).find(keys[:3])) == 3
+
+
 def test_language_model_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, "a a A"), (3, "a a A"), (4, "é É"), (5, "w " * 30_000), (None, "a"), (7, "\x00 b")]
     got = suffix_tree_lm.score_documents(clashing(docs(spark, rows))).collect()
@@ -440,4 +449,23 @@ def test_token_count_edge_rows(spark):
 
 def test_words_split_on_ascii_white_space_only():
     assert words_of("A\x0bB\x1c\xa0É") == ["a".encode(), "b\x1c\xa0É".encode()]
-    assert len(WordHashes()[b"x"].to_bytes(8, "big")) == 8
+
+
+def test_word_hashes_tell_words_apart(monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", " \n", "a", "A a\0 aa ab ba"] + [
+        " ".join("".join(rng.choice("abé\x01") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(60)))
+        for _ in range(300)] + ["x" * 5000 + " y"]
+    whole, ends = common.word_hashes(texts)
+    monkeypatch.setattr(common, "SLICE_BYTES", 64)
+    assert np.array_equal(common.word_hashes(texts)[0], whole)
+    seen, start = {}, 0
+    for text, end in zip(texts, ends):
+        words = words_of(text)
+        assert end - start == len(words)
+        for word, value in zip(words, whole[start:end].tolist()):
+            assert seen.setdefault(word, value) == value
+        start = end
+    assert len(set(seen.values())) == len(seen) > 1000
+    # Shingle sets have the sizes of the sets of word sequences.
+    assert [len(s) for s in common.shingle_sets(texts, 5)] == [len(shingle_set(t)) for t in texts]
