@@ -10,7 +10,7 @@ expanded to members, and verified on whole sets.
 
 The result needs components, not all pairs, so links are sought in two
 rounds.  First each group meets one hub per shingle (the group with most
-rows) and each member its group's first class, which is linear in the
+rows, then most shared shingles) and each member its group's first class, which is linear in the
 postings and joins the copies of a text.  Then every remaining pair whose
 sides still lie in different components is verified: pairs inside a component
 cannot change it, so no link between components is lost.
@@ -287,8 +287,11 @@ def _placed(docs: DataFrame, threshold: int, width: int) -> DataFrame:
         F.posexplode("prefix").alias("place", "shingle"), F.col("doc_id").alias("gid"), "n").select(
         "shingle", "gid", "n", F.col("place").cast("long").alias("place"))), "postings")
 
-    weighed = postings.join(groups.select("gid", "weight"), "gid")
-    hubs = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "gid", "n", "place")).alias("hub"))
+    # A hub should be the text that others were edited from: it has the most
+    # copies, or else the most prefix shingles that others hold as well.
+    central = postings.groupBy("gid").agg(F.count(F.lit(1)).alias("held"))
+    weighed = postings.join(groups.select("gid", "weight"), "gid").join(central, "gid")
+    hubs = weighed.groupBy("shingle").agg(F.max(F.struct("weight", "held", "gid", "n", "place")).alias("hub"))
     to_hub = postings.join(hubs, "shingle").filter(
         (F.col("gid") != F.col("hub.gid"))
         & may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), threshold)).select(
