@@ -1,7 +1,6 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are the ALPHABET most frequent words, one end of text, and one symbol
-for all rarer words, which is expanded by their unigram probabilities.  The
+Symbols are all words of the training texts and one end of text.  The
 root predicts by the smoothed unigram distribution.  A context of one or two
 preceding symbols becomes a state only if its next-symbol counts diverge from
 its parent's prediction: the leave-one-out log-likelihood ratio, which noise
@@ -11,10 +10,11 @@ place.
 
 Counting covers every training document: words first, then pairs, then the
 triples whose two-word context is a candidate.  Counts are summed within a
-task before they are shuffled.  The model that travels to the tasks is
-bounded by STATES and ENTRIES; what falls below the count where these bounds
-cut is predicted by the parent, so probabilities still sum to one.  Words
-outside the HEAD list are looked up by a join with the full counts.
+task before they are shuffled.  A model that is whole within ALPHABET, STATES
+and ENTRIES is broadcast; where one of them would cut it, the same model is
+kept in Spark tables (``table_scores``), whose states and entries grow with
+the input, and the predictions of a text are joined from them.  Words outside
+the HEAD list are looked up by a join with the full counts.
 """
 
 from __future__ import annotations
@@ -30,16 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, mixed, shared_table, text_batches, words_of
+from .common import held_out, mixed, shared_table, text_batches, text_groups, word_hashes, words_of
 from .jaccard_join import cut_at
 
 FOLDS = 10
 #: Words whose counts travel to the tasks.
 HEAD = 250_000
-#: Words that are symbols of their own (numbers below 65,534).
+#: Words that are symbols of a broadcast model (numbers below 65,534).
 ALPHABET = 65_000
-#: Two-word candidate contexts, their least count, and kept next-symbol
-#: entries of one-word and two-word states.
+#: Two-word candidate contexts, their least count, and next-symbol entries of
+#: one-word and two-word states of a broadcast model.
 STATES = 400_000
 MIN_CONTEXT = 4
 ENTRIES = 1_500_000
@@ -54,6 +54,11 @@ END, START, RARE = 0, 65_534, 65_535
 COUNTED = 1 << 22
 #: Symbols predicted at once.
 SLICE = 1 << 18
+#: Bits of the map that tells contexts which may be candidates (never loses
+#: one; other contexts that it lets through are told apart by a join).
+MAP_BITS = 27
+#: Pairs and triples whose logs are broadcast (16 bytes each).
+HOT = 2_000_000
 
 
 def base_probability(count, total: int, distinct: int):
@@ -229,6 +234,7 @@ class OneWordStates:
                                "one-word-entries")
         least = cut_at(entries, "n", ENTRIES)
         rows = entries.filter(F.col("n") >= least).toArrow()
+        self.whole = rows.num_rows == entries.count()
         states = kept.toArrow()
         c, kinds = np.zeros(1 << 16), np.zeros(1 << 16)
         at = states["context"].to_numpy()
@@ -265,6 +271,7 @@ class TwoWordStates:
         able = shared_table(able, "candidates")
         least = cut_at(able, "n", STATES)
         rows = able.filter(F.col("n") >= least).toArrow()
+        self.whole = rows.num_rows == able.count()
         codes = rows["context"].to_numpy().astype(np.uint64) << np.uint64(16) | rows["next"].to_numpy().astype(np.uint64)
         order = np.argsort(codes)
         self.one, self.counts = one, rows["n"].to_numpy()[order]
@@ -278,6 +285,7 @@ class TwoWordStates:
         entries = shared_table(triples.filter("n > 1").join(kept, "state"), "two-word-entries")
         least = cut_at(entries, "n", ENTRIES)
         rows = entries.filter(F.col("n") >= least).select("state", "next", "n", "p").toArrow()
+        self.whole = self.whole and rows.num_rows == entries.count()
         state, nxt, n = (rows[k].to_numpy().astype(np.int64) for k in ("state", "next", "n"))
         held = np.bincount(state, n, len(self.counts)) if len(n) else np.zeros(len(self.counts))
         chosen = np.zeros(len(self.counts), bool)
@@ -342,8 +350,216 @@ class TwoWordStates:
         return out
 
 
-SCORED = ("doc_id long, text_key binary, n_tokens long, n_known long, base_score double, score double, "
-          "rare array<struct<word:binary,times:long>>")
+WORD_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Wide numbers of the start and the end; words have their 64-bit hashes.
+START_ID, END_ID = np.uint64(1), np.uint64(0)
+
+
+def joined_id(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit number of a sequence from those of its parts."""
+    return mixed(first * WORD_ODD + second)
+
+
+def text_ids(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Per text START, the words' numbers, END."""
+    for group in text_groups(texts):
+        words, ends = word_hashes(group)
+        start = 0
+        for end in ends.tolist():
+            yield np.concatenate(([START_ID], words[start:end], [END_ID]))
+            start = end
+
+
+def text_key(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def _distinct_rows(columns: list[np.ndarray], n: np.ndarray, key: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows of distinct keys and the sums of their ``n``."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return [c[order[first]] for c in columns], np.add.reduceat(n[order], first)
+
+
+def _counted(docs: DataFrame, rows_of, schema: str) -> DataFrame:
+    """Rows (columns, n) of all texts, summed within a task by the first two
+    columns; n counts training texts only, so that a row of held-out texts
+    alone has n = 0.  ``rows_of`` makes the columns of one text."""
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sizes, size = [], [], 0
+
+        def counted() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*(columns for columns, _ in held))]
+            n = np.repeat([n for _, n in held], sizes).astype(np.int64)
+            columns, n = _distinct_rows(columns, n, joined_id(columns[0], columns[1]))
+            held.clear(), sizes.clear()
+            return pa.RecordBatch.from_pydict({**{k: c.view(np.int64) for k, c in zip(names, columns)}, "n": n})
+        for batch in batches:
+            training = batch.column(2).to_pylist()
+            for ids, trained in zip(text_ids(batch.column(1).to_pylist()), training):
+                columns = rows_of(ids)
+                if len(columns[0]):
+                    held.append((columns, int(trained)))
+                    sizes.append(len(columns[0]))
+                    size += sizes[-1]
+                if size >= COUNTED:
+                    yield counted()
+                    size = 0
+        if held:
+            yield counted()
+
+    return docs.mapInArrow(count, schema)
+
+
+def wide_pairs(docs: DataFrame) -> DataFrame:
+    """(context, next, n) of all pairs of neighbouring symbols."""
+    return shared_table(
+        _counted(docs, lambda ids: [ids[:-1], ids[1:]], "context long, next long, n long")
+        .groupBy("context", "next").agg(F.sum("n").alias("n")), "wide-pairs")
+
+
+def with_id(rows: DataFrame, schema: str) -> DataFrame:
+    """The first two columns joined to one number, named first in ``schema``."""
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, second = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(joined_id(first, second).view(np.int64)), *batch.columns[2:]],
+                                             names=[part.split()[0] for part in schema.split(", ")])
+
+    return rows.mapInArrow(joined, schema)
+
+
+def candidate_map(candidates: DataFrame) -> np.ndarray:
+    """Bits set at the low MAP_BITS bits of every candidate's key.  At most
+    2**MAP_BITS / 32 numbers reach the driver."""
+    slot = F.col("context").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    rows = candidates.groupBy(F.shiftright(slot, 5).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(context & 31 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 5), np.uint32)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return out
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64((1 << MAP_BITS) - 1)
+    return bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1) == 1
+
+
+def table_scores(docs: DataFrame, folds: int, total: int, distinct: int) -> DataFrame:
+    """(text_id, score): the scores of all texts from a model kept in tables.
+
+    Every distinct pair and every distinct triple of a candidate context, of
+    training and other texts, gets its log probability once; the texts' places
+    are joined with these by a 64-bit number.  Tasks get the fixed candidate
+    map and the HOT most frequent numbers with their logs; all other numbers
+    are joined by shuffle, so no table is cut.
+    """
+    marked = docs.select("doc_id", "text", (~held_out(F.col("doc_id"), folds)).alias("training"))
+    pairs = wide_pairs(marked)
+    words = pairs.groupBy("next").agg(F.sum("n").alias("n")).select(
+        "next", ((F.col("n") + ADD) / F.lit(total + ADD * (distinct + 1))).alias("p0"))
+    sized = pairs.filter("n > 0").groupBy("context").agg(
+        F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds"),
+        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("held"))
+    rooted = shared_table(pairs.join(words, "next").join(sized, "context", "left"), "rooted-pairs")
+    gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p0") + F.col("kinds"))
+                              / (F.col("c") - 1 + F.col("kinds")))
+    states = shared_table(rooted.filter("n > 0").groupBy("context").agg(F.sum(gain).alias("gain")).filter(
+        F.col("gain") > MIN_GAIN).select("context", F.lit(True).alias("state")), "wide-states")
+    own = F.when(F.col("n") > 1, F.col("n") / (F.col("c") + F.col("kinds"))).otherwise(0.0)
+    p1 = F.when(F.col("state"), own + (F.col("kinds") + F.col("c") - F.col("held"))
+                / (F.col("c") + F.col("kinds")) * F.col("p0")).otherwise(F.col("p0"))
+    # Only a candidate's last symbol is needed later.
+    first = shared_table(with_id(
+        rooted.join(states, "context", "left").select(
+            "context", "next", "n", F.when(F.col("n") >= MIN_CONTEXT, F.col("next")).alias("last"), p1.alias("p")),
+        "key long, n long, last long, p double"), "wide-predictions")
+    candidates = shared_table(
+        first.filter((F.col("n") >= MIN_CONTEXT) & (F.col("last") != int(END_ID)))
+        .join(states.select(F.col("context").alias("last")), "last", "left_semi")
+        .select(F.col("key").alias("context"), F.col("n").alias("c")), "wide-candidates")
+    bits = docs.sparkSession.sparkContext.broadcast(candidate_map(candidates))
+
+    def triples_of(ids: np.ndarray) -> list[np.ndarray]:
+        keys = joined_id(ids[:-1], ids[1:])
+        able = may_hold(bits.value, keys[:-1])
+        return [keys[:-1][able], keys[1:][able]]
+
+    triples = (_counted(marked, triples_of, "context long, key long, n long").groupBy("context", "key")
+               .agg(F.sum("n").alias("n")).join(candidates, "context", "left"))
+    triples = shared_table(triples.join(first.select("key", "p"), "key"), "wide-triples")
+    gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p") + PRIOR) / (F.col("c") - 1 + PRIOR))
+    kept = triples.filter("c IS NOT NULL AND n > 0").groupBy("context").agg(
+        F.sum(gain).alias("gain"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("held")).filter(
+        (F.col("gain") > MIN_GAIN) & (F.col("held") > 0)).select("context", "held")
+    own = F.when(F.col("n") > 1, F.col("n") / (F.col("c") + PRIOR)).otherwise(0.0)
+    p2 = F.when(F.col("held").isNotNull(), own + (PRIOR + F.col("c") - F.col("held")) / (F.col("c") + PRIOR)
+                * F.col("p")).otherwise(F.col("p"))
+
+    second = with_id(triples.join(kept, "context", "left").select("context", "key", "n", F.log10(p2).alias("log")),
+                     "id long, n long, log double")
+    logs = shared_table(first.select(F.col("key").alias("id"), "n", F.log10("p").alias("log")).unionByName(second),
+                        "wide-logs")
+    least = cut_at(logs.filter("n > 0"), "n", HOT)
+    rows = logs.filter(F.col("n") >= least).select("id", "log").toArrow()
+    order = np.argsort(rows["id"].to_numpy().view(np.uint64))
+    hot = docs.sparkSession.sparkContext.broadcast(
+        (rows["id"].to_numpy().view(np.uint64)[order], rows["log"].to_numpy()[order]))
+    cold = logs.filter(F.col("n") < least).select("id", "log")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_ids, hot_logs = hot.value
+        for batch in batches:
+            held, sums, texts = [], [], batch.column(1).to_pylist()
+            keys_of = np.array([text_key(words_of(t)) for t in texts], np.int64)
+            for ids in text_ids(texts):
+                keys = joined_id(ids[:-1], ids[1:])
+                able = may_hold(bits.value, keys[:-1])
+                found, n = _summed([np.concatenate((
+                    keys[:1], np.where(able, joined_id(keys[:-1], keys[1:]), keys[1:])))])
+                at = np.searchsorted(hot_ids, found)
+                known = hot_ids[np.minimum(at, len(hot_ids) - 1)] == found if len(hot_ids) else np.zeros(len(n), bool)
+                sums.append(float((n[known] * hot_logs[at[known]]).sum()))
+                held.append((found[~known], n[~known]))
+            yield pa.RecordBatch.from_pydict({
+                "text_id": pa.array(np.concatenate((np.repeat(keys_of, [len(v) for v, _ in held]), keys_of))),
+                "id": pa.array(np.concatenate([v for v, _ in held] + [keys_of.view(np.uint64)]).view(np.int64)),
+                "times": pa.array(np.concatenate([n for _, n in held] + [np.zeros(len(texts), int)]).astype(np.int32)),
+                "part": pa.array(np.concatenate([np.zeros(sum(len(n) for _, n in held)), sums]))})
+
+    # Each row of an equal text brings the same places: their sum is a
+    # multiple of the text's score.
+    copies = marked.mapInArrow(_text_keys, "text_id long").groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"))
+    # The row with times = 0 has the sum over a text's hot places.
+    found = marked.select("doc_id", "text").mapInArrow(places, "text_id long, id long, times int, part double").join(
+        cold, "id", "left")
+    term = F.when(F.col("times") == 0, F.col("part")).otherwise(F.col("times") * F.col("log"))
+    return found.groupBy("text_id").agg(F.sum(term).alias("sum")).join(
+        copies, "text_id").select("text_id", (F.col("sum") / F.col("copies")).alias("table_score"))
+
+
+def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in text_batches(batches):
+        yield pa.RecordBatch.from_pydict({"text_id": pa.array([text_key(words_of(t)) for t in texts], pa.int64())})
+
+
+def whole_model(training: DataFrame, symbols: Symbols) -> TwoWordStates | None:
+    """The model as arrays, or none if a limit would cut it."""
+    if symbols.distinct > ALPHABET:
+        return None
+    pairs = count_pairs(training, symbols)
+    one = OneWordStates(pairs, symbols)
+    if not one.whole:
+        return None
+    two = TwoWordStates(training, pairs, symbols, one)
+    return two if two.whole else None
+
+
+SCORED = ("doc_id long, text_key binary, text_id long, n_tokens long, n_known long, base_score double, "
+          "score double, rare array<struct<word:binary,times:long>>")
 
 
 def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
@@ -360,9 +576,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
     training = docs.filter(~held_out(F.col("doc_id"), folds))
     counts = count_words(training)
     symbols = Symbols(counts)
-    pairs = count_pairs(training, symbols)
-    one = OneWordStates(pairs, symbols)
-    two = TwoWordStates(training, pairs, symbols, one)
+    two = whole_model(training, symbols)
     ends_known = int(symbols.total > 0)
     model, tree = symbols.shared(docs.sparkSession), docs.sparkSession.sparkContext.broadcast(two)
 
@@ -370,7 +584,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
         symbols, two = model.value, tree.value
         root = symbols.root
         for ids, texts in text_batches(batches):
-            out = {"doc_id": ids, "text_key": [], "n_tokens": [], "n_known": [], "base_score": [], "score": [],
+            out = {"doc_id": ids, "text_key": [], "text_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": [],
                    "rare": []}
             for text in texts:
                 words = words_of(text)
@@ -380,13 +594,15 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
                 rare = Counter(words[k] for k in outside)
                 expanded = sequence[1:-1] == RARE
                 out["text_key"].append(xxhash.xxh3_128_digest(b" ".join(words)))
+                out["text_id"].append(text_key(words))
                 out["n_tokens"].append(len(words) + 1)
                 out["n_known"].append(len(words) - len(outside) + ends_known)
                 out["base_score"].append(float(logs.sum()) + root[END])
-                out["score"].append(float(two.predict(sequence).sum() + (logs[expanded] - root[RARE]).sum()))
+                out["score"].append(None if two is None else float(
+                    two.predict(sequence).sum() + (logs[expanded] - root[RARE]).sum()))
                 out["rare"].append([{"word": w, "times": n} for w, n in rare.items()])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-                ("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                ("doc_id", pa.int64()), ("text_key", pa.binary()), ("text_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                 ("base_score", pa.float64()), ("score", pa.float64()),
                 ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))]))
 
@@ -402,8 +618,13 @@ def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
         F.sum(F.col("times") * log).alias("rare_log"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
     added = F.coalesce("rare_log", F.lit(0.0))
-    return scored.drop("rare").join(extra, "text_key", "left").select(
+    score_ = F.col("score") + added
+    scored = scored.drop("rare").join(extra, "text_key", "left")
+    if two is None:
+        scored = scored.join(table_scores(docs, folds, symbols.total, symbols.distinct), "text_id")
+        score_ = F.col("table_score")
+    return scored.select(
         "doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(symbols.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + added).alias("base_score"), (F.col("score") + added).alias("score"))
+        (F.col("base_score") + added).alias("base_score"), score_.alias("score"))

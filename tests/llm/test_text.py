@@ -215,6 +215,24 @@ def test_state_distributions_sum_to_one(spark, monkeypatch):
             assert math.isclose(sum(p), 1.0, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("limit", ["ALPHABET", "STATES", "ENTRIES"])
+def test_language_model_is_whole_beyond_every_limit(spark, monkeypatch, limit):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["a b c", "d e f", "a b d g", f"r{rng.randrange(60)} s t", rng.choice("abcdefg")])
+                         for _ in range(40))) for i in range(200)] + [(7, "A  b c"), (8, "a b c"), (10, None)]
+    whole = suffix_tree_lm.score_documents(docs(spark, rows)).collect()
+    monkeypatch.setattr(suffix_tree_lm, limit, 8)
+    monkeypatch.setattr(suffix_tree_lm, "HOT", 20)
+    cut = suffix_tree_lm.score_documents(docs(spark, rows)).collect()
+    by_row = lambda r: (r["doc_id"], r["n_tokens"], r["score"])
+    assert len(cut) == len(whole) == len(rows)
+    for x, y in zip(sorted(whole, key=by_row), sorted(cut, key=by_row)):
+        assert tuple(x)[:5] == tuple(y)[:5]
+        assert math.isclose(x["base_score"], y["base_score"], rel_tol=1e-9)
+        assert math.isclose(x["score"], y["score"], rel_tol=1e-9)
+    assert any(r["score"] > r["base_score"] + 5 for r in whole)
+
+
 def test_lookup_finds_every_key():
     rng = np.random.default_rng(1)
     keys = rng.choice(1 << 40, 5000, replace=False).astype(np.uint64)
