@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks and templates.
 
-A block is a window of words of one line.  A block holds a template when it
+A block is a window of words of the text, across line feeds, or of one line.
+A block holds a template when it
 has at least THRESHOLD per cent of the template's distinct words.  Tokens are
 ordered by their global block frequency, rarest first, and three exact
 filters leave few pairs to count:
@@ -14,6 +15,7 @@ filters leave few pairs to count:
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,7 +51,7 @@ TEMPLATES = (
 #: Per cent of a template's distinct words that a block must hold.
 THRESHOLD = 80
 #: Words of a block, and the step from block to block: every run of
-#: STEP words of a line lies in one block.
+#: STEP words of a text lies in one block.
 BLOCK, STEP = 64, 32
 
 #: A-Z to a-z; every other ASCII byte but 0-9 and a-z parts words.
@@ -67,17 +69,23 @@ def normalised(text: str | None) -> bytes:
 
 
 def blocks_of(data: bytes) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(line, first word within the text, words) of each block."""
+    """(line of the first word, first word within the text, words) of each
+    block: windows of the whole text, so that a template may wrap, and those
+    windows of a line that no window of the text holds."""
+    words = data.split()
+    ends, last = [], 0
+    for line in data.split(b"\n"):
+        last += len(line.split())
+        ends.append(last)
+    for at in range(0, max(len(words) - BLOCK, 0) + STEP, STEP) if words else ():
+        yield bisect_right(ends, at), at, words[at:at + BLOCK]
     start = 0
-    for number, line in enumerate(data.split(b"\n")):
-        words = line.split()
-        at = 0
-        while words:
-            yield number, start + at, words[at:at + BLOCK]
-            if at + BLOCK >= len(words):
-                break
-            at += STEP
-        start += len(words)
+    for number, end in enumerate(ends):
+        if end - start > STEP:
+            for at in range(start, max(end - BLOCK, start) + STEP, STEP):
+                if at % STEP and min(at + BLOCK, end) > at // STEP * STEP + BLOCK:
+                    yield number, at, words[at:min(at + BLOCK, end)]
+        start = end
 
 
 def template_words(templates) -> list[tuple[str, frozenset[bytes]]]:

@@ -85,6 +85,41 @@ def test_license_filters_lose_no_pair(spark):
         assert set(index.links(block)) == want
 
 
+WRAPPED = [
+    ("bsd", "x = 1\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted "
+            "provided that the following conditions\n# are met:\n#\n"),
+    ("mpl", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. */\n"),
+]
+
+
+def test_license_templates_that_wrap(spark):
+    rows = [(k, "code here\n" * (17 * k) + text + "more code\n" * 90) for k in range(4) for _, text in WRAPPED]
+    wanted = [label for _ in range(4) for label, _ in WRAPPED]
+    rows = [(i, text) for i, (_, text) in enumerate(rows)]
+    got = license_scan.license_summary(license_scan.scan_licenses(docs(spark, rows))).orderBy("doc_id").collect()
+    assert [(r["labels"], r["score"]) for r in got] == [(label, 1.0) for label in wanted]
+    match = license_scan.scan_licenses(docs(spark, rows[:1])).first()["matches"][0]
+    assert (match["label"], match["line"], match["word"]) == ("bsd", 0, 0)
+
+
+def test_license_blocks_hold_those_of_the_lines():
+    rng = random.Random(4)
+    for _ in range(300):
+        lines = [[b"%d" % rng.randrange(50) for _ in range(rng.choice([0, 3, 30, 33, 64, 65, 150]))]
+                 for _ in range(rng.randrange(6))]
+        blocks = list(license_scan.blocks_of(b"\n".join(b" ".join(row) for row in lines)))
+        words = [w for row in lines for w in row]
+        assert all(words[at:at + len(own)] == own and len(own) <= license_scan.BLOCK for _, at, own in blocks)
+        spans = [(at, at + len(own)) for _, at, own in blocks]
+        runs = [(i, min(i + license_scan.STEP, len(words))) for i in range(len(words))]
+        start = 0
+        for row in lines:
+            steps = range(0, max(len(row) - license_scan.BLOCK, 0) + license_scan.STEP, license_scan.STEP)
+            runs += [(start + at, start + min(at + license_scan.BLOCK, len(row))) for at in steps if row]
+            start += len(row)
+        assert all(any(a <= x and y <= b for a, b in spans) for x, y in runs)
+
+
 def test_license_query_on_the_documents(spark):
     got = {r["doc_id"]: tuple(r)[1:] for r in license_scan.license_summary(
         license_scan.scan_licenses(table(spark, SF, "documents"))).collect()}
