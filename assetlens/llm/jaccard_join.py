@@ -49,12 +49,12 @@ def needed(n: np.ndarray | int, threshold: int):
     return -(-threshold * n // 100)
 
 
-def frequent_shingles(docs: DataFrame, width: int, limit: int = FREQUENT) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, width: int, limit: int | None = None) -> np.ndarray:
     """Shingles that many documents hold, by ascending count.
 
     A task reports the shingles that repeat within the documents it reads
     together; the counts are summed over all tasks.  What reaches the driver
-    is cut at a count that leaves at most ``limit``.
+    is cut at a count that leaves at most ``limit`` (FREQUENT if not given).
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -76,7 +76,7 @@ def frequent_shingles(docs: DataFrame, width: int, limit: int = FREQUENT) -> np.
 
     counted = shared_table(docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(
         F.sum("n").alias("n")), "frequent")
-    least = cut_at(counted, "n", limit)
+    least = cut_at(counted, "n", FREQUENT if limit is None else limit)
     rows = counted.filter(F.col("n") >= least).toArrow()
     order = np.lexsort((rows["shingle"].to_numpy(), rows["n"].to_numpy()))
     return rows["shingle"].to_numpy()[order].view(np.uint64)

@@ -351,6 +351,14 @@ def test_similar_components_brute_force(spark, monkeypatch, seed, frequent):
     assert len({c for _, c in want.values()}) < len(rows) - 20
 
 
+@pytest.mark.parametrize("frequent", [0, 10])
+def test_the_order_of_shingles_is_cut_at_frequent(spark, monkeypatch, frequent):
+    df = docs(spark, near_copies(1))
+    uncut = len(jaccard_join.frequent_shingles(df, 5))
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    assert len(jaccard_join.frequent_shingles(df, 5)) <= frequent < uncut
+
+
 def test_similar_components_edge_rows(spark):
     long = " ".join(f"x{k}" for k in range(20_000))
     rows = [(1, None), (2, ""), (3, "a b c d e f g"), (3, "a b c d e f g"), (None, "A b c d e f g"), (None, "alone here"),
