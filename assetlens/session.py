@@ -70,4 +70,13 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.shared_path = path
+    return table
+
+
+def drop_shared(table: DataFrame) -> None:
+    """Delete the files of a ``shared_table`` that no later plan reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
