@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import (chat_format, decontamination, exact_dedup, jaccard_join, license_scan, mixing, suffix_tree_lm,
-               token_counts, toxicity, url_filter)
-from .common import LOWER, UPPER, table
+from . import (chat_format, decontamination, exact_dedup, hard_negatives, jaccard_join, license_scan, line_dedup, mixing,
+               periodic_runs, suffix_tree_lm, token_counts, toxicity, url_filter)
+from .common import LOWER, UPPER, id_text, table
 
 #: The conversation that speaks in control strings.
 CONTROL_TURNS = """
@@ -65,6 +66,37 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.labelled_table(spark))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.line_digests(line_dedup.drop_shared_lines(docs, line_dedup.keep_bitmaps(docs)))
+
+
+def with_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in one document of ten (by hash h of its id) the words
+    from place a on repeat the p words at a, where g = h / 10, a = g % n and
+    p = 1 + (n - a) / (3 + g % 8)."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return (docs.withColumns({"h": F.crc32(id_text(F.col("doc_id")).cast("binary"))})
+            .select("doc_id", "text", F.col("h"), F.when(F.col("h") % 10 == 0, words).alias("w"))
+            .withColumns({"n": F.size("w"), "g": F.expr("h div 10")})
+            .withColumn("a", F.when(F.col("n") > 0, F.expr("int(g % n)")))
+            .withColumns({"k": F.expr("int(3 + g % 8)"), "p": F.expr("int(1 + (n - a) div (3 + g % 8))")})
+            .select("doc_id", F.when(F.col("n") > 0, F.expr(
+                "array_join(slice(concat(slice(w, 1, a), flatten(array_repeat(slice(w, a + 1, p), k))), 1, n), ' ')"))
+                .otherwise(F.col("text")).alias("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.run_digests(periodic_runs.find_runs(docs))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr(
+        "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_url_filter": op10_url_filter,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -230,6 +265,84 @@ def _leak_sql() -> str:
     """
 
 
+def _lines_sql() -> str:
+    return f"""
+    WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+    keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                  '{UPPER}', '{LOWER}') AS key FROM line),
+    shared AS (SELECT key FROM keyed WHERE length(key) >= {line_dedup.MIN_CHARS}
+               GROUP BY key HAVING count(DISTINCT doc_id) >= {line_dedup.MIN_DOCS})
+    SELECT doc_id, count(*) AS n_lines, count(shared.key) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE shared.key IS NULL), ''))
+               AS kept_sha256
+    FROM keyed LEFT JOIN shared ON keyed.key = shared.key GROUP BY doc_id
+    """
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    bit = "lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), {byte}), 4294967295)"
+
+
+def _runs_sql() -> str:
+    """Equal 5-grams at distance q, joined to stretches: every run holds at
+    least five words that equal those q words on."""
+    gram = ", ".join(f"lead(x, {k}) OVER o AS x{k}" for k in range(1, 5))
+    return rf"""
+    WITH d AS (SELECT doc_id, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h,
+                      regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    p AS (SELECT doc_id, w, len(w) AS n, h // 10 AS g, h % 10 = 0 AND len(w) > 0 AS periodic FROM d),
+    q AS (SELECT *, CASE WHEN periodic THEN g % n END AS a FROM p),
+    t AS (SELECT doc_id, CASE WHEN periodic THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i
+                     ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM q),
+    word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM t),
+    gram AS (SELECT doc_id, i, x AS x0, {gram} FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    pair AS (SELECT l.doc_id, l.i, r.i - l.i AS q FROM gram l JOIN gram r USING (doc_id, x0, x1, x2, x3, x4)
+             WHERE l.i < r.i),
+    isle AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM pair),
+    stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM isle GROUP BY doc_id, q, isle),
+    run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch
+            WHERE length >= greatest({periodic_runs.MIN_LENGTH}, {periodic_runs.MIN_EXPONENT} * q)
+            GROUP BY doc_id, start, length),
+    best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start,
+                                                                                      period) = 1),
+    line AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), ''
+                                                           ORDER BY start, period) AS lines FROM run GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+    kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i)
+             GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+           sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN line USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """
+
+
+def _negatives_sql() -> str:
+    h = hard_negatives
+    return f"""
+    WITH r AS (
+        SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor({h.SCALE} * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+                 CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+          FROM r a, r b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {h.POSITIVES})
+    SELECT anchor_id, positive_id,
+           CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND {h.LEAST} * positive_score <= 100 * score AND 100 * score <= {h.MOST} * positive_score
+    QUALIFY rank <= {h.NEGATIVES}
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op3_exact_dedup": _dedup_sql(),
@@ -237,4 +350,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_jaccard_join": _similar_sql(),
     "op7_mixing": _mix_sql(),
     "op8_decontamination": _leak_sql(),
+    "op11_line_dedup": _lines_sql(),
+    "op12_periodic_runs": _runs_sql(),
+    "op13_hard_negatives": _negatives_sql(),
 }
