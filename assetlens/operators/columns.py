@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.classify import classify_by_prefix
-from ..functions.text import qcol
+from ..functions.text import py_strip, qcol
 from .slots import Slots
 
 # Register columns with a type other than text.
@@ -33,6 +33,13 @@ def canonical_names(headers: Sequence[str], synonyms: Mapping[str, str] = K.HEAD
     return out
 
 
+def canonical_name(name: Column, synonyms: Mapping[str, str] = K.HEADER_SYNONYMS) -> Column:
+    """``canonical_names`` of one header held in a column."""
+    known = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
+    cleaned = F.replace(F.lower(py_strip(name)), F.lit("  "), F.lit(" "))
+    return F.coalesce(F.try_element_at(known, cleaned), name)
+
+
 def canonicalize_columns(df: DataFrame, synonyms: Mapping[str, str] = K.HEADER_SYNONYMS) -> DataFrame:
     names = canonical_names(df.columns, synonyms)
     return df.withColumnsRenamed({old: new for old, new in zip(df.columns, names) if old != new})

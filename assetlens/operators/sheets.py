@@ -199,7 +199,10 @@ def facet_options(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str |
     out = out.withColumn("label", F.when(F.col("value") == empty_token, F.lit(empty_label)).otherwise(F.col("value")))
     place = F.element_at(F.create_map(*[F.lit(x) for pair in zip(headers, range(len(headers))) for x in pair]),
                          F.col("header")) if headers else F.lit(0)
-    return out.orderBy(place, F.collate(natural_sort_key(F.col("label")), "id_CI_AI"), "label")
+    # The key is a column of its own: a sort would work an expression out at
+    # each comparison.
+    ordered = out.withColumns({"__place": place, "__key": natural_sort_key(F.col("label"))}).orderBy("__place", "__key")
+    return ordered.select("header", "value", "label")
 
 
 def _shown(s: Slots, search: str | None, problem: str | None, headers: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.text import js_trim
 from .slots import Slots
 
-DEFAULT_BUCKET_ROWS = 1 << 20
+DEFAULT_BUCKET_ROWS = 1 << 16
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order_col: str, flag: Column | None = None,
@@ -57,10 +57,11 @@ def merge_spans(sheet: DataFrame, headers: Sequence[str] | None = None, row_col:
     after un-merging: the covering cell's value, '' when uncovered).
 
     One shuffle of sheet rows: all columns' windows run over the same
-    partitions, one per bucket of ``bucket_rows`` row numbers, and the sheet is
-    unpivoted at the end.  Each bucket's first and last row tell what it hands
-    on to other buckets; that summary is ``bucket_rows`` times smaller than the
-    data, comes from the same exchange, and is joined back by size."""
+    partitions, one per bucket of ``bucket_rows`` row numbers, in one order,
+    and the sheet is unpivoted at the end.  What a bucket hands on (its rows,
+    per column the place of its first and the value of its last non-blank
+    cell) is a summary ``bucket_rows`` times smaller than the data; it reads
+    the same exchange and is joined back by size."""
     keys = list(sheet_keys)
     s = Slots(sheet, [row_col, *keys])
     headers = list(headers or s.headers)
@@ -70,41 +71,32 @@ def merge_spans(sheet: DataFrame, headers: Sequence[str] | None = None, row_col:
                        F.floor(s.own(row_col) / F.lit(bucket_rows)).alias("__b"),
                        *[s.col(h).alias(f"__v{i}") for i, h in enumerate(headers)])
     part = [*key_names, "__b"]
-    # Named here so that cells and summary read one and the same exchange.
-    rows = rows.repartition(*part)
     w = Window.partitionBy(*part).orderBy("__row")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # "Next non-blank below" as a running frame over the reversed order
-    # (frames reaching to unbounded following are quadratic).
-    back = Window.partitionBy(*part).orderBy(F.col("__row").desc())
-    below = back.rowsBetween(Window.unboundedPreceding, -1)
 
     # The cell if it is not blank.
     shown = [F.when(js_trim(F.coalesce(F.col(f"__v{i}"), F.lit(""))) != "", F.col(f"__v{i}")) for i in places]
-    d = rows.select("*", *[c.alias(f"__s{i}") for i, c in zip(places, shown)]).select(
-        "*", F.row_number().over(w).alias("__rank"),
-        *[F.last(f"__s{i}", ignorenulls=True).over(upto).alias(f"__head{i}") for i in places])
-    d = d.select("*", F.row_number().over(back).alias("__back"),
-                 *[F.last(F.when(F.col(f"__s{i}").isNotNull(), F.col("__rank")), ignorenulls=True).over(below)
-                   .alias(f"__next{i}") for i in places])
-
-    # Per bucket: its rows, and per column the last non-blank cell and the
-    # rank of the first one.
-    edges = d.filter("__rank = 1 OR __back = 1").groupBy(*part).agg(
+    # Dealt out here so that cells and summary read one and the same exchange.
+    rows = rows.repartition(*part).select("*", *[c.alias(f"__s{i}") for i, c in zip(places, shown)])
+    ranked = rows.withColumn("__rank", F.row_number().over(w))
+    d = ranked.select("*", *[F.last(f"__s{i}", ignorenulls=True).over(upto).alias(f"__head{i}") for i in places],
+                      *[F.expr(f"lead(IF(__s{i} IS NULL, NULL, __rank)) IGNORE NULLS").over(w).alias(f"__next{i}")
+                        for i in places])
+
+    rank_shown = [F.when(F.col(f"__s{i}").isNotNull(), F.col("__rank")) for i in places]
+    edges = ranked.groupBy(*part).agg(
         F.max("__rank").alias("__n"),
-        *[F.max(F.when(F.col("__back") == 1, F.col(f"__head{i}"))).alias(f"__last{i}") for i in places],
-        *[F.max(F.when(F.col("__rank") == 1, F.when(F.col(f"__s{i}").isNotNull(), F.lit(1)).otherwise(
-            F.col(f"__next{i}")))).alias(f"__first{i}") for i in places])
-    whole = Window.partitionBy(*key_names) if keys else Window.partitionBy(F.lit(0))
-    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    later = whole.orderBy(F.col("__b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        *[F.max_by(f"__s{i}", r).alias(f"__last{i}") for i, r in zip(places, rank_shown)],
+        *[F.min(r).alias(f"__first{i}") for i, r in zip(places, rank_shown)])
+    whole = Window.partitionBy(*key_names or [F.lit(0)]).orderBy("__b")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     carry = edges.select("*", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__rows_before"),
-                         F.sum("__n").over(whole).alias("__total"))
+                         F.sum("__n").over(every).alias("__total"),
+                         *[F.last(f"__last{i}", ignorenulls=True).over(before).alias(f"__carried{i}") for i in places])
     carry = carry.select(
-        *part, "__rows_before", "__total",
-        *[F.last(f"__last{i}", ignorenulls=True).over(before).alias(f"__carried{i}") for i in places],
-        *[F.last(F.col("__rows_before") + F.col(f"__first{i}"), ignorenulls=True).over(later).alias(f"__later{i}")
-          for i in places])
+        *part, "__rows_before", "__total", *[f"__carried{i}" for i in places],
+        *[F.expr(f"lead(__rows_before + __first{i}) IGNORE NULLS").over(whole).alias(f"__later{i}") for i in places])
 
     j = d.join(carry, part, "left")
 

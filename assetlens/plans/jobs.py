@@ -1,7 +1,7 @@
 """Composite jobs: register ingest, unit dimension, the two dashboards.
 
 Each job returns DataFrames (or writes Parquet); nothing is collected except
-bounded metadata (the distinct header rows, one header list per tab).
+bounded metadata (the register's column names, one header list per tab).
 """
 
 from __future__ import annotations
@@ -31,29 +31,46 @@ from ..sources.parquet import read_detail, read_register, write_register
 
 # --- E1: register ingest ------------------------------------------------------
 
-# Distinct header rows that one ingest accepts; they are schema metadata.
-MAX_LAYOUTS = 1_000
-
-
-def header_layouts(rows: DataFrame) -> tuple[DataFrame, list[list[str]]]:
-    """(path, names) of every workbook with data rows, and the distinct header
-    rows, those of the first path first.  One header row per layout reaches the
-    driver, however many workbooks share it."""
+def header_catalogue(rows: DataFrame) -> DataFrame:
+    """(path, names, columns) of every workbook with data rows: its header row
+    and the register columns that the headers name, in cell order.  One row per
+    workbook, made and kept on the executors."""
     header = F.when(F.col("_row") == 1, F.col("cells"))
     info = rows.groupBy("path").agg(
         F.max_by(header, F.when(F.col("_row") == 1, F.lit(1))).alias("header"), F.max(F.size("cells")).alias("width"),
         F.count_if((F.col("_row") >= 2) & F.exists("cells", lambda x: x.isNotNull())).alias("n_data"))
     names = F.transform(F.sequence(F.lit(0), F.greatest(F.col("width"), F.lit(1)) - 1), lambda i: F.coalesce(
         py_strip(at("header", i + 1)), F.concat(F.lit("col_"), i.cast("string"))))
-    info = info.filter("n_data > 0").select("path", names.alias("names"))
-    layouts = (info.groupBy("names").agg(F.min("path").alias("first")).orderBy("first", "names")
-               .limit(MAX_LAYOUTS + 1).collect())
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} different header rows")
-    return info, [list(r["names"]) for r in layouts]
+    catalogue = info.filter("n_data > 0").select("path", names.alias("names"))
+    return catalogue.withColumn("columns", F.transform("names", lambda n: C.canonical_name(n)))
+
+
+def agreed_columns(catalogue: DataFrame) -> list[str]:
+    """The columns that all workbooks share, in the order of the first path's.
+
+    One aggregate checks the whole catalogue and one row of it reaches the
+    driver, whatever the number of workbooks or of header spellings.  Raises
+    where two headers of a workbook name one column, where workbooks differ in
+    their columns, and where the item code is missing."""
+    columns = F.col("columns")
+    ordered = F.sort_array(columns)
+    twice = F.size(F.array_distinct(columns)) < F.size(columns)
+    found = catalogue.agg(
+        F.min_by(columns, "path").alias("read"), F.min(ordered).alias("least"), F.max(ordered).alias("greatest"),
+        F.min_by(F.filter(F.array_distinct(columns), lambda c: F.size(F.filter(columns, lambda d: d == c)) > 1),
+                 F.when(twice, F.col("path"))).alias("collisions")).first()
+    if found["read"] is None:
+        raise ValueError("no workbook holds data rows")
+    if found["collisions"]:
+        raise ValueError(f"header collision after renaming: {sorted(found['collisions'])}")
+    if found["least"] != found["greatest"]:
+        raise ValueError(f"column mismatch: {found['least']} vs {found['greatest']}")
+    if "kode_barang" not in found["read"]:
+        raise ValueError("column 'kode_barang' is required to classify the rows")
+    return list(found["read"])
 
 
-def register_frame(spark: SparkSession, paths: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
+def register_frame(spark: SparkSession, source: DataFrame | Sequence[str], rows: DataFrame | None = None) -> DataFrame:
     """Workbooks -> one typed, classified register DataFrame.
 
     Row 1 of each workbook is its header; wholly empty rows are skipped;
@@ -62,24 +79,16 @@ def register_frame(spark: SparkSession, paths: Sequence[str], rows: DataFrame |
     columns are cast leniently, money columns as DECIMAL.  All workbooks must
     end with the same columns; those without data rows are skipped.
 
-    Workbooks are decoded once, into the shared folder.  Each header row
-    becomes a list of cell positions, joined to the rows by path, so all
-    layouts are projected in one pass."""
+    Workbooks are decoded once, into the shared folder.  The catalogue of
+    their header rows gives each workbook the places of the agreed columns;
+    it is joined to the rows by path, so any number of layouts is projected
+    in one pass."""
     if rows is None:
-        rows = shared_table(WB.pad_to_width(WB.read_workbooks(spark, paths)), "workbook-rows")
-    info, layouts = header_layouts(rows)
-    if not layouts:
-        raise ValueError("no workbook holds data rows")
-    canon = [C.canonical_names(names) for names in layouts]
-    for names in canon:
-        if sorted(names) != sorted(canon[0]):
-            raise ValueError(f"column mismatch: {sorted(canon[0])} vs {sorted(names)}")
-        if "kode_barang" not in names:
-            raise ValueError("column 'kode_barang' is required to classify the rows")
-    read = canon[0]
-    known = spark.createDataFrame([(names, [own.index(c) + 1 for c in read]) for names, own in zip(layouts, canon)],
-                                  "names array<string>, places array<int>")
-    places = info.join(known, "names").select("path", "places")
+        rows = shared_table(WB.pad_to_width(WB.read_workbooks(spark, source)), "workbook-rows")
+    catalogue = header_catalogue(rows)
+    read = agreed_columns(catalogue)
+    places = catalogue.select("path", F.array(*[F.array_position("columns", F.lit(c)).cast("int") for c in read])
+                              .alias("places"))
     data = drop_blank_array_rows(rows.filter("_row >= 2")).join(places, "path")
 
     def typed(name: str) -> Column:
@@ -103,10 +112,10 @@ def build_register(spark: SparkSession, input_dir: str, out_path: str, fallback_
                    partition_by_class: bool = True) -> DataFrame:
     """Discover, decode, normalise and write the register (Parquet, snappy,
     partitioned by class for partition pruning, clustered by unit)."""
-    paths = WB.discover_inputs(spark, input_dir, fallback_dir)
-    if not paths:
+    files = WB.find_workbooks(spark, input_dir, fallback_dir)
+    if files is None:
         raise FileNotFoundError(f"no workbook in {input_dir}" + (f" or {fallback_dir}" if fallback_dir else ""))
-    reg = register_frame(spark, paths)
+    reg = register_frame(spark, files)
     write_register(reg, out_path, partition_by=["golongan_bmn"] if partition_by_class else [],
                    sort_within=["nama_satker"])
     return read_register(spark, out_path, view=None)

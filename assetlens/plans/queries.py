@@ -920,7 +920,7 @@ def q_natural_order(spark, sf_dir):
     label = F.concat(F.when(size % 2 == 0, F.lit("Ukuran ")).otherwise(F.lit("UKURAN ")),
                      (size * size * 997).cast("string"))
     labels = B.table(spark, sf_dir, "part").select(label.alias("label")).distinct()
-    return _positions(labels.orderBy(F.collate(natural_sort_key(F.col("label")), "id_CI_AI")))
+    return _positions(labels.withColumn("key", natural_sort_key("label")).orderBy("key").drop("key"))
 
 
 @query("facet_order", f"""WITH {TARGET_CTE},

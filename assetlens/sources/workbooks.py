@@ -36,24 +36,40 @@ _PKG_NS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 _DATE_FORMAT_IDS = set(range(14, 23)) | {45, 46, 47}
 
 
-def discover_inputs(spark: SparkSession, input_dir: str, fallback_dir: str | None = None,
-                    exclude: Sequence[str] = (UNIT_EXPORT_NAME,), glob: str = "*.xlsx") -> list[str]:
-    """Sorted workbook paths of the input folder, else of the fallback
-    folder; the unit export is never taken for a register file.  Only the
-    listing is read (the content column is pruned)."""
-    def listing(d):
+def find_workbooks(spark: SparkSession, input_dir: str, fallback_dir: str | None = None,
+                   exclude: Sequence[str] = (UNIT_EXPORT_NAME,), glob: str = "*.xlsx") -> DataFrame | None:
+    """Scan (path, content) of the workbooks of the input folder, else of the
+    fallback folder; None when neither holds one.  The unit export is never
+    taken for a register file.  Paths stay in the scan: however many
+    workbooks there are, one row tells whether there is any."""
+    for folder in filter(None, (input_dir, fallback_dir)):
         try:
-            rows = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(d)
-                    .select("path").collect())
-        except AnalysisException as e:  # a missing folder lists nothing; any other error is one
+            scan = _scan(spark, folder, glob)
+        except AnalysisException as e:  # a missing folder holds nothing; any other error is one
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return []
-        return sorted(r["path"] for r in rows if r["path"].rsplit("/", 1)[-1] not in set(exclude))
-    found = listing(input_dir)
-    if not found and fallback_dir:
-        found = listing(fallback_dir)
-    return found
+            continue
+        scan = scan.filter(~F.regexp_extract("path", "([^/]*)$", 1).isin(list(exclude)))
+        if not scan.select("path").isEmpty():
+            return scan
+    return None
+
+
+def _scan(spark: SparkSession, source: Sequence[str] | str, glob: str | None = None) -> DataFrame:
+    """Workbooks as rows (path, content), one workbook per input partition
+    (``maxPartitionBytes`` = 1 byte keeps files apart)."""
+    reader = spark.read.format("binaryFile").option("maxPartitionBytes", "1")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(list(source) if not isinstance(source, str) else source).select("path", "content")
+
+
+def discover_inputs(spark: SparkSession, input_dir: str, fallback_dir: str | None = None,
+                    exclude: Sequence[str] = (UNIT_EXPORT_NAME,), glob: str = "*.xlsx") -> DataFrame:
+    """Listing (path), sorted, of what ``find_workbooks`` scans; no content
+    is read."""
+    found = find_workbooks(spark, input_dir, fallback_dir, exclude, glob)
+    return spark.createDataFrame([], "path string") if found is None else found.select("path").orderBy("path")
 
 
 def _col_index(ref: str) -> int:
@@ -203,16 +219,16 @@ def _decode_batches(batch_rows: int):
     return run
 
 
-def read_workbooks(spark: SparkSession, paths: Sequence[str] | str, batch_rows: int = DEFAULT_BATCH_ROWS,
-                   partitions: int | None = None) -> DataFrame:
+def read_workbooks(spark: SparkSession, source: DataFrame | Sequence[str] | str,
+                   batch_rows: int = DEFAULT_BATCH_ROWS, partitions: int | None = None) -> DataFrame:
     """Rows of the active sheet of each workbook: (path, _row, cells, kinds).
+    ``source`` is a scan of ``find_workbooks``, or paths.
 
-    One workbook per input partition (``maxPartitionBytes`` = 1 byte keeps
-    files apart), decoded in Arrow batches, then hash-repartitioned on
-    (path, _row) so that a single huge workbook does not stay one task; AQE
-    sizes those partitions unless ``partitions`` pins their number."""
-    files = (spark.read.format("binaryFile").option("maxPartitionBytes", "1")
-             .load(list(paths) if not isinstance(paths, str) else paths))
+    Workbooks are decoded one per input partition, in Arrow batches, then
+    hash-repartitioned on (path, _row) so that a single huge workbook does not
+    stay one task; AQE sizes those partitions unless ``partitions`` pins their
+    number."""
+    files = source if isinstance(source, DataFrame) else _scan(spark, source)
     rows = files.select("path", "content").mapInPandas(_decode_batches(batch_rows), ROWS_SCHEMA)
     return rows.repartition(partitions, "path", "_row") if partitions else rows.repartition("path", "_row")
 

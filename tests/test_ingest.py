@@ -1,7 +1,9 @@
 """Register ingest from workbooks (E1) and the unit dimension (E2)."""
 
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from assetlens.plans import jobs as J
@@ -36,8 +38,9 @@ def test_register_frame(spark, tmp_dir):
     ], inline=True)
     # The unit export beside the registers is never read as a register.
     write_xlsx(os.path.join(d, "Export_UAKPB.xlsx"), [["x"], ["y"]])
-    paths = WB.discover_inputs(spark, d)
+    paths = [r["path"] for r in WB.discover_inputs(spark, d).collect()]
     assert [os.path.basename(p) for p in paths] == ["aset_1.xlsx", "aset_2.xlsx"]
+    assert [r["path"] for r in WB.discover_inputs(spark, os.path.join(d, "none"), d).collect()] == paths
     reg = J.register_frame(spark, paths)
     assert reg.columns[:7] == ["nomor", "jenis_bmn", "kode_satker", "nama_satker", "kode_barang", "nup",
                                "golongan_bmn"]
@@ -89,7 +92,6 @@ def test_unit_dimension_and_detail(spark, tmp_dir):
 
 
 def test_error_paths(spark):
-    import pytest
     from assetlens.operators.columns import canonical_names, union_strict
     from assetlens.sources.payloads import sheet_frame
     assert canonical_names(["No", "Kode  Barang", "extra"]) == ["nomor", "kode_barang", "extra"]
@@ -115,10 +117,10 @@ def test_register_layouts_and_odd_headers(spark, tmp_dir):
             two, ["s", "3010101", "S", "9007199254740993", "1-1", i])
         write_xlsx(os.path.join(d, f"aset_{i}.xlsx"), [header, row])
     write_xlsx(os.path.join(d, "empty.xlsx"), [["other"]])
-    rows = WB.pad_to_width(WB.read_workbooks(spark, WB.discover_inputs(spark, d)))
-    info, layouts = J.header_layouts(rows)
-    assert info.count() == 6 and sorted(layouts) == sorted([one, two])
-    reg = J.register_frame(spark, WB.discover_inputs(spark, d))
+    rows = WB.pad_to_width(WB.read_workbooks(spark, WB.find_workbooks(spark, d)))
+    names = [r["names"] for r in J.header_catalogue(rows).collect()]
+    assert sorted(names) == sorted([one, two] * 3)
+    reg = J.register_frame(spark, WB.find_workbooks(spark, d))
     got = [dict(zip(reg.columns, r)) for r in reg.collect()]
     assert len(got) == 6
     for r in got:
@@ -127,6 +129,52 @@ def test_register_layouts_and_odd_headers(spark, tmp_dir):
     assert {r["nup"] for r in got} == {9007199254740993}
 
 
+def _rows(spark, books):
+    """Decoded rows of workbooks given as {path: rows of texts}."""
+    rows = [(path, i + 1, cells, ["s" if c is not None else "" for c in cells])
+            for path, sheet in books.items() for i, cells in enumerate(sheet)]
+    return spark.createDataFrame(rows, WB.ROWS_SCHEMA)
+
+
+def test_thousands_of_layouts(spark):
+    """Every workbook orders and spells its headers in a way of its own; the
+    driver gets one row of the catalogue."""
+    rng = random.Random(4)
+    columns = {"No": 1, "Kode  Barang": 2, "NUP": 3, "Nama Satker": 4, "Tgl. Terbit": 5, "status": 6, "Status": 7}
+    books = {}
+    for i in range(5000):
+        names = list(columns)
+        rng.shuffle(names)
+        values = {"No": str(i), "Kode  Barang": str(2 + i % 2) + "01", "NUP": str(7 * i), "Nama Satker": f"U{i}",
+                  "Tgl. Terbit": "t", "status": "s", "Status": "S"}
+        spelled = [" " * rng.randrange(3) + (n if n in ("Tgl. Terbit", "status", "Status") else rng.choice(
+            [n, n.upper(), n.lower()])) for n in names]
+        books[f"file:/d/aset_{i}.xlsx"] = [spelled, [values[n] for n in names], [None] * 7]
+    rows = _rows(spark, books)
+    catalogue = J.header_catalogue(rows)
+    assert catalogue.select("names").distinct().count() > 4000
+    reg = J.register_frame(spark, [], rows)
+    assert reg.columns[:7] == ["nomor", "jenis_bmn", "kode_satker", "nama_satker", "kode_barang", "nup", "golongan_bmn"]
+    bad = reg.filter("nup <> 7 * nomor OR nama_satker <> concat('U', nomor) OR sumber_file <> concat('aset_', nomor) "
+                     "OR `Tgl. Terbit` <> 't' OR golongan_bmn <> "
+                     "IF(nomor % 2 = 0, 'TANAH', 'PERALATAN DAN MESIN')")
+    assert reg.count() == 5000 and bad.count() == 0
+    assert sorted(map(tuple, reg.toDF(*map(str, range(len(reg.columns)))).select(
+        *[str(i) for i, c in enumerate(reg.columns) if c.lower() == "status"]).distinct().collect())) in (
+        [("S", "s")], [("s", "S")])
+
+
+def test_catalogue_errors(spark):
+    good = [["Kode Barang", "No"], ["201", "1"]]
+    for books, message in (({"a": [["x"]]}, "no workbook"), ({"a": good, "b": [["Kode Barang"], ["3"]]}, "mismatch"),
+                           ({"a": [["No", "x"], ["1", "2"]]}, "kode_barang"),
+                           ({"a": [["No", " NO ", "Kode Barang"], ["1", "2", "3"]]}, "collision")):
+        with pytest.raises(ValueError, match=message):
+            J.agreed_columns(J.header_catalogue(_rows(spark, books)))
+    assert J.agreed_columns(J.header_catalogue(_rows(spark, {"b": good, "a": [["No", "Kode Barang"], ["2", "3"]]}))) == [
+        "nomor", "kode_barang"]
+
+
 def test_cast_and_ensure_with_odd_headers(spark):
     from assetlens.operators.columns import cast_lenient, ensure_columns
     df = spark.createDataFrame([("1", "12.50", "x", "y")], "a string, b string, c string, d string").toDF(
@@ -137,8 +185,8 @@ def test_cast_and_ensure_with_odd_headers(spark):
 
 
 def test_missing_folder_lists_nothing_but_other_errors_show(spark, tmp_dir):
-    import pytest
-    assert WB.discover_inputs(spark, os.path.join(tmp_dir, "absent")) == []
+    assert WB.discover_inputs(spark, os.path.join(tmp_dir, "absent")).collect() == []
+    assert WB.find_workbooks(spark, os.path.join(tmp_dir, "absent"), os.path.join(tmp_dir, "too")) is None
     with pytest.raises(Exception):
         WB.discover_inputs(spark, "nosuchscheme://store/in")
 

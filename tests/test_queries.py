@@ -1,6 +1,7 @@
 """Registered queries against their DuckDB oracles (sf0.001), the driver
 contract, the dashboards, and the shape of the physical plans."""
 
+import re
 import math
 
 import duckdb
@@ -173,13 +174,26 @@ def test_filtered_queries_join_the_dimension_once(spark):
         assert _plan(E.queries()[name](spark, SF_SMALL)).count("supplier.parquet") == 1, name
 
 
+def _final(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_merge_spans_shuffles_sheet_rows_once(spark):
     from assetlens.operators.windows import merge_spans
     df = spark.createDataFrame([(i, "x" if i % 3 == 0 else "", "") for i in range(20)], "_row long, a string, b string")
-    out = merge_spans(df, bucket_rows=4)
-    out.collect()
-    final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    final = _final(merge_spans(df, bucket_rows=4))
     assert final.count("Exchange hashpartitioning(__b") == 1 or "ReusedExchange" in final, final
+    assert len(re.findall(r"[-+] Window", final)) <= 5, final
+    assert len(re.findall(r"Sort \[__b[^]]*__row", final)) <= 2, final
+
+
+def test_facets_sort_by_a_key_column(spark):
+    """Neither a regular expression nor a collation inside a sort."""
+    for name in ("facet_options", "facet_order", "odd_header_facets", "natural_order"):
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        sorts = [line for line in plan.splitlines() if re.match(r"[\s:+-]*Sort ", line)]
+        assert sorts and not any("regexp" in line or "collate" in line for line in sorts), plan
 
 
 def test_money_sums_hold_more_than_sixteen_digits(spark):
