@@ -174,34 +174,36 @@ def facet_options(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str |
 
     One scan: each row records which active filters it fails; a cell is a
     choice for its column when the row fails no filter, or only that
-    column's.  Then one distinct aggregation over (header, value).  Choices
-    come in column order, and within a column in numeric-aware order of
-    their labels, case and accents aside."""
+    column's.  Cells become distinct by their raw text first, so that only
+    distinct texts are cleaned and cross the network.  Choices come in column
+    order, and within a column in numeric-aware order of their labels, case
+    and accents aside."""
     s = Slots(sheet, [ROW])
     all_headers = list(all_headers or s.headers)
     headers = list(headers or all_headers)
+    if not headers:
+        return s.df.limit(0).select(*[F.lit("").alias(c) for c in ("header", "value", "label")])
     df = _shown(s, search, problem, all_headers)
     conds = column_filter_conditions(headers, filters or {}, empty_token, col=s.col)
-    # Per row: how many active filters fail, and which one when it is one.
+    # Per row: how many active filters fail, and the column of the last one
+    # that does (the only one, where one counts).
     fails = [F.when(c, F.lit(0)).otherwise(F.lit(1)) for _, c in conds]
     n_failed = sum(fails[1:], fails[0]) if fails else F.lit(0)
-    first_failed = F.coalesce(*[F.when(~c, F.lit(h)) for h, c in conds], F.lit(None).cast("string")) \
-        if conds else F.lit(None).cast("string")
-    slots = [f"__v{i}" for i in range(len(headers))]
-    proj = df.select(n_failed.alias("__n"), first_failed.alias("__f"),
-                     *[filter_value(s.col(h), empty_token).alias(v) for h, v in zip(headers, slots)])
-    # Unpivot plans as an Expand (code-generated), one output row per cell.
-    long = proj.unpivot(["__n", "__f"], slots, "__slot", "value")
-    header = F.element_at(F.create_map(*[F.lit(x) for pair in zip(slots, headers) for x in pair]), F.col("__slot"))
-    long = long.select("__n", "__f", header.alias("header"), "value")
-    keep = (F.col("__n") == 0) | ((F.col("__n") == 1) & (F.col("__f") == F.col("header")))
-    out = long.filter(keep).select("header", "value").distinct()
-    out = out.withColumn("label", F.when(F.col("value") == empty_token, F.lit(empty_label)).otherwise(F.col("value")))
-    place = F.element_at(F.create_map(*[F.lit(x) for pair in zip(headers, range(len(headers))) for x in pair]),
-                         F.col("header")) if headers else F.lit(0)
+    failed = F.greatest(F.lit(-1), *[F.when(c, F.lit(-1)).otherwise(F.lit(headers.index(h))) for h, c in conds],
+                        F.lit(-1))
+    proj = df.select(n_failed.alias("__n"), failed.alias("__f"),
+                     *[F.coalesce(s.col(h).cast("string"), F.lit("")).alias(f"__v{i}") for i, h in enumerate(headers)])
+    cells = F.array(*[F.when((F.col("__n") == 0) | ((F.col("__n") == 1) & (F.col("__f") == i)), F.struct(
+        F.lit(i).alias("__place"), F.col(f"__v{i}").alias("raw"))) for i in range(len(headers))])
+    raw = proj.filter("__n <= 1").select(F.explode(cells).alias("c")).filter(F.col("c").isNotNull()).select(
+        "c.__place", "c.raw").distinct()
+    out = raw.select("__place", filter_value(F.col("raw"), empty_token).alias("value")).distinct()
+    header = F.element_at(F.array(*map(F.lit, headers)), F.col("__place") + 1)
+    out = out.select("__place", header.alias("header"), "value", F.when(
+        F.col("value") == empty_token, F.lit(empty_label)).otherwise(F.col("value")).alias("label"))
     # The key is a column of its own: a sort would work an expression out at
     # each comparison.
-    ordered = out.withColumns({"__place": place, "__key": natural_sort_key(F.col("label"))}).orderBy("__place", "__key")
+    ordered = out.withColumn("__key", natural_sort_key(F.col("label"))).orderBy("__place", "__key")
     return ordered.select("header", "value", "label")
 
 
@@ -415,17 +417,33 @@ def unique_headers(headers: DataFrame, keys: Sequence[str] = ("sheet",), col_col
     """Make the headers of each tab unique, in column order: a blank name
     becomes 'Kolom <n>' (n = position + 1) and the k-th repeat of a name
     gets the suffix ' k'.  Applied ``passes`` times (the widened header row
-    is made unique a second time).  The repeat counter is a bucketed running
-    count, so a tab with an enormous header row is not one task."""
+    is made unique a second time).
+
+    Names that can meet in a later pass share a stem, the name without its
+    numbers at the end ('A', 'A 2', 'A 2 2'), so all passes run over one
+    exchange of the header cells by tab and stem.  Stems of more than
+    ``bucket_rows`` cells of a tab (at most one for that many headers, so
+    their list is small enough to be broadcast) take the bucketed running
+    count instead, which deals one stem to many tasks."""
     keys = list(keys)
     br = bucket_rows or DEFAULT_BUCKET_ROWS
     cur = headers.select(*keys, col_col, F.coalesce(F.nullif(clean_header(F.col(header_col)), F.lit("")), F.concat(
         F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col(col_col) + 1).cast("string"))).alias("__name"))
+    cur = cur.withColumn("__stem", F.regexp_replace("__name", "( [0-9]+)+$", ""))
+    family = [*keys, "__stem"]
+    large = F.broadcast(cur.groupBy(*family).count().filter(F.col("count") > br).drop("count"))
+
+    def suffixed(df: DataFrame, k: Column) -> DataFrame:
+        return df.withColumn("__name", F.when(k == 1, F.col("__name")).otherwise(
+            F.concat(F.col("__name"), F.lit(" "), k.cast("string"))))
+    few, many = cur.join(large, family, "left_anti"), cur.join(large, family, "left_semi")
+    few = few.repartition(*family)
     for _ in range(passes):
-        cur = running_count(cur, [*keys, "__name"], col_col, out="__k", bucket_rows=br)
-        cur = cur.withColumn("__name", F.when(F.col("__k") == 1, F.col("__name")).otherwise(
-            F.concat(F.col("__name"), F.lit(" "), F.col("__k").cast("string")))).drop("__k")
-    return cur.select(*keys, col_col, F.col("__name").alias("unique_header"))
+        few = suffixed(few.withColumn("__k", F.row_number().over(
+            Window.partitionBy(*family, "__name").orderBy(col_col))), F.col("__k")).drop("__k")
+        many = suffixed(running_count(many, [*keys, "__name"], col_col, out="__k", bucket_rows=br),
+                        F.col("__k")).drop("__k")
+    return few.unionByName(many).select(*keys, col_col, F.col("__name").alias("unique_header"))
 
 
 # --- other KPI layouts (A17) ------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import at, clean_header, js_trim, let
+from ..session import shared_table
 
 PAYLOAD_SCHEMA = (
     "status STRING, errors ARRAY<STRUCT<reason: STRING, message: STRING, detailed_message: STRING>>, "
@@ -23,6 +24,9 @@ PAYLOAD_SCHEMA = (
     "rows: ARRAY<STRUCT<c: ARRAY<STRUCT<v: VARIANT, f: STRING>>>>>"
 )
 
+#: Rows of a tab that one row of the chunk table holds.
+CHUNK_ROWS = 1_000
+
 MSG_UNKNOWN_FORMAT = "Format respons Google Sheet tidak dikenali."
 
 
@@ -63,14 +67,16 @@ def read_payload_files(spark: SparkSession, path: str, glob: str = "*.json") ->
 
 def parse_payloads(texts: DataFrame, sheet_col: str = "sheet", text_col: str = "text",
                    keep: Sequence[str] = ()) -> DataFrame:
-    """(sheet, text) -> (sheet, ok, error, table), plus the ``keep`` columns.
+    """(sheet, text) -> (sheet, ok, error, table, payload), plus the ``keep``
+    columns; ``payload`` is a hash of the text.
 
     The JSON is the text from the first '{' to the last '}'.  A payload is
     an error when the text has no object, does not parse, has a status other
     than 'ok' (its messages are joined) or has no table."""
     body = F.regexp_extract(F.col(text_col), "(?s)(\\{.*\\})", 1)
     parsed = F.from_json(F.when(body != "", body), PAYLOAD_SCHEMA)
-    d = texts.select(F.col(sheet_col).alias("sheet"), *keep, body.alias("__body"), parsed.alias("p"))
+    d = texts.select(F.col(sheet_col).alias("sheet"), *keep, body.alias("__body"), parsed.alias("p"),
+                     F.xxhash64(text_col).alias("payload"))
     msgs = F.array_join(F.transform(F.coalesce(F.col("p.errors"), F.array()),
                                     lambda e: F.coalesce(e["detailed_message"], e["message"])), " ")
     bad_status = F.col("p.status").isNotNull() & (F.col("p.status") != "ok")
@@ -81,7 +87,25 @@ def parse_payloads(texts: DataFrame, sheet_col: str = "sheet", text_col: str = "
              .when(F.col("p.table").isNull(),
                    F.concat(F.lit("Sheet "), F.col("sheet"), F.lit(" tidak mengembalikan tabel data."))))
     return d.select("sheet", *keep, error.isNull().alias("ok"), error.alias("error"),
-                    F.col("p.table").alias("table"))
+                    F.col("p.table").alias("table"), "payload")
+
+
+def newest_payloads(parsed: DataFrame) -> DataFrame:
+    """(sheet, table) of the latest good payload of each tab, by ``ts`` where
+    there is one, else any single payload.
+
+    The latest one is found on small columns (time and hash of the text), by
+    an aggregate that leaves one row per tab and task; a semi join then keeps
+    that payload.  Bodies of earlier versions are never moved, however many
+    landed."""
+    small = ["ts", "payload"] if "ts" in parsed.columns else ["payload"]
+    good = parsed.filter("ok")
+    newest = good.groupBy("sheet").agg(F.max(F.struct(*small)).alias("__newest"))
+    newest = newest.select(F.col("sheet").alias("__sheet"), "__newest")
+    kept = good.join(newest, (F.col("sheet") == F.col("__sheet")) & (F.struct(*small) == F.col("__newest")),
+                     "left_semi")
+    # The same text may have landed twice at one time.
+    return kept.groupBy("sheet").agg(F.first("table").alias("table"))
 
 
 def read_sheet_payloads(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
@@ -101,6 +125,20 @@ def _unique_names(df: DataFrame) -> DataFrame:
         F.concat(F.col("header"), F.lit(" "), k.cast("string"))).alias("header"))
 
 
+def row_chunks(tabs: DataFrame) -> DataFrame:
+    """(sheet, table) -> (sheet, __labels, __offset, __rows): the cell texts of
+    up to CHUNK_ROWS rows from row ``__offset`` on, one chunk at least; labels
+    (label, else id, else NULL) with the first chunk only."""
+    rows = F.coalesce(F.col("table.rows"), F.array())
+    starts = F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(CHUNK_ROWS))
+    chunks = F.transform(starts, lambda i: F.struct(i.alias("__offset"), F.slice(rows, i + 1, CHUNK_ROWS).alias("r")))
+    labels = F.transform(F.coalesce(F.col("table.cols"), F.array()), lambda c: F.coalesce(
+        F.nullif(c["label"], F.lit("")), F.nullif(c["id"], F.lit(""))))
+    d = tabs.select("sheet", labels.alias("__labels"), F.explode(chunks).alias("c"))
+    return d.select("sheet", F.when(F.col("c.__offset") == 0, F.col("__labels")).alias("__labels"), "c.__offset",
+                    F.transform("c.r", lambda r: F.transform(F.coalesce(r["c"], F.array()), cell_text)).alias("__rows"))
+
+
 def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEADER_PATTERN_CASE_INSENSITIVE
                        ) -> tuple[DataFrame, DataFrame]:
     """Parsed tabs -> (headers, rows).
@@ -111,32 +149,24 @@ def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEA
     rows: (sheet, _row, cells ARRAY<STRING>) without blank rows, ``_row``
     counting the data rows from 0.
 
-    Rows are exploded once; one aggregate gives each tab's row count, widths
-    and first row; header work runs on long header tables (one row per
+    Each tab's latest good payload is parsed once, into a table of row chunks
+    in the shared folder; a payload's rows are then read by as many tasks as
+    its chunks need.  One aggregate over the chunks gives each tab's row count,
+    widths and first row; header work runs on long header tables (one row per
     header cell).  A tab that landed several times counts once: its latest
     good payload by ``ts`` (without one, any single payload)."""
-    # One exchange over the parsed tabs: every branch below reads it, and
-    # Spark reuses the exchange, so each payload is parsed once.
-    newest = [F.col("ts").desc_nulls_last()] if "ts" in parsed.columns else [F.lit(0)]
-    latest = F.row_number().over(Window.partitionBy("sheet").orderBy(*newest))
-    ok = (parsed.filter("ok").select("sheet", "table", latest.alias("__nth")).filter("__nth = 1")
-          .select("sheet", "table"))
-    rows = ok.select("sheet", F.posexplode(F.coalesce(F.col("table.rows"), F.array())).alias("__pos", "r"))
-    rows = rows.select("sheet", "__pos", F.transform(F.coalesce(F.col("r.c"), F.array()), cell_text).alias("cells"))
-    # Per-tab facts straight from the payload row (sizes only, no cell text
-    # except for the first row).
-    trows = F.coalesce(F.col("table.rows"), F.array())
-    sizes = F.transform(trows, lambda r: F.size(F.coalesce(r["c"], F.array())))
-    meta = ok.select(
-        "sheet", F.size(trows).alias("n_rows"),
-        F.array_max(sizes).alias("w_all"),
-        F.array_max(F.slice(sizes, 2, F.greatest(F.size(sizes), F.lit(1)))).alias("w_rest"),
-        F.when(F.size(trows) > 0, F.transform(F.coalesce(at(trows, 1)["c"], F.array()), cell_text)).alias("row0"))
-
-    labels = ok.select("sheet", F.posexplode(F.coalesce(F.col("table.cols"), F.array())).alias("_col", "c"))
-    labels = labels.select("sheet", "_col", F.coalesce(
-        F.nullif(F.col("c.label"), F.lit("")), F.nullif(F.col("c.id"), F.lit("")),
-        F.concat(F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col("_col") + 1).cast("string"))).alias("header"))
+    chunks = shared_table(row_chunks(newest_payloads(parsed)), "tab-chunks")
+    rows = (chunks.select("sheet", "__offset", F.posexplode("__rows").alias("__at", "cells"))
+            .select("sheet", (F.col("__offset") + F.col("__at")).alias("__pos"), "cells"))
+    sizes = F.transform("__rows", lambda r: F.size(r))
+    later = F.when(F.col("__offset") == 0, F.slice(sizes, 2, CHUNK_ROWS)).otherwise(sizes)
+    meta = chunks.groupBy("sheet").agg(
+        F.sum(F.size("__rows")).alias("n_rows"), F.max(F.array_max(sizes)).alias("w_all"),
+        F.max(F.array_max(later)).alias("w_rest"),
+        F.first(F.when(F.col("__offset") == 0, at("__rows", 1)), ignorenulls=True).alias("row0"))
+    labels = chunks.filter("__offset = 0").select("sheet", F.posexplode("__labels").alias("_col", "header"))
+    labels = labels.withColumn("header", F.coalesce(F.col("header"), F.concat(
+        F.lit(K.GENERIC_COLUMN_PREFIX + " "), (F.col("_col") + 1).cast("string"))))
     h1 = _unique_names(labels)
 
     pattern = ("(?i)" if case_insensitive else "") + K.GENERIC_HEADER_PATTERN

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from assetlens.operators import sheets as S
@@ -64,12 +65,41 @@ def test_spans_cover_rows_minus_leading_blanks(spark):
     assert total == len(vals) - 2
 
 
+def _unique(spark, tabs, **kw):
+    """Unique headers of each tab, {tab: names in column order}."""
+    rows = [(t, i, n) for t, names in tabs.items() for i, n in enumerate(names)]
+    out = {t: [None] * len(names) for t, names in tabs.items()}
+    for r in S.unique_headers(spark.createDataFrame(rows, "sheet string, _col int, header string"), **kw).collect():
+        out[r["sheet"]][r["_col"]] = r["unique_header"]
+    return out
+
+
 def test_unique_headers_two_passes(spark):
-    def run(names):
-        df = spark.createDataFrame([("s", i, n) for i, n in enumerate(names)], "sheet string, _col int, header string")
-        return [r[0] for r in S.unique_headers(df, bucket_rows=2).orderBy("_col").select("unique_header").collect()]
-    assert run(["A b", "A  b", "", " A b "]) == ["A b", "A b 2", "Kolom 3", "A b 3"]
-    assert run(["A", "A", "A 2"]) == ["A", "A 2", "A 2 2"]
+    got = _unique(spark, {"a": ["A b", "A  b", "", " A b "], "b": ["A", "A", "A 2"]}, bucket_rows=2)
+    assert got == {"a": ["A b", "A b 2", "Kolom 3", "A b 3"], "b": ["A", "A 2", "A 2 2"]}
+
+
+@pytest.mark.parametrize("bucket_rows", [1, 3, 1 << 16])
+def test_unique_headers_brute_force(spark, bucket_rows):
+    """Stems above and below the size that is dealt by buckets."""
+    rng = random.Random(bucket_rows)
+    tabs = {f"t{k}": [rng.choice(["A", "A 2", "A 2 2", "A 3", "B", "B 2", "", "Kolom 2", "C"])
+                      for _ in range(rng.randrange(1, 30))] for k in range(12)}
+    want = {}
+    for tab, names in tabs.items():
+        names = [n or f"Kolom {i + 1}" for i, n in enumerate(names)]
+        for _ in range(2):
+            seen, out = {}, []
+            for n in names:
+                seen[n] = seen.get(n, 0) + 1
+                out.append(n if seen[n] == 1 else f"{n} {seen[n]}")
+            names = out
+        want[tab] = names
+    assert _unique(spark, tabs, bucket_rows=bucket_rows) == want
+
+
+def test_facets_without_headers(spark):
+    assert S.facet_options(spark.createDataFrame([(1,)], "_row long")).collect() == []
 
 
 def _payload(labels, rows):
@@ -237,3 +267,26 @@ def test_odd_headers_in_every_sheet_operator(spark):
 def test_facets_come_in_natural_order(spark):
     sheet = spark.createDataFrame([("item 10",), ("Item 2",), ("",), ("item 1",)], "`a.b` string")
     assert [r["label"] for r in S.facet_options(sheet).collect()] == ["item 1", "Item 2", "item 10", "Tidak Diisi"]
+
+
+def test_newest_payload_moves_one_body(spark):
+    """A tab with 1,000 landed versions: the latest good one is found on time
+    and hash alone, and no window holds payload bodies."""
+    texts = [("t", i, _payload(["Nama Unit", "b"], [[str(i), "x" * 50]])) for i in range(1000)]
+    texts += [("t", 2000, "broken"), ("t", 999, texts[-1][2]), ("u", 5, _payload(["Nama Unit"], [])), ("v", 1, "broken")]
+    df = spark.createDataFrame(texts, "sheet string, ts long, text string").repartition(8)
+    newest = P.newest_payloads(P.parse_payloads(df, keep=["ts"]))
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "LeftSemi" in plan
+    rows = {r["sheet"]: r["table"]["rows"] for r in newest.select("sheet", F.struct(
+        F.transform("table.rows", lambda r: r["c"][0]["v"].cast("string")).alias("rows")).alias("table")).collect()}
+    assert rows == {"t": ["999"], "u": []}
+
+
+def test_chunks_keep_the_rows_in_order(spark, monkeypatch):
+    monkeypatch.setattr(P, "CHUNK_ROWS", 7)
+    text = _payload(["A", "B"], [["Nama Unit", "Nilai"]] + [[f"r{i}", i] if i % 10 else [None, ""] for i in range(50)]
+                    + [["wide", 1, "c"]])
+    hs, rows = _normalize(spark, "t", text)
+    assert hs == ["Nama Unit", "Nilai", "Kolom 3"]
+    assert rows == [(i, [f"r{i}", str(i), ""]) for i in range(50) if i % 10] + [(50, ["wide", "1", "c"])]
