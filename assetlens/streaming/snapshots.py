@@ -2,9 +2,9 @@
 
 Payload files dropped into a landing folder are parsed as they arrive and
 folded into the per-tab load status (live / cache / failed with the last
-good table), kept as streaming aggregation state.  The state has one entry
-per tab; the file source records processed files in the checkpoint, so a
-restarted query (or a lost executor) resumes without reprocessing.
+good table), kept in a snapshot store or as streaming aggregation state.  The
+file source records processed files in the checkpoint, so a restarted query
+(or a lost executor) resumes without reprocessing.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import constants as K
 from ..sources.payloads import parse_payloads, sheet_of_file
-from ..sources.snapshots import latest_good_snapshot
+from ..sources.snapshots import SnapshotStore, latest_good_snapshot
 
 
 def payload_stream(spark: SparkSession, landing_dir: str, glob: str = "*.json",
@@ -44,24 +44,28 @@ def status_stream(payloads: DataFrame, no_cache: Sequence[str] = K.NO_CACHE_SHEE
 
 def start_status_query(spark: SparkSession, landing_dir: str, checkpoint: str, sink: str | None = None,
                        query_name: str = "tab_status", no_cache: Sequence[str] = K.NO_CACHE_SHEETS,
-                       trigger_seconds: int | None = None) -> StreamingQuery:
-    """Run the status stream.  With ``sink`` each micro-batch writes the
-    status as a version of its own under that (shared) path, which
-    ``read_status`` picks the latest of, so readers never meet a half-written
-    one; without it the result is an in-memory table named ``query_name``
-    (tests)."""
-    status = status_stream(payload_stream(spark, landing_dir), no_cache)
-    w = status.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).queryName(query_name)
-    if trigger_seconds:
-        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+                       trigger_seconds: int | None = None, max_deltas: int = 50) -> StreamingQuery:
+    """Run the status stream.  With ``sink`` each micro-batch appends its loads
+    to the snapshot store under that (shared) path: a batch carries the tabs
+    that landed, not all, a replayed batch adds nothing, and ``read_status``
+    meets whole versions only.  Without it the status is kept as streaming
+    aggregation state, in an in-memory table named ``query_name`` (tests)."""
+    payloads = payload_stream(spark, landing_dir)
     if sink:
+        store = SnapshotStore(spark, sink, max_deltas)
+
         def write(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{sink}/version={epoch}")
-        return w.foreachBatch(write).start()
-    return w.format("memory").start()
+            store.append(batch, epoch)
+            store.vacuum()
+        w = payloads.writeStream.foreachBatch(write)
+    else:
+        w = status_stream(payloads, no_cache).writeStream.outputMode("complete").format("memory")
+    w = w.option("checkpointLocation", checkpoint).queryName(query_name)
+    if trigger_seconds:
+        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start()
 
 
-def read_status(spark: SparkSession, sink: str) -> DataFrame:
-    """The latest version that the status query wrote."""
-    versions = spark.read.parquet(sink)
-    return versions.join(versions.agg(F.max("version").alias("version")), "version").drop("version")
+def read_status(spark: SparkSession, sink: str, no_cache: Sequence[str] = K.NO_CACHE_SHEETS) -> DataFrame:
+    """The status by the latest version of the store."""
+    return SnapshotStore(spark, sink).snapshot(no_cache)
