@@ -46,6 +46,16 @@ def register_cube(register: DataFrame, keys: Sequence[str] = ("nama_satker", "go
         *[F.sum(c).alias(c) for c in value_cols])
 
 
+def merge_cubes(cubes: Sequence[DataFrame], keys: Sequence[str] = ("nama_satker", "golongan_bmn", "jenis_bmn", "kab_kota")
+                ) -> DataFrame:
+    """One cube of several over the same keys: all measures are additive, so a
+    new workbook only needs a cube of its own rows to join the others'."""
+    merged = cubes[0]
+    for cube in cubes[1:]:
+        merged = merged.unionByName(cube)
+    return merged.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in merged.columns if c not in keys])
+
+
 def metric_cards(df: DataFrame, value_cols: Sequence[str] = ("nilai_perolehan", "nilai_buku")) -> DataFrame:
     """Row count and the two money totals in one pass (one row, also for an
     empty input)."""

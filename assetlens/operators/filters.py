@@ -66,7 +66,7 @@ def drop_blank_rows(df: DataFrame, cols: Sequence[str] | None = None, blank_is_e
     cond = F.lit(False)
     for c in cols or s.headers:
         cond = cond | ((clean_value(s.col(c)) != "") if blank_is_empty else s.col(c).isNotNull())
-    return s.restore(s.df.filter(cond))
+    return s.restore(s.keep(cond))
 
 
 def drop_blank_array_rows(df: DataFrame, cells_col: str = "cells") -> DataFrame:
@@ -99,7 +99,7 @@ def search_condition(cols: Sequence[str | Column], query: str | None) -> Column
 def search_rows(df: DataFrame, query: str | None, cols: Sequence[str] | None = None) -> DataFrame:
     s = Slots(df)
     cond = search_condition([s.col(c) for c in cols or s.headers], query)
-    return df if cond is None else s.restore(s.df.filter(cond))
+    return df if cond is None else s.restore(s.keep(cond))
 
 
 def column_filter_conditions(headers: Sequence[str], filters: Mapping[str, Sequence[str] | str | None],

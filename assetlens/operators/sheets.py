@@ -11,13 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numbers import parse_id_number, parse_percent_prefix
 from ..functions.classify import natural_sort_key
-from ..functions.text import clean_header, clean_value, filter_value, joined_lower, qcol
+from ..functions.text import at, clean_header, clean_value, filter_value, joined_lower, let, qcol
 from .filters import column_filter_conditions, search_condition
 from .slots import Slots
 from .windows import DEFAULT_BUCKET_ROWS, running_count
@@ -123,7 +123,7 @@ def relabel_positional(sheet: DataFrame, headers: Sequence[str] | None = None,
 def search_sheet(sheet: DataFrame, query: str | None, headers: Sequence[str] | None = None) -> DataFrame:
     s = Slots(sheet, [ROW])
     cond = search_condition([s.col(h) for h in headers or s.headers], query)
-    return sheet if cond is None else s.restore(s.df.filter(cond))
+    return sheet if cond is None else s.restore(s.keep(cond))
 
 
 def problem_header(headers: Sequence[str], name: str = K.PROBLEM_COLUMN_NAME,
@@ -212,7 +212,7 @@ def _shown(s: Slots, search: str | None, problem: str | None, headers: Sequence[
     goes first: it reads one cell, the search joins a whole row's text."""
     df = s.df.filter(problem_value(headers, of=s.cell) == F.lit(problem)) if problem else s.df
     cond = search_condition([s.col(h) for h in headers], search)
-    return df if cond is None else df.filter(cond)
+    return df if cond is None else s.keep(cond, df)
 
 
 def filter_sheet(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str | None] | None = None,
@@ -220,7 +220,9 @@ def filter_sheet(sheet: DataFrame, filters: Mapping[str, Sequence[str] | str | N
                  headers: Sequence[str] | None = None, empty_token: str = K.EMPTY_TOKEN) -> DataFrame:
     """Rows shown in a target tab: search, problem choice, column filters."""
     s = Slots(sheet, [ROW])
-    return s.restore(s.df.filter(shown_condition(s, filters, search, problem, headers, empty_token)))
+    chosen = s.df.filter(shown_condition(s, filters, None, problem, headers, empty_token))
+    found = search_condition([s.col(h) for h in s.headers], search)
+    return s.restore(chosen if found is None else s.keep(found, chosen))
 
 
 def shown_condition(s: Slots, filters: Mapping[str, Sequence[str] | str | None] | None = None,
@@ -277,9 +279,60 @@ def completion_summary(sheet: DataFrame, name: str | Column, headers: Sequence[s
     else:
         name_col = F.lit(name) if isinstance(name, str) else name
         agg = done.agg(*aggs).select(name_col.alias("name"), "total", "completed")
-    pct = F.when(F.col("total") > 0,
-                 F.floor(F.col("completed").cast("double") / F.col("total") * 100 + F.lit(0.5))).otherwise(F.lit(0))
-    return agg.select("name", "total", "completed", pct.cast("long").alias("percent"))
+    return with_percent(agg.select("name", "total", "completed"))
+
+
+def with_percent(summary: DataFrame) -> DataFrame:
+    """The rounded completion percent behind total and completed rows."""
+    share = F.floor(F.col("completed").cast("double") / F.col("total") * 100 + F.lit(0.5))
+    return summary.withColumn("percent", F.when(F.col("total") > 0, share).otherwise(F.lit(0)).cast("long"))
+
+
+# --- all tabs at once (E5) ---------------------------------------------------
+
+def tab_facts(rows: DataFrame, headers: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per tab with rows: sheet, total, completed, filled (per column,
+    whether any cell has text), from one pass over the keyed cell table
+    (sheet, _row, cells) of all tabs.  ``headers`` is the table of expressions:
+    each tab's completion column is found in its own headers."""
+    def of(tab: str):
+        places = {h: i for i, h in reversed(list(enumerate(headers[tab], 1)))}
+        return lambda h: F.coalesce(at("cells", places[h]), F.lit("")) if h in places else F.lit("")
+    done = F.lit(False)
+    for tab in headers:
+        done = F.when(F.col("sheet") == tab, completion_flag(list(headers[tab]), of=of(tab))).otherwise(done)
+    width = max(map(len, headers.values()), default=0)
+    filled = [F.coalesce(F.max(clean_value(at("cells", i + 1)) != ""), F.lit(False)) for i in range(width)]
+    return rows.filter(F.col("sheet").isin(list(headers))).groupBy("sheet").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed"),
+        (F.array(*filled) if filled else F.array().cast("array<boolean>")).alias("filled"))
+
+
+def filled_headers(headers: Sequence[str], facts: Row | None) -> list[str]:
+    """``informative_headers`` of a tab by its facts (None: no rows)."""
+    return [h for h, f in zip(headers, facts["filled"] if facts else ()) if f and re.sub(r"\s+", " ", h).strip()]
+
+
+def tab_board(rows: DataFrame, headers: Mapping[str, Sequence[str]], completion: Sequence[str] = ("K1", "K2", "K3")
+              ) -> DataFrame:
+    """``tab_facts`` as tagged rows (tab, section, label, value): rows of each
+    tab, whether each column is informative, and completed rows and percent of
+    the ``completion`` tabs."""
+    facts = tab_facts(rows, headers)
+    percent = with_percent(facts.select("sheet", "total", "completed", "filled"))
+
+    def row(section: str, label: Column, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), label.alias("label"), value.cast("long").alias("value"))
+    counts = [row("rows", F.lit(""), F.col("total"))]
+    done = [row("completed", F.lit(""), F.col("completed")), row("percent", F.lit(""), F.col("percent"))]
+    names = F.lit(None).cast("array<string>")
+    for tab, own in headers.items():
+        names = F.when(F.col("sheet") == tab, F.array(*map(F.lit, own))).otherwise(names)
+    columns = F.transform(names, lambda h, i: row("informative", h, (F.get("filled", i) & (clean_header(h) != ""))
+                                                  .cast("int")))
+    return percent.select(F.col("sheet").alias("tab"), F.inline(F.concat(
+        F.array(*counts), F.when(F.col("sheet").isin(list(completion)), F.array(*done)).otherwise(
+            F.array().cast("array<struct<section: string, label: string, value: bigint>>")), columns)))
 
 
 def overview_summaries(kpis: DataFrame) -> DataFrame:
@@ -373,25 +426,25 @@ def igt_kpi(igt: DataFrame, headers: Sequence[str] | None = None, row_col: str =
 
 # --- unreached helpers kept as data operations (F11, F12) ------------------
 
-def index_row_flag(headers: Sequence[str], of=cell) -> Column:
-    """Rows of formulas or column numbers: at least six filled cells and
-    either two with an operator sign, or the first (up to eight) filled
-    cells counting 1, 2, 3, ... (at least four of them)."""
-    vals = F.array(*[clean_value(of(h)) for h in headers])
-    filled = F.filter(vals, lambda v: v != "")
-    n = F.size(filled)
-    formula = F.size(F.filter(filled, lambda v: v.rlike("[=+\\-*/]"))) >= 2
-    first8 = F.slice(filled, 1, 8)
-    counting = (F.size(first8) >= 4) & F.forall(
-        F.transform(first8, lambda v, i: v.try_cast("double") == (i + 1).cast("double")), lambda b: F.coalesce(b, F.lit(False)))
-    return (n >= 6) & (formula | counting)
+def readable_row_flag(headers: Sequence[str], of=cell) -> Column:
+    """Rows to read: not blank, and neither formulas nor column numbers, that
+    is, at least six filled cells and either two with an operator sign, or the
+    first (up to eight) filled cells counting 1, 2, 3, ... (at least four of
+    them).  The cells are cleaned once, whatever asks for them."""
+    def readable(filled: Column) -> Column:
+        formula = F.size(F.filter(filled, lambda v: v.rlike("[=+\\-*/]"))) >= 2
+        first8 = F.slice(filled, 1, 8)
+        counting = (F.size(first8) >= 4) & F.forall(
+            F.transform(first8, lambda v, i: v.try_cast("double") == (i + 1).cast("double")),
+            lambda b: F.coalesce(b, F.lit(False)))
+        return (F.size(filled) > 0) & ~((F.size(filled) >= 6) & (formula | counting))
+    vals = F.transform(F.array(*[of(h) for h in headers]), lambda v: clean_value(v))
+    return let(F.filter(vals, lambda v: v != ""), readable)
 
 
 def drop_index_rows(sheet: DataFrame, headers: Sequence[str] | None = None) -> DataFrame:
     s = Slots(sheet, [ROW])
-    headers = list(headers or s.headers)
-    nonblank = F.exists(F.array(*[clean_value(s.cell(h)) for h in headers]), lambda v: v != "")
-    return s.restore(s.df.filter(nonblank & ~index_row_flag(headers, of=s.cell)))
+    return s.restore(s.keep(readable_row_flag(list(headers or s.headers), of=s.cell)))
 
 
 def find_data_row(sheet: DataFrame, headers: Sequence[str] | None = None, row_col: str = ROW,
@@ -405,8 +458,9 @@ def find_data_row(sheet: DataFrame, headers: Sequence[str] | None = None, row_co
     by_code = code.rlike("^[0-9]{4,}$") & (F.length(name) > 0)
     by_total = parse_id_number(s.cell(header_at(headers, total_pos))) > 0
     prio = F.when(by_code, F.lit(0)).when(by_total, F.lit(1))
-    ranked = s.df.filter(prio.isNotNull()).withColumn("__prio", prio)
-    best = ranked.agg(F.min_by(F.struct(*s.slots), F.struct(F.col("__prio"), s.own(row_col))).alias("r"))
+    # The row is packed below the aggregate, which then handles one column.
+    ranked = s.df.select(F.struct(*s.slots).alias("r"), F.struct(prio.alias("p"), s.own(row_col).alias("n")).alias("o"))
+    best = ranked.agg(F.min_by("r", F.when(F.col("o.p").isNotNull(), F.col("o"))).alias("r"))
     return s.restore(best.filter(F.col("r").isNotNull()).select("r.*"))
 
 

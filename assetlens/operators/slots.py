@@ -42,6 +42,16 @@ class Slots:
         """A reserved column."""
         return F.col(self.reserved[name])
 
+    def keep(self, cond: Column, df: DataFrame | None = None) -> DataFrame:
+        """The rows (of ``df``) where ``cond``, which may read every column.
+
+        The optimizer must not look into such a condition: it would restate it
+        for each choice of the columns that are renamed later, 2^columns forms.
+        A condition that is never the same twice (the row's number is at least
+        0) is left alone."""
+        rows = self.df if df is None else df
+        return rows.filter(F.when(F.monotonically_increasing_id() >= 0, cond).otherwise(F.lit(False)))
+
     def restore(self, df: DataFrame) -> DataFrame:
         """Headers back in place (same columns, same order)."""
         return df.toDF(*self.names)

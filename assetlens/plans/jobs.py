@@ -195,16 +195,19 @@ class RegisterDashboard:
 def register_dashboard(spark: SparkSession, register: DataFrame, units: DataFrame | None = None,
                        selection: Selection | None = None,
                        centres: Mapping[str, tuple[float, float]] = K.PLACE_CENTRES,
-                       place_cleaner=clean_place_exact) -> RegisterDashboard:
+                       place_cleaner=clean_place_exact, cubes: Sequence[DataFrame] = ()) -> RegisterDashboard:
     """Every result of the register dashboard for one selection.
 
     The register is read once, into a cube (one row per unit, class, type and
     place) in the shared folder; options, metrics, summaries, place layer and
     rankings are all small aggregates of it.  ``fused`` holds the class, type,
-    place and total groups of the selection.  Rankings ignore the selection."""
+    place and total groups of the selection.  Rankings ignore the selection.
+    ``cubes`` are those of earlier workbooks: ``register`` is then only the rows
+    that are new, and only they are read."""
     sel = selection or Selection()
     missing = C.validate_columns(register)
-    cube = shared_table(A.register_cube(register), "register-cube")
+    own = A.register_cube(register)
+    cube = shared_table(A.merge_cubes([*cubes, own]) if cubes else own, "register-cube")
     filtered = A.dashboard_filter(cube, units, sel.classes, sel.types, sel.units, sel.agencies)
     centre_df = M.centres_frame(spark, centres)
     options = {
@@ -272,9 +275,9 @@ class AchievementDashboard:
     action_plan: DataFrame | None
 
 
-def load_tabs(parsed: DataFrame, names: Sequence[str] = K.SHEET_NAMES, cut_lineage: bool = True
-              ) -> dict[str, DataFrame]:
-    """Wide text frame per loaded tab (headers differ between tabs).
+def load_tab_rows(parsed: DataFrame, names: Sequence[str] = K.SHEET_NAMES, cut_lineage: bool = True
+                  ) -> tuple[dict[str, list[str]], DataFrame]:
+    """Headers of each loaded tab, and the rows (sheet, _row, cells) of all.
 
     Every dashboard result reads these rows, so with ``cut_lineage`` they are
     spread over the tasks by (tab, row) and written once into the shared folder
@@ -286,7 +289,12 @@ def load_tabs(parsed: DataFrame, names: Sequence[str] = K.SHEET_NAMES, cut_linea
     wanted = headers.filter(F.col("sheet").isin(list(names)))
     lists = {r["sheet"]: [h for _, h in sorted((x["_col"], x["header"]) for x in r["h"])]
              for r in wanted.groupBy("sheet").agg(F.collect_list(F.struct("_col", "header")).alias("h")).collect()}
-    return {name: P.sheet_frame(headers, rows, name, lists[name], with_sheet=False) for name in names if name in lists}
+    return {name: lists[name] for name in names if name in lists}, rows
+
+
+def tab_frame(rows: DataFrame, sheet: str, headers: Sequence[str]) -> DataFrame:
+    """Wide text frame of one tab (headers differ between tabs)."""
+    return P.sheet_frame(None, rows.filter(F.col("sheet") == sheet), None, headers, with_sheet=False)
 
 
 def served_payloads(parsed: DataFrame, loads: DataFrame | None = None, no_cache: Sequence[str] = K.NO_CACHE_SHEETS
@@ -324,7 +332,10 @@ def achievement_dashboard(spark: SparkSession, parsed: DataFrame, searches: Mapp
     columns."""
     searches = searches or {}
     status, served = served_payloads(parsed, loads)
-    tabs = load_tabs(served)
+    headers, rows = load_tab_rows(served)
+    tabs = {name: tab_frame(rows, name, own) for name, own in headers.items()}
+    # One pass over the rows of all tabs; one row per tab reaches the driver.
+    facts = {r["sheet"]: r for r in S.tab_facts(rows, headers).collect()}
     cap = tabs.get("Capaian")
     kpis = S.achievement_kpis(cap) if cap is not None else None
     overview = kpis.first() if kpis is not None else None  # one row at most
@@ -333,14 +344,13 @@ def achievement_dashboard(spark: SparkSession, parsed: DataFrame, searches: Mapp
         total = kpis.select(F.col("total_bidang").cast("long").alias("total"))
         composition = S.composition(summaries, grand_total=overview["total_bidang"])
     else:
-        summaries = spark.createDataFrame([], "name string, total long, completed long, percent long")
-        for name in ("K1", "K2", "K3"):
-            if name in tabs:
-                summaries = summaries.unionByName(S.completion_summary(tabs[name], name))
+        counted = [(name, facts[name]["total"], facts[name]["completed"]) if name in facts else (name, 0, 0)
+                   for name in ("K1", "K2", "K3") if name in tabs]
+        summaries = S.with_percent(spark.createDataFrame(counted, "name string, total long, completed long"))
         total = S.category_total_fallback(summaries)
         composition = S.composition(summaries)
     k3, plan = tabs.get("K3"), tabs.get("ActionPlan")
-    informative = {name: S.informative_headers(tab) for name, tab in tabs.items() if name != "ActionPlan"}
+    informative = {name: S.filled_headers(headers[name], facts.get(name)) for name in tabs if name != "ActionPlan"}
     tables, tab_counts = {}, {}
     for name, tab in tabs.items():
         chosen = {"filters": k3_filters, "problem": k3_problem, "headers": informative["K3"]} if name == "K3" else {}

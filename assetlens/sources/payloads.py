@@ -199,7 +199,7 @@ def normalize_payloads(parsed: DataFrame, case_insensitive: bool = K.GENERIC_HEA
     return headers, out_rows
 
 
-def sheet_frame(headers: DataFrame, rows: DataFrame, sheet: str | None = None,
+def sheet_frame(headers: DataFrame | None, rows: DataFrame, sheet: str | None = None,
                 header_list: Sequence[str] | None = None, with_sheet: bool = True) -> DataFrame:
     """Wide text sheet (sheet, _row, <headers>...).  The header list is
     metadata (one name per column), read from ``headers`` unless given; all
@@ -234,6 +234,35 @@ def sheet_with_letter_headers(parsed: DataFrame) -> DataFrame:
     return cells.select("sheet", "_row", column_letters(F.col("_col")).alias("column"), "value")
 
 
+def scatter_cells(cells: DataFrame) -> DataFrame:
+    """Long cells (sheet, _row, _col, value) -> (sheet, _row, cells), the inverse
+    of exploding rows: every row is an array as wide as the widest of its
+    tab, '' where no cell is given.  Of several cells at one place the greatest
+    text counts.  A row's cells meet in one task, a tab's only as their
+    greatest column number."""
+    one = cells.groupBy("sheet", "_row", "_col").agg(F.max("value").alias("value"))
+    rows = one.groupBy("sheet", "_row").agg(F.map_from_entries(F.collect_list(F.struct("_col", "value"))).alias("at"))
+    widths = cells.groupBy("sheet").agg(F.max("_col").cast("int").alias("last"))
+    return rows.join(widths, "sheet").select("sheet", "_row", F.transform(
+        F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.col("at")[i], F.lit(""))).alias("cells"))
+
+
+def letter_sheet(rows: DataFrame, with_sheet: bool = True) -> DataFrame:
+    """Wide sheet of rows (sheet, _row, cells) with columns A, B, ...: header
+    rows stay data.  The number of columns is that of the widest row."""
+    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+    return sheet_frame(None, rows, None, [letters_of(i) for i in range(width)], with_sheet)
+
+
+def letters_of(index: int) -> str:
+    """``column_letters`` of a header's place, which is schema metadata."""
+    name = ""
+    while index >= 0:
+        name = chr(65 + index % 26) + name
+        index = index // 26 - 1
+    return name
+
+
 def column_letters(index: Column) -> Column:
     """Zero-based column index -> A, B, ..., Z, AA, ... (bijective base 26).
     Thirteen letters name every column that a 64-bit index can count."""

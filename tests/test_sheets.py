@@ -151,7 +151,17 @@ def test_letter_headers(spark):
     assert [(r["_row"], r["column"], r["value"]) for r in got] == [
         (0, "A", "h1"), (0, "B", "h2"), (2, "A", "1"), (2, "B", "2")]
     idx = spark.range(1).select(*[P.column_letters(F.lit(i)).alias(f"c{i}") for i in (0, 25, 26, 701, 702)])
-    assert list(idx.first()) == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert list(idx.first()) == ["A", "Z", "AA", "ZZ", "AAA"] == [P.letters_of(i) for i in (0, 25, 26, 701, 702)]
+
+
+def test_scatter_is_the_inverse_of_long_cells(spark):
+    text = _payload(["x"], [["h1", "h2", "h3"], ["", " "], ["1", None, "3"], [], ["z"]])
+    parsed = P.parse_payloads(spark.createDataFrame([("t", text)], "sheet string, text string"))
+    long = P.sheet_with_letter_headers(parsed).select("sheet", "_row", (F.ascii("column") - 65).alias("_col"), "value")
+    rows = P.scatter_cells(long)
+    sheet = P.letter_sheet(rows, with_sheet=False).orderBy("_row")
+    assert sheet.columns == ["_row", "A", "B", "C"]
+    assert [tuple(r) for r in sheet.collect()] == [(0, "h1", "h2", "h3"), (2, "1", "", "3"), (4, "z", "", "")]
 
 
 def test_facets_fixture(spark):
@@ -290,3 +300,16 @@ def test_chunks_keep_the_rows_in_order(spark, monkeypatch):
     hs, rows = _normalize(spark, "t", text)
     assert hs == ["Nama Unit", "Nilai", "Kolom 3"]
     assert rows == [(i, [f"r{i}", str(i), ""]) for i in range(50) if i % 10] + [(50, ["wide", "1", "c"])]
+
+
+def test_wide_sheets_are_searched(spark):
+    """A condition over 60 columns plans at once."""
+    from assetlens.operators.filters import drop_blank_rows
+    names = [f"Kolom {i}" for i in range(60)]
+    sheet = spark.range(20).select(F.col("id").alias("_row"), *[
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit(f"c{i}-"), F.col("id").cast("string"))).otherwise(F.lit("")).alias(n)
+        for i, n in enumerate(names)])
+    assert [r["_row"] for r in S.search_sheet(sheet, "c59-4").collect()] == [4]
+    assert S.filter_sheet(sheet, {"Kolom 3": ["c3-2"]}, search="c0-").count() == 1
+    assert drop_blank_rows(sheet, names, blank_is_empty=True).count() == 10
+    assert S.drop_index_rows(sheet).count() == 0  # every text holds a sign
