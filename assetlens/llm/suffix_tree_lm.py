@@ -1,91 +1,60 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-Symbols are all words of the training texts and one end of text.  The
-root predicts by the smoothed unigram distribution.  A context of one or two
+Symbols are all words of the training texts and one end of text.  The root
+predicts by the smoothed unigram distribution.  A context of one to ``depth``
 preceding symbols becomes a state only if its next-symbol counts diverge from
 its parent's prediction: the leave-one-out log-likelihood ratio, which noise
 makes negative, must exceed MIN_GAIN.  A state's distribution is smoothed by
 its parent's, and a text is scored from the longest suffix state at each
 place.
 
-Counting covers every training document: words first, then pairs, then the
-triples whose two-word context is a candidate.  Counts are summed within a
-task before they are shuffled.  A model that is whole within ALPHABET, STATES
-and ENTRIES is broadcast; where one of them would cut it, the same model is
-kept in Spark tables (``table_scores``), whose states and entries grow with
-the input, and the predictions of a text are joined from them.  Words outside
-the HEAD list are looked up by a join with the full counts.
+A gram of m symbols has a 64-bit number, joined from those of its first and
+its last m - 1 symbols.  Each depth is the same step (``deepen``): count the
+next symbols of the candidate contexts, keep what occurs more than once
+(events seen once only matter by their number, which the context's own count
+gives), test the contexts, and pass the events on as candidates of the next
+depth.  Counts travel as packed arrays, one per task and bucket.
+
+The log probability of a place is a sum over the grams that end there: the
+symbol's unigram log, each state's back-off log, and each event's gain over
+both.  So the whole model is one table of weights by gram number, which grows
+with the input, and a text's score is the sum of the weights of its grams.
+The HOT most frequent weights are broadcast, the others are joined by
+shuffle.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, mixed, shared_table, text_batches, text_groups, word_hashes, words_of
+from assetlens.session import drop_shared
+
+from .common import held_out, mixed, shared_table, text_groups, word_hashes
 from .jaccard_join import cut_at
 
 FOLDS = 10
-#: Words whose counts travel to the tasks.
-HEAD = 250_000
-#: Words that are symbols of a broadcast model (numbers below 65,534).
-ALPHABET = 65_000
-#: Two-word candidate contexts, their least count, and next-symbol entries of
-#: one-word and two-word states of a broadcast model.
-STATES = 400_000
+ADD = 0.1
+#: Longest contexts.
+DEPTH = 2
+#: Least count of a candidate context, least leave-one-out gain (nats) of a state.
 MIN_CONTEXT = 4
-ENTRIES = 1_500_000
-#: Pseudo-count that a two-word state gives its parent's prediction.
-PRIOR = 2.0
-#: Least leave-one-out gain (nats) of a state.
 MIN_GAIN = 2.0
-ADD = 0.1
-
-END, START, RARE = 0, 65_534, 65_535
-#: Symbols, words and pairs that a task holds while it counts.
+#: Symbols that a task holds while it counts.
 COUNTED = 1 << 22
-#: Symbols predicted at once.
-SLICE = 1 << 18
-#: Bits of the map that tells contexts which may be candidates (never loses
-#: one; other contexts that it lets through are told apart by a join).
+#: Bits of the maps that tell which grams may be in a table (never loses one;
+#: others that they let through find nothing in the join).
 MAP_BITS = 27
-#: Pairs and triples whose logs are broadcast (16 bytes each).
+#: Weights that are broadcast (33 bytes each).
 HOT = 2_000_000
 
-
-def base_probability(count, total: int, distinct: int):
-    """Add-0.1 unigram probability."""
-    return (count + ADD) / (total + ADD * (distinct + 1)) if total else 1.0
-
-
-def count_words(training: DataFrame) -> DataFrame:
-    """(word, n) over all training texts; the empty word is the end."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.binary()),
-                                               "n": pa.array(list(held.values()), pa.int64())})
-        for _, texts in text_batches(batches):
-            for text in texts:
-                held.update(words_of(text))
-                held[b""] += 1
-                if len(held) > 1_000_000:
-                    yield counted()
-                    held.clear()
-        if held:
-            yield counted()
-
-    return shared_table(training.mapInArrow(count, "word binary, n long").groupBy("word").agg(
-        F.sum("n").alias("n")), "words")
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Numbers of the start and the end; words have their 64-bit hashes.
+START, END = np.uint64(1), np.uint64(0)
 
 
 class Lookup:
@@ -133,292 +102,147 @@ class Lookup:
         return out
 
 
-class Symbols:
-    """The head of the vocabulary: symbol numbers and log10 probabilities."""
-
-    def __init__(self, counts: DataFrame):
-        self.broadcast = None
-        totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-        self.total, self.distinct = totals["n"], totals["v"]
-        least = cut_at(counts.filter("length(word) > 0"), "n", HEAD)
-        head = counts.filter((F.col("n") >= least) & (F.length("word") > 0)).toArrow().to_pydict()
-        ends = counts.filter("length(word) = 0").first()
-        order = sorted(zip(head["word"], head["n"]), key=lambda x: (-x[1], x[0]))
-        # log10 P of the symbols under the unigram root.
-        self.root = np.full(1 << 16, 0.0)
-        mass = base_probability(ends["n"] if ends else 0, self.total, self.distinct)
-        self.root[END] = math.log10(mass)
-        # Words by falling count from 1 on; 0 is a word outside the head.
-        self.index: dict[bytes, int] = {word: k + 1 for k, (word, _) in enumerate(order)}
-        p = base_probability(np.array([n for _, n in order], float), self.total, self.distinct) if order else np.empty(0)
-        self.logs = np.concatenate(([0.0], np.log10(p)))
-        own = min(len(order), ALPHABET)
-        self.symbol = np.full(len(order) + 1, RARE, np.uint64)
-        self.symbol[1:own + 1] = np.arange(1, own + 1)
-        self.root[1:own + 1] = self.logs[1:own + 1]
-        mass += p[:own].sum()
-        self.root[RARE] = math.log10(max(1.0 - mass, base_probability(0, self.total, self.distinct)))
-
-    def shared(self, spark: SparkSession):
-        """One broadcast for all passes, so a worker holds one copy."""
-        if self.broadcast is None:
-            self.broadcast = spark.sparkContext.broadcast(self)
-        return self.broadcast
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"broadcast": None}
-
-    def places(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.index.get, words, repeat(0)), np.int64, len(words))
-
-    def sequence(self, places: np.ndarray) -> np.ndarray:
-        """START, the words' symbols, END."""
-        out = np.empty(len(places) + 2, np.uint64)
-        out[0], out[-1] = START, END
-        out[1:-1] = self.symbol[places]
-        return out
-
-
-def _summed(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and their counts; ``held`` is emptied."""
-    values = np.concatenate(held)
-    held.clear()
-    values.sort()
-    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, int)
-    return values[first], np.diff(np.append(first, len(values)))
-
+def joined_id(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit number of a gram from those of its first and last symbols."""
+    return mixed(first * ODD + second)
 
-def count_pairs(training: DataFrame, symbols: Symbols) -> DataFrame:
-    """(context, next, n) of all pairs of neighbouring symbols."""
-    model = symbols.shared(training.sparkSession)
 
+def text_symbols(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per group of texts: their symbols one after another, each text as START,
+    words, END, and where each text begins."""
+    for group in text_groups(texts):
+        words, ends = word_hashes(group)
+        sizes = np.diff(np.concatenate(([0], ends)))
+        begins = np.cumsum(sizes + 2) - sizes - 2
+        symbols = np.empty(len(words) + 2 * len(group), np.uint64)
+        inner = np.ones(len(symbols), bool)
+        inner[begins] = inner[begins + sizes + 1] = False
+        symbols[begins], symbols[begins + sizes + 1], symbols[inner] = START, END, words
+        yield symbols, begins
+
+
+def grams(symbols: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, places): the grams of ``size`` symbols inside the texts, and
+    the places they end at."""
+    numbers, text = symbols, np.zeros(len(symbols), np.int64)
+    text[begins] = 1
+    text = np.cumsum(text)
+    for _ in range(size - 1):
+        numbers = joined_id(numbers[:-1], numbers[1:])
+    places = np.flatnonzero(text[size - 1:] == text[:len(text) - size + 1])
+    return numbers[places], places + size - 1
+
+
+def count_symbols(training: DataFrame) -> DataFrame:
+    """(key, n) over all training texts: words and the end."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, held, size = model.value, [], 0
+        held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            codes, n = _summed(held)
-            return pa.RecordBatch.from_pydict({
-                "context": (codes >> np.uint64(16)).astype(np.int32), "next": (codes & np.uint64(0xFFFF)).astype(np.int32),
-                "n": n.astype(np.int64)})
-        for _, texts in text_batches(batches):
-            for text in texts:
-                s = symbols.sequence(symbols.places(words_of(text)))
-                held.append(s[:-1] << np.uint64(16) | s[1:])
-                size += len(s)
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n.astype(np.int64)})
+        for batch in batches:
+            for symbols, _ in text_symbols(batch.column(1).to_pylist()):
+                held.append(symbols[symbols != START])
+                size += len(held[-1])
                 if size >= COUNTED:
                     yield counted()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield counted()
 
-    return shared_table(training.mapInArrow(count, "context int, next int, n long").groupBy("context", "next").agg(
-        F.sum("n").alias("n")), "pairs")
-
-
-class OneWordStates:
-    """States of one preceding symbol."""
-
-    def __init__(self, pairs: DataFrame, symbols: Symbols):
-        spark = pairs.sparkSession
-        self.root = symbols.root
-        # At most 65,536 rows each: symbols and contexts are 16-bit numbers.
-        totals = pairs.groupBy("context").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds"))
-        root = spark.createDataFrame(pa.table({"next": pa.array(np.arange(1 << 16), pa.int32()),
-                                               "p": pa.array(10.0 ** symbols.root, pa.float64())}))
-        joined = pairs.join(F.broadcast(totals), "context").join(F.broadcast(root), "next")
-        gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p") + F.col("kinds"))
-                                  / (F.col("c") - 1 + F.col("kinds")))
-        kept = shared_table(joined.groupBy("context", "c", "kinds").agg(F.sum(gain).alias("gain"))
-                            .filter(F.col("gain") > MIN_GAIN), "one-word-states")
-        entries = shared_table(pairs.filter("n > 1").join(F.broadcast(kept.select("context")), "context"),
-                               "one-word-entries")
-        least = cut_at(entries, "n", ENTRIES)
-        rows = entries.filter(F.col("n") >= least).toArrow()
-        self.whole = rows.num_rows == entries.count()
-        states = kept.toArrow()
-        c, kinds = np.zeros(1 << 16), np.zeros(1 << 16)
-        at = states["context"].to_numpy()
-        c[at], kinds[at] = states["c"].to_numpy(), states["kinds"].to_numpy()
-        context, nxt, n = (rows[k].to_numpy().astype(np.int64) for k in ("context", "next", "n"))
-        held = np.bincount(context, n, 1 << 16) if len(n) else np.zeros(1 << 16)
-        self.is_state = c > 0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.back = np.where(self.is_state, (kinds + c - held) / (c + kinds), 1.0)
-        order = np.argsort(context << 16 | nxt)
-        context, nxt, n = context[order], nxt[order], n[order]
-        self.codes = Lookup(context << 16 | nxt)
-        p = n / (c[context] + kinds[context]) + self.back[context] * 10.0 ** self.root[nxt]
-        self.logs = np.log10(p)
-        with np.errstate(divide="ignore"):
-            self.back = np.log10(self.back)
-
-    def predict(self, context: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-        """log10 P of each next symbol after its one-symbol context."""
-        at = self.codes.find(context << np.uint64(16) | nxt)
-        return np.where(at >= 0, self.logs[at], self.root[nxt] + self.back[context]) if len(self.logs) else (
-            self.root[nxt] + self.back[context])
-
-
-class TwoWordStates:
-    """States of two preceding symbols; parents are one-word states."""
-
-    def __init__(self, training: DataFrame, pairs: DataFrame, symbols: Symbols, one: OneWordStates):
-        spark = pairs.sparkSession
-        parents = spark.createDataFrame(pa.table({
-            "next": pa.array(np.flatnonzero(one.is_state), pa.int32())}))
-        able = pairs.filter((F.col("n") >= MIN_CONTEXT) & (F.col("context") != RARE) & (F.col("next") != RARE)
-                            & (F.col("next") != END)).join(F.broadcast(parents), "next", "left_semi")
-        able = shared_table(able, "candidates")
-        least = cut_at(able, "n", STATES)
-        rows = able.filter(F.col("n") >= least).toArrow()
-        self.whole = rows.num_rows == able.count()
-        codes = rows["context"].to_numpy().astype(np.uint64) << np.uint64(16) | rows["next"].to_numpy().astype(np.uint64)
-        order = np.argsort(codes)
-        self.one, self.counts = one, rows["n"].to_numpy()[order]
-        self.last, self.states = (codes & np.uint64(0xFFFF))[order], Lookup(codes[order])
-        self.back = np.zeros(len(codes))
-        self.codes, self.logs = Lookup(np.empty(0, np.uint64)), np.empty(0)
-        triples = self.count(training, symbols)
-        gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p") + PRIOR) / (F.col("c") - 1 + PRIOR))
-        kept = triples.groupBy("state").agg(F.sum(gain).alias("gain")).filter(F.col("gain") > MIN_GAIN).select("state")
-        kept = shared_table(kept, "two-word-states")
-        entries = shared_table(triples.filter("n > 1").join(kept, "state"), "two-word-entries")
-        least = cut_at(entries, "n", ENTRIES)
-        rows = entries.filter(F.col("n") >= least).select("state", "next", "n", "p").toArrow()
-        self.whole = self.whole and rows.num_rows == entries.count()
-        state, nxt, n = (rows[k].to_numpy().astype(np.int64) for k in ("state", "next", "n"))
-        held = np.bincount(state, n, len(self.counts)) if len(n) else np.zeros(len(self.counts))
-        chosen = np.zeros(len(self.counts), bool)
-        chosen[kept.toArrow()["state"].to_numpy()] = True
-        # A state whose entries were all cut predicts as its parent does.
-        back = np.where(chosen & (held > 0), (PRIOR + self.counts - held) / (self.counts + PRIOR), 1.0)
-        keys = state.astype(np.uint64) << np.uint64(16) | nxt.astype(np.uint64)
-        order = np.argsort(keys)
-        p = n / (self.counts[state] + PRIOR) + back[state] * rows["p"].to_numpy()
-        self.codes, self.logs, self.back = Lookup(keys[order]), np.log10(p)[order], np.log10(back)
-
-    def state_of(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The state's number, or -1."""
-        return self.states.find(before << np.uint64(16) | last)
-
-    def count(self, training: DataFrame, symbols: Symbols) -> DataFrame:
-        """(state, next, c, p, n): next symbols of the candidate contexts with
-        the context's count and the parent's prediction."""
-        model, tree = symbols.shared(training.sparkSession), training.sparkSession.sparkContext.broadcast(self)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            symbols, states, held, size = model.value, tree.value, [], 0
-
-            def counted() -> pa.RecordBatch:
-                keys, n = _summed(held)
-                state, nxt = (keys >> np.uint64(16)).astype(np.int64), keys & np.uint64(0xFFFF)
-                p = np.empty(len(state))
-                for at in range(0, len(state), SLICE):
-                    part = slice(at, at + SLICE)
-                    p[part] = 10.0 ** states.one.predict(states.last[state[part]], nxt[part])
-                return pa.RecordBatch.from_pydict({
-                    "state": state.astype(np.int32), "next": nxt.astype(np.int32),
-                    "c": states.counts[state].astype(np.int64), "p": p, "n": n.astype(np.int64)})
-            for _, texts in text_batches(batches):
-                for text in texts:
-                    s = symbols.sequence(symbols.places(words_of(text)))
-                    state = states.state_of(s[:-2], s[1:-1])
-                    known = state >= 0
-                    held.append(state[known].astype(np.uint64) << np.uint64(16) | s[2:][known])
-                    size += len(held[-1]) + 16
-                    if size >= COUNTED:
-                        yield counted()
-                        held, size = [], 0
-            if held:
-                yield counted()
-
-        return shared_table(training.mapInArrow(count, "state int, next int, c long, p double, n long").groupBy(
-            "state", "next").agg(F.max("c").alias("c"), F.max("p").alias("p"), F.sum("n").alias("n")), "triples")
-
-    def predict(self, sequence: np.ndarray) -> np.ndarray:
-        """log10 P of each symbol but the first, from its longest suffix."""
-        out = self.one.predict(sequence[:-1], sequence[1:])
-        if len(sequence) > 2 and len(self.counts):
-            state = self.state_of(sequence[:-2], sequence[1:-1])
-            known = np.flatnonzero(state >= 0)
-            state = state[known]
-            later = out[known + 1] + self.back[state]
-            if len(self.logs):
-                at = self.codes.find(state.astype(np.uint64) << np.uint64(16) | sequence[known + 2])
-                later = np.where(at >= 0, self.logs[at], later)
-            out[known + 1] = later
-        return out
-
-
-WORD_ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Wide numbers of the start and the end; words have their 64-bit hashes.
-START_ID, END_ID = np.uint64(1), np.uint64(0)
+    return shared_table(training.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")),
+                        "lm-symbols")
 
 
-def joined_id(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """64-bit number of a sequence from those of its parts."""
-    return mixed(first * WORD_ODD + second)
-
+def key_map(keys: DataFrame) -> np.ndarray:
+    """Bits set at the low MAP_BITS bits of every key.  At most
+    2**MAP_BITS / 32 numbers reach the driver."""
+    slot = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    rows = keys.groupBy(F.shiftright(slot, 5).cast("int").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(key & 31 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 5), np.uint32)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return out
 
-def text_ids(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Per text START, the words' numbers, END."""
-    for group in text_groups(texts):
-        words, ends = word_hashes(group)
-        start = 0
-        for end in ends.tolist():
-            yield np.concatenate(([START_ID], words[start:end], [END_ID]))
-            start = end
 
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64((1 << MAP_BITS) - 1)
+    return bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1) == 1
 
-def text_key(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
+def _summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (context, suffix) in order of bucket and context, with their
+    bucket and summed ``n``."""
+    order = np.argsort(bucket << np.uint64(48) | context >> np.uint64(40) << np.uint64(24) | suffix >> np.uint64(40))
+    context, suffix, bucket = context[order], suffix[order], bucket[order]
+    first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1]))))
+    return context[first], suffix[first], np.add.reduceat(n[order], first), bucket[first]
 
-def _distinct_rows(columns: list[np.ndarray], n: np.ndarray, key: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows of distinct keys and the sums of their ``n``."""
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return [c[order[first]] for c in columns], np.add.reduceat(n[order], first)
 
+def count_events(training: DataFrame, candidates: DataFrame, size: int, total: int) -> DataFrame:
+    """(context, suffix, n) of the grams of ``size`` symbols after candidate
+    contexts (key, c) that occur more than once: numbers of their first and
+    last ``size`` - 1 symbols.
 
-def _counted(docs: DataFrame, rows_of, schema: str) -> DataFrame:
-    """Rows (columns, n) of all texts, summed within a task by the first two
-    columns; n counts training texts only, so that a row of held-out texts
-    alone has n = 0.  ``rows_of`` makes the columns of one text."""
-    names = [part.split()[0] for part in schema.split(",")]
+    A task packs what it has counted into one row per bucket.  Buckets go by
+    context, so that equal contexts lie together and compress; a context with
+    more than a quarter of a bucket's share (there are at most four times as
+    many as buckets) is dealt out by gram."""
+    spark = training.sparkSession
+    buckets = max(64, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(buckets, 1 << 16)
+    large = candidates.filter(F.col("c") > max(total // (4 * buckets), MIN_CONTEXT)).select("key").toArrow()
+    sent = spark.sparkContext.broadcast((key_map(candidates.select("key")),
+                                         np.sort(large["key"].to_numpy().view(np.uint64))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sizes, size = [], [], 0
+        bits, large = sent.value
+        held, held_size = [], 0
 
         def counted() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*(columns for columns, _ in held))]
-            n = np.repeat([n for _, n in held], sizes).astype(np.int64)
-            columns, n = _distinct_rows(columns, n, joined_id(columns[0], columns[1]))
-            held.clear(), sizes.clear()
-            return pa.RecordBatch.from_pydict({**{k: c.view(np.int64) for k, c in zip(names, columns)}, "n": n})
+            context, suffix = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            dealt = mixed(context)
+            if len(large):
+                hot = large[np.minimum(np.searchsorted(large, context), len(large) - 1)] == context
+                dealt[hot] = joined_id(context[hot], suffix[hot])
+            context, suffix, n, bucket = _summed(context, suffix, np.ones(len(context), np.int32),
+                                                 dealt % np.uint64(buckets))
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() + [len(bucket)]
+            spans = list(zip(cuts, cuts[1:]))
+            return pa.RecordBatch.from_pydict({
+                "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
+                **{k: pa.array([v[a:b].tobytes() for a, b in spans], pa.binary())
+                   for k, v in (("contexts", context), ("suffixes", suffix), ("counts", n.astype(np.int32)))}})
         for batch in batches:
-            training = batch.column(2).to_pylist()
-            for ids, trained in zip(text_ids(batch.column(1).to_pylist()), training):
-                columns = rows_of(ids)
-                if len(columns[0]):
-                    held.append((columns, int(trained)))
-                    sizes.append(len(columns[0]))
-                    size += sizes[-1]
-                if size >= COUNTED:
+            for symbols, begins in text_symbols(batch.column(1).to_pylist()):
+                shorter, ends = grams(symbols, begins, size - 1)
+                next_to = np.flatnonzero(ends[1:] == ends[:-1] + 1)
+                # grams that end side by side in one text overlap in all but
+                # their ends; START stands in the way between texts
+                next_to = next_to[symbols[ends[next_to + 1]] != START]
+                context, suffix = shorter[next_to], shorter[next_to + 1]
+                able = may_hold(bits, context)
+                held.append((context[able], suffix[able]))
+                held_size += int(able.sum())
+                if held_size >= COUNTED:
                     yield counted()
-                    size = 0
-        if held:
+                    held_size = 0
+        if held_size:
             yield counted()
 
-    return docs.mapInArrow(count, schema)
-
+    def merge(key: tuple, packed: pa.Table) -> pa.Table:
+        context, suffix = (np.frombuffer(b"".join(packed.column(k).to_pylist()), np.uint64) for k in (1, 2))
+        n = np.frombuffer(b"".join(packed.column(3).to_pylist()), np.int32).astype(np.int64)
+        context, suffix, n, _ = _summed(context, suffix, n, np.zeros(len(n), np.uint64))
+        often = n > 1
+        return pa.table({"context": context[often].view(np.int64), "suffix": suffix[often].view(np.int64),
+                         "n": n[often]})
 
-def wide_pairs(docs: DataFrame) -> DataFrame:
-    """(context, next, n) of all pairs of neighbouring symbols."""
-    return shared_table(
-        _counted(docs, lambda ids: [ids[:-1], ids[1:]], "context long, next long, n long")
-        .groupBy("context", "next").agg(F.sum("n").alias("n")), "wide-pairs")
+    packed = training.mapInArrow(count, "bucket int, contexts binary, suffixes binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(merge, "context long, suffix long, n long")
 
 
 def with_id(rows: DataFrame, schema: str) -> DataFrame:
@@ -432,199 +256,143 @@ def with_id(rows: DataFrame, schema: str) -> DataFrame:
     return rows.mapInArrow(joined, schema)
 
 
-def candidate_map(candidates: DataFrame) -> np.ndarray:
-    """Bits set at the low MAP_BITS bits of every candidate's key.  At most
-    2**MAP_BITS / 32 numbers reach the driver."""
-    slot = F.col("context").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    rows = candidates.groupBy(F.shiftright(slot, 5).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(context & 31 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64((1 << MAP_BITS) - 1)
-    return bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1) == 1
-
-
-def table_scores(docs: DataFrame, folds: int, total: int, distinct: int) -> DataFrame:
-    """(text_id, score): the scores of all texts from a model kept in tables.
-
-    Every distinct pair and every distinct triple of a candidate context, of
-    training and other texts, gets its log probability once; the texts' places
-    are joined with these by a 64-bit number.  Tasks get the fixed candidate
-    map and the HOT most frequent numbers with their logs; all other numbers
-    are joined by shuffle, so no table is cut.
-    """
-    marked = docs.select("doc_id", "text", (~held_out(F.col("doc_id"), folds)).alias("training"))
-    pairs = wide_pairs(marked)
-    words = pairs.groupBy("next").agg(F.sum("n").alias("n")).select(
-        "next", ((F.col("n") + ADD) / F.lit(total + ADD * (distinct + 1))).alias("p0"))
-    sized = pairs.filter("n > 0").groupBy("context").agg(
-        F.sum("n").alias("c"), F.count(F.lit(1)).alias("kinds"),
-        F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("held"))
-    rooted = shared_table(pairs.join(words, "next").join(sized, "context", "left"), "rooted-pairs")
-    gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p0") + F.col("kinds"))
-                              / (F.col("c") - 1 + F.col("kinds")))
-    states = shared_table(rooted.filter("n > 0").groupBy("context").agg(F.sum(gain).alias("gain")).filter(
-        F.col("gain") > MIN_GAIN).select("context", F.lit(True).alias("state")), "wide-states")
-    own = F.when(F.col("n") > 1, F.col("n") / (F.col("c") + F.col("kinds"))).otherwise(0.0)
-    p1 = F.when(F.col("state"), own + (F.col("kinds") + F.col("c") - F.col("held"))
-                / (F.col("c") + F.col("kinds")) * F.col("p0")).otherwise(F.col("p0"))
-    # Only a candidate's last symbol is needed later.
-    first = shared_table(with_id(
-        rooted.join(states, "context", "left").select(
-            "context", "next", "n", F.when(F.col("n") >= MIN_CONTEXT, F.col("next")).alias("last"), p1.alias("p")),
-        "key long, n long, last long, p double"), "wide-predictions")
-    candidates = shared_table(
-        first.filter((F.col("n") >= MIN_CONTEXT) & (F.col("last") != int(END_ID)))
-        .join(states.select(F.col("context").alias("last")), "last", "left_semi")
-        .select(F.col("key").alias("context"), F.col("n").alias("c")), "wide-candidates")
-    bits = docs.sparkSession.sparkContext.broadcast(candidate_map(candidates))
-
-    def triples_of(ids: np.ndarray) -> list[np.ndarray]:
-        keys = joined_id(ids[:-1], ids[1:])
-        able = may_hold(bits.value, keys[:-1])
-        return [keys[:-1][able], keys[1:][able]]
-
-    triples = (_counted(marked, triples_of, "context long, key long, n long").groupBy("context", "key")
-               .agg(F.sum("n").alias("n")).join(candidates, "context", "left"))
-    triples = shared_table(triples.join(first.select("key", "p"), "key"), "wide-triples")
-    gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p") + PRIOR) / (F.col("c") - 1 + PRIOR))
-    kept = triples.filter("c IS NOT NULL AND n > 0").groupBy("context").agg(
-        F.sum(gain).alias("gain"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("held")).filter(
-        (F.col("gain") > MIN_GAIN) & (F.col("held") > 0)).select("context", "held")
-    own = F.when(F.col("n") > 1, F.col("n") / (F.col("c") + PRIOR)).otherwise(0.0)
-    p2 = F.when(F.col("held").isNotNull(), own + (PRIOR + F.col("c") - F.col("held")) / (F.col("c") + PRIOR)
-                * F.col("p")).otherwise(F.col("p"))
-
-    second = with_id(triples.join(kept, "context", "left").select("context", "key", "n", F.log10(p2).alias("log")),
-                     "id long, n long, log double")
-    logs = shared_table(first.select(F.col("key").alias("id"), "n", F.log10("p").alias("log")).unionByName(second),
-                        "wide-logs")
-    least = cut_at(logs.filter("n > 0"), "n", HOT)
-    rows = logs.filter(F.col("n") >= least).select("id", "log").toArrow()
-    order = np.argsort(rows["id"].to_numpy().view(np.uint64))
-    hot = docs.sparkSession.sparkContext.broadcast(
-        (rows["id"].to_numpy().view(np.uint64)[order], rows["log"].to_numpy()[order]))
-    cold = logs.filter(F.col("n") < least).select("id", "log")
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ids, hot_logs = hot.value
-        for batch in batches:
-            held, sums, texts = [], [], batch.column(1).to_pylist()
-            keys_of = np.array([text_key(words_of(t)) for t in texts], np.int64)
-            for ids in text_ids(texts):
-                keys = joined_id(ids[:-1], ids[1:])
-                able = may_hold(bits.value, keys[:-1])
-                found, n = _summed([np.concatenate((
-                    keys[:1], np.where(able, joined_id(keys[:-1], keys[1:]), keys[1:])))])
-                at = np.searchsorted(hot_ids, found)
-                known = hot_ids[np.minimum(at, len(hot_ids) - 1)] == found if len(hot_ids) else np.zeros(len(n), bool)
-                sums.append(float((n[known] * hot_logs[at[known]]).sum()))
-                held.append((found[~known], n[~known]))
-            yield pa.RecordBatch.from_pydict({
-                "text_id": pa.array(np.concatenate((np.repeat(keys_of, [len(v) for v, _ in held]), keys_of))),
-                "id": pa.array(np.concatenate([v for v, _ in held] + [keys_of.view(np.uint64)]).view(np.int64)),
-                "times": pa.array(np.concatenate([n for _, n in held] + [np.zeros(len(texts), int)]).astype(np.int32)),
-                "part": pa.array(np.concatenate([np.zeros(sum(len(n) for _, n in held)), sums]))})
-
-    # Each row of an equal text brings the same places: their sum is a
-    # multiple of the text's score.
-    copies = marked.mapInArrow(_text_keys, "text_id long").groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"))
-    # The row with times = 0 has the sum over a text's hot places.
-    found = marked.select("doc_id", "text").mapInArrow(places, "text_id long, id long, times int, part double").join(
-        cold, "id", "left")
-    term = F.when(F.col("times") == 0, F.col("part")).otherwise(F.col("times") * F.col("log"))
-    return found.groupBy("text_id").agg(F.sum(term).alias("sum")).join(
-        copies, "text_id").select("text_id", (F.col("sum") / F.col("copies")).alias("table_score"))
-
-
-def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in text_batches(batches):
-        yield pa.RecordBatch.from_pydict({"text_id": pa.array([text_key(words_of(t)) for t in texts], pa.int64())})
-
-
-def whole_model(training: DataFrame, symbols: Symbols) -> TwoWordStates | None:
-    """The model as arrays, or none if a limit would cut it."""
-    if symbols.distinct > ALPHABET:
-        return None
-    pairs = count_pairs(training, symbols)
-    one = OneWordStates(pairs, symbols)
-    if not one.whole:
-        return None
-    two = TwoWordStates(training, pairs, symbols, one)
-    return two if two.whole else None
-
-
-SCORED = ("doc_id long, text_key binary, text_id long, n_tokens long, n_known long, base_score double, "
-          "score double, rare array<struct<word:binary,times:long>>")
-
-
-def score_documents(docs: DataFrame, folds: int = FOLDS) -> DataFrame:
+def deepen(training: DataFrame, level: DataFrame, size: int, total: int) -> tuple[DataFrame, DataFrame]:
+    """(events, states) of the contexts in ``level`` (key, n, p, open): grams of
+    ``size`` - 1 symbols, how often they occur, the probability of their last
+    symbol after the others, and whether a symbol can follow.
+
+    Events are the next level (and ``gain``: the log of p over what a text
+    without the event would get); states are (key, n, back)."""
+    candidates = level.filter(F.col("open") & (F.col("n") >= MIN_CONTEXT)).select("key", F.col("n").alias("c"))
+    counted = shared_table(count_events(training, candidates, size, total), "lm-counted")
+    parent = level.select(F.col("key").alias("suffix"), "p", "open")
+    events = shared_table(counted.join(candidates.withColumnRenamed("key", "context"), "context").join(parent, "suffix")
+                          .select("context", "suffix", "n", "c", "p", "open"), "lm-events")
+    drop_shared(counted)
+    stats = events.groupBy("context").agg(F.max("c").alias("c"), F.sum("n").alias("held"), F.count(F.lit(1)).alias("kinds"))
+    once = F.col("c") - F.col("held")
+    stats = stats.select("context", once.alias("once"), (once + F.col("kinds")).alias("weight"))
+    gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p") + F.col("weight")) / (F.col("c") - 1 + F.col("weight")))
+    single = F.col("once") * F.log(F.col("weight") / (F.col("c") - 1 + F.col("weight")))
+    tested = events.join(stats, "context").groupBy("context").agg(
+        F.max("c").alias("c"), F.max("once").alias("once"), F.max("weight").alias("weight"), F.sum(gain).alias("gain"))
+    states = shared_table(tested.filter(F.col("gain") + single > MIN_GAIN).select(
+        "context", F.col("c").alias("n"), F.col("weight"),
+        ((F.col("weight") + F.col("once")) / (F.col("c") + F.col("weight"))).alias("back")), "lm-states")
+    joined = events.join(states.select("context", "weight", "back"), "context", "left")
+    p = F.when(F.col("back").isNotNull(), F.col("n") / (F.col("c") + F.col("weight")) + F.col("back") * F.col("p")
+               ).otherwise(F.col("p"))
+    gained = F.when(F.col("back").isNotNull(), F.log10(p) - F.log10("back") - F.log10("p")).otherwise(0.0)
+    out = shared_table(with_id(joined.select("context", "suffix", "n", p.alias("p"), "open", gained.alias("gain")),
+                               "key long, n long, p double, open boolean, gain double"), "lm-level")
+    drop_shared(events)
+    return out, states.select(F.col("context").alias("key"), "n", "back")
+
+
+def fit(training: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, float]:
+    """(weights, tokens, log): the model as (key, n, weight, base, known), the
+    training tokens, and the log10 probability of an unknown word; ``base`` is
+    the unigram part of a weight."""
+    counts = count_symbols(training)
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    width = total + ADD * (distinct + 1)
+    level = counts.select("key", "n", ((F.col("n") + ADD) / F.lit(width)).alias("p"),
+                          (F.col("key") != int(END)).alias("open"))
+    unknown = float(np.log10(ADD / width)) if total else 0.0
+    base = F.log10("p")
+    parts = [level.select("key", "n", base.alias("weight"), base.alias("base"), F.lit(1).alias("known"))]
+    # Every text has one start and one end.
+    texts = counts.filter(F.col("key") == int(END)).select(
+        F.lit(int(START)).alias("key"), "n", F.lit(1.0).alias("p"), F.lit(True).alias("open"))
+    level = level.unionByName(texts)
+    for size in range(2, depth + 2):
+        level, states = deepen(training, level.select("key", "n", "p", "open", *(["gain"] if size > 2 else [])), size,
+                               total)
+        for rows, weight in ((states, F.log10("back")), (level.filter("gain <> 0"), F.col("gain"))):
+            parts.append(rows.select("key", "n", weight.alias("weight"), F.lit(0.0).alias("base"), F.lit(0).alias("known")))
+    weights = parts[0]
+    for part in parts[1:]:
+        weights = weights.unionByName(part)
+    weights = weights.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"), F.sum("base").alias("base"),
+                                         F.max("known").alias("known"))
+    return shared_table(weights, "lm-weights"), total, unknown
+
+
+SCORED = ("row long, doc_id long, n_tokens long, n_known long, base double, weight double, "
+          "cold array<struct<key: long, times: int, word: boolean>>")
+
+
+def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score.
 
     Training reads the rows whose crc32(doc_id as text) is not divisible by
     ``folds``; a null id reads as the empty text and is held out.  A null or
-    empty text is one token, the end.  Rows with equal texts score alike.
-    Without training rows every probability is 1 and every score 0.  An empty
-    table gives no rows; further columns are not read.
+    empty text is one token, the end.  Rows with equal texts score alike,
+    repeated rows are counted and scored each; there are no ties to break.  A
+    very long text is read whole, by one task.  Without training rows every
+    probability is 1 and every score 0.  An empty table gives no rows; further
+    columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    training = docs.filter(~held_out(F.col("doc_id"), folds))
-    counts = count_words(training)
-    symbols = Symbols(counts)
-    two = whole_model(training, symbols)
-    ends_known = int(symbols.total > 0)
-    model, tree = symbols.shared(docs.sparkSession), docs.sparkSession.sparkContext.broadcast(two)
+    weights, total, unknown = fit(docs.filter(~held_out(F.col("doc_id"), folds)), depth)
+    least = cut_at(weights, "n", HOT)
+    hot = weights.filter(F.col("n") >= least).select("key", "weight", "base", "known").toArrow()
+    cold = weights.filter(F.col("n") < least).select("key", "weight", "base", "known")
+    sent = docs.sparkSession.sparkContext.broadcast((
+        Lookup(hot["key"].to_numpy().view(np.uint64)), *(np.append(hot[k].to_numpy(), 0.0) for k in ("weight", "base", "known")),
+        key_map(cold.filter("known = 0 OR weight <> base").select("key"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, two = model.value, tree.value
-        root = symbols.root
-        for ids, texts in text_batches(batches):
-            out = {"doc_id": ids, "text_key": [], "text_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": [],
-                   "rare": []}
-            for text in texts:
-                words = words_of(text)
-                places = symbols.places(words)
-                sequence, logs = symbols.sequence(places), symbols.logs[places]
-                outside = np.flatnonzero(places == 0).tolist()
-                rare = Counter(words[k] for k in outside)
-                expanded = sequence[1:-1] == RARE
-                out["text_key"].append(xxhash.xxh3_128_digest(b" ".join(words)))
-                out["text_id"].append(text_key(words))
-                out["n_tokens"].append(len(words) + 1)
-                out["n_known"].append(len(words) - len(outside) + ends_known)
-                out["base_score"].append(float(logs.sum()) + root[END])
-                out["score"].append(None if two is None else float(
-                    two.predict(sequence).sum() + (logs[expanded] - root[RARE]).sum()))
-                out["rare"].append([{"word": w, "times": n} for w, n in rare.items()])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-                ("doc_id", pa.int64()), ("text_key", pa.binary()), ("text_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                ("base_score", pa.float64()), ("score", pa.float64()),
-                ("rare", pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))]))
-
-    scored = shared_table(docs.mapInArrow(score, SCORED), "scored")
-    # Words outside the head: their logs depend on the text alone, so each
-    # distinct text is looked up once.
-    rare = (scored.filter(F.size("rare") > 0).select("text_key", F.explode("rare").alias("r"))
-            .select("text_key", "r.word", "r.times").groupBy("text_key", "word").agg(F.max("times").alias("times")))
-    seen = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    width = symbols.total + ADD * (symbols.distinct + 1)
-    log = F.log10((F.col("n") + F.lit(ADD)) / F.lit(width)) if symbols.total else F.lit(0.0)
-    extra = seen.groupBy("text_key").agg(
-        F.sum(F.col("times") * log).alias("rare_log"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    added = F.coalesce("rare_log", F.lit(0.0))
-    score_ = F.col("score") + added
-    scored = scored.drop("rare").join(extra, "text_key", "left")
-    if two is None:
-        scored = scored.join(table_scores(docs, folds, symbols.total, symbols.distinct), "text_id")
-        score_ = F.col("table_score")
-    return scored.select(
+        lookup, *values, bits = sent.value
+        for batch in batches:
+            done = 0
+            for symbols, begins in text_symbols(batch.column(2).to_pylist()):
+                sums = np.zeros((3, len(begins)))
+                rare_keys, rare_texts, rare_words = [], [], []
+                for size in range(1, depth + 2):
+                    keys, ends = grams(symbols, begins, size)
+                    text = np.searchsorted(begins, ends, "right") - 1
+                    at = lookup.find(keys)
+                    for k, value in enumerate(values if size == 1 else values[:1]):
+                        sums[k] += np.bincount(text, value[at], len(begins))
+                    rare = at < 0
+                    # every word has a log, if only that of unknown ones
+                    word = (keys != START) & (size == 1)
+                    rare &= word | may_hold(bits, keys)
+                    rare_keys.append(keys[rare])
+                    rare_texts.append(text[rare])
+                    rare_words.append(word[rare])
+                keys, text, word = (np.concatenate(c) for c in (rare_keys, rare_texts, rare_words))
+                order = np.lexsort((keys, text))
+                keys, text, word = keys[order], text[order], word[order]
+                first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))
+                                       if len(keys) else np.empty(0, bool))
+                times = np.diff(np.append(first, len(keys)))
+                offsets = np.searchsorted(text[first], np.arange(len(begins) + 1))
+                pairs = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(
+                    times.astype(np.int32)), pa.array(word[first])], ["key", "times", "word"])
+                n = np.diff(np.append(begins, len(symbols))) - 1
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(done, len(begins)), batch.column(1).slice(done, len(begins)),
+                    pa.array(n), pa.array(sums[2].round().astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)],
+                    ["row", "doc_id", "n_tokens", "n_known", "base", "weight", "cold"])
+                done += len(begins)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    scored = shared_table(rows.mapInArrow(score, SCORED), "lm-scored")
+    # The rows' other grams, each once a row, with the weights that are not broadcast.
+    found = scored.select("row", F.explode("cold").alias("c")).select("row", "c.*").join(cold, "key", "left")
+    other = F.when(F.col("word"), F.lit(unknown)).otherwise(F.lit(0.0))
+    extra = found.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("weight", other)).alias("more"),
+                                     F.sum(F.col("times") * F.coalesce("base", other)).alias("more_base"),
+                                     F.sum(F.col("times") * F.coalesce("known", F.lit(0))).alias("more_known"))
+    out = scored.drop("cold").join(extra, "row", "left")
+
+    def with_more(name: str, more: str):
+        return F.col(name) + F.coalesce(F.col(more), F.lit(0))
+    return out.select(
         "doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(symbols.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + added).alias("base_score"), score_.alias("score"))
+        with_more("n_known", "more_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        with_more("base", "more_base").alias("base_score"), with_more("weight", "more").alias("score"))

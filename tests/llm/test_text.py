@@ -212,60 +212,85 @@ def test_language_model_base_and_gain(spark):
     assert sum(r["score"] > r["base_score"] for r in held) > 0.8 * len(held)
 
 
-def test_language_model_prefers_seen_contexts(spark, monkeypatch):
-    rng = random.Random(5)
-    words = ["a", "b", "c", "d", "e"]
-    rows = [(i, " ".join(rng.choice(["a b c", "d e", "a b d", rng.choice(words)]) for _ in range(30)))
-            for i in range(200)]
-    monkeypatch.setattr(suffix_tree_lm, "ALPHABET", 4)
-    df = docs(spark, rows)
-    probes = [(10 + i, f"{p}{w}".strip()) for i, (p, w) in enumerate(
-        (p, w) for p in ("", "a ", "a b ") for w in [*words, "unknown"])]
-    held = [(k, t) for k, t in zip((i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 10 == 0),
-                                   [t for _, t in probes] + ["", "a", "a b"])]
-    got = {r["doc_id"]: r for r in suffix_tree_lm.score_documents(df.unionAll(docs(spark, held))).collect()}
-    score = {t: got[k]["score"] for k, t in held}
-    assert score["a b c"] > score["a b e"] and score["a b d"] > score["a b unknown"]
-    assert all(v < 0 for v in score.values())
-
-
-def test_state_distributions_sum_to_one(spark, monkeypatch):
-    rng = random.Random(6)
-    rows = [(i, " ".join(rng.choice(["x y z", "y x", "q", "r s", "x y y"]) for _ in range(40))) for i in range(150)]
-    monkeypatch.setattr(suffix_tree_lm, "ALPHABET", 5)
+def tree_by_hand(rows, depth=2):
+    """Scores from a plain suffix tree over nested dictionaries."""
+    train, out = [], []
+    for i, t in rows:
+        tokens = ["<"] + re.findall(r"[^\x20\x09-\x0D]+", lowered(t)) + [""]
+        out.append((i, tokens))
+        if zlib.crc32(str("" if i is None else i).encode()) % 10:
+            train.append(tokens)
+    unigrams = Counter(w for t in train for w in t[1:])
+    total, kinds = sum(unigrams.values()), len(unigrams)
+    nexts = {}
+    for tokens in train:
+        for k in range(1, len(tokens)):
+            for d in range(1, depth + 1):
+                if k - d >= 0:
+                    nexts.setdefault(tuple(tokens[k - d:k]), Counter())[tokens[k]] += 1
+
+    def p(context, word):
+        if not context:
+            return (unigrams[word] + 0.1) / (total + 0.1 * (kinds + 1)) if total else 1.0
+        parent = p(context[1:], word)
+        if context not in states:
+            return parent
+        c, weight, once = states[context]
+        n = nexts[context][word]
+        return (n / (c + weight) if n > 1 else 0.0) + (weight + once) / (c + weight) * parent
+    states = {}
+    for d in range(1, depth + 1):
+        for context, counts in nexts.items():
+            c, weight, once = sum(counts.values()), len(counts), sum(n == 1 for n in counts.values())
+            if len(context) == d and c >= suffix_tree_lm.MIN_CONTEXT and once < weight:
+                gain = sum(n * math.log(((n - 1) / p(context[1:], w) + weight) / (c - 1 + weight))
+                           for w, n in counts.items())
+                if gain > suffix_tree_lm.MIN_GAIN:
+                    states[context] = (c, weight, once)
+    scores = [(i, sum(math.log10(p(tuple(t[max(k - depth, 0):k]), t[k])) for k in range(1, len(t)))) for i, t in out]
+    return scores, states, p, unigrams
+
+
+def phrases(seed, n=200):
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.choice(["a b c", "d e f", "a b d g", f"r{rng.randrange(60)} s t", rng.choice("abcdefg")])
+                         for _ in range(rng.randrange(40)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("depth, hot, counted", [(1, 2_000_000, 1 << 22), (2, 2_000_000, 1 << 22), (2, 20, 500),
+                                                 (3, 0, 1000)])
+def test_language_model_equals_a_plain_suffix_tree(spark, monkeypatch, depth, hot, counted):
+    rows = phrases(8) + [(7, "A  b c"), (8, "a b c"), (10, None), (30, "unseen words")]
+    monkeypatch.setattr(suffix_tree_lm, "HOT", hot)
+    monkeypatch.setattr(suffix_tree_lm, "COUNTED", counted)
+    got = suffix_tree_lm.score_documents(docs(spark, rows), depth=depth).collect()
+    want, states, _, _ = tree_by_hand(rows, depth)
+    assert any(len(c) == depth for c in states)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["score"], 6)) for r in got) == sorted(
+        (i is None, i or 0, round(s, 6)) for i, s in want)
+    assert any(r["score"] > r["base_score"] + 5 for r in got)
+
+
+def test_state_distributions_sum_to_one():
+    """Of the plain tree, which the operator's scores equal."""
+    _, states, p, unigrams = tree_by_hand(phrases(6))
+    words = [*unigrams, "any unknown word"]
+    assert {len(c) for c in states} == {1, 2}
+    for context in [(), *states]:
+        assert math.isclose(sum(p(context, w) for w in words), 1.0, rel_tol=1e-9)
+
+
+def test_events_of_a_frequent_context_are_dealt_out(spark, monkeypatch):
+    """Counts do not depend on how contexts are dealt to buckets."""
+    monkeypatch.setattr(suffix_tree_lm, "COUNTED", 300)
+    rows = [(i, " ".join("the " + w for w in t.split())) for i, t in phrases(9, 100)]
     df = docs(spark, rows)
-    counts = suffix_tree_lm.count_words(df)
-    symbols = suffix_tree_lm.Symbols(counts)
-    pairs = suffix_tree_lm.count_pairs(df, symbols)
-    one = suffix_tree_lm.OneWordStates(pairs, symbols)
-    two = suffix_tree_lm.TwoWordStates(df, pairs, symbols, one)
-    nexts = np.array([0, 1, 2, 3, 4, 5, suffix_tree_lm.RARE], np.uint64)
-    assert math.isclose((10 ** symbols.root[nexts.astype(int)]).sum(), 1.0, rel_tol=1e-9)
-    assert one.is_state.sum() > 2 and len(two.logs) > 2
-    for context in [*range(1, 6), suffix_tree_lm.START]:
-        p = 10 ** one.predict(np.full(len(nexts), context, np.uint64), nexts)
-        assert math.isclose(p.sum(), 1.0, rel_tol=1e-9)
-        for before in range(1, 6):
-            p = [10 ** two.predict(np.array([before, context, w], np.uint64))[1] for w in nexts]
-            assert math.isclose(sum(p), 1.0, rel_tol=1e-9)
-
-
-@pytest.mark.parametrize("limit", ["ALPHABET", "STATES", "ENTRIES"])
-def test_language_model_is_whole_beyond_every_limit(spark, monkeypatch, limit):
-    rng = random.Random(8)
-    rows = [(i, " ".join(rng.choice(["a b c", "d e f", "a b d g", f"r{rng.randrange(60)} s t", rng.choice("abcdefg")])
-                         for _ in range(40))) for i in range(200)] + [(7, "A  b c"), (8, "a b c"), (10, None)]
-    whole = suffix_tree_lm.score_documents(docs(spark, rows)).collect()
-    monkeypatch.setattr(suffix_tree_lm, limit, 8)
-    monkeypatch.setattr(suffix_tree_lm, "HOT", 20)
-    cut = suffix_tree_lm.score_documents(docs(spark, rows)).collect()
-    by_row = lambda r: (r["doc_id"], r["n_tokens"], r["score"])
-    assert len(cut) == len(whole) == len(rows)
-    for x, y in zip(sorted(whole, key=by_row), sorted(cut, key=by_row)):
-        assert tuple(x)[:5] == tuple(y)[:5]
-        assert math.isclose(x["base_score"], y["base_score"], rel_tol=1e-9)
-        assert math.isclose(x["score"], y["score"], rel_tol=1e-9)
-    assert any(r["score"] > r["base_score"] + 5 for r in whole)
+    counts = suffix_tree_lm.count_symbols(df)
+    total = counts.agg(F.sum("n")).first()[0]
+    for share in (total, 0):
+        events = suffix_tree_lm.count_events(df, counts.select("key", F.col("n").alias("c")), 2, share).collect()
+        want = Counter(p for _, t in rows for p in zip(t.split(), [*t.split()[1:], ""]))
+        assert sorted(r["n"] for r in events) == sorted(n for n in want.values() if n > 1)
 
 
 def test_lookup_finds_every_key():
