@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, shingle_sets, shingles, text_batches
+from .common import distinct, mixed, shingle_sets, shingles, text_batches, text_groups, word_hashes, words_of
 
 WIDTH = 5
 THRESHOLD = 80
@@ -48,6 +48,12 @@ def permuted(values: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint32(15))
 
 
+def word_counts(texts: list[str | None]) -> Iterator[int]:
+    for group in text_groups(texts):
+        _, ends = word_hashes(group)
+        yield from np.diff(np.concatenate(([0], ends))).tolist()
+
+
 class ItemIndex:
     """Signatures and shingles of a block of test items, by size class."""
 
@@ -57,6 +63,17 @@ class ItemIndex:
         self.ids: list[int] = []
         self.sets: list[np.ndarray] = []
         classes: dict[int, list[int]] = {}
+        # Items of fewer words than a shingle are word runs of their own length.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        sizes = [len(words_of(text)) for _, text in items]
+        for size in sorted({n for n in sizes if 0 < n < WIDTH}):
+            own = [item for item, n in zip(items, sizes) if n == size]
+            hashes = np.concatenate(list(shingles([text for _, text in own], size)))
+            order = np.argsort(hashes, kind="stable")
+            self.short[size] = hashes[order], len(self.ids) + order
+            self.ids += [item_id for item_id, _ in own]
+            self.sets += list(hashes[:, None])
+        items = [item for item, n in zip(items, sizes) if n >= WIDTH]
         for (item_id, _), own in zip(items, shingle_sets([text for _, text in items], WIDTH)):
             if len(own):
                 classes.setdefault(len(own).bit_length() - 1, []).append(len(self.ids))
@@ -110,6 +127,18 @@ class ItemIndex:
                     found.update(behind[a:b].tolist())
         return found
 
+    def links_of(self, texts: list[str | None]) -> Iterator[list[tuple[int, int, int]]]:
+        """Per text its (item, shared shingles, item's shingles)."""
+        found = [list(self.links(document)) for document in shingles(texts, WIDTH)]
+        for size, (known, behind) in self.short.items():
+            for links, words, document in zip(found, word_counts(texts), shingles(texts, size)):
+                if words >= size:  # a shorter text is one shingle of its own
+                    own = distinct(document)
+                    first, last = np.searchsorted(known, own, "left"), np.searchsorted(known, own, "right")
+                    links += [(i, 1, 1) for a, b in zip(first[last > first].tolist(), last[last > first].tolist())
+                              for i in behind[a:b].tolist()]
+        yield from found
+
     def links(self, document: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, shared shingles, item's shingles) of verified items."""
         candidates = self.candidates(document)
@@ -136,8 +165,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str | None]], threshold: int
         index = ItemIndex(items, threshold)
         for ids, texts in text_batches(batches):
             rows = [(doc_id, index.ids[i], shared, size, shared / size)
-                    for doc_id, document in zip(ids, shingles(texts, WIDTH))
-                    for i, shared, size in index.links(document)]
+                    for doc_id, links in zip(ids, index.links_of(texts)) for i, shared, size in links]
             names = ["doc_id", "item_id", "shared", "item_shingles", "containment"]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -152,8 +180,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: int = THRESH
     the document holds ``threshold`` per cent of the item's distinct five-word
     shingles or more: doc_id, item_id, shared, item_shingles, containment.
 
-    Words are A-Z lower-cased.  A text of fewer than five words is one
-    shingle; null and empty texts are linked with nothing; repeated rows
+    Words are A-Z lower-cased.  An item of fewer than five words is one
+    shingle, found where its words stand together in a text; a document of
+    fewer than five words can only hold such items; null and empty texts are linked with nothing; repeated rows
     repeat their pairs; empty tables give no rows; further columns are not
     read.  All documents are searched for the items in blocks of
     ``item_block``; documents are never shuffled.
@@ -172,7 +201,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: int = TH
             index = ItemIndex(items, threshold)
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not any(index.links(d)) for d in shingles(texts, WIDTH)], pa.bool_()))
+                yield batch.filter(pa.array([not links for links in index.links_of(texts)], pa.bool_()))
         return keep
 
     for items in item_blocks(benchmark, item_block):

@@ -257,11 +257,17 @@ def _similar_sql() -> str:
 def _leak_sql() -> str:
     return f"""
     WITH {_shingle_sql("item", "item_id", "benchmark")}, {_shingle_sql("doc", "doc_id", "documents")},
-    sizes AS (SELECT item_id, count(*) AS item_shingles FROM item GROUP BY item_id)
+    short AS (SELECT item_id, len(w) AS k, array_to_string(w, ' ') AS s FROM item_words WHERE len(w) BETWEEN 1 AND 4),
+    sizes AS (SELECT item_id, count(*) AS item_shingles FROM item JOIN item_words USING (item_id) WHERE len(w) >= 5
+              GROUP BY item_id),
+    run AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2),
+                                                             lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+            FROM doc_words JOIN (SELECT DISTINCT k FROM short) ON len(w) >= k)
     SELECT doc_id, item_id, count(*) AS shared, item_shingles, count(*) / item_shingles::DOUBLE AS containment
     FROM item JOIN doc USING (s) JOIN sizes USING (item_id)
     GROUP BY doc_id, item_id, item_shingles
     HAVING 100 * count(*) >= {decontamination.THRESHOLD} * item_shingles
+    UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM short JOIN run USING (k, s)
     """
 
 

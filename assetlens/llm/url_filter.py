@@ -36,9 +36,9 @@ LABELLED_URLS = (
     ("https://blog.science.example.com/en/2024", 0), ("http://news.example.org/en/politics/81", 0),
     ("https://docs.python.example.org/tutorial.html", 0), ("http://m.weather.example.net/de/11709/", 0),
     ("https://wiki.history.example.org/article/77", 0), ("http://www.museum.example.net/en/visit#top", 0),
-    ("https://blog.ththre.example.org/en/968.html", 0), ("http://m.therwh.example.net/en/46931", 0),
-    ("https://tionsh.example.net/en/36608", 0), ("http://www.therou.example.org/de/34481?page=2", 0),
-    ("https://ththan.example.net/de/1511.html", 0), ("http://research.example.org/en/papers/5", 0),
+    ("https://blog.travel.example.org/en/968.html", 0), ("http://m.transit.example.net/en/46931", 0),
+    ("https://bookshop.example.net/en/36608", 0), ("http://www.theatre.example.org/de/34481?page=2", 0),
+    ("https://archive.example.net/de/1511.html", 0), ("http://research.example.org/en/papers/5", 0),
     ("https://www.hospital.example.net/en/contact", 0), ("http://city-council.example.org/en/minutes/9", 0),
     ("https://school.example.com/en/lessons/4", 0), ("http://cooking.example.net/en/recipes/31.html", 0),
     ("https://garden.example.org/de/plants/6", 0), ("http://music.example.net/en/reviews/200", 0),

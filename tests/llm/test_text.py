@@ -7,11 +7,13 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assetlens.llm import common, decontamination, jaccard_join, license_scan, suffix_tree_lm, token_counts, toxicity
+from assetlens.llm import (common, decontamination, jaccard_join, license_scan, queries, suffix_tree_lm, token_counts,
+                           toxicity)
 from assetlens.llm.common import table, words_of
 from assetlens.llm.components import components
 
@@ -418,10 +420,13 @@ def test_cut_leaves_at_most_the_limit(spark):
 def leaks_by_hand(rows, items, threshold=80):
     out = set()
     for i, t in rows:
-        own = shingle_set(t)
+        own, words = shingle_set(t), [w.decode() for w in words_of(t)]
         for k, item in items:
-            s = shingle_set(item)
-            if s and 100 * len(s & own) >= threshold * len(s):
+            s, run = shingle_set(item), [w.decode() for w in words_of(item)]
+            if 0 < len(run) < 5:
+                if any(words[at:at + len(run)] == run for at in range(len(words))):
+                    out.add((i, k, 1, 1))
+            elif s and 100 * len(s & own) >= threshold * len(s):
                 out.add((i, k, len(s & own), len(s)))
     return out
 
@@ -474,13 +479,28 @@ def test_contamination_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, "x " * 60_000 + item.upper()), (None, item), (5, "SHORT"), (5, "SHORT"), (6, "short one")]
     df = clashing(docs(spark, rows)).withColumn("item_id", F.lit("z"))
     got = Counter((r["doc_id"], r["item_id"]) for r in decontamination.contamination(df, bench).collect())
-    assert got == Counter([(3, 1), (None, 1), (5, 4), (5, 4), (5, 4), (5, 4)])
+    assert got == Counter([(3, 1), (None, 1), (5, 4), (5, 4), (5, 4), (5, 4), (6, 4), (6, 4)])
     kept = decontamination.drop_contaminated(df, bench)
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6]
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
     assert decontamination.contamination(df.limit(0), bench).count() == 0
     assert decontamination.contamination(df, bench.limit(0)).count() == 0
 
 
+def test_short_items_sql(spark):
+    """Items of one to four words inside documents, by the query's SQL."""
+    rows = [(1, "a b c d e f g"), (2, "c d"), (3, "b c x d"), (4, "c"), (5, None), (6, "x  C\td e")]
+    items = [(1, "c d"), (2, "b c d e"), (3, "x"), (4, "d e f g"), (5, "c d"), (6, "a b c d e f"), (7, "q")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.execute("CREATE TABLE benchmark(item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = {r[:4] for r in con.execute(queries.ORACLE_SQL["op8_decontamination"]).fetchall()}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r)[:4] for r in decontamination.contamination(docs(spark, rows), bench).collect()}
+    assert got == want == leaks_by_hand(rows, items) and len(got) > 8
+
+
 # --- token counts --------------------------------------------------------------------
 
 def reference_tokenizer(vocabulary):
