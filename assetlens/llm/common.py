@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +23,14 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 CACHE_ENTRIES = 300_000
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.  Spark deletes them when
+    the driver's JVM collects the plans that made them; a long job asks for
+    that between its steps, so that its disk holds one step's files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

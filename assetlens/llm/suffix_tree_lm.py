@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from assetlens.session import drop_shared
 
-from .common import held_out, mixed, shared_table, text_groups, word_hashes
+from .common import held_out, mixed, release_shuffles, shared_table, text_groups, word_hashes
 from .jaccard_join import cut_at
 
 FOLDS = 10
@@ -264,35 +264,41 @@ def deepen(training: DataFrame, level: DataFrame, size: int, total: int) -> tupl
     Events are the next level (and ``gain``: the log of p over what a text
     without the event would get); states are (key, n, back)."""
     candidates = level.filter(F.col("open") & (F.col("n") >= MIN_CONTEXT)).select("key", F.col("n").alias("c"))
-    counted = shared_table(count_events(training, candidates, size, total), "lm-counted")
-    parent = level.select(F.col("key").alias("suffix"), "p", "open")
-    events = shared_table(counted.join(candidates.withColumnRenamed("key", "context"), "context").join(parent, "suffix")
-                          .select("context", "suffix", "n", "c", "p", "open"), "lm-events")
-    drop_shared(counted)
-    stats = events.groupBy("context").agg(F.max("c").alias("c"), F.sum("n").alias("held"), F.count(F.lit(1)).alias("kinds"))
+    spark = training.sparkSession
+    events = shared_table(count_events(training, candidates, size, total), "lm-events")
+    release_shuffles(spark)
+    # One row per context: its count, what occurs once after it, its weight.
+    stats = events.groupBy("context").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("kinds")).join(
+        candidates.withColumnRenamed("key", "context"), "context")
     once = F.col("c") - F.col("held")
-    stats = stats.select("context", once.alias("once"), (once + F.col("kinds")).alias("weight"))
+    stats = stats.select("context", "c", once.alias("once"), (once + F.col("kinds")).alias("weight"))
+    parent = level.select(F.col("key").alias("suffix"), "p", "open")
+    # The events, dealt by context; the test and its use read this one exchange.
+    dealt = events.join(parent, "suffix").join(stats, "context")
     gain = F.col("n") * F.log(((F.col("n") - 1) / F.col("p") + F.col("weight")) / (F.col("c") - 1 + F.col("weight")))
     single = F.col("once") * F.log(F.col("weight") / (F.col("c") - 1 + F.col("weight")))
-    tested = events.join(stats, "context").groupBy("context").agg(
-        F.max("c").alias("c"), F.max("once").alias("once"), F.max("weight").alias("weight"), F.sum(gain).alias("gain"))
-    states = shared_table(tested.filter(F.col("gain") + single > MIN_GAIN).select(
-        "context", F.col("c").alias("n"), F.col("weight"),
-        ((F.col("weight") + F.col("once")) / (F.col("c") + F.col("weight"))).alias("back")), "lm-states")
-    joined = events.join(states.select("context", "weight", "back"), "context", "left")
+    tested = dealt.groupBy("context").agg(F.max("c").alias("n"), F.max("once").alias("once"),
+                                          F.max("weight").alias("weight"), F.sum(gain).alias("gain"),
+                                          F.max(single).alias("single"))
+    tested = tested.filter(F.col("gain") + F.col("single") > MIN_GAIN).select("context", "n", (
+        (F.col("weight") + F.col("once")) / (F.col("n") + F.col("weight"))).alias("back"))
+    joined = dealt.join(tested.drop("n"), "context", "left")
     p = F.when(F.col("back").isNotNull(), F.col("n") / (F.col("c") + F.col("weight")) + F.col("back") * F.col("p")
                ).otherwise(F.col("p"))
     gained = F.when(F.col("back").isNotNull(), F.log10(p) - F.log10("back") - F.log10("p")).otherwise(0.0)
     out = shared_table(with_id(joined.select("context", "suffix", "n", p.alias("p"), "open", gained.alias("gain")),
                                "key long, n long, p double, open boolean, gain double"), "lm-level")
+    states = shared_table(tested, "lm-states")
     drop_shared(events)
+    release_shuffles(spark)
     return out, states.select(F.col("context").alias("key"), "n", "back")
 
 
 def fit(training: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, float]:
     """(weights, tokens, log): the model as (key, n, weight, base, known), the
     training tokens, and the log10 probability of an unknown word; ``base`` is
-    the unigram part of a weight."""
+    the unigram part of a weight.  A gram may have several rows, all with its
+    count ``n``, whose weights add up."""
     counts = count_symbols(training)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     width = total + ADD * (distinct + 1)
@@ -313,9 +319,7 @@ def fit(training: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, float]
     weights = parts[0]
     for part in parts[1:]:
         weights = weights.unionByName(part)
-    weights = weights.groupBy("key").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"), F.sum("base").alias("base"),
-                                         F.max("known").alias("known"))
-    return shared_table(weights, "lm-weights"), total, unknown
+    return weights, total, unknown
 
 
 SCORED = ("row long, doc_id long, n_tokens long, n_known long, base double, weight double, "
@@ -337,7 +341,8 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights, total, unknown = fit(docs.filter(~held_out(F.col("doc_id"), folds)), depth)
     least = cut_at(weights, "n", HOT)
-    hot = weights.filter(F.col("n") >= least).select("key", "weight", "base", "known").toArrow()
+    hot = weights.filter(F.col("n") >= least).groupBy("key").agg(
+        F.sum("weight").alias("weight"), F.sum("base").alias("base"), F.sum("known").alias("known")).toArrow()
     cold = weights.filter(F.col("n") < least).select("key", "weight", "base", "known")
     sent = docs.sparkSession.sparkContext.broadcast((
         Lookup(hot["key"].to_numpy().view(np.uint64)), *(np.append(hot[k].to_numpy(), 0.0) for k in ("weight", "base", "known")),
@@ -382,6 +387,7 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) ->
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     scored = shared_table(rows.mapInArrow(score, SCORED), "lm-scored")
+    release_shuffles(docs.sparkSession)
     # The rows' other grams, each once a row, with the weights that are not broadcast.
     found = scored.select("row", F.explode("cold").alias("c")).select("row", "c.*").join(cold, "key", "left")
     other = F.when(F.col("word"), F.lit(unknown)).otherwise(F.lit(0.0))
