@@ -164,9 +164,10 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, thresho
     containment) of blocks and templates.
 
     Null and empty texts have no words and no findings; a block that holds
-    several templates lists each; repeated rows are repeated; an empty table
-    gives no rows; further columns are not read.  Only the fixed templates
-    travel to the tasks.
+    several templates lists each, so there are no ties; repeated rows are
+    repeated; a very long text is cut into blocks by the task that reads it;
+    an empty table gives no rows; further columns are not read.  Only the
+    fixed templates travel to the tasks.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocabulary = frozenset().union(*(words for _, words in template_words(templates))) if templates else frozenset()

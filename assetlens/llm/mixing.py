@@ -65,7 +65,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_
     id), so equal shares of every size are taken.  Only counts per (source,
     class, bucket) meet in one task; a source that holds most rows is ranked
     bucket by bucket.  Null texts have size 0, null sources are one source,
-    rows with equal keys are interchangeable, and an empty table gives none.
+    rows with equal keys are interchangeable (ties, repeated rows), and an
+    empty table gives none.  A very long text counts its words like any other.
     Columns of those names in ``docs`` are replaced.
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]

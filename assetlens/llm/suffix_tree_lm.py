@@ -172,13 +172,13 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1) == 1
 
 
-def _summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (context, suffix) in order of bucket and context, with their
-    bucket and summed ``n``."""
-    order = np.argsort(bucket << np.uint64(48) | context >> np.uint64(40) << np.uint64(24) | suffix >> np.uint64(40))
-    context, suffix, bucket = context[order], suffix[order], bucket[order]
+def _summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(context, suffix, n, key) in order of ``key``, neighbours of one context
+    and suffix summed."""
+    order = np.argsort(key)
+    context, suffix, key = context[order], suffix[order], key[order]
     first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1]))))
-    return context[first], suffix[first], np.add.reduceat(n[order], first), bucket[first]
+    return context[first], suffix[first], np.add.reduceat(n[order], first), key[first]
 
 
 def count_events(training: DataFrame, candidates: DataFrame, size: int, total: int) -> DataFrame:
@@ -208,8 +208,12 @@ def count_events(training: DataFrame, candidates: DataFrame, size: int, total: i
             if len(large):
                 hot = large[np.minimum(np.searchsorted(large, context), len(large) - 1)] == context
                 dealt[hot] = joined_id(context[hot], suffix[hot])
-            context, suffix, n, bucket = _summed(context, suffix, np.ones(len(context), np.int32),
-                                                 dealt % np.uint64(buckets))
+            # In order of bucket and context; leading bits of the suffix bring
+            # most equal grams together, the rest meet in ``merge``.
+            key = (dealt % np.uint64(buckets) << np.uint64(48) | context >> np.uint64(40) << np.uint64(24)
+                   | suffix >> np.uint64(40))
+            context, suffix, n, key = _summed(context, suffix, np.ones(len(context), np.int32), key)
+            bucket = key >> np.uint64(48)
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() + [len(bucket)]
             spans = list(zip(cuts, cuts[1:]))
             return pa.RecordBatch.from_pydict({
@@ -236,7 +240,7 @@ def count_events(training: DataFrame, candidates: DataFrame, size: int, total: i
     def merge(key: tuple, packed: pa.Table) -> pa.Table:
         context, suffix = (np.frombuffer(b"".join(packed.column(k).to_pylist()), np.uint64) for k in (1, 2))
         n = np.frombuffer(b"".join(packed.column(3).to_pylist()), np.int32).astype(np.int64)
-        context, suffix, n, _ = _summed(context, suffix, n, np.zeros(len(n), np.uint64))
+        context, suffix, n, _ = _summed(context, suffix, n, joined_id(context, suffix))
         often = n > 1
         return pa.table({"context": context[often].view(np.int64), "suffix": suffix[often].view(np.int64),
                          "n": n[often]})
@@ -256,13 +260,14 @@ def with_id(rows: DataFrame, schema: str) -> DataFrame:
     return rows.mapInArrow(joined, schema)
 
 
-def deepen(training: DataFrame, level: DataFrame, size: int, total: int) -> tuple[DataFrame, DataFrame]:
+def deepen(training: DataFrame, level: DataFrame, size: int, total: int, last: bool) -> tuple[DataFrame, DataFrame]:
     """(events, states) of the contexts in ``level`` (key, n, p, open): grams of
     ``size`` - 1 symbols, how often they occur, the probability of their last
     symbol after the others, and whether a symbol can follow.
 
     Events are the next level (and ``gain``: the log of p over what a text
-    without the event would get); states are (key, n, back)."""
+    without the event would get; only these matter of the ``last`` level);
+    states are (key, n, back)."""
     candidates = level.filter(F.col("open") & (F.col("n") >= MIN_CONTEXT)).select("key", F.col("n").alias("c"))
     spark = training.sparkSession
     events = shared_table(count_events(training, candidates, size, total), "lm-events")
@@ -282,7 +287,7 @@ def deepen(training: DataFrame, level: DataFrame, size: int, total: int) -> tupl
                                           F.max(single).alias("single"))
     tested = tested.filter(F.col("gain") + F.col("single") > MIN_GAIN).select("context", "n", (
         (F.col("weight") + F.col("once")) / (F.col("n") + F.col("weight"))).alias("back"))
-    joined = dealt.join(tested.drop("n"), "context", "left")
+    joined = dealt.join(tested.drop("n"), "context", "inner" if last else "left")
     p = F.when(F.col("back").isNotNull(), F.col("n") / (F.col("c") + F.col("weight")) + F.col("back") * F.col("p")
                ).otherwise(F.col("p"))
     gained = F.when(F.col("back").isNotNull(), F.log10(p) - F.log10("back") - F.log10("p")).otherwise(0.0)
@@ -312,8 +317,7 @@ def fit(training: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, float]
         F.lit(int(START)).alias("key"), "n", F.lit(1.0).alias("p"), F.lit(True).alias("open"))
     level = level.unionByName(texts)
     for size in range(2, depth + 2):
-        level, states = deepen(training, level.select("key", "n", "p", "open", *(["gain"] if size > 2 else [])), size,
-                               total)
+        level, states = deepen(training, level.select("key", "n", "p", "open"), size, total, size > depth)
         for rows, weight in ((states, F.log10("back")), (level.filter("gain <> 0"), F.col("gain"))):
             parts.append(rows.select("key", "n", weight.alias("weight"), F.lit(0.0).alias("base"), F.lit(0).alias("known")))
     weights = parts[0]

@@ -106,8 +106,9 @@ def count_tokens(docs: DataFrame, vocabulary: dict[str, float]) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens,
     n_unknown (characters without a piece), n_chars, best_score.
 
-    Each text is read once, in its own task, without a shuffle.  Null and
-    empty texts count 0, repeated rows are counted alike, an empty table gives
+    Each text is read once, in its own task, without a shuffle; a very long
+    one is cut at places that no piece spans.  Equal best scores are told
+    apart by the tokenizer's own rule.  Null and empty texts count 0, repeated rows are counted alike, an empty table gives
     no rows, and further columns (an n_chars too) are not read.  The
     vocabulary, a fixed file, is all that travels to the tasks.
     """

@@ -126,7 +126,9 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score.
 
     ``score`` is the classifier's probability of a block, given for every URL;
-    it decides (0.5 or more blocks) where no rule fits.  Null URLs and such
+    it decides (0.5 or more blocks) where no rule fits.  Of rules of one length
+    the first by host and path wins (the given ones never fit
+    one URL together); a very long URL has more n-grams.  Null URLs and such
     without ``://`` have empty host and path and are judged like any other;
     repeated rows are judged alike, an empty table gives no rows, and further
     columns are not read.

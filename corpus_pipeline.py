@@ -4,7 +4,9 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``docs``; the last adds the mix's figures and one
 row per copy taken.  Null texts count as empty: they are never toxic, equal
-each other, have no near copies and hold no test item.  Columns beyond those
+each other, have no near copies and hold no test item.  Repeated rows are
+exact copies, of which one stays; of equal ids one row stays.  Very long texts
+are read whole by every stage.  Columns beyond those
 of ``documents`` are carried along; an empty table stays empty.
 
 ``ORACLE_SQL`` is None: the toxicity model has no SQL form.  The stages are

@@ -212,6 +212,16 @@ def test_url_classifier_learns_its_table_and_carries_over(spark):
     assert sum(right[:-4]) >= 0.95 * len(right[:-4]) and all(right[-4:])
 
 
+def test_mix_and_urls_of_very_long_texts(spark):
+    df = docs(spark, [(1, "w " * 300_000), (2, "a b"), (3, "x" * 400_000)])
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(df).collect()} == {1: 300_000, 2: 2, 3: 1}
+    url = "https://WWW.example.com/en/" + "abc/" * 4_000 + "?q=1"
+    pages = spark.createDataFrame([(1, url), (2, url)], "page_id long, url string")
+    rows = url_filter.judge_urls(pages, url_filter.labelled_table(spark)).collect()
+    assert {(r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in rows} == {
+        ("www.example.com", 4 + 16_000, "www.example.com/en/", "allow")}
+
+
 def test_urls_without_labels_or_pages(spark):
     none = url_filter.labelled_table(spark).limit(0)
     pages = spark.createDataFrame([(1, "https://a.org/x"), (1, "https://a.org/x")], "page_id long, url string")

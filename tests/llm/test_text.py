@@ -282,6 +282,23 @@ def test_state_distributions_sum_to_one():
         assert math.isclose(sum(p(context, w) for w in words), 1.0, rel_tol=1e-9)
 
 
+def test_grams_with_like_numbers_are_counted_apart():
+    """Words whose numbers share their leading bits (as many words do) still
+    get whole counts."""
+    plain = suffix_tree_lm.word_hashes
+
+    def alike(texts):
+        hashes, ends = plain(texts)
+        return hashes & np.uint64(0xFFFF) | np.uint64(1 << 60), ends
+    rng = random.Random(3)
+    tokens = [f"w{rng.randrange(12)}" for _ in range(4000)]
+    numbers = alike([" ".join(tokens)])[0]
+    context, suffix = numbers[:-1], numbers[1:]
+    got = suffix_tree_lm._summed(context, suffix, np.ones(len(context), int), suffix_tree_lm.joined_id(context, suffix))
+    assert sorted(zip(*(a.tolist() for a in got[:3]))) == sorted(
+        (int(a), int(b), n) for (a, b), n in Counter(zip(context.tolist(), suffix.tolist())).items())
+
+
 def test_events_of_a_frequent_context_are_dealt_out(spark, monkeypatch):
     """Counts do not depend on how contexts are dealt to buckets."""
     monkeypatch.setattr(suffix_tree_lm, "COUNTED", 300)
