@@ -143,11 +143,20 @@ def _license_sql() -> str:
     base AS (SELECT doc_id, count(*) AS n_base, min(word) AS first_word, max(word) AS last_word,
                     list(DISTINCT label) AS base FROM places GROUP BY doc_id),
     template(label, p) AS (VALUES {templates}),
-    lines AS (SELECT doc_id, regexp_extract_all(line, {split}) AS words
-              FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-    blocks AS (SELECT doc_id, list_distinct(words[k * {step} + 1:k * {step} + {block}]) AS b
-               FROM (SELECT doc_id, words, unnest(range(0,
-                         1 + CAST(ceil(greatest(len(words) - {block}, 0) / {step}.0) AS BIGINT))) AS k FROM lines)),
+    lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line,
+                     generate_subscripts(string_split(t, chr(10)), 1) AS number FROM d),
+    sized AS (SELECT doc_id, number, len(regexp_extract_all(line, {split})) AS n FROM lines),
+    spans AS (SELECT doc_id, n, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY number) AS BIGINT) AS stop FROM sized),
+    starts AS (
+        -- windows of the whole text, and those of a line that none of them holds
+        SELECT doc_id, unnest(range(0, greatest(len(words) - {block}, 0) + {step}, {step})) AS place, NULL AS stop FROM w
+        UNION ALL
+        SELECT doc_id, place, least(place + {block}, stop) FROM (
+            SELECT doc_id, stop, unnest(range(stop - n, greatest(stop - {block}, stop - n) + {step}, {step})) AS place
+            FROM spans WHERE n > {step})
+        WHERE place % {step} <> 0 AND least(place + {block}, stop) > place // {step} * {step} + {block}),
+    blocks AS (SELECT doc_id, list_distinct(words[place + 1:coalesce(stop, place + {block})]) AS b
+               FROM starts JOIN w USING (doc_id)),
     links AS (SELECT doc_id, label, len(list_intersect(b, p)) / len(p) AS containment
               FROM blocks, template WHERE 100 * len(list_intersect(b, p)) >= {license_scan.THRESHOLD} * len(p)),
     found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS containment

@@ -49,8 +49,8 @@ def licenses_by_hand(text):
     for phrase, label in license_scan.PHRASES:
         p = phrase.split()
         places += [(i, label) for i in range(len(words)) if words[i:i + len(p)] == p]
-    for line in (text or "").split("\n"):
-        row = split(line)
+    # the whole text first: its windows hold most of those of its lines
+    for row in [words, *map(split, (text or "").split("\n"))]:
         for at in range(0, max(len(row) - license_scan.BLOCK, 0) + license_scan.STEP, license_scan.STEP):
             block = set(row[at:at + license_scan.BLOCK])
             for label, template in license_scan.TEMPLATES:
@@ -104,6 +104,27 @@ def test_license_templates_that_wrap(spark):
     assert (match["label"], match["line"], match["word"]) == ("bsd", 0, 0)
 
 
+def test_license_sql_cuts_blocks_as_the_operator_does(spark):
+    """Wrapped templates, long lines and edge rows, by the query's SQL."""
+    rng = random.Random(9)
+    rows = [(i, "\n".join(" ".join(["pad"] * rng.choice([0, 3, 31, 33, 70])) + " " + rng.choice(
+        [text, text.replace("\n", " "), APACHE, "cc by", ""]) for _ in range(rng.randrange(4))))
+        for i, (_, text) in enumerate(WRAPPED * 20)] + [(100, None), (101, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(queries.ORACLE_SQL["op1_license_scan"]).fetchall()
+    got = license_scan.license_summary(license_scan.scan_licenses(docs(spark, rows)))
+    names = [d[0] for d in con.description]
+    assert sorted(map(str, map(tuple, got.select(names).collect()))) == sorted(map(str, want))
+    labels = {r[names.index("labels")] for r in want}
+    assert {"bsd", "mpl"} <= {x for row in labels for x in row.split(",")}
+    for i, text in rows:
+        own = next(r for r in want if r[0] == i)
+        assert tuple(own[names.index(c)] for c in ("n_words", "labels", "score")) == (
+            (lambda h: (h[0], h[5], h[6]))(licenses_by_hand(text))), i
+
+
 def test_license_blocks_hold_those_of_the_lines():
     rng = random.Random(4)
     for _ in range(300):
