@@ -238,7 +238,8 @@ def q_letter_sheet(spark, sf_dir):
     cells = li.select(F.lit("lines").alias("sheet"), F.col("l_orderkey").cast("long").alias("_row"), F.inline(F.array(
         *[F.struct((first + i).cast("int").alias("_col"), F.col(c).cast("string").alias("value"))
           for i, c in enumerate(LINE_CELLS)])))
-    return P.letter_sheet(P.scatter_cells(cells), with_sheet=False)
+    widths = P.cell_widths(cells)
+    return P.letter_sheet(P.scatter_cells(cells, widths), with_sheet=False, widths=widths)
 
 
 INDEX_WIDTH = 8

@@ -234,23 +234,38 @@ def sheet_with_letter_headers(parsed: DataFrame) -> DataFrame:
     return cells.select("sheet", "_row", column_letters(F.col("_col")).alias("column"), "value")
 
 
-def scatter_cells(cells: DataFrame) -> DataFrame:
+def cell_widths(cells: DataFrame) -> DataFrame:
+    """(sheet, last) of long cells: each tab's greatest column number, written
+    to the shared folder once, so that the planner knows how small it is."""
+    widths = cells.filter(F.col("sheet").isNotNull()).groupBy("sheet").agg(F.max("_col").cast("int").alias("last"))
+    return shared_table(widths, "tab-widths")
+
+
+def scatter_cells(cells: DataFrame, widths: DataFrame | None = None) -> DataFrame:
     """Long cells (sheet, _row, _col, value) -> (sheet, _row, cells), the inverse
     of exploding rows: every row is an array as wide as the widest of its
     tab, '' where no cell is given.  Of several cells at one place the greatest
     text counts.  A row's cells meet in one task, a tab's only as their
-    greatest column number."""
-    one = cells.groupBy("sheet", "_row", "_col").agg(F.max("value").alias("value"))
-    rows = one.groupBy("sheet", "_row").agg(F.map_from_entries(F.collect_list(F.struct("_col", "value"))).alias("at"))
-    widths = cells.groupBy("sheet").agg(F.max("_col").cast("int").alias("last"))
+    greatest column number (``widths``, from ``cell_widths`` unless given).
+
+    Cells are dealt by a hash of their row once; both aggregates, by place and
+    by row, read that one exchange, and the widths join needs no other."""
+    if widths is None:
+        widths = cell_widths(cells)
+    dealt = cells.withColumn("__row", F.xxhash64("sheet", "_row")).repartition("__row")
+    one = dealt.groupBy("__row", "_row", "sheet", "_col").agg(F.max("value").alias("value"))
+    rows = one.groupBy("__row", "_row", "sheet").agg(
+        F.map_from_entries(F.collect_list(F.struct("_col", "value"))).alias("at"))
     return rows.join(widths, "sheet").select("sheet", "_row", F.transform(
         F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.col("at")[i], F.lit(""))).alias("cells"))
 
 
-def letter_sheet(rows: DataFrame, with_sheet: bool = True) -> DataFrame:
+def letter_sheet(rows: DataFrame, with_sheet: bool = True, widths: DataFrame | None = None) -> DataFrame:
     """Wide sheet of rows (sheet, _row, cells) with columns A, B, ...: header
-    rows stay data.  The number of columns is that of the widest row."""
-    width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
+    rows stay data.  The number of columns is that of the widest row, which the
+    ``widths`` that the rows were scattered to tell without another pass."""
+    width = F.max(F.size("cells")) if widths is None else F.max(F.size(F.sequence(F.lit(0), F.col("last"))))
+    width = (rows if widths is None else widths).agg(width).first()[0] or 0
     return sheet_frame(None, rows, None, [letters_of(i) for i in range(width)], with_sheet)
 
 

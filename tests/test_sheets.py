@@ -164,6 +164,26 @@ def test_scatter_is_the_inverse_of_long_cells(spark):
     assert [tuple(r) for r in sheet.collect()] == [(0, "h1", "h2", "h3"), (2, "1", "", "3"), (4, "z", "", "")]
 
 
+def test_scatter_reads_cells_once_and_deals_them_once(spark):
+    cells = spark.createDataFrame(
+        [("t", 1, 0, "a"), ("t", 1, 0, "b"), ("t", 1, 2, None), ("u", 1, 4, "e"), ("t", 2, 1, "c"), ("u", 2, 0, "f"),
+         (None, 1, 7, "x")], "sheet string, _row long, _col int, value string")
+    widths = P.cell_widths(cells)
+    want = {("t", 1): ["b", "", ""], ("t", 2): ["", "c", ""], ("u", 1): ["", "", "", "", "e"],
+            ("u", 2): ["f", "", "", "", ""]}
+    for rows in (P.scatter_cells(cells), P.scatter_cells(cells, widths)):
+        assert {(r["sheet"], r["_row"]): r["cells"] for r in rows.collect()} == want
+    rows = P.scatter_cells(cells, widths)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    # the sheet's width is known without the rows, which fail if they are read
+    unread = rows.withColumn("cells", F.transform("cells", lambda c: F.raise_error(F.lit("read")).cast("string")))
+    assert P.letter_sheet(unread, widths=widths).columns == ["sheet", "_row", "A", "B", "C", "D", "E"]
+    assert P.letter_sheet(rows, widths=widths).exceptAll(P.letter_sheet(rows)).count() == 0
+    none = cells.limit(0)
+    assert P.letter_sheet(P.scatter_cells(none), widths=P.cell_widths(none)).columns == ["sheet", "_row"]
+
+
 def test_facets_fixture(spark):
     df = spark.createDataFrame([("x", "1"), ("y", "1"), ("x", "2"), ("y", "2")], "a string, b string")
     got = S.facet_options(df, {"a": ["x"], "b": ["1"]}).collect()
