@@ -19,8 +19,10 @@ The log probability of a place is a sum over the grams that end there: the
 symbol's unigram log, each state's back-off log, and each event's gain over
 both.  So the whole model is one table of weights by gram number, which grows
 with the input, and a text's score is the sum of the weights of its grams.
-The HOT most frequent weights are broadcast, the others are joined by
-shuffle.
+The HOT most frequent weights are broadcast.  The others are looked up in
+rounds, each for its share of the grams: what the texts ask for meets the
+weights by bucket, and the sums go back to the texts, as packed arrays.  So
+the shuffle files of a round are a fraction of all look-ups.
 """
 
 from __future__ import annotations
@@ -51,6 +53,11 @@ COUNTED = 1 << 22
 MAP_BITS = 27
 #: Weights that are broadcast (33 bytes each).
 HOT = 2_000_000
+#: Rounds of the look-ups of the others; look-ups and texts that a task holds
+#: until it packs them (a text's place among them has 16 bits).
+ROUNDS = 4
+ASKED = 1 << 20
+ASKING = 1 << 15
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Numbers of the start and the end; words have their 64-bit hashes.
@@ -172,13 +179,25 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1) == 1
 
 
+def packs(slots: np.ndarray, arrays: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(slots, arrays): one slot a row, with what is in it of each array, from
+    arrays in order of slot (which are not copied)."""
+    first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])) if len(slots) else np.empty(0, bool))
+    cuts = np.append(first, len(slots))
+    return slots[first], {k: pa.Array.from_buffers(pa.binary(), len(first), [
+        None, pa.py_buffer((cuts * v.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))])
+        for k, v in arrays.items()}
+
+
 def _summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
     """(context, suffix, n, key) in order of ``key``, neighbours of one context
     and suffix summed."""
     order = np.argsort(key)
-    context, suffix, key = context[order], suffix[order], key[order]
+    context, suffix = context[order], suffix[order]
     first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (suffix[1:] != suffix[:-1]))))
-    return context[first], suffix[first], np.add.reduceat(n[order], first), key[first]
+    context, suffix = context[first], suffix[first]
+    n = np.add.reduceat(n[order], first)
+    return context, suffix, n, key[order[first]]
 
 
 def count_events(training: DataFrame, candidates: DataFrame, size: int, total: int) -> DataFrame:
@@ -202,7 +221,8 @@ def count_events(training: DataFrame, candidates: DataFrame, size: int, total: i
         held, held_size = [], 0
 
         def counted() -> pa.RecordBatch:
-            context, suffix = (np.concatenate(c) for c in zip(*held))
+            context = np.concatenate([c for c, _ in held])
+            suffix = np.concatenate([c for _, c in held])
             held.clear()
             dealt = mixed(context)
             if len(large):
@@ -210,16 +230,14 @@ def count_events(training: DataFrame, candidates: DataFrame, size: int, total: i
                 dealt[hot] = joined_id(context[hot], suffix[hot])
             # In order of bucket and context; leading bits of the suffix bring
             # most equal grams together, the rest meet in ``merge``.
-            key = (dealt % np.uint64(buckets) << np.uint64(48) | context >> np.uint64(40) << np.uint64(24)
-                   | suffix >> np.uint64(40))
-            context, suffix, n, key = _summed(context, suffix, np.ones(len(context), np.int32), key)
-            bucket = key >> np.uint64(48)
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() + [len(bucket)]
-            spans = list(zip(cuts, cuts[1:]))
-            return pa.RecordBatch.from_pydict({
-                "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
-                **{k: pa.array([v[a:b].tobytes() for a, b in spans], pa.binary())
-                   for k, v in (("contexts", context), ("suffixes", suffix), ("counts", n.astype(np.int32)))}})
+            dealt %= np.uint64(buckets)
+            dealt <<= np.uint64(48)
+            dealt |= context >> np.uint64(40) << np.uint64(24)
+            dealt |= suffix >> np.uint64(40)
+            context, suffix, n, key = _summed(context, suffix, np.ones(len(context), np.int32), dealt)
+            bucket, parts = packs(key >> np.uint64(48), {"contexts": context, "suffixes": suffix,
+                                                         "counts": n.astype(np.int32)})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.astype(np.int32)), **parts})
         for batch in batches:
             for symbols, begins in text_symbols(batch.column(1).to_pylist()):
                 shorter, ends = grams(symbols, begins, size - 1)
@@ -267,7 +285,8 @@ def deepen(training: DataFrame, level: DataFrame, size: int, total: int, last: b
 
     Events are the next level (and ``gain``: the log of p over what a text
     without the event would get; only these matter of the ``last`` level);
-    states are (key, n, back)."""
+    states are (key, n, back).  A state is written beside its context's first
+    event, so both come out of one run of the joins."""
     candidates = level.filter(F.col("open") & (F.col("n") >= MIN_CONTEXT)).select("key", F.col("n").alias("c"))
     spark = training.sparkSession
     events = shared_table(count_events(training, candidates, size, total), "lm-events")
@@ -284,19 +303,23 @@ def deepen(training: DataFrame, level: DataFrame, size: int, total: int, last: b
     single = F.col("once") * F.log(F.col("weight") / (F.col("c") - 1 + F.col("weight")))
     tested = dealt.groupBy("context").agg(F.max("c").alias("n"), F.max("once").alias("once"),
                                           F.max("weight").alias("weight"), F.sum(gain).alias("gain"),
-                                          F.max(single).alias("single"))
-    tested = tested.filter(F.col("gain") + F.col("single") > MIN_GAIN).select("context", "n", (
+                                          F.max(single).alias("single"), F.min("suffix").alias("beside"))
+    tested = tested.filter(F.col("gain") + F.col("single") > MIN_GAIN).select("context", "beside", (
         (F.col("weight") + F.col("once")) / (F.col("n") + F.col("weight"))).alias("back"))
-    joined = dealt.join(tested.drop("n"), "context", "inner" if last else "left")
+    joined = dealt.join(tested, "context", "inner" if last else "left")
     p = F.when(F.col("back").isNotNull(), F.col("n") / (F.col("c") + F.col("weight")) + F.col("back") * F.col("p")
                ).otherwise(F.col("p"))
     gained = F.when(F.col("back").isNotNull(), F.log10(p) - F.log10("back") - F.log10("p")).otherwise(0.0)
-    out = shared_table(with_id(joined.select("context", "suffix", "n", p.alias("p"), "open", gained.alias("gain")),
-                               "key long, n long, p double, open boolean, gain double"), "lm-level")
-    states = shared_table(tested, "lm-states")
+    first = F.col("suffix") == F.col("beside")
+    out = shared_table(with_id(joined.select(
+        "context", "suffix", "n", p.alias("p"), "open", gained.alias("gain"),
+        *[F.when(first, F.col(c)).alias(name) for c, name in (("context", "state"), ("c", "state_n"), ("back", "back"))]),
+        "key long, n long, p double, open boolean, gain double, state long, state_n long, back double"), "lm-level")
     drop_shared(events)
     release_shuffles(spark)
-    return out, states.select(F.col("context").alias("key"), "n", "back")
+    states = out.filter(F.col("state").isNotNull()).select(
+        F.col("state").alias("key"), F.col("state_n").alias("n"), "back")
+    return out, states
 
 
 def fit(training: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, float]:
@@ -327,7 +350,83 @@ def fit(training: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, float]
 
 
 SCORED = ("row long, doc_id long, n_tokens long, n_known long, base double, weight double, "
-          "cold array<struct<key: long, times: int, word: boolean>>")
+          "bucket int, keys binary, texts binary, times binary, round int")
+
+
+def slot_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Round and bucket of a gram, as round * buckets + bucket."""
+    return (keys >> np.uint64(40)) % np.uint64(ROUNDS * buckets)
+
+
+def pack_weights(cold: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, weights, bases, knowns) of one round's weights (key,
+    weight, base, known)."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            key, weight, base, known = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            slots = slot_of(key, buckets)
+            order = np.argsort(slots, kind="stable")
+            at, parts = packs(slots[order], {"keys": key[order], "weights": weight[order], "bases": base[order],
+                                             "knowns": known[order]})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array((at % buckets).astype(np.int32)), **parts})
+        for batch in batches:
+            key, weight, base, known = (c.to_numpy() for c in batch.columns)
+            held.append((key.view(np.uint64), weight, base, known.astype(np.int8)))
+            size += len(key)
+            if size >= ASKED:
+                yield packed()
+                size = 0
+        if size:
+            yield packed()
+
+    return cold.mapInArrow(pack, "bucket int, keys binary, weights binary, bases binary, knowns binary")
+
+
+def unpacked(table: pa.Table, column: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype)
+
+
+def look_up(asked: DataFrame, cold: DataFrame, buckets: int) -> DataFrame:
+    """(row, weight, base, known): sums over the grams that the rows ask for in
+    one round.  Weights of one gram add up; a gram without any adds nothing."""
+    def meet(_: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        keys = unpacked(held, "keys", np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool))
+        keys = keys[first]
+        sums = [np.add.reduceat(unpacked(held, k, t)[order].astype(float), first) if len(first) else np.empty(0)
+                for k, t in (("weights", float), ("bases", float), ("knowns", np.int8))]
+        out = {k: [] for k in ("row", "texts", "weights", "bases", "knowns")}
+        for row, ask, texts, times in zip(*(asked.column(k).to_pylist() for k in ("row", "keys", "texts", "times"))):
+            ask, texts, times = (np.frombuffer(b, t) for b, t in zip((ask, texts, times), (np.uint64, np.uint16, np.int32)))
+            at = np.searchsorted(keys, ask)
+            hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == ask) if len(keys) else at[:0]
+            if not len(hit):
+                continue
+            at, texts, times = at[hit], texts[hit], times[hit]
+            # texts stand in order
+            first = np.flatnonzero(np.concatenate(([True], texts[1:] != texts[:-1])))
+            weight, base, known = (np.add.reduceat(v[at] * times, first) for v in sums)
+            for k, v in (("row", row), ("texts", texts[first].tobytes()), ("weights", weight.tobytes()),
+                         ("bases", base.tobytes()), ("knowns", known.astype(np.int32).tobytes())):
+                out[k].append(v)
+        return pa.table({k: pa.array(v, pa.int64() if k == "row" else pa.binary()) for k, v in out.items()})
+
+    def total(key: tuple, found: pa.Table) -> pa.Table:
+        texts = unpacked(found, "texts", np.uint16)
+        weight, base, known = (np.bincount(texts, unpacked(found, k, t)) for k, t in (
+            ("weights", float), ("bases", float), ("knowns", np.int32)))
+        rows = np.unique(texts)
+        return pa.table({"row": key[0].as_py() + rows.astype(np.int64), "weight": weight[rows], "base": base[rows],
+                         "known": known[rows].round().astype(np.int64)})
+
+    found = asked.groupBy("bucket").cogroup(pack_weights(cold, buckets).groupBy("bucket")).applyInArrow(
+        meet, "row long, texts binary, weights binary, bases binary, knowns binary")
+    return found.groupBy("row").applyInArrow(total, "row long, weight double, base double, known long")
 
 
 def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) -> DataFrame:
@@ -342,23 +441,51 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) ->
     probability is 1 and every score 0.  An empty table gives no rows; further
     columns are not read.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights, total, unknown = fit(docs.filter(~held_out(F.col("doc_id"), folds)), depth)
     least = cut_at(weights, "n", HOT)
     hot = weights.filter(F.col("n") >= least).groupBy("key").agg(
         F.sum("weight").alias("weight"), F.sum("base").alias("base"), F.sum("known").alias("known")).toArrow()
-    cold = weights.filter(F.col("n") < least).select("key", "weight", "base", "known")
-    sent = docs.sparkSession.sparkContext.broadcast((
+    # Every word counts as unknown at first; those that are known add the rest.
+    cold = weights.filter(F.col("n") < least).select(
+        "key", *[(F.col(c) - F.col("known") * F.lit(unknown)).alias(c) for c in ("weight", "base")], "known")
+    buckets = min(max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 16)
+    sent = spark.sparkContext.broadcast((
         Lookup(hot["key"].to_numpy().view(np.uint64)), *(np.append(hot[k].to_numpy(), 0.0) for k in ("weight", "base", "known")),
-        key_map(cold.filter("known = 0 OR weight <> base").select("key"))))
+        key_map(cold.select("key"))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, *values, bits = sent.value
+        schema = pa.schema([(name, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[kind])
+                            for name, kind in (column.split() for column in SCORED.split(", "))])
+        held, held_size, first_row, held_rows = [], 0, 0, 0
+
+        def batch_of(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+        def asked() -> pa.RecordBatch:
+            keys, texts = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            slots = slot_of(keys, buckets)
+            # In order of slot and text, most equal grams side by side.
+            order = np.argsort(slots << np.uint64(46) | texts.astype(np.uint64) << np.uint64(30)
+                               | keys & np.uint64((1 << 30) - 1))
+            keys, texts, slots = keys[order], texts[order], slots[order]
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])))
+                                   if len(keys) else np.empty(0, bool))
+            times = np.diff(np.append(first, len(keys))).astype(np.int32)
+            at, parts = packs(slots[first], {"keys": keys[first], "texts": texts[first], "times": times})
+            return batch_of(len(at), {"row": pa.array(np.full(len(at), first_row)), **parts, "bucket": pa.array(
+                (at % buckets).astype(np.int32)), "round": pa.array((at // buckets).astype(np.int32))})
         for batch in batches:
-            done = 0
-            for symbols, begins in text_symbols(batch.column(2).to_pylist()):
+            done, all_texts = 0, batch.column(2).to_pylist()
+            pieces = (all_texts[a:a + ASKING] for a in range(0, len(all_texts), ASKING))
+            for symbols, begins in (group for piece in pieces for group in text_symbols(piece)):
+                if not held:
+                    # a task's rows are numbered one after another
+                    first_row, held_rows = batch.column(0)[done].as_py(), 0
                 sums = np.zeros((3, len(begins)))
-                rare_keys, rare_texts, rare_words = [], [], []
                 for size in range(1, depth + 2):
                     keys, ends = grams(symbols, begins, size)
                     text = np.searchsorted(begins, ends, "right") - 1
@@ -366,43 +493,38 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) ->
                     for k, value in enumerate(values if size == 1 else values[:1]):
                         sums[k] += np.bincount(text, value[at], len(begins))
                     rare = at < 0
-                    # every word has a log, if only that of unknown ones
-                    word = (keys != START) & (size == 1)
-                    rare &= word | may_hold(bits, keys)
-                    rare_keys.append(keys[rare])
-                    rare_texts.append(text[rare])
-                    rare_words.append(word[rare])
-                keys, text, word = (np.concatenate(c) for c in (rare_keys, rare_texts, rare_words))
-                order = np.lexsort((keys, text))
-                keys, text, word = keys[order], text[order], word[order]
-                first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))
-                                       if len(keys) else np.empty(0, bool))
-                times = np.diff(np.append(first, len(keys)))
-                offsets = np.searchsorted(text[first], np.arange(len(begins) + 1))
-                pairs = pa.StructArray.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(
-                    times.astype(np.int32)), pa.array(word[first])], ["key", "times", "word"])
+                    if size == 1:
+                        sums[:2] += unknown * np.bincount(text[rare & (keys != START)], minlength=len(begins))
+                    rare &= may_hold(bits, keys)
+                    held.append((keys[rare], (text[rare] + held_rows).astype(np.uint16)))
+                    held_size += len(held[-1][0])
                 n = np.diff(np.append(begins, len(symbols))) - 1
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(done, len(begins)), batch.column(1).slice(done, len(begins)),
-                    pa.array(n), pa.array(sums[2].round().astype(np.int64)), pa.array(sums[1]), pa.array(sums[0]),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pairs)],
-                    ["row", "doc_id", "n_tokens", "n_known", "base", "weight", "cold"])
+                yield batch_of(len(begins), {
+                    "row": batch.column(0).slice(done, len(begins)), "doc_id": batch.column(1).slice(done, len(begins)),
+                    "n_tokens": pa.array(n), "n_known": pa.array(sums[2].round().astype(np.int64)),
+                    "base": pa.array(sums[1]), "weight": pa.array(sums[0]),
+                    "round": pa.array(np.full(len(begins), -1, np.int32))})
                 done += len(begins)
+                held_rows += len(begins)
+                if held_size >= ASKED or held_rows >= ASKING:
+                    yield asked()
+                    held_size = 0
+        if held:
+            yield asked()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = shared_table(rows.mapInArrow(score, SCORED), "lm-scored")
-    release_shuffles(docs.sparkSession)
-    # The rows' other grams, each once a row, with the weights that are not broadcast.
-    found = scored.select("row", F.explode("cold").alias("c")).select("row", "c.*").join(cold, "key", "left")
-    other = F.when(F.col("word"), F.lit(unknown)).otherwise(F.lit(0.0))
-    extra = found.groupBy("row").agg(F.sum(F.col("times") * F.coalesce("weight", other)).alias("more"),
-                                     F.sum(F.col("times") * F.coalesce("base", other)).alias("more_base"),
-                                     F.sum(F.col("times") * F.coalesce("known", F.lit(0))).alias("more_known"))
-    out = scored.drop("cold").join(extra, "row", "left")
-
-    def with_more(name: str, more: str):
-        return F.col(name) + F.coalesce(F.col(more), F.lit(0))
+    scored = shared_table(rows.mapInArrow(score, SCORED), "lm-scored", ["round"])
+    release_shuffles(spark)
+    sums = scored.filter("round = -1").select("row", "doc_id", "n_tokens", "n_known", "base", "weight")
+    for k in range(ROUNDS):
+        in_round = F.expr(f"shiftrightunsigned(key, 40) % {ROUNDS * buckets} DIV {buckets} = {k}")
+        found = shared_table(look_up(scored.filter(F.col("round") == k).select("bucket", "row", "keys", "texts", "times"),
+                                     cold.filter(in_round), buckets), "lm-found")
+        release_shuffles(spark)
+        sums = sums.unionByName(found.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias(
+            "n_tokens"), F.col("known").alias("n_known"), "base", "weight"))
+    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[
+        F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "weight")])
     return out.select(
-        "doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens",
-        with_more("n_known", "more_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        with_more("base", "more_base").alias("base_score"), with_more("weight", "more").alias("score"))
+        "doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "n_tokens", "n_known",
+        F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("weight").alias("score"))
