@@ -58,6 +58,8 @@ HOT = 2_000_000
 ROUNDS = 4
 ASKED = 1 << 20
 ASKING = 1 << 15
+#: Texts that are decoded at once.
+PIECE = 500
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Numbers of the start and the end; words have their 64-bit hashes.
@@ -114,10 +116,11 @@ def joined_id(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * ODD + second)
 
 
-def text_symbols(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def text_symbols(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per group of texts: their symbols one after another, each text as START,
     words, END, and where each text begins."""
-    for group in text_groups(texts):
+    pieces = (texts.slice(a, PIECE).to_pylist() for a in range(0, len(texts), PIECE))
+    for group in (group for piece in pieces for group in text_groups(piece)):
         words, ends = word_hashes(group)
         sizes = np.diff(np.concatenate(([0], ends)))
         begins = np.cumsum(sizes + 2) - sizes - 2
@@ -150,7 +153,7 @@ def count_symbols(training: DataFrame) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n.astype(np.int64)})
         for batch in batches:
-            for symbols, _ in text_symbols(batch.column(1).to_pylist()):
+            for symbols, _ in text_symbols(batch.column(1)):
                 held.append(symbols[symbols != START])
                 size += len(held[-1])
                 if size >= COUNTED:
@@ -163,20 +166,10 @@ def count_symbols(training: DataFrame) -> DataFrame:
                         "lm-symbols")
 
 
-def key_map(keys: DataFrame) -> np.ndarray:
-    """Bits set at the low MAP_BITS bits of every key.  At most
-    2**MAP_BITS / 32 numbers reach the driver."""
-    slot = F.col("key").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    rows = keys.groupBy(F.shiftright(slot, 5).cast("int").alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(key & 31 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return out
-
-
-def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64((1 << MAP_BITS) - 1)
-    return bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1) == 1
+def binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of the values between every two cuts, which are not copied."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [
+        None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def packs(slots: np.ndarray, arrays: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, pa.Array]]:
@@ -184,9 +177,50 @@ def packs(slots: np.ndarray, arrays: dict[str, np.ndarray]) -> tuple[np.ndarray,
     arrays in order of slot (which are not copied)."""
     first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])) if len(slots) else np.empty(0, bool))
     cuts = np.append(first, len(slots))
-    return slots[first], {k: pa.Array.from_buffers(pa.binary(), len(first), [
-        None, pa.py_buffer((cuts * v.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))])
-        for k, v in arrays.items()}
+    return slots[first], {k: binaries(v, cuts) for k, v in arrays.items()}
+
+
+def key_map(keys: DataFrame) -> np.ndarray:
+    """Bits set at the low MAP_BITS bits of every key.  Tasks send the bits'
+    places packed by part of the map; a part is made in one place, and the
+    driver gets the 2**MAP_BITS / 8 bytes of the map."""
+    part_bits = MAP_BITS - 10
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def packed() -> pa.RecordBatch:
+            slots = np.unique(np.concatenate(held))
+            held.clear()
+            part, parts = packs(slots >> np.uint32(part_bits), {"places": slots})
+            return pa.RecordBatch.from_pydict({"part": pa.array(part.astype(np.int32)), **parts})
+        for batch in batches:
+            held.append((batch.column(0).to_numpy() & ((1 << MAP_BITS) - 1)).astype(np.uint32))
+            size += len(held[-1])
+            if size >= ASKED:
+                yield packed()
+                size = 0
+        if size:
+            yield packed()
+
+    def union(key: tuple, packed: pa.Table) -> pa.Table:
+        part = np.zeros(1 << part_bits, bool)
+        for places in packed.column("places").to_pylist():
+            part[np.frombuffer(places, np.uint32) & np.uint32((1 << part_bits) - 1)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()),
+                         "bits": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
+
+    rows = keys.mapInArrow(places, "part int, places binary").groupBy("part").applyInArrow(
+        union, "part int, bits binary").toArrow()
+    out = np.zeros((1 << (MAP_BITS - part_bits), 1 << (part_bits - 5)), np.uint32)
+    for part, bits in zip(rows["part"].to_pylist(), rows["bits"].to_pylist()):
+        out[part] = np.frombuffer(bits, np.uint32)
+    return out.reshape(-1)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys & np.uint64((1 << MAP_BITS) - 1)
+    return bits[slot >> np.uint64(5)] >> (slot & np.uint64(31)).astype(np.uint32) & np.uint32(1) == 1
 
 
 def _summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -239,7 +273,7 @@ def count_events(training: DataFrame, candidates: DataFrame, size: int, total: i
                                                          "counts": n.astype(np.int32)})
             return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.astype(np.int32)), **parts})
         for batch in batches:
-            for symbols, begins in text_symbols(batch.column(1).to_pylist()):
+            for symbols, begins in text_symbols(batch.column(1)):
                 shorter, ends = grams(symbols, begins, size - 1)
                 next_to = np.flatnonzero(ends[1:] == ends[:-1] + 1)
                 # grams that end side by side in one text overlap in all but
@@ -350,7 +384,7 @@ def fit(training: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, float]
 
 
 SCORED = ("row long, doc_id long, n_tokens long, n_known long, base double, weight double, "
-          "bucket int, keys binary, texts binary, times binary, round int")
+          "bucket int, " + ", ".join(f"keys{k} binary, texts{k} binary, times{k} binary" for k in range(ROUNDS)))
 
 
 def slot_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -475,35 +509,39 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) ->
             first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])))
                                    if len(keys) else np.empty(0, bool))
             times = np.diff(np.append(first, len(keys))).astype(np.int32)
-            at, parts = packs(slots[first], {"keys": keys[first], "texts": texts[first], "times": times})
-            return batch_of(len(at), {"row": pa.array(np.full(len(at), first_row)), **parts, "bucket": pa.array(
-                (at % buckets).astype(np.int32)), "round": pa.array((at // buckets).astype(np.int32))})
+            cuts = np.searchsorted(slots[first], np.arange(ROUNDS * buckets + 1, dtype=np.uint64))
+            columns = {"row": pa.array(np.full(buckets, first_row)), "bucket": pa.array(np.arange(buckets, dtype=np.int32))}
+            for name, values in (("keys", keys[first]), ("texts", texts[first]), ("times", times)):
+                for k in range(ROUNDS):
+                    own = cuts[k * buckets:(k + 1) * buckets + 1]
+                    columns[f"{name}{k}"] = binaries(values[own[0]:own[-1]], own - own[0])
+            return batch_of(buckets, columns)
         for batch in batches:
-            done, all_texts = 0, batch.column(2).to_pylist()
-            pieces = (all_texts[a:a + ASKING] for a in range(0, len(all_texts), ASKING))
-            for symbols, begins in (group for piece in pieces for group in text_symbols(piece)):
+            done = 0
+            for symbols, begins in text_symbols(batch.column(2)):
                 if not held:
                     # a task's rows are numbered one after another
                     first_row, held_rows = batch.column(0)[done].as_py(), 0
                 sums = np.zeros((3, len(begins)))
+                owners = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(symbols))))
                 for size in range(1, depth + 2):
                     keys, ends = grams(symbols, begins, size)
-                    text = np.searchsorted(begins, ends, "right") - 1
+                    text = owners[ends]
                     at = lookup.find(keys)
                     for k, value in enumerate(values if size == 1 else values[:1]):
                         sums[k] += np.bincount(text, value[at], len(begins))
-                    rare = at < 0
+                    rare = np.flatnonzero(at < 0)
+                    keys, text = keys[rare], text[rare]
                     if size == 1:
-                        sums[:2] += unknown * np.bincount(text[rare & (keys != START)], minlength=len(begins))
-                    rare &= may_hold(bits, keys)
+                        sums[:2] += unknown * np.bincount(text[keys != START], minlength=len(begins))
+                    rare = may_hold(bits, keys)
                     held.append((keys[rare], (text[rare] + held_rows).astype(np.uint16)))
                     held_size += len(held[-1][0])
                 n = np.diff(np.append(begins, len(symbols))) - 1
                 yield batch_of(len(begins), {
                     "row": batch.column(0).slice(done, len(begins)), "doc_id": batch.column(1).slice(done, len(begins)),
                     "n_tokens": pa.array(n), "n_known": pa.array(sums[2].round().astype(np.int64)),
-                    "base": pa.array(sums[1]), "weight": pa.array(sums[0]),
-                    "round": pa.array(np.full(len(begins), -1, np.int32))})
+                    "base": pa.array(sums[1]), "weight": pa.array(sums[0])})
                 done += len(begins)
                 held_rows += len(begins)
                 if held_size >= ASKED or held_rows >= ASKING:
@@ -513,13 +551,14 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) ->
             yield asked()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scored = shared_table(rows.mapInArrow(score, SCORED), "lm-scored", ["round"])
+    scored = shared_table(rows.mapInArrow(score, SCORED), "lm-scored")
     release_shuffles(spark)
-    sums = scored.filter("round = -1").select("row", "doc_id", "n_tokens", "n_known", "base", "weight")
+    sums = scored.filter("bucket IS NULL").select("row", "doc_id", "n_tokens", "n_known", "base", "weight")
     for k in range(ROUNDS):
         in_round = F.expr(f"shiftrightunsigned(key, 40) % {ROUNDS * buckets} DIV {buckets} = {k}")
-        found = shared_table(look_up(scored.filter(F.col("round") == k).select("bucket", "row", "keys", "texts", "times"),
-                                     cold.filter(in_round), buckets), "lm-found")
+        asked = scored.filter("bucket IS NOT NULL").select(
+            "bucket", "row", *[F.col(f"{name}{k}").alias(name) for name in ("keys", "texts", "times")])
+        found = shared_table(look_up(asked, cold.filter(in_round), buckets), "lm-found")
         release_shuffles(spark)
         sums = sums.unionByName(found.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias(
             "n_tokens"), F.col("known").alias("n_known"), "base", "weight"))

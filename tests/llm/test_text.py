@@ -294,6 +294,28 @@ def test_language_model_equals_a_plain_suffix_tree(spark, monkeypatch, depth, ho
     assert any(r["score"] > r["base_score"] + 5 for r in got)
 
 
+def test_language_model_looks_up_in_packed_rounds(spark, monkeypatch):
+    """The grams that texts ask for are never rows of one join: the plan that
+    is returned only adds up the rounds' sums."""
+    monkeypatch.setattr(suffix_tree_lm, "HOT", 20)
+    monkeypatch.setattr(suffix_tree_lm, "ASKED", 300)
+    rows = phrases(5, 60)
+    scored = suffix_tree_lm.score_documents(docs(spark, rows))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r["doc_id"], round(r["score"], 6)) for r in scored.collect()) == sorted(
+        (i, round(x, 6)) for i, x in tree_by_hand(rows)[0])
+
+
+def test_key_map_has_a_bit_for_every_key_and_no_other(spark):
+    keys = [0, 1, 5, 31, 32, (1 << 27) - 1, 1 << 27, -1, -(1 << 63), 123456789012345]
+    bits = suffix_tree_lm.key_map(spark.createDataFrame([(k,) for k in keys], "key long"))
+    low = {k & ((1 << suffix_tree_lm.MAP_BITS) - 1) for k in keys}
+    assert bits.dtype == np.uint32 and len(bits) == 1 << (suffix_tree_lm.MAP_BITS - 5)
+    assert {int(w) * 32 + b for w in np.flatnonzero(bits) for b in range(32) if bits[w] >> np.uint32(b) & 1} == low
+    assert not suffix_tree_lm.key_map(spark.createDataFrame([], "key long")).any()
+
+
 def test_state_distributions_sum_to_one():
     """Of the plain tree, which the operator's scores equal."""
     _, states, p, unigrams = tree_by_hand(phrases(6))
