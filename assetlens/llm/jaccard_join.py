@@ -82,11 +82,12 @@ def frequent_shingles(docs: DataFrame, width: int, limit: int | None = None) ->
     return rows["shingle"].to_numpy()[order].view(np.uint64)
 
 
-def cut_at(rows: DataFrame, column: str, limit: int) -> int:
+def cut_at(rows: DataFrame, column: str, limit: int, times: str | None = None) -> int:
     """The least value of a positive whole-number column from which on there
-    are at most ``limit`` rows, to within an eighth of a doubling.  Only one
-    count per eighth reaches the driver."""
-    cells = rows.groupBy(F.floor(F.log2(F.col(column)) * 8).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+    are at most ``limit`` rows (each counts ``times``, or once), to within an
+    eighth of a doubling.  Only one count per eighth reaches the driver."""
+    n = F.sum(times) if times else F.count(F.lit(1))
+    cells = rows.groupBy(F.floor(F.log2(F.col(column)) * 8).alias("cell")).agg(n.alias("n")).collect()
     total, least = 0, 1 << 62
     for cell in sorted(cells, key=lambda r: -r["cell"]):
         total += cell["n"]

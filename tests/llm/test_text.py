@@ -307,6 +307,14 @@ def test_language_model_looks_up_in_packed_rounds(spark, monkeypatch):
         (i, round(x, 6)) for i, x in tree_by_hand(rows)[0])
 
 
+def test_language_model_keeps_grams_packed(spark):
+    """The tables of grams have a row per bucket, not one per gram."""
+    weights, total, _, tables = suffix_tree_lm.fit(docs(spark, phrases(5, 60)))
+    rows = [t.count() for t in tables]
+    held = suffix_tree_lm.frequencies(weights).selectExpr("sum(times)").first()[0]
+    assert len(rows) == 3 and max(rows) <= 64 and total > 500 and held > sum(rows)
+
+
 def test_key_map_has_a_bit_for_every_key_and_no_other(spark):
     keys = [0, 1, 5, 31, 32, (1 << 27) - 1, 1 << 27, -1, -(1 << 63), 123456789012345]
     bits = suffix_tree_lm.key_map(spark.createDataFrame([(k,) for k in keys], "key long"))
