@@ -207,8 +207,10 @@ def places_of(keys: np.ndarray, ask: np.ndarray) -> np.ndarray:
 
 
 def slots_for(df: DataFrame) -> int:
-    """Slots that the tables of grams are dealt to."""
-    return min(max(16, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 12)
+    """Slots that the levels are dealt to.  Each bucket of events asks each
+    slot, so both are few: a slot holds distinct grams, a bucket those that
+    occur more than once."""
+    return min(max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4), 1 << 12)
 
 
 def symbol_packs(training: DataFrame) -> DataFrame:
@@ -288,6 +290,8 @@ def count_symbols(training: DataFrame) -> DataFrame:
     return rows_of(symbol_packs(training), keys=np.uint64, ns=np.int64).toDF("key", "n")
 
 
+#: A place inside a part of the map has 16 bits.
+PART_BITS = 16
 PLACES = "part int, places binary"
 
 
@@ -298,7 +302,7 @@ def map_places(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
     def packed() -> pa.RecordBatch:
         slots = np.unique(np.concatenate(held))
         held.clear()
-        part, parts = packs(slots >> np.uint32(MAP_BITS - 10), {"places": slots})
+        part, parts = packs(slots >> np.uint32(PART_BITS), {"places": slots.astype(np.uint16)})
         return pa.RecordBatch.from_pydict({"part": pa.array(part.astype(np.int32)), **parts})
     for own in keys:
         held.append((own & own.dtype.type((1 << MAP_BITS) - 1)).astype(np.uint32))
@@ -313,17 +317,15 @@ def map_places(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 def united(places: DataFrame) -> np.ndarray:
     """The map of all tasks' ``map_places``: a part is made in one place, and
     the driver gets the 2**MAP_BITS / 8 bytes of the map."""
-    part_bits = MAP_BITS - 10
-
     def union(key: tuple, packed: pa.Table) -> pa.Table:
-        part = np.zeros(1 << part_bits, bool)
+        part = np.zeros(1 << PART_BITS, bool)
         for places in packed.column("places").to_pylist():
-            part[np.frombuffer(places, np.uint32) & np.uint32((1 << part_bits) - 1)] = True
+            part[np.frombuffer(places, np.uint16)] = True
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()),
                          "bits": pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())})
 
     rows = places.groupBy("part").applyInArrow(union, "part int, bits binary").toArrow()
-    out = np.zeros((1 << (MAP_BITS - part_bits), 1 << (part_bits - 5)), np.uint32)
+    out = np.zeros((1 << (MAP_BITS - PART_BITS), 1 << (PART_BITS - 5)), np.uint32)
     for part, bits in zip(rows["part"].to_pylist(), rows["bits"].to_pylist()):
         out[part] = np.frombuffer(bits, np.uint32)
     return out.reshape(-1)
@@ -351,7 +353,8 @@ def _summed(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, key: np.ndar
 
 
 def event_buckets(training: DataFrame) -> int:
-    return min(max(64, 8 * int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 16)
+    """Buckets that the events are dealt to."""
+    return min(max(64, 4 * int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 16)
 
 
 def large_count(total: int, buckets: int) -> int:
@@ -800,7 +803,9 @@ def score_documents(docs: DataFrame, folds: int = FOLDS, depth: int = DEPTH) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     weights, total, unknown, tables = fit(docs.filter(~held_out(F.col("doc_id"), folds)), depth)
     least = cut_at(frequencies(weights), "n", HOT, "times")
-    buckets = min(max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 16)
+    # A text's sums come back from each bucket that holds one of its grams, so
+    # rounds and buckets together are fewer than a long text's grams.
+    buckets = min(max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2), 1 << 14)
     packed = shared_table(pack_weights(weights, least, unknown, buckets), "lm-weights")
     for table in tables:
         drop_shared(table)

@@ -315,6 +315,16 @@ def test_language_model_keeps_grams_packed(spark):
     assert len(rows) == 3 and max(rows) <= 64 and total > 500 and held > sum(rows)
 
 
+def test_questions_of_buckets_are_few(spark):
+    """At most one row for each bucket of events and slot of the level before."""
+    df, partitions = docs(spark, phrases(5, 10)), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    try:
+        assert suffix_tree_lm.event_buckets(df) * suffix_tree_lm.slots_for(df) < 50_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_key_map_has_a_bit_for_every_key_and_no_other(spark):
     keys = [0, 1, 5, 31, 32, (1 << 27) - 1, 1 << 27, -1, -(1 << 63), 123456789012345]
     bits = suffix_tree_lm.key_map(spark.createDataFrame([(k,) for k in keys], "key long"))
